@@ -4,13 +4,19 @@ from __future__ import annotations
 
 from tarnwork.llm.common import table
 from tarnwork.llm.mixing import mix_sources
+from tarnwork.llm.pieces import encode
 
 
 def op4_mix_sources(spark, sf_dir):
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op8_sample_pieces(spark, sf_dir):
+    return encode(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op4_mix_sources": op4_mix_sources,
+    "op8_sample_pieces": op8_sample_pieces,
 }
 ORACLE_SQL: dict[str, str] = {}
