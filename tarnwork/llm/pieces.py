@@ -26,7 +26,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _SPACE = "▁"
 #: Units up to this many bytes are filtered together by length, longer ones one by one.
 SHORT = 48
-_BATCH = 6_000_000
+_BATCH = 1_000_000
 _models: dict[tuple, Lattice] = {}
 
 
