@@ -5,17 +5,23 @@ from __future__ import annotations
 from tarnwork.llm.common import table
 from tarnwork.llm.mixing import mix_sources
 from tarnwork.llm.pieces import encode
+from tarnwork.llm.quality import grade_documents
 
 
 def op4_mix_sources(spark, sf_dir):
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op3_grade_quality(spark, sf_dir):
+    return grade_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_sample_pieces(spark, sf_dir):
     return encode(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op3_grade_quality": op3_grade_quality,
     "op4_mix_sources": op4_mix_sources,
     "op8_sample_pieces": op8_sample_pieces,
 }
