@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tarnwork.llm import phrases, suffixes
 from tarnwork.llm.common import table
 from tarnwork.llm.mixing import mix_sources
 from tarnwork.llm.pieces import encode
@@ -16,13 +17,25 @@ def op3_grade_quality(spark, sf_dir):
     return grade_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_repeated_phrases(spark, sf_dir):
+    return phrases.digest(phrases.remove_phrases(table(spark, sf_dir, "documents")))
+
+
 def op8_sample_pieces(spark, sf_dir):
     return encode(table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_dedup(spark, sf_dir):
+    return suffixes.digest(suffixes.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op3_grade_quality": op3_grade_quality,
     "op4_mix_sources": op4_mix_sources,
+    "op7_repeated_phrases": op7_repeated_phrases,
     "op8_sample_pieces": op8_sample_pieces,
+    "op9_suffix_dedup": op9_suffix_dedup,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op7_repeated_phrases": phrases.SQL,
 }
-ORACLE_SQL: dict[str, str] = {}
