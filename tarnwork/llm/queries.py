@@ -5,6 +5,7 @@ from __future__ import annotations
 from tarnwork.llm import phrases, suffixes
 from tarnwork.llm.common import table
 from tarnwork.llm.mixing import mix_sources
+from tarnwork.llm.neardup import near_duplicates
 from tarnwork.llm.pieces import encode
 from tarnwork.llm.quality import grade_documents
 
@@ -29,12 +30,17 @@ def op9_suffix_dedup(spark, sf_dir):
     return suffixes.digest(suffixes.remove_repeats(table(spark, sf_dir, "documents")))
 
 
+def op10_near_duplicates(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op3_grade_quality": op3_grade_quality,
     "op4_mix_sources": op4_mix_sources,
     "op7_repeated_phrases": op7_repeated_phrases,
     "op8_sample_pieces": op8_sample_pieces,
     "op9_suffix_dedup": op9_suffix_dedup,
+    "op10_near_duplicates": op10_near_duplicates,
 }
 ORACLE_SQL: dict[str, str] = {
     "op7_repeated_phrases": phrases.SQL,
