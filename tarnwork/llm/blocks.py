@@ -93,7 +93,7 @@ def pack(docs: DataFrame, block_bytes: int = BLOCK) -> DataFrame:
                 serial += 1
 
     packed = documents(docs).mapInArrow(batches, "block long, size long, head binary, text binary")
-    return cut(packed.repartition(partitions(docs.sparkSession), "block"))
+    return cut(packed.repartition(partitions(docs.sparkSession), "block").sortWithinPartitions("block"), placed=True)
 
 
 def total_size(packed: DataFrame) -> int:

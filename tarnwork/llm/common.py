@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 import math
+import os
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    # Python workers import this package too; where it isn't installed, from the folder it is in
+    env, home = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
+    if home not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (home, env.get("PYTHONPATH", "")) if x)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -22,15 +28,27 @@ def partitions(spark: SparkSession, at_least: int = 1) -> int:
     return max(at_least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage by a reliable checkpoint in the folder that the cluster names in spark.checkpoint.dir."""
+def cut(df: DataFrame, placed: bool = False) -> DataFrame:
+    """Cuts lineage by a reliable checkpoint in the folder that the cluster names in spark.checkpoint.dir.
+
+    ``placed``: the result keeps its hash partitioning and order, so that later joins on the same
+    key leave it in place. An adaptive plan doesn't tell them, so this one plan is made without.
+    """
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
         shared = spark.conf.get("spark.checkpoint.dir", None)
         if shared is None and not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tarnwork-"))
-    return df.checkpoint(eager=True)
+    if not placed:
+        return df.checkpoint(eager=True)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        # the plan is made anew under this setting
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
 
 
 def buckets(total: float, per: float, least: int = 1) -> int:

@@ -237,6 +237,6 @@ def find(docs: DataFrame, symbolize: Callable, n: int, k: int, per_byte: float,
 
     first = B.each_bucket(B.each_block(packed, anchors, 0, B.RUNS), combine_anchors)
     second = B.each_bucket(B.each_block(B.with_notes(packed, first), parts, 1, B.RUNS), segments)
-    told = cut(B.gather(second)).withColumnRenamed("notes", "notes0")
+    told = cut(B.gather(second).withColumnRenamed("notes", "notes0").sortWithinPartitions("block"), placed=True)
     third = B.each_bucket(B.each_block(B.with_notes(packed, told), singles, 1, B.RUNS), combine_windows)
     return B.with_notes(packed, told, third), plan
