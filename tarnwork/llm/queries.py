@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tarnwork.llm import phrases, suffixes
+from tarnwork.llm import bitsliced, phrases, suffixes
 from tarnwork.llm.common import table
 from tarnwork.llm.mixing import mix_sources
 from tarnwork.llm.neardup import near_duplicates
 from tarnwork.llm.pieces import encode
+from tarnwork.llm.postings import nearest_vectors
 from tarnwork.llm.quality import grade_documents
 
 
@@ -18,6 +19,14 @@ def op3_grade_quality(spark, sf_dir):
     return grade_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_nearest_vectors(spark, sf_dir):
+    return nearest_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op6_exact_top(spark, sf_dir):
+    return bitsliced.exact_top(table(spark, sf_dir, "embeddings"))
+
+
 def op7_repeated_phrases(spark, sf_dir):
     return phrases.digest(phrases.remove_phrases(table(spark, sf_dir, "documents")))
 
@@ -37,11 +46,14 @@ def op10_near_duplicates(spark, sf_dir):
 QUERIES = {
     "op3_grade_quality": op3_grade_quality,
     "op4_mix_sources": op4_mix_sources,
+    "op5_nearest_vectors": op5_nearest_vectors,
+    "op6_exact_top": op6_exact_top,
     "op7_repeated_phrases": op7_repeated_phrases,
     "op8_sample_pieces": op8_sample_pieces,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_near_duplicates": op10_near_duplicates,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op6_exact_top": bitsliced.SQL,
     "op7_repeated_phrases": phrases.SQL,
 }
