@@ -8,7 +8,8 @@ errors); every link is confirmed on the full sets.
 
 Groups of copies don't make pairs: equal sets are one node, and in a band's bucket all members are
 first compared with one leader, once more with another, and only members that are then still in
-different components are compared with each other.
+different components are compared with each other, each pair in the first band that it shares. For
+these few documents a finer signature, 1024 minima of four bits, discards what is far off.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ SHINGLE, BANDS, ROWS, BITS = 5, 32, 4, 2
 #: Similarity is least[0] / least[1] or more.
 LEAST = (75, 100)
 MARGIN = 0.25
+FINE, FINE_BITS, FINE_MARGIN = 1024, 4, 0.075
 
 
 def shingles(b: B.Block) -> tuple[np.ndarray, np.ndarray]:
@@ -74,6 +76,16 @@ def signatures(h: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return keys, packed
 
 
+def fine_signatures(h: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Packed low bits of the many minima that tell apart what the first signature can't."""
+    lanes = 64 // FINE_BITS
+    out = np.zeros((len(cuts) - 1, FINE // lanes), U64)
+    for k, a in enumerate(_odd(FINE, 37)):
+        low = mix(np.minimum.reduceat(h * a, cuts[:-1]), 2) & U64((1 << FINE_BITS) - 1)
+        out[:, k // lanes] |= low << U64(FINE_BITS * (k % lanes))
+    return out
+
+
 _SIGNED = "block long, doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, bits array<long>"
 
 
@@ -115,12 +127,22 @@ def _near(a_bits: str, b_bits: str, a_n: str, b_n: str):
     return sizes & (_estimate(a_bits, b_bits) >= p / q - MARGIN)
 
 
-def confirm(packed: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (u, v, u_block, v_block) whose full sets are similar enough."""
-    wanted = pairs.select(F.col("u_block").alias("block"), F.col("u").alias("id")).unionByName(pairs.select(F.col("v_block").alias("block"), F.col("v").alias("id")))
+def _fine_near(a: str, b: str):
+    def apart(x, y):
+        z = x.bitwiseXOR(y)
+        z = z.bitwiseOR(F.shiftrightunsigned(z, 1))
+        return F.bit_count(z.bitwiseOR(F.shiftrightunsigned(z, 2)).bitwiseAND(F.lit(0x1111111111111111)))
+
+    differ = F.aggregate(F.zip_with(a, b, apart), F.lit(0), lambda t, x: t + x)
+    chance = 1.0 / (1 << FINE_BITS)
+    return (1 - differ / F.lit(float(FINE)) - chance) / (1 - chance) >= LEAST[0] / LEAST[1] - FINE_MARGIN
+
+
+def describe(packed: DataFrame, wanted: DataFrame, of, schema: str) -> DataFrame:
+    """(id, what ``of(shingles, offsets)`` tells of it) for the distinct (block, id) wanted."""
     ids = wanted.distinct().groupBy("block").agg(F.sort_array(F.collect_list("id")).alias("ids"))
 
-    def sets(it):
+    def tell(it):
         for batch in it:
             for i in range(batch.num_rows):
                 b = B.Block.load(batch.column("head")[i].as_py(), batch.column("text")[i].as_py())
@@ -130,9 +152,26 @@ def confirm(packed: DataFrame, pairs: DataFrame) -> DataFrame:
                 take = np.concatenate([np.arange(b.offsets[k], b.offsets[k + 1]) for k in mine])
                 part = B.Block(b.flat[take], np.concatenate([[0], np.cumsum(np.diff(b.offsets)[mine])]), b.ids[mine])
                 h, cuts = shingles(part)
-                yield pa.RecordBatch.from_pydict({"id": pa.array(part.ids), "items": pa.array([h[a:z].tobytes() for a, z in zip(cuts[:-1], cuts[1:])], pa.binary())})
+                full = np.flatnonzero(np.diff(cuts))
+                yield pa.RecordBatch.from_arrays([pa.array(part.ids[full]), of(h, np.append(cuts[full], len(h)))], names=["id", "told"])
+
+    return cut(packed.join(ids, "block").mapInArrow(tell, f"id long, told {schema}"))
 
-    have = cut(packed.join(ids, "block").mapInArrow(sets, "id long, items binary"))
+
+def _items(h: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    return pa.array([h[a:z].tobytes() for a, z in zip(cuts[:-1], cuts[1:])], pa.binary())
+
+
+def _fine(h: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    bits = fine_signatures(h, cuts)
+    at = np.arange(len(bits) + 1, dtype=np.int32) * bits.shape[1]
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(bits.reshape(-1).view(np.int64)))
+
+
+def confirm(packed: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (u, v, u_block, v_block) whose full sets are similar enough."""
+    wanted = pairs.select(F.col("u_block").alias("block"), F.col("u").alias("id")).unionByName(pairs.select(F.col("v_block").alias("block"), F.col("v").alias("id")))
+    have = describe(packed, wanted, _items, "binary").withColumnRenamed("told", "items")
 
     def compare(it):
         p, q = LEAST
@@ -162,7 +201,7 @@ def near_duplicates(docs: DataFrame, block_bytes: int = B.BLOCK, rounds: int = 2
     first = F.min_by(F.struct("doc_id", "block", "n_shingles", "bands", "bits"), F.col("doc_id")).alias("first")
     nodes = cut(live.groupBy("set_a", "set_b").agg(first).select("set_a", "set_b", "first.*"))
     copies = live.select("doc_id", "set_a", "set_b").join(nodes.select("set_a", "set_b", F.col("doc_id").alias("v")), ["set_a", "set_b"]).select(F.col("doc_id").alias("u"), "v")
-    banded = nodes.select(F.explode("bands").alias("key"), F.col("doc_id").alias("u"), F.col("block").alias("u_block"), F.col("n_shingles").alias("u_n"), F.col("bits").alias("u_bits"))
+    banded = nodes.select(F.posexplode("bands").alias("band", "key"), F.col("doc_id").alias("u"), F.col("block").alias("u_block"), F.col("n_shingles").alias("u_n"), F.col("bits").alias("u_bits"))
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("many")).filter("many > 1").select("key")
     banded = cut(banded.join(shared, "key"))
     near = _near("u_bits", "v_bits", "u_n", "v_n")
@@ -181,8 +220,12 @@ def near_duplicates(docs: DataFrame, block_bytes: int = B.BLOCK, rounds: int = 2
             lead = members.groupBy("key").agg(F.min_by(F.struct(*as_v, F.col("root").alias("v_root")), order).alias("lead")).select("key", "lead.*")
             pairs = members.join(lead, "key").filter((F.col("root") != F.col("v_root")) & near)
         else:
-            other = members.select("key", *as_v, F.col("root").alias("v_root"))
-            pairs = members.join(other, (members["key"] == other["key"]) & (F.col("root") < F.col("v_root")) & near)
+            fine = describe(packed, members.select(F.col("u_block").alias("block"), F.col("u").alias("id")), _fine, "array<long>")
+            fine = fine.join(nodes.select(F.col("doc_id").alias("id"), "bands"), "id").select(F.col("id").alias("u"), F.col("told").alias("u_fine"), F.col("bands").alias("u_bands"))
+            members = members.join(fine, "u")
+            other = members.select(F.col("key").alias("v_key"), *as_v, F.col("root").alias("v_root"), F.col("u_fine").alias("v_fine"), F.col("u_bands").alias("v_bands"))
+            first_band = F.array_position(F.zip_with("u_bands", "v_bands", lambda x, y: x == y), F.lit(True)) == F.col("band") + 1
+            pairs = members.join(other, (F.col("key") == F.col("v_key")) & (F.col("root") < F.col("v_root")) & near & first_band & _fine_near("u_fine", "v_fine"))
         pairs = cut(pairs.select("u", "u_block", "v", "v_block").distinct())
         links = cut(links.unionByName(confirm(packed, pairs)))
         roots = components(links)
