@@ -93,15 +93,51 @@ class Graph:
         return np.array([i for _, i in kept], np.int64), np.array([-x for x, _ in kept])
 
 
+#: Found rows that a task holds before it drops those that are not among a query's best.
+_HELD = 400_000
+
+
+def _top_of_part(ids, x, qids, q, marks, k):
+    """(query, mark, vec_id, score) of a part's best rows for each query, its own left out."""
+    out = []
+    for lo in range(0, len(qids), 256):
+        part = q[lo : lo + 256]
+        score = part @ x.T
+        score[ids[None, :] == qids[lo : lo + 256, None]] = -np.inf
+        bound = -np.partition(-score, k - 1, axis=1)[:, k - 1 : k] if len(ids) > k else np.full((len(part), 1), -np.inf)
+        # a product's last digits depend on the blocks' shapes: what is near the bound is added up in order
+        slack = 1e-12 * (1 + np.abs(part).sum(axis=1, keepdims=True) * np.abs(x).max(initial=0))
+        query, row = np.nonzero((score >= bound - slack) & (score > -np.inf))
+        exact = np.zeros(len(query))
+        for d in range(x.shape[1]):
+            exact += part[query, d] * x[row, d]
+        out.append((qids[lo + query], marks[lo + query], ids[row], exact))
+    return _top_of_queries(out, k) if out else (qids[:0], marks[:0], ids[:0], np.zeros(0))
+
+
+def _top_of_queries(found, k):
+    qids, marks, ids, score = (np.concatenate([f[c] for f in found]) for c in range(4))
+    order = np.lexsort((ids, -score, marks, qids))
+    qids, marks, ids, score = qids[order], marks[order], ids[order], score[order]
+    if not len(qids):
+        return qids, marks, ids, score
+    new = np.concatenate([[True], (qids[1:] != qids[:-1]) | (marks[1:] != marks[:-1])])
+    once = new | np.concatenate([[True], (ids[1:] != ids[:-1]) | (score[1:] != score[:-1])])
+    qids, marks, ids, score, new = qids[once], marks[once], ids[once], score[once], new[once]
+    first = np.flatnonzero(new)
+    rank = np.arange(len(qids)) - np.repeat(first, np.diff(np.append(first, len(qids))))
+    return tuple(c[rank < k] for c in (qids, marks, ids, score))
+
+
 def nearest_vectors(
     vectors: DataFrame,
     k: int = 20,
     queries: str = QUERY,
-    list_rows: int = 256,
+    list_rows: int = 512,
     most_lists: int = 4096,
     sample_rows: int = 20_000,
     edge: float = 1.05,
-    copies: int = 4,
+    copies: int = 2,
     reach: float = 1.25,
     probes: int | None = None,
     part_rows: int = 2048,
@@ -173,28 +209,20 @@ def nearest_vectors(
     asked = asked.select("list", F.col("part").alias("qpart"), *[F.col(x).alias(f"q{x}") for x in ("n", "width", "ids", "data")])
 
     def search(it):
+        held, size = [], 0
         for batch in it:
             for i in range(batch.num_rows):
                 ids, x = unpacked(batch, i, "")
                 qids, q = unpacked(batch, i, "q")
                 x, q = same_width(x, q)
-                marks = mark(q)
-                for lo in range(0, len(qids), 256):
-                    # one component at a time: a product's value doesn't depend on the shapes of the blocks
-                    score = np.zeros((len(q[lo : lo + 256]), len(x)))
-                    for d in range(x.shape[1]):
-                        score += q[lo : lo + 256, d, None] * x[None, :, d]
-                    order = np.where(ids[None, :] == qids[lo : lo + 256, None], -np.inf, score)
-                    if len(ids) > k:
-                        bound = -np.partition(-order, k - 1, axis=1)[:, k - 1]
-                    else:
-                        bound = np.full(len(order), -np.inf)
-                    # ties at the bound are cut by vec_id: ids ascend
-                    over = order > bound[:, None]
-                    tie = (order == bound[:, None]) & (bound[:, None] > -np.inf)
-                    tie &= np.cumsum(tie, axis=1) <= k - over.sum(axis=1)[:, None]
-                    query, row = np.nonzero((over | tie) & (order > -np.inf))
-                    yield pa.RecordBatch.from_arrays([pa.array(qids[lo + query]), pa.array(marks[lo + query]), pa.array(ids[row]), pa.array(score[query, row])], names=["query_id", "mark", "vec_id", "score"])
+                held.append(_top_of_part(ids, x, qids, q, mark(q), k))
+                size += len(held[-1][0])
+                if size > _HELD:
+                    held = [_top_of_queries(held, k)]
+                    size = 0
+        if held:
+            qids, marks, ids, score = _top_of_queries(held, k)
+            yield pa.RecordBatch.from_arrays([pa.array(qids), pa.array(marks), pa.array(ids), pa.array(score)], names=["query_id", "mark", "vec_id", "score"])
 
     partial = index.join(asked, "list").mapInArrow(search, "query_id long, mark long, vec_id long, score double")
     # a row found in several lists counts once; different vectors of one vec_id differ in score
