@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from tarnwork.llm.common import cut
 
 
+#: Edges that a task should hold about.
+EDGES = 100_000
+
+
 def _least(pairs: DataFrame, own: bool) -> DataFrame:
     low = F.min("v")
     return pairs.groupBy("u").agg((F.least(F.col("u"), low) if own else low).alias("m"))
@@ -38,5 +42,7 @@ def components(edges: DataFrame) -> DataFrame:
         if now == state or not now[0]:
             break
         state = now
+        # few edges need few tasks
+        edges = edges.coalesce(1 + now[0] // EDGES)
         edges = cut(_small_star(_large_star(edges)))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -9,14 +9,14 @@ errors); every link is confirmed on the full sets.
 Groups of copies don't make pairs: equal sets are one node, and in a band's bucket all members are
 first compared with one leader, once more with another, and only members that are then still in
 different components are compared with each other, each pair in the first band that it shares. For
-these few documents a finer signature, 1024 minima of four bits, discards what is far off.
+these few documents a finer signature, 512 minima of four bits, discards what is far off.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnwork.llm import blocks as B
@@ -28,7 +28,7 @@ SHINGLE, BANDS, ROWS, BITS = 5, 32, 4, 2
 #: Similarity is least[0] / least[1] or more.
 LEAST = (75, 100)
 MARGIN = 0.25
-FINE, FINE_BITS, FINE_MARGIN = 1024, 4, 0.075
+FINE, FINE_BITS, FINE_MARGIN = 512, 4, 0.1
 
 
 def shingles(b: B.Block) -> tuple[np.ndarray, np.ndarray]:
@@ -201,9 +201,10 @@ def near_duplicates(docs: DataFrame, block_bytes: int = B.BLOCK, rounds: int = 2
     first = F.min_by(F.struct("doc_id", "block", "n_shingles", "bands", "bits"), F.col("doc_id")).alias("first")
     nodes = cut(live.groupBy("set_a", "set_b").agg(first).select("set_a", "set_b", "first.*"))
     copies = live.select("doc_id", "set_a", "set_b").join(nodes.select("set_a", "set_b", F.col("doc_id").alias("v")), ["set_a", "set_b"]).select(F.col("doc_id").alias("u"), "v")
-    banded = nodes.select(F.posexplode("bands").alias("band", "key"), F.col("doc_id").alias("u"), F.col("block").alias("u_block"), F.col("n_shingles").alias("u_n"), F.col("bits").alias("u_bits"))
+    banded = nodes.select(F.posexplode("bands").alias("band", "key"), F.col("doc_id").alias("u"))
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("many")).filter("many > 1").select("key")
     banded = cut(banded.join(shared, "key"))
+    facts = nodes.select(F.col("doc_id").alias("u"), F.col("block").alias("u_block"), F.col("n_shingles").alias("u_n"), F.col("bits").alias("u_bits"))
     near = _near("u_bits", "v_bits", "u_n", "v_n")
     as_v = [F.col(f"u{x}").alias(f"v{x}") for x in ("", "_block", "_n", "_bits")]
     links, roots = cut(copies.filter("u != v").distinct()), None
@@ -212,16 +213,17 @@ def near_duplicates(docs: DataFrame, block_bytes: int = B.BLOCK, rounds: int = 2
         if roots is not None:
             members = banded.join(roots.withColumnRenamed("node", "u"), "u", "left").withColumn("root", F.coalesce("root", "u"))
             mixed = members.groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).filter("_a != _b").select("key")
-            members = cut(members.join(mixed, "key"))
+            members = members.join(mixed, "key")
         else:
             members = members.withColumn("root", F.col("u"))
+        members = cut(members).join(facts, "u")
         if turn < rounds:
             order = F.xxhash64("u", F.lit(turn)) if turn else F.col("u")
             lead = members.groupBy("key").agg(F.min_by(F.struct(*as_v, F.col("root").alias("v_root")), order).alias("lead")).select("key", "lead.*")
             pairs = members.join(lead, "key").filter((F.col("root") != F.col("v_root")) & near)
         else:
             fine = describe(packed, members.select(F.col("u_block").alias("block"), F.col("u").alias("id")), _fine, "array<long>")
-            fine = fine.join(nodes.select(F.col("doc_id").alias("id"), "bands"), "id").select(F.col("id").alias("u"), F.col("told").alias("u_fine"), F.col("bands").alias("u_bands"))
+            fine = fine.join(nodes.select(F.col("doc_id").alias("id"), "bands"), "id").select(F.col("id").alias("u"), F.col("told").alias("u_fine"), F.transform("bands", lambda x: F.hash(x)).alias("u_bands"))
             members = members.join(fine, "u")
             other = members.select(F.col("key").alias("v_key"), *as_v, F.col("root").alias("v_root"), F.col("u_fine").alias("v_fine"), F.col("u_bands").alias("v_bands"))
             first_band = F.array_position(F.zip_with("u_bands", "v_bands", lambda x, y: x == y), F.lit(True)) == F.col("band") + 1
@@ -232,3 +234,14 @@ def near_duplicates(docs: DataFrame, block_bytes: int = B.BLOCK, rounds: int = 2
     out = signed.select("doc_id", "n_shingles").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     component = F.coalesce("root", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all their columns, without all but one document of each class.
+
+    Rows without doc_id stay. Of rows that repeat a kept doc_id, the one with the least text hash stays.
+    """
+    kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    order = Window.partitionBy("_kept").orderBy(F.xxhash64("text"))
+    one = docs.join(kept, F.col("doc_id") == F.col("_kept")).withColumn("_nth", F.row_number().over(order)).filter("_nth = 1")
+    return one.select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
