@@ -2,12 +2,52 @@
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tarnwork.llm.common import table
+from tarnwork.llm.lines import remove_repeated_lines
+from tarnwork.llm.mixing import take
+from tarnwork.llm.neardup import keep_one
+from tarnwork.llm.pieces import encode
+from tarnwork.llm.quality import keep_good
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents whose chance of the top grade is under one half, and those without words."""
+    return keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Removes later repeated runs of lines, and documents of which nothing but blanks is left."""
+    out = remove_repeated_lines(docs).filter((F.col("n_removed") < F.col("n_lines")) | (F.col("n_removed") == 0))
+    out = out.select(*docs.columns)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each class of near duplicates."""
+    return keep_one(docs)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes words from each source near its target; a document can be there twice, or in part."""
+    out = take(docs)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def segment(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sampled pieces of each document."""
+    return encode(docs)
+
+
+STAGES = [("quality classifier", quality), ("line dedup", lines), ("MinHash near-dedup", near), ("mixing sources to target weights", mixture), ("SentencePiece encoding", segment)]
+#: The quality stage has no SQL; the tests hold each stage against a plain version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs

@@ -76,8 +76,15 @@ class Block:
         return pa.array(self.ids, pa.int64(), mask=self.ids == LAST)
 
 
-def pack(docs: DataFrame, block_bytes: int = BLOCK) -> DataFrame:
-    """Rows (block, size, head, text), partitioned by block and checkpointed."""
+def pack(docs: DataFrame, block_bytes: int = BLOCK, carry: bool = False) -> DataFrame:
+    """Rows (block, size, head, text), partitioned by block and checkpointed.
+
+    ``carry`` adds the documents' other columns, of any name and type, as a packed table.
+    """
+    rows = documents(docs)
+    if carry:
+        rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(F.lit(0).alias("_"), *rest).alias("_rest"))
 
     def batches(it):
         from pyspark import TaskContext
@@ -89,13 +96,30 @@ def pack(docs: DataFrame, block_bytes: int = BLOCK) -> DataFrame:
             for lo, hi in pieces(offsets, block_bytes):
                 b = Block(flat[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], ids[lo:hi])
                 head, text = b.dump()
-                yield pa.RecordBatch.from_pydict({"block": pa.array([(part << 24) + serial]), "size": pa.array([len(b.flat)]), "head": pa.array([head], pa.binary()), "text": pa.array([text], pa.binary())})
+                row = {"block": pa.array([(part << 24) + serial]), "size": pa.array([len(b.flat)]), "head": pa.array([head], pa.binary()), "text": pa.array([text], pa.binary())}
+                if carry:
+                    row["rest"] = pa.array([_to_ipc(batch.column("_rest").slice(lo, hi - lo))], pa.binary())
+                yield pa.RecordBatch.from_pydict(row)
                 serial += 1
 
-    packed = documents(docs).mapInArrow(batches, "block long, size long, head binary, text binary")
+    packed = rows.mapInArrow(batches, "block long, size long, head binary, text binary" + ", rest binary" * carry)
     return cut(packed.repartition(partitions(docs.sparkSession), "block").sortWithinPartitions("block"), placed=True)
 
 
+def _to_ipc(column: pa.StructArray) -> bytes:
+    sink = pa.BufferOutputStream()
+    batch = pa.RecordBatch.from_struct_array(pa.concat_arrays([column]))
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def rest_columns(data: bytes) -> dict[str, pa.Array]:
+    """The columns that ``pack`` carried, by name."""
+    batch = pa.ipc.open_stream(data).read_next_batch()
+    return {n: batch.column(n) for n in batch.schema.names if n != "_"}
+
+
 def total_size(packed: DataFrame) -> int:
     return packed.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
 
@@ -127,6 +151,8 @@ def each_block(packed: DataFrame, f: Callable, kinds: int, schema: str) -> DataF
         for batch in it:
             for i in range(batch.num_rows):
                 b = Block.load(batch.column("head")[i].as_py(), batch.column("text")[i].as_py())
+                if "rest" in batch.schema.names:
+                    b.rest = batch.column("rest")[i].as_py()
                 yield from f(batch.column("block")[i].as_py(), b, [batch.column(f"notes{k}")[i].as_py() or [] for k in range(kinds)])
 
     return packed.mapInArrow(batches, schema)

@@ -109,4 +109,25 @@ def mix_sources(
     left = F.col("_due") - F.col("_passes") * F.col("_words")
     part = F.greatest(F.lit(0), F.least(F.col("size"), left - F.col("_before")))
     taken = (F.col("_passes") * F.col("size") + part).cast("long")
-    return dealt.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    return dealt.select("doc_id", "size", "source_size", "target", taken.alias("taken"), F.when(~F.col("_absent"), F.col("_name")).alias("source"))
+
+
+def take(docs: DataFrame, **options) -> DataFrame:
+    """The mixture itself: rows of ``docs``, with all their columns, as ``mix_sources`` takes them.
+
+    A document taken whole once or twice is there once or twice; of one taken in part, a row with
+    its first words, joined by one space. Rows without words are left out.
+    """
+    taken = mix_sources(docs, **options)
+    same = ["_doc", "_src", "_nth"]
+    order = Window.partitionBy("_doc", "_src").orderBy("_size")
+    key = lambda d: d.withColumn("_nth", F.row_number().over(order))
+    taken = key(taken.select(F.struct("doc_id").alias("_doc"), F.struct("source").alias("_src"), F.col("size").alias("_size"), F.col("taken").alias("_taken")))
+    size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
+    rows = key(docs.select("*", F.struct(F.col("doc_id").cast("long").alias("doc_id")).alias("_doc"), F.struct(F.col("source").cast("string").alias("source")).alias("_src"), size.alias("_size")))
+    rows = rows.join(taken.filter("_taken > 0").drop("_size"), same)
+    rest = (F.col("_taken") % F.col("_size")).cast("int")
+    part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), rest), " ")
+    whole = F.array_repeat(F.lit(True), F.floor(F.col("_taken") / F.col("_size")).cast("int"))
+    rows = rows.withColumn("_whole", F.explode(F.concat(whole, F.when(rest > 0, F.array(F.lit(False))).otherwise(F.array().cast("array<boolean>")))))
+    return rows.select(*[F.when(F.col("_whole"), F.col(c)).otherwise(part).alias(c) if c == "text" else F.col(c) for c in docs.columns])

@@ -164,6 +164,20 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, seed: int
     return fit(lists.flatten().to_numpy(), cuts, y.astype(np.int64), bits)
 
 
+def _grades(model: Ordinal | None, column: pa.Array, least: float, bits: int):
+    """(first, last, expected grades, chances of the top grade, keep) of the texts, piece by piece."""
+    flat, offsets = arrow_bytes(column)
+    for lo, hi in pieces(offsets, 4_000_000):
+        part, off = flat[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+        keep = _counts(~_BLANK[part], off) > 0
+        if model is None:
+            yield lo, hi, pa.nulls(hi - lo, pa.float64()), pa.nulls(hi - lo, pa.float64()), keep
+        else:
+            tokens, cuts = features(part, off, bits)
+            mean, top = (np.round(np.where(keep, x, 0.0), 9) for x in model.grades(model.score(tokens, cuts)))
+            yield lo, hi, pa.array(mean), pa.array(top), keep & (top >= least)
+
+
 def grade_documents(docs: DataFrame, labels: DataFrame, least: float = 0.5, max_rows: int = 20_000, bits: int = BITS) -> DataFrame:
     """doc_id, expected_grade, p_top (probability of the top grade) and keep (p_top of ``least`` or more).
 
@@ -175,18 +189,20 @@ def grade_documents(docs: DataFrame, labels: DataFrame, least: float = 0.5, max_
 
     def score(it):
         for batch in it:
-            flat, offsets = arrow_bytes(batch.column("text"))
             ids = batch.column("doc_id")
-            for lo, hi in pieces(offsets, 4_000_000):
-                part, off = flat[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
-                some = _counts(~_BLANK[part], off) > 0
-                if model is None:
-                    mean = top = pa.nulls(hi - lo, pa.float64())
-                    keep = some
-                else:
-                    tokens, cuts = features(part, off, bits)
-                    mean, top = (np.round(np.where(some, x, 0.0), 9) for x in model.grades(model.score(tokens, cuts)))
-                    keep = some & (top >= least)
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(mean), pa.array(top), pa.array(keep)], names=["doc_id", "expected_grade", "p_top", "keep"])
+            for lo, hi, mean, top, keep in _grades(model, batch.column("text"), least, bits):
+                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), mean, top, pa.array(keep)], names=["doc_id", "expected_grade", "p_top", "keep"])
 
     return documents(docs).mapInArrow(score, "doc_id long, expected_grade double, p_top double, keep boolean")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5, max_rows: int = 20_000, bits: int = BITS) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that ``grade_documents`` keeps."""
+    model = train(docs, labels, max_rows, bits=bits)
+
+    def choose(it):
+        for batch in it:
+            for lo, hi, _, _, keep in _grades(model, batch.column("text"), least, bits):
+                yield batch.slice(lo, hi - lo).filter(pa.array(keep))
+
+    return docs.mapInArrow(choose, docs.schema)

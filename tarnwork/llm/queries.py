@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tarnwork.llm import bitsliced, phrases, suffixes
+from tarnwork.llm import bitsliced, lines, phrases, suffixes
 from tarnwork.llm.common import table
 from tarnwork.llm.mixing import mix_sources
 from tarnwork.llm.neardup import near_duplicates
 from tarnwork.llm.pieces import encode
+from tarnwork.llm.pii import find_personal_data
 from tarnwork.llm.postings import nearest_vectors
 from tarnwork.llm.quality import grade_documents
 
@@ -15,6 +16,14 @@ def op4_mix_sources(spark, sf_dir):
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op1_repeated_lines(spark, sf_dir):
+    return lines.digest(lines.remove_repeated_lines(table(spark, sf_dir, "documents")))
+
+
+def op2_personal_data(spark, sf_dir):
+    return find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op3_grade_quality(spark, sf_dir):
     return grade_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -44,6 +53,8 @@ def op10_near_duplicates(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_repeated_lines": op1_repeated_lines,
+    "op2_personal_data": op2_personal_data,
     "op3_grade_quality": op3_grade_quality,
     "op4_mix_sources": op4_mix_sources,
     "op5_nearest_vectors": op5_nearest_vectors,
@@ -54,6 +65,7 @@ QUERIES = {
     "op10_near_duplicates": op10_near_duplicates,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op1_repeated_lines": lines.SQL,
     "op6_exact_top": bitsliced.SQL,
     "op7_repeated_phrases": phrases.SQL,
 }

@@ -206,9 +206,9 @@ def claimed_spans(c: Claims, notes: list[bytes]) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(start), np.concatenate(end), np.concatenate(least)
 
 
-def find(docs: DataFrame, symbolize: Callable, n: int, k: int, per_byte: float, segments: Callable = combine_segments, block_bytes: int = B.BLOCK):
+def find(docs: DataFrame, symbolize: Callable, n: int, k: int, per_byte: float, segments: Callable = combine_segments, block_bytes: int = B.BLOCK, carry: bool = False):
     """Blocks with the notes that ``claimed_spans`` needs, and the plan that the passes share."""
-    packed = B.pack(docs, block_bytes)
+    packed = B.pack(docs, block_bytes, carry)
     plan = Plan(symbolize, n, k, per_byte, B.total_size(packed))
     drop, width = U64(plan.drop), 64 - plan.drop
 
