@@ -38,6 +38,7 @@ def components(edges: DataFrame) -> DataFrame:
     edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v").distinct()
     edges, state = cut(edges), None
     while True:
+        # a round's end is told by the edges' count and checksum: a star forest stays as it is
         now = edges.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))")).first()
         if now == state or not now[0]:
             break

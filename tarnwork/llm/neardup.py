@@ -7,7 +7,7 @@ closer it is. Estimates only discard what is far off (under ``least - margin``,
 errors); every link is confirmed on the full sets.
 
 Groups of copies don't make pairs: equal sets are one node, and in a band's bucket all members are
-first compared with one leader, once more with another, and only members that are then still in
+first compared with one leader (``rounds`` times, with another each time), and only members that are then still in
 different components are compared with each other, each pair in the first band that it shares. For
 these few documents a finer signature, 512 minima of four bits, discards what is far off.
 """
@@ -187,7 +187,7 @@ def confirm(packed: DataFrame, pairs: DataFrame) -> DataFrame:
     return joined.select("u", "v", "x", "y").mapInArrow(compare, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, block_bytes: int = B.BLOCK, rounds: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, block_bytes: int = B.BLOCK, rounds: int = 1) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id reachable by links) and kept (doc_id = component_id).
 
     Documents without words have no shingles and no links. Rows that repeat a doc_id are one document
@@ -207,7 +207,7 @@ def near_duplicates(docs: DataFrame, block_bytes: int = B.BLOCK, rounds: int = 2
     facts = nodes.select(F.col("doc_id").alias("u"), F.col("block").alias("u_block"), F.col("n_shingles").alias("u_n"), F.col("bits").alias("u_bits"))
     near = _near("u_bits", "v_bits", "u_n", "v_n")
     as_v = [F.col(f"u{x}").alias(f"v{x}") for x in ("", "_block", "_n", "_bits")]
-    links, roots = cut(copies.filter("u != v").distinct()), None
+    links, roots = cut(copies.filter("u != v")), None
     for turn in range(rounds + 1):
         members = banded
         if roots is not None:
@@ -229,8 +229,9 @@ def near_duplicates(docs: DataFrame, block_bytes: int = B.BLOCK, rounds: int = 2
             first_band = F.array_position(F.zip_with("u_bands", "v_bands", lambda x, y: x == y), F.lit(True)) == F.col("band") + 1
             pairs = members.join(other, (F.col("key") == F.col("v_key")) & (F.col("root") < F.col("v_root")) & near & first_band & _fine_near("u_fine", "v_fine"))
         pairs = cut(pairs.select("u", "u_block", "v", "v_block").distinct())
-        links = cut(links.unionByName(confirm(packed, pairs)))
-        roots = components(links)
+        roots = components(links.unionByName(confirm(packed, pairs)))
+        # the stars stand for all links so far
+        links = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
     out = signed.select("doc_id", "n_shingles").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     component = F.coalesce("root", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
