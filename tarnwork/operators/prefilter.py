@@ -69,8 +69,9 @@ def decide(refs: DataFrame, resolve_classes: tuple = (), path: Column | None = N
     The first finding of an identity, by run and result, is kept; later ones name it.
     """
     w = Window.partitionBy("correlation_id").orderBy("run_index", "result_index")
-    path = F.col("uri") if path is None else path
-    rows = refs.withColumns({"_n": F.row_number().over(w), "_kept": F.first(F.struct("run_index", "result_index")).over(w)})
+    rows = refs.withColumn("_path", F.col("uri") if path is None else path)
+    path = F.col("_path")
+    rows = rows.withColumns({"_n": F.row_number().over(w), "_kept": F.first(F.struct("run_index", "result_index")).over(w)})
     known = F.when(F.coalesce(path, F.lit("")) != "", classify(path, head)).otherwise(F.struct(F.lit("UNKNOWN").alias("file_class"), F.lit("finding has no location").alias("reason"), F.lit(False).alias("used_content")))
     rows = rows.withColumn("_class", known)
     again, kind, reason = F.col("_n") > 1, F.col("_class.file_class"), F.col("_class.reason")
@@ -83,7 +84,7 @@ def decide(refs: DataFrame, resolve_classes: tuple = (), path: Column | None = N
         .otherwise(F.concat(F.lit("Classified "), kind, F.when(reason != "", F.concat(F.lit(" ("), reason, F.lit(")"))).otherwise(F.lit("")), F.lit(". Not resolvable without judgment; passed to adjudication.")))
     )
     rows = rows.withColumns({"disposition": disposition, "file_class": kind, "resolved_by": by, "justification": why, "duplicate_of": F.when(again, F.col("correlation_id")), "used_content": ~again & F.col("_class.used_content")})
-    return rows.drop("_n", "_kept", "_class")
+    return rows.drop("_n", "_kept", "_class", "_path")
 
 
 def disposition_counts(decisions: DataFrame) -> DataFrame:

@@ -341,7 +341,7 @@ def secret_hits(spark, sf_dir):
 @query(
     """WITH l AS (SELECT doc_id, unnest(regexp_extract_all(text, '"([^"\\n]{16,200})"', 1)) AS literal FROM documents WHERE NOT contains(text, '''')
       UNION ALL SELECT doc_id, unnest(regexp_extract_all(text, '"([^"\\n]{16,200})"|''([^''\\n]{16,200})''', 1)) FROM documents WHERE contains(text, '''')),
-    c AS (SELECT doc_id, literal, unnest(string_split(literal, '')) AS ch FROM l WHERE literal <> ''),
+    c AS (SELECT doc_id, literal, unnest(string_split(literal, '')) AS ch FROM (SELECT DISTINCT * FROM l) WHERE literal <> ''),
     n AS (SELECT doc_id, literal, ch, count(*) AS k FROM c GROUP BY ALL),
     e AS (SELECT doc_id, literal, round(-sum(k / len(literal) * log2(k / len(literal))), 12) AS bits FROM n GROUP BY doc_id, literal)
     SELECT doc_id, literal, CASE WHEN bits < 3 THEN 'LOW' WHEN bits < 4 THEN 'MEDIUM' ELSE 'HIGH' END AS entropy_class FROM e"""
