@@ -47,7 +47,10 @@ def check_log(data: bytes) -> tuple[str | None, str | None]:
 
 
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each file under ``path``; refused ones have ok false and the reason."""
+    """One row for each file under ``path``; refused ones have ok false and the reason.
+
+    Spark's file sources don't list files of no bytes, so these have no row.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.sarif").load(path)
     return parse_logs(files.select("path", "content"))
 
