@@ -1,15 +1,37 @@
-"""Connected components by alternating large and small stars."""
+"""Connected components by alternating large and small stars; few edges are united in one task."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnwork.llm.common import cut
 
 
-#: Edges that a task should hold about.
-EDGES = 100_000
+#: Edges that a task should hold about, and edges that one task unites by itself.
+EDGES, FEW = 100_000, 20_000
+
+
+def _unite(it):
+    """All (node, root) of a stream of edges."""
+    batches = [(b.column("u").to_numpy(), b.column("v").to_numpy()) for b in it]
+    ends = np.stack([np.concatenate(x) for x in zip(*batches)]) if batches else np.zeros((2, 0), np.int64)
+    nodes, at = np.unique(ends, return_inverse=True)
+    at = at.reshape(2, -1)
+    root = np.arange(len(nodes))
+    while True:
+        low = np.minimum(root[at[0]], root[at[1]])
+        new = root.copy()
+        # both ends' present roots take the least of the two
+        np.minimum.at(new, root[at[0]], low)
+        np.minimum.at(new, root[at[1]], low)
+        new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    yield pa.RecordBatch.from_arrays([pa.array(nodes.astype(np.int64)), pa.array(nodes[root].astype(np.int64))], names=["node", "root"])
 
 
 def _least(pairs: DataFrame, own: bool) -> DataFrame:
@@ -37,6 +59,8 @@ def components(edges: DataFrame) -> DataFrame:
     """
     edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v").distinct()
     edges, state = cut(edges), None
+    if edges.count() <= FEW:
+        return edges.coalesce(1).mapInArrow(_unite, "node long, root long")
     while True:
         # a round's end is told by the edges' count and checksum: a star forest stays as it is
         now = edges.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))")).first()
