@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnwork.llm.common import cut
+
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: Rows of a source are spread over this many parts wherever they meet the table of sources.
 SALTS = 64
@@ -81,7 +83,8 @@ def mix_sources(
     """
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"))
-    rows = rows.withColumns({"_absent": F.col("source").isNull(), "_name": F.coalesce("source", F.lit(""))})
+    # the texts are read once, for their sizes
+    rows = cut(rows.withColumns({"_absent": F.col("source").isNull(), "_name": F.coalesce("source", F.lit(""))}))
     totals = rows.groupBy("_absent", "_name").agg(F.sum("size").alias("source_size"))
     totals = totals.withColumn("source", F.when(~F.col("_absent"), F.col("_name")))
     t = targets(totals.select("source", "source_size"), weights, share, cap)
