@@ -1,0 +1,21 @@
+"""Lexical safety of paths: what may lead out of a root is refused before any file is opened."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def refusal(path: Column) -> Column:
+    """Why a normal path is refused, or null. Symbolic links are a matter of the reader."""
+    seg = F.filter(F.split(path, "/"), lambda s: (s != "") & (s != "."))
+    # the least depth on the way; below 0 the path has left its root
+    step = lambda a, s: F.struct((a["d"] + F.when(s == "..", -1).otherwise(1)).alias("d"), F.least(a["low"], a["d"] + F.when(s == "..", -1).otherwise(1)).alias("low"))
+    low = F.aggregate(seg, F.struct(F.lit(0).alias("d"), F.lit(0).alias("low")), step, lambda a: a["low"])
+    return (
+        F.when(path.isNull() | F.trim(path).isin("", ".", ".."), "empty path")
+        .when(path.rlike(r"^[A-Za-z]:"), "drive-qualified path")
+        .when(path.startswith("/") | path.startswith("\\"), "absolute path")
+        .when(F.contains(path, F.lit("\0")), "NUL in path")
+        .when(low < 0, "path leaves its root")
+    )
