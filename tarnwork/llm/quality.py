@@ -13,12 +13,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwork.llm.bytesops import U64, Prefix, _SYMBOLS, arrow_bytes, lower_ascii, mix, pieces, runs
+from tarnwork.llm.bytesops import U64, Prefix, _SYMBOLS, arrow_bytes, lower_ascii, mix, pieces, runs, word_spans
 from tarnwork.llm.common import documents
 
 BITS = 17
 #: Lengths in bytes of the word beginnings that count as tokens.
 PREFIXES = (4, 5)
+#: Words of a passage.
+PASSAGE = 60
 #: Bins of the text's shares and sizes have values up to this.
 _TOP = 80
 _LETTER = np.zeros(256, bool)
@@ -32,6 +34,27 @@ _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
 
 
+def passages(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets of all passages (at least one a text) and, per text, the offsets into them."""
+    start, _, cuts = word_spans(flat, offsets)
+    place = np.arange(len(start)) - np.repeat(cuts[:-1], np.diff(cuts))
+    begin = start[(place % PASSAGE == 0) & (place > 0)]
+    doc = np.searchsorted(offsets, begin, side="right") - 1
+    doc = np.concatenate([np.arange(len(offsets) - 1), doc])
+    begin = np.concatenate([offsets[:-1], begin])
+    order = np.lexsort((begin, doc))
+    return np.append(begin[order], offsets[-1]), np.searchsorted(doc[order], np.arange(len(offsets)))
+
+
+def pooled(scores: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Soft minimum of each text's passage scores, and the passages' shares in it."""
+    count = np.diff(of)
+    low = np.minimum.reduceat(scores, of[:-1])
+    near = np.exp(np.repeat(low, count) - scores)
+    total = np.add.reduceat(near, of[:-1])
+    return low - np.log(total / count), near / np.repeat(total, count)
+
+
 def _counts(mask: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.diff(np.concatenate([[0], np.cumsum(mask)])[offsets])
 
@@ -95,11 +118,21 @@ class Ordinal:
         above = [1.0 - _sigmoid(c - score) for c in self.cuts]
         return np.sum(above, axis=0), above[-1]
 
-    def score(self, tokens: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        return np.diff(np.concatenate([[0.0], np.cumsum(self.weights[tokens])])[offsets])
+    def score(self, tokens: np.ndarray, offsets: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """Scores of texts, given their passages' tokens."""
+        if len(of) < 2:
+            return np.zeros(0)
+        return pooled(np.diff(np.concatenate([[0.0], np.cumsum(self.weights[tokens])])[offsets]), of)[0]
 
 
-def fit(tokens: np.ndarray, offsets: np.ndarray, grade: np.ndarray, bits: int = BITS, l1: float = 3e-4, epochs: int = 20, pace: float = 0.1, seed: int = 3) -> Ordinal:
+def _ranges(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all ranges one after the other, and the offsets into them."""
+    count = last - first
+    cuts = np.concatenate([[0], np.cumsum(count)])
+    return np.arange(cuts[-1]) - np.repeat(cuts[:-1] - first, count), cuts
+
+
+def fit(tokens: np.ndarray, offsets: np.ndarray, of: np.ndarray, grade: np.ndarray, bits: int = BITS, l1: float = 3e-4, epochs: int = 20, pace: float = 0.1, seed: int = 3) -> Ordinal:
     """Adaptive gradient descent in seeded batches on the cumulative-link loss, with an L1 penalty.
 
     Returns the mean of the second half's weights and thresholds.
@@ -114,16 +147,16 @@ def fit(tokens: np.ndarray, offsets: np.ndarray, grade: np.ndarray, bits: int =
         order = draw.permutation(n)
         for lo in range(0, n, size):
             who = np.sort(order[lo : lo + size])
-            count = offsets[who + 1] - offsets[who]
-            row = np.repeat(np.arange(len(who)), count)
-            at = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(offsets[who], count)
+            part, parted = _ranges(of[who], of[who + 1])
+            at, cut = _ranges(offsets[part], offsets[part + 1])
             token, y = tokens[at], grade[who]
-            score = np.bincount(row, weights=w[token], minlength=len(who))
+            row = np.repeat(np.arange(len(part)), np.diff(cut))
+            score, weight = pooled(np.bincount(row, weights=w[token], minlength=len(part)), parted)
             edge = np.concatenate([[-40.0], cuts, [40.0]])
             a, b = _sigmoid(edge[y] - score), _sigmoid(edge[y + 1] - score)
             p = np.maximum(b - a, 1e-9)
             g = (b * (1 - b) - a * (1 - a)) / p / len(who)
-            grad = np.bincount(token, weights=g[row], minlength=width)
+            grad = np.bincount(token, weights=(np.repeat(g, np.diff(parted)) * weight)[row], minlength=width)
             up = np.bincount(y + 1, weights=-b * (1 - b) / p / len(who), minlength=top + 2)[1 : top + 1]
             down = np.bincount(y, weights=a * (1 - a) / p / len(who), minlength=top + 2)[1 : top + 1]
             seen += grad * grad
@@ -139,7 +172,7 @@ def fit(tokens: np.ndarray, offsets: np.ndarray, grade: np.ndarray, bits: int =
     return Ordinal(mean_w / parts, mean_cuts / parts)
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, seed: int = 5, bits: int = BITS) -> Ordinal | None:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 40_000, seed: int = 5, bits: int = BITS) -> Ordinal | None:
     """Fits on at most ``max_rows`` labelled documents; None if they show one grade only."""
     grade = F.greatest(F.lit(0), 2 * F.col("quality") - F.coalesce("toxic", F.lit(0))).cast("int")
     rated = labels.select(F.col("doc_id").cast("long").alias("doc_id"), grade.alias("grade")).dropna()
@@ -148,20 +181,28 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, seed: int
     def extract(it):
         for batch in it:
             flat, offsets = arrow_bytes(batch.column("text"))
-            tokens, cuts = features(flat, offsets, bits)
-            lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(tokens, pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("grade"), lists], names=["doc_id", "grade", "tokens"])
+            for lo, hi in pieces(offsets, 4_000_000):
+                part, off = flat[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+                begin, of = passages(part, off)
+                tokens, cuts = features(part, begin, bits)
+                lists = pa.ListArray.from_arrays(pa.array(cuts[of], pa.int32()), pa.array(tokens, pa.int32()))
+                sizes = pa.ListArray.from_arrays(pa.array(of, pa.int32()), pa.array(np.diff(cuts), pa.int32()))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), batch.column("grade").slice(lo, hi - lo), lists, sizes], names=["doc_id", "grade", "tokens", "sizes"])
 
     # the sample is bounded by max_rows, so it can be sent to every task
-    joined = documents(docs).join(F.broadcast(rated), "doc_id").mapInArrow(extract, "doc_id long, grade int, tokens array<int>")
+    joined = documents(docs).join(F.broadcast(rated), "doc_id").mapInArrow(extract, "doc_id long, grade int, tokens array<int>, sizes array<int>")
     got = joined.toArrow().sort_by([("doc_id", "ascending"), ("grade", "ascending")])
     y = got["grade"].to_numpy()
     if len(np.unique(y)) < 2:
         return None
-    lists = got["tokens"].combine_chunks()
-    lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
-    cuts = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
-    return fit(lists.flatten().to_numpy(), cuts, y.astype(np.int64), bits)
+    tokens, _ = _lists(got["tokens"])
+    sizes, of = _lists(got["sizes"])
+    return fit(tokens, np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]), of, y.astype(np.int64), bits)
+
+
+def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    lists = pa.concat_arrays(column.chunks)
+    return lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(), dtype=np.int64)])
 
 
 def _grades(model: Ordinal | None, column: pa.Array, least: float, bits: int):
@@ -173,12 +214,13 @@ def _grades(model: Ordinal | None, column: pa.Array, least: float, bits: int):
         if model is None:
             yield lo, hi, pa.nulls(hi - lo, pa.float64()), pa.nulls(hi - lo, pa.float64()), keep
         else:
-            tokens, cuts = features(part, off, bits)
-            mean, top = (np.round(np.where(keep, x, 0.0), 9) for x in model.grades(model.score(tokens, cuts)))
+            begin, of = passages(part, off)
+            tokens, cuts = features(part, begin, bits)
+            mean, top = (np.round(np.where(keep, x, 0.0), 9) for x in model.grades(model.score(tokens, cuts, of)))
             yield lo, hi, pa.array(mean), pa.array(top), keep & (top >= least)
 
 
-def grade_documents(docs: DataFrame, labels: DataFrame, least: float = 0.5, max_rows: int = 20_000, bits: int = BITS) -> DataFrame:
+def grade_documents(docs: DataFrame, labels: DataFrame, least: float = 0.5, max_rows: int = 40_000, bits: int = BITS) -> DataFrame:
     """doc_id, expected_grade, p_top (probability of the top grade) and keep (p_top of ``least`` or more).
 
     Texts without words (null, empty, blank) are graded 0 and not kept. Where the labels show no
@@ -196,7 +238,7 @@ def grade_documents(docs: DataFrame, labels: DataFrame, least: float = 0.5, max_
     return documents(docs).mapInArrow(score, "doc_id long, expected_grade double, p_top double, keep boolean")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5, max_rows: int = 20_000, bits: int = BITS) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5, max_rows: int = 40_000, bits: int = BITS) -> DataFrame:
     """The rows of ``docs``, with all their columns, that ``grade_documents`` keeps."""
     model = train(docs, labels, max_rows, bits=bits)
 
