@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import os
 import tempfile
 from pathlib import Path
@@ -51,5 +50,6 @@ def cut(df: DataFrame, placed: bool = False) -> DataFrame:
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
 
 
-def buckets(total: float, per: float, least: int = 1) -> int:
-    return max(least, math.ceil(total / per))
+def cut_small(df: DataFrame, fold: int = 16) -> DataFrame:
+    """``cut`` for what is far smaller than the shuffle that made it: one file for ``fold`` partitions."""
+    return cut(df.coalesce(max(1, partitions(df.sparkSession) // fold)))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnwork.llm.common import cut
+from tarnwork.llm.common import cut, cut_small
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base forms. A match can start only where the run of its first characters does, or where the
@@ -126,9 +126,9 @@ def find_personal_data(docs: DataFrame, least_score: float = 0.5, least_seeds: i
     # all tokens that follow a word, over the whole corpus; the word alone is counted
     words = rows.select(F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("w")).select(_word(F.col("w")).alias("pattern"))
     follow = words.groupBy("pattern").agg(F.count(F.lit(1)).alias("followers"))
-    patterns = cut(patterns.join(follow, "pattern"))
+    patterns = cut_small(patterns.join(follow, "pattern"))
     values = narrow.select("doc_id", "content", F.explode("open").alias("v")).select("doc_id", "content", "v.start", "v.end", "v.pattern", F.xxhash64("v.value").alias("value"))
-    edges = cut(values.join(patterns.select("pattern"), "pattern"))
+    edges = cut_small(values.join(patterns.select("pattern"), "pattern"))
     scored = patterns.withColumn("score", F.col("hits") / F.col("followers"))
     for _ in range(turns):
         # an instance has its best pattern's score, a pattern the mean over all that follows it
