@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwork.functions import identity, redact, render
-from tarnwork.operators import callers, costs, prefilter, replies, scoring, verdicts
+from tarnwork.functions import canonical, identity, paths, redact, render
+from tarnwork.operators import bundles, callers, costs, prefilter, records, replies, scoring, verdicts
+from tarnwork.sources import reports
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -550,3 +551,69 @@ def cache_key(spark, sf_dir):
 @query("SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY sha256(conv_id || chr(0) || turn), turn) AS INT) AS place FROM conversations")
 def seeded_order(spark, sf_dir):
     return render.seeded_order(table(spark, sf_dir, "conversations").select("conv_id", "turn"), "conv_id", "turn")
+
+
+@query(f"WITH {_PAIRS} SELECT id, provenance, ground_truth, 'all-escalate' AS model, 'NEEDS_HUMAN_REVIEW' AS verdict, 0e0 AS confidence, true AS schema_valid, CAST(NULL AS VARCHAR) AS completeness, 0e0 AS cost_usd, CAST(0 AS BIGINT) AS latency_ms FROM p")
+def all_escalate(spark, sf_dir):
+    return records.all_escalate(_pairs(spark, sf_dir))
+
+
+@query(f"""WITH {_PAIRS} SELECT provenance AS run, count(*) FILTER (WHERE verdict = 'TRUE_POSITIVE') AS tp, count(*) FILTER (WHERE verdict = 'FALSE_POSITIVE') AS fp, count(*) FILTER (WHERE verdict = 'NEEDS_HUMAN_REVIEW') AS escalated,
+    round(sum(cost_usd), 6) AS spend, count(*) FILTER (WHERE cost_usd > 0) AS calls FROM p GROUP BY provenance""")
+def run_tallies(spark, sf_dir):
+    return records.tallies(_pairs(spark, sf_dir).withColumn("run", F.col("provenance"))).withColumn("spend", F.round("spend", 6))
+
+
+_GATE = """CASE conv_id % 3 WHEN 0 THEN '{"choices": [{"message": {"content": "hi"}}], "usage": {"prompt_tokens": 12, "completion_tokens": 3}}' WHEN 1 THEN '{"choices": [{"message": {"content": "x"}}]}' ELSE 'no json' END"""
+
+
+@query(
+    """SELECT conv_id, turn, CASE conv_id % 3 WHEN 0 THEN 'hi' WHEN 1 THEN 'x' END AS content, CAST(CASE conv_id % 3 WHEN 0 THEN 12 ELSE 0 END AS BIGINT) AS tokens_in,
+    CASE conv_id % 3 WHEN 0 THEN round((12 * 5e0 + 3 * 25e0) / 1e6, 12) ELSE 0e0 END AS cost_usd FROM conversations"""
+)
+def gateway_replies(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").withColumn("r", records.gateway_reply(F.expr(_GATE)))
+    return c.select("conv_id", "turn", "r.content", "r.tokens_in", F.round(records.runtime_cost(F.lit("large"), F.col("r.tokens_in"), F.col("r.tokens_out")), 12).alias("cost_usd"))
+
+
+@query(
+    f"""WITH {_REFS} SELECT run_index, result_index, '{{"correlation_id":"' || correlation_id || '","identity_source":"' || identity_source || '","disposition":"' || disposition || '","resolved_by":"' || CASE WHEN again THEN 'prefilter:dedupe' ELSE 'prefilter:pass' END || '"}}' AS note FROM x"""
+)
+def annotation_bags(spark, sf_dir):
+    d = _decisions(spark, sf_dir).drop("justification")
+    return d.select("run_index", "result_index", records.annotation(d).alias("note"))
+
+
+@query("SELECT page_id, CASE WHEN contains(url, 'example') THEN 'example' WHEN contains(url, '/') THEN 'other' END AS repo FROM pages")
+def first_matching_repo(spark, sf_dir):
+    p = table(spark, sf_dir, "pages")
+    return p.select("page_id", records.first_match(p, [("example", "example"), ("/", "other")], "url").alias("repo"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN 'no-location' WHEN doc_id % 6 = 1 THEN 'non-python' WHEN doc_id % 6 = 2 THEN 'no-checkout' WHEN doc_id % 6 = 3 THEN 'test-class' WHEN doc_id % 6 = 4 THEN 'dynamic-dispatch' ELSE 'triable' END AS stratum FROM documents")
+def strata_of_findings(spark, sf_dir):
+    k = F.col("doc_id") % 6
+    path = F.when(k == 1, "a.js").when(k != 0, "a.PY")
+    reasons = F.when(k == 4, F.array(F.lit("caller-search-truncated"), F.lit("dynamic-dispatch"))).otherwise(F.array().cast("array<string>"))
+    return table(spark, sf_dir, "documents").select("doc_id", bundles.stratum(F.when(k == 3, "TEST").otherwise("SOURCE"), path, k != 2, reasons).alias("stratum"))
+
+
+@query("SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'path leaves its root' WHEN 1 THEN 'absolute path' WHEN 2 THEN 'drive-qualified path' END AS refusal FROM pages")
+def path_refusals(spark, sf_dir):
+    k = F.col("page_id") % 4
+    p = F.when(k == 0, "a/../../b").when(k == 1, "/etc/x").when(k == 2, "C:/x").otherwise("a/./b/../c.py")
+    return table(spark, sf_dir, "pages").select("page_id", paths.refusal(p).alias("refusal"))
+
+
+@query()
+def document_differences(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    before = e.select(F.col("event_id").alias("id"), F.col("props").alias("raw"))
+    after = before.withColumn("raw", F.when(F.col("id") % 2 == 0, F.regexp_replace("raw", "[0-9]", "7")).otherwise(F.col("raw")))
+    return canonical.difference(before, after).groupBy("change").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {_PAIRS} SELECT count(*) AS total, CAST(sum(latency_ms) AS BIGINT) AS latency_ms FROM p WHERE provenance = 'JULIET'")
+def run_report(spark, sf_dir):
+    r = reports.run_report(_pairs(spark, sf_dir).filter("provenance = 'JULIET'"), {"model": "none"})
+    return r.select(F.get_json_object("report", "$.total").cast("long").alias("total"), F.get_json_object("report", "$.latency_ms").cast("long").alias("latency_ms"))
