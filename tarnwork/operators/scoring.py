@@ -77,10 +77,9 @@ def verdict_report(triaged: DataFrame) -> DataFrame:
 
 def strata(rows: DataFrame) -> DataFrame:
     """Counts by (repo, bucket), by bucket and overall, with the share of the total."""
-    rows.createOrReplaceTempView("_strata")
-    return rows.sparkSession.sql(
-        "SELECT repo, bucket, count(*) AS n, count(*) / (SELECT count(*) FROM _strata) AS share FROM _strata GROUP BY GROUPING SETS ((repo, bucket), (bucket), ())"
-    )
+    n = rows.groupingSets([["repo", "bucket"], ["bucket"], []], "repo", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    # the overall count is the largest one
+    return n.withColumn("share", F.try_divide("n", F.max("n").over(Window.partitionBy(F.lit(0)))))
 
 
 def class_balance(entries: DataFrame) -> DataFrame:
