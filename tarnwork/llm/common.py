@@ -51,5 +51,8 @@ def cut(df: DataFrame, placed: bool = False) -> DataFrame:
 
 
 def cut_small(df: DataFrame, fold: int = 16) -> DataFrame:
-    """``cut`` for what is far smaller than the shuffle that made it: one file for ``fold`` partitions."""
-    return cut(df.coalesce(max(1, partitions(df.sparkSession) // fold)))
+    """``cut`` for what is far smaller than the shuffle that made it: one file for ``fold`` partitions.
+
+    The rows are dealt anew, so the stage that makes them keeps its own number of tasks.
+    """
+    return cut(df.repartition(max(1, partitions(df.sparkSession) // fold)))
