@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tarnwork.functions import canonical, identity, paths, redact, render
 from tarnwork.operators import bundles, callers, costs, prefilter, records, replies, scoring, verdicts
-from tarnwork.sources import reports
+from tarnwork.sources import pysource, reports
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -617,3 +617,40 @@ def document_differences(spark, sf_dir):
 def run_report(spark, sf_dir):
     r = reports.run_report(_pairs(spark, sf_dir).filter("provenance = 'JULIET'"), {"model": "none"})
     return r.select(F.get_json_object("report", "$.total").cast("long").alias("total"), F.get_json_object("report", "$.latency_ms").cast("long").alias("latency_ms"))
+
+
+# ---- Python source: two functions for each part --------------------------------------------------
+
+
+def _sources(spark, sf_dir):
+    key, group = F.col("p_partkey").cast("string"), (F.col("p_partkey") % 5).cast("string")
+    text = F.concat(F.lit("@app.route('/x')\ndef f"), key, F.lit("(q):\n    return g"), group, F.lit("(q)\n\ndef g"), group, F.lit("(q):\n    return eval(q)\n"))
+    return table(spark, sf_dir, "part").select(key.alias("path"), text.alias("text"))
+
+
+@query(
+    """SELECT CAST(p_partkey AS VARCHAR) AS path, 'f' || p_partkey AS name, CAST(1 AS INT) AS start_line, CAST(3 AS INT) AS end_line, ['@app.route(''/x'')'] AS decorators FROM part
+    UNION ALL SELECT CAST(p_partkey AS VARCHAR), 'g' || (p_partkey % 5), 5, 6, [] FROM part"""
+)
+def python_functions(spark, sf_dir):
+    return pysource.functions(pysource.symbols(_sources(spark, sf_dir))).select("path", "name", "start_line", "end_line", "decorators")
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS path, 'g' || (p_partkey % 5) AS name, CAST(3 AS INT) AS start_line FROM part UNION ALL SELECT CAST(p_partkey AS VARCHAR), 'eval', 6 FROM part UNION ALL SELECT CAST(p_partkey AS VARCHAR), 'route', 1 FROM part")
+def python_calls(spark, sf_dir):
+    return pysource.calls(pysource.symbols(_sources(spark, sf_dir))).select("path", "name", "start_line")
+
+
+@query(
+    """SELECT p_partkey AS id, CAST(p_partkey AS VARCHAR) AS path, CASE WHEN p_partkey % 2 = 0 THEN 'f' || p_partkey WHEN p_partkey % 3 <> 0 THEN 'g' || (p_partkey % 5) END AS enclosing,
+    CASE WHEN p_partkey % 2 = 0 THEN 'COMPLETE' ELSE 'INSUFFICIENT' END AS completeness,
+    CASE WHEN p_partkey % 2 = 0 THEN '' WHEN p_partkey % 3 = 0 THEN 'enclosing-function-unresolved'
+      WHEN (SELECT count(*) FROM part b WHERE b.p_partkey % 5 = a.p_partkey % 5) > 50 THEN 'caller-search-refused,dynamic-dispatch' WHEN (SELECT count(*) FROM part b WHERE b.p_partkey % 5 = a.p_partkey % 5) > 20 THEN 'caller-search-truncated,dynamic-dispatch' ELSE 'dynamic-dispatch' END AS reasons
+    FROM part a"""
+)
+def finding_bundles(spark, sf_dir):
+    s = pysource.symbols(_sources(spark, sf_dir))
+    line = F.when(F.col("p_partkey") % 2 == 0, 3).when(F.col("p_partkey") % 3 == 0, 4).otherwise(6)
+    found = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_partkey").cast("string").alias("path"), line.alias("line"))
+    b = bundles.build(found, pysource.functions(s), pysource.calls(s))
+    return b.select("id", "path", "enclosing", "completeness", F.array_join("reasons", ",").alias("reasons"))
