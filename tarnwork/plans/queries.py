@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwork.functions import canonical, identity, paths, redact, render
+from tarnwork.functions.workers import importable
 from tarnwork.operators import bundles, callers, costs, prefilter, records, replies, scoring, verdicts
 from tarnwork.sources import pysource, reports
 
@@ -28,6 +29,7 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
