@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnwork.functions.workers import importable
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    # Python workers import this package too; where it isn't installed, from the folder it is in
-    env, home = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
-    if home not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (home, env.get("PYTHONPATH", "")) if x)
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
