@@ -18,8 +18,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwork.llm.bytesops import U64, arrow_bytes, pieces
-from tarnwork.llm.common import cut, documents, partitions
+from tarnwork.llm.bytesops import U64, arrow_bytes, give_back, pieces
+from tarnwork.llm.common import cut, documents, partitions, small_batches
 
 BLOCK = 3_000_000
 #: Entries that a bucket should hold about.
@@ -81,6 +81,7 @@ def pack(docs: DataFrame, block_bytes: int = BLOCK, carry: bool = False) -> Data
 
     ``carry`` adds the documents' other columns, of any name and type, as a packed table.
     """
+    small_batches(docs.sparkSession)
     rows = documents(docs)
     if carry:
         rest = [c for c in docs.columns if c not in ("doc_id", "text")]
@@ -101,6 +102,7 @@ def pack(docs: DataFrame, block_bytes: int = BLOCK, carry: bool = False) -> Data
                     row["rest"] = pa.array([_to_ipc(batch.column("_rest").slice(lo, hi - lo))], pa.binary())
                 yield pa.RecordBatch.from_pydict(row)
                 serial += 1
+            give_back()
 
     packed = rows.mapInArrow(batches, "block long, size long, head binary, text binary" + ", rest binary" * carry)
     return cut(packed.repartition(partitions(docs.sparkSession), "block").sortWithinPartitions("block"), placed=True)
@@ -154,6 +156,7 @@ def each_block(packed: DataFrame, f: Callable, kinds: int, schema: str) -> DataF
                 if "rest" in batch.schema.names:
                     b.rest = batch.column("rest")[i].as_py()
                 yield from f(batch.column("block")[i].as_py(), b, [batch.column(f"notes{k}")[i].as_py() or [] for k in range(kinds)])
+            give_back()
 
     return packed.mapInArrow(batches, schema)
 
@@ -179,6 +182,7 @@ def each_bucket(runs: DataFrame, f: Callable) -> DataFrame:
         blocks = table.column("block").to_pylist()
         notes = f([get_ints(x.as_py()) for x in table.column("run")])
         some = [(b, n) for b, n in zip(blocks, notes) if n is not None]
+        give_back()
         return pa.table({"block": pa.array([b for b, _ in some], pa.int64()), "note": pa.array([n for _, n in some], pa.binary())})
 
     return runs.groupBy("bucket").applyInArrow(combine, NOTES)

@@ -8,6 +8,8 @@ finished with a mixing step; they depend on content alone.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
@@ -19,6 +21,15 @@ _powers: dict[str, np.ndarray] = {}
 PIECE = 2_000_000
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: workers are used again and would hold it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 def arrow_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     """Flat bytes and offsets of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -12,9 +12,22 @@ from tarnwork.functions.workers import importable
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     importable(spark)
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Most bytes of an Arrow batch, so that tasks don't hold many texts twice.
+BATCH = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches; a lower bound that is set already stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    have = spark.conf.get(name).lower().rstrip("b")
+    if not have.isdigit() or not 0 < int(have) <= BATCH:
+        spark.conf.set(name, str(BATCH))
+
+
 def documents(docs: DataFrame) -> DataFrame:
     """The two columns that text operators use; other columns, of whatever name, don't matter."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

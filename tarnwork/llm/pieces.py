@@ -20,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwork.llm.bytesops import U64, Prefix, _SYMBOLS, arrow_bytes, mix, pieces
+from tarnwork.llm.bytesops import U64, Prefix, _SYMBOLS, arrow_bytes, give_back, mix, pieces
+from tarnwork.llm.common import small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _SPACE = "▁"
@@ -271,7 +272,9 @@ def encode(docs: DataFrame, seed: int = 11, sharpness: float = 1.0, model: str =
                     same = np.array([text[back[k] : back[k + 1]].tobytes() == part[off[k] : off[k + 1]].tobytes() for k in range(hi - lo)])
                 values = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(got, pa.int32()))
                 yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), values, pa.array(np.diff(cuts), pa.int64()), pa.array(same)], names=["doc_id", "pieces", "n_pieces", "lossless"])
+            give_back()
 
+    small_batches(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return source.mapInArrow(batches, "doc_id long, pieces array<int>, n_pieces long, lossless boolean")
 

@@ -13,8 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwork.llm.bytesops import U64, Prefix, _SYMBOLS, arrow_bytes, lower_ascii, mix, pieces, runs, word_spans
-from tarnwork.llm.common import documents
+from tarnwork.llm.bytesops import U64, Prefix, _SYMBOLS, arrow_bytes, give_back, lower_ascii, mix, pieces, runs, word_spans
+from tarnwork.llm.common import documents, small_batches
 
 BITS = 17
 #: Lengths in bytes of the word beginnings that count as tokens.
@@ -174,6 +174,7 @@ def fit(tokens: np.ndarray, offsets: np.ndarray, of: np.ndarray, grade: np.ndarr
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 40_000, seed: int = 5, bits: int = BITS) -> Ordinal | None:
     """Fits on at most ``max_rows`` labelled documents; None if they show one grade only."""
+    small_batches(docs.sparkSession)
     grade = F.greatest(F.lit(0), 2 * F.col("quality") - F.coalesce("toxic", F.lit(0))).cast("int")
     rated = labels.select(F.col("doc_id").cast("long").alias("doc_id"), grade.alias("grade")).dropna()
     rated = rated.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id", "grade").limit(max_rows)
@@ -218,6 +219,7 @@ def _grades(model: Ordinal | None, column: pa.Array, least: float, bits: int):
             tokens, cuts = features(part, begin, bits)
             mean, top = (np.round(np.where(keep, x, 0.0), 9) for x in model.grades(model.score(tokens, cuts, of)))
             yield lo, hi, pa.array(mean), pa.array(top), keep & (top >= least)
+    give_back()
 
 
 def grade_documents(docs: DataFrame, labels: DataFrame, least: float = 0.5, max_rows: int = 40_000, bits: int = BITS) -> DataFrame:
