@@ -130,9 +130,6 @@ def bucket_bits(entries: float, per: int = ENTRIES) -> int:
     return max(6, int(np.ceil(np.log2(max(1.0, entries / per)))))
 
 
-_NOTES = "array<binary>"
-
-
 def with_notes(packed: DataFrame, *notes: DataFrame) -> DataFrame:
     """Blocks with the notes (block, note) that are meant for them, one array column for each kind."""
     for k, n in enumerate(notes):

@@ -192,7 +192,6 @@ def sample(model: Lattice, flat: np.ndarray, offsets: np.ndarray, keys: np.ndarr
     sums = Prefix(_SYMBOLS[2][full])
     kinds, first, of = np.unique(sums.spans(start, end), return_index=True, return_inverse=True)
     size = (end - start)[first]
-    nodes = np.zeros(len(kinds) + 1, np.int64)
     order = np.argsort(size, kind="stable")
     base = np.empty(len(kinds), np.int64)
     base[order] = np.concatenate([[0], np.cumsum(size[order] + 1)[:-1]])
@@ -215,7 +214,6 @@ def sample(model: Lattice, flat: np.ndarray, offsets: np.ndarray, keys: np.ndarr
     inner = total - np.repeat(before, count)
     inner[begin + count - 1] = 1.0
     ladder = node + np.minimum(inner, 1.0)
-    del nodes
     where = base[of] + size[of]
     floor = base[of]
     noise = mix(mix(keys.astype(U64), seed)[row] + ordinal.astype(U64) * U64(0xC2B2AE3D27D4EB4F), 3)
