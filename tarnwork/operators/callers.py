@@ -36,6 +36,14 @@ def first_definition(calls: DataFrame, functions: DataFrame) -> DataFrame:
     return calls.join(first, "name", "left").select(*calls.columns, F.col("_d.path").alias("def_path"), F.col("_d.start_byte").alias("def_start"))
 
 
+def _with_direct(targets: DataFrame, callers: DataFrame) -> DataFrame:
+    """Targets with direct_callers, counted by name, without a row for each pair of target and caller."""
+    n = callers.groupBy(F.col("callee").alias("name")).agg(F.count(F.lit(1)).alias("_every"))
+    own = callers.groupBy(F.col("caller_id").alias("target"), F.col("callee").alias("name")).agg(F.count(F.lit(1)).alias("_own"))
+    out = targets.join(n, "name", "left").join(own, ["target", "name"], "left")
+    return out.select("target", "name", (F.coalesce("_every", F.lit(0)) - F.coalesce("_own", F.lit(0))).alias("direct_callers"))
+
+
 def caller_walk(targets: DataFrame, functions: DataFrame, edges: DataFrame) -> DataFrame:
     """The kept callers (target, id, hop, rank) within two hops of each target function, and per target
     direct_callers, refused, truncated.
@@ -46,10 +54,10 @@ def caller_walk(targets: DataFrame, functions: DataFrame, edges: DataFrame) -> D
     """
     f = functions.select(F.col("id").alias("caller_id"), F.col("path").alias("_p"), F.col("start").alias("_s"), F.col("name").alias("_n"))
     callers = edges.join(f, "caller_id").filter("_n <> callee")
-    one = targets.join(callers, targets["name"] == callers["callee"]).filter("caller_id <> target").select("target", "caller_id", "_p", "_s", "_n")
+    few = _with_direct(targets, callers).filter(F.col("direct_callers").between(1, REFUSE_ABOVE)).select("target", "name")
+    one = few.join(callers, F.col("name") == F.col("callee")).filter("caller_id <> target").select("target", "caller_id", "_p", "_s", "_n")
     per = Window.partitionBy("target")
-    one = one.withColumns({"direct_callers": F.count(F.lit(1)).over(per), "_rank": F.row_number().over(per.orderBy("_p", "_s"))})
-    walked = one.filter(F.col("direct_callers") <= REFUSE_ABOVE)
+    walked = one.withColumn("_rank", F.row_number().over(per.orderBy("_p", "_s")))
     parents = walked.filter(F.col("_rank") < SPANS).select("target", F.col("_n").alias("_parent"), F.col("_rank").alias("_prank"))
     two = parents.join(callers, F.col("_parent") == F.col("callee")).filter("caller_id <> target")
     both = walked.select("target", "caller_id", F.lit(1).alias("hop"), F.lit(0).alias("_prank"), "_p", "_s").unionByName(two.select("target", "caller_id", F.lit(2).alias("hop"), "_prank", "_p", "_s"))
@@ -63,8 +71,7 @@ def refused(targets: DataFrame, functions: DataFrame, edges: DataFrame) -> DataF
     """(target, direct_callers, refused) of every target."""
     f = functions.select(F.col("id").alias("caller_id"), F.col("name").alias("_n"))
     callers = edges.join(f, "caller_id").filter("_n <> callee")
-    n = targets.join(callers, targets["name"] == callers["callee"]).filter("caller_id <> target").groupBy("target").agg(F.count(F.lit(1)).alias("direct_callers"))
-    out = targets.select("target").join(n, "target", "left").withColumn("direct_callers", F.coalesce("direct_callers", F.lit(0)))
+    out = _with_direct(targets, callers).select("target", "direct_callers")
     return out.withColumn("refused", F.col("direct_callers") > REFUSE_ABOVE)
 
 

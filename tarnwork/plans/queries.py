@@ -291,11 +291,12 @@ h1 AS (SELECT tg.target, cl.caller_id, cl.path, cl.start, cl.name, count(*) OVER
 """
 
 
-def _graph(spark, sf_dir):
-    p, key = table(spark, sf_dir, "part"), F.col("p_partkey")
+def _graph(spark, sf_dir, whole: bool = False):
+    """Targets, functions and calls; ``whole``: every part is a target and every lineitem a call."""
+    p, key, items = table(spark, sf_dir, "part"), F.col("p_partkey"), table(spark, sf_dir, "lineitem")
     f = p.select(key.alias("id"), F.col("p_brand").alias("path"), key.alias("start"), F.concat(F.lit("n"), (key % 97).cast("string")).alias("name"))
-    e = table(spark, sf_dir, "lineitem").filter("l_quantity > 49").select(F.col("l_partkey").alias("caller_id"), F.concat(F.lit("n"), (F.col("l_suppkey") % 97).cast("string")).alias("callee")).distinct()
-    return f.filter("id % 10 = 0").select(F.col("id").alias("target"), "name"), f, e
+    e = (items if whole else items.filter("l_quantity > 49")).select(F.col("l_partkey").alias("caller_id"), F.concat(F.lit("n"), (F.col("l_suppkey") % 97).cast("string")).alias("callee")).distinct()
+    return (f if whole else f.filter("id % 10 = 0")).select(F.col("id").alias("target"), "name"), f, e
 
 
 @query(
@@ -315,6 +316,36 @@ def caller_refusal(spark, sf_dir):
     return callers.refused(*_graph(spark, sf_dir))
 
 
+# every part a target, every lineitem a call; callers are counted by name before any pair is made
+_WHOLE_GRAPH = """
+fn AS (SELECT p_partkey AS id, p_brand AS path, p_partkey AS start, 'n' || (p_partkey % 97) AS name FROM part),
+ed AS (SELECT DISTINCT l_partkey AS caller_id, 'n' || (l_suppkey % 97) AS callee FROM lineitem),
+cl AS (SELECT ed.caller_id, ed.callee, fn.path, fn.start, fn.name FROM ed JOIN fn ON ed.caller_id = fn.id WHERE fn.name <> ed.callee),
+cn AS (SELECT callee, count(*) AS n FROM cl GROUP BY callee),
+me AS (SELECT caller_id, callee, count(*) AS n FROM cl GROUP BY caller_id, callee),
+tg AS (SELECT fn.id AS target, fn.name, coalesce(cn.n, 0) - coalesce(me.n, 0) AS n FROM fn LEFT JOIN cn ON fn.name = cn.callee LEFT JOIN me ON fn.id = me.caller_id AND fn.name = me.callee)
+"""
+
+
+@query(
+    f"""WITH {_WHOLE_GRAPH},
+    h1 AS (SELECT tg.target, cl.caller_id, cl.path, cl.start, cl.name, row_number() OVER (PARTITION BY tg.target ORDER BY cl.path, cl.start) AS rk
+           FROM tg JOIN cl ON tg.name = cl.callee WHERE tg.n <= 50 AND cl.caller_id <> tg.target),
+    h2 AS (SELECT h1.target, cl.caller_id, cl.path, cl.start, h1.rk AS prank FROM h1 JOIN cl ON h1.name = cl.callee WHERE h1.rk <= 19 AND cl.caller_id <> h1.target),
+    al AS (SELECT target, caller_id, 1 AS hop, 0 AS prank, path, start FROM h1 UNION ALL SELECT target, caller_id, 2, prank, path, start FROM h2),
+    fi AS (SELECT *, row_number() OVER (PARTITION BY target, caller_id ORDER BY hop, prank, path, start) AS k FROM al),
+    ra AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY hop, prank, path, start) AS rank, count(*) OVER (PARTITION BY target) AS total FROM fi WHERE k = 1)
+    SELECT target, caller_id AS id, hop, CAST(rank AS INT) AS rank, total > 20 AS truncated FROM ra WHERE rank <= 20"""
+)
+def two_hop_callers_all(spark, sf_dir):
+    return callers.caller_walk(*_graph(spark, sf_dir, whole=True))
+
+
+@query(f"WITH {_WHOLE_GRAPH} SELECT target, n AS direct_callers, n > 50 AS refused FROM tg")
+def caller_refusal_all(spark, sf_dir):
+    return callers.refused(*_graph(spark, sf_dir, whole=True))
+
+
 _DECOS = "CASE event_id % 5 WHEN 0 THEN ['@x', '@app.route(1)'] WHEN 1 THEN ['@click.command', '@b.get('] WHEN 2 THEN [] WHEN 3 THEN ['@celery.task('] ELSE ['@plain'] END"
 
 
