@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwork.llm.common import table
-from tarnwork.llm.lines import remove_repeated_lines
+from tarnwork.llm.lines import LONG, remove_repeated_lines
 from tarnwork.llm.mixing import take
 from tarnwork.llm.neardup import keep_one
 from tarnwork.llm.pieces import encode
@@ -19,8 +19,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes later repeated runs of lines, and documents of which nothing but blanks is left."""
-    out = remove_repeated_lines(docs).filter((F.col("n_removed") < F.col("n_lines")) | (F.col("n_removed") == 0))
+    """Removes later repeated runs of lines, single ones of 13 words or more too, and documents of which nothing but blanks is left."""
+    out = remove_repeated_lines(docs, long_words=LONG).filter((F.col("n_removed") < F.col("n_lines")) | (F.col("n_removed") == 0))
     out = out.select(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 

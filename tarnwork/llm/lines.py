@@ -3,11 +3,13 @@
 Blank lines aside, every two consecutive lines make a window; the least line hash of a window is its
 fingerprint, so that a repeated run of two lines or more is sure to share one. Positions under the
 same fingerprint are joined and matched on to both sides (see ``repeats``), and of each repeated run
-the later ones go.
+the later ones go. A line of many words can make a window by itself: it counts as two symbols.
 """
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,9 +18,11 @@ from pyspark.sql import types as T
 
 from tarnwork.llm import blocks as B
 from tarnwork.llm import repeats as R
-from tarnwork.llm.bytesops import Prefix, _SPACE, _SYMBOLS, cover, runs
+from tarnwork.llm.bytesops import Prefix, _SPACE, _SYMBOLS, cover, mix, runs
 
 RUN = 2
+#: Words of a line that counts as a run by itself, where single lines count.
+LONG = 13
 
 
 def _lines(b: B.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -29,9 +33,28 @@ def _lines(b: B.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return start[full], end[full], np.concatenate([[0], np.cumsum(full)])[cuts]
 
 
-def line_symbols(b: B.Block) -> tuple[np.ndarray, np.ndarray]:
+def _line_of_symbols(b: B.Block, start: np.ndarray, end: np.ndarray, long_words: int | None) -> np.ndarray:
+    """Each symbol's line; a line of ``long_words`` words or more has two symbols, others one."""
+    times = np.ones(len(start), np.int64)
+    if long_words is not None:
+        ink = ~_SPACE[b.flat]
+        begins = ink.copy()
+        begins[1:] &= ~ink[:-1]
+        # a document's first byte begins a word whatever ends the one before
+        opens = b.offsets[:-1][np.diff(b.offsets) > 0]
+        begins[opens] = ink[opens]
+        words = np.concatenate([[0], np.cumsum(begins)])
+        times += words[end] - words[start] >= long_words
+    return np.repeat(np.arange(len(start)), times)
+
+
+def line_symbols(b: B.Block, long_words: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     start, end, cuts = _lines(b)
-    return Prefix(_SYMBOLS[1][b.flat]).spans(start, end, 11), cuts
+    line = _line_of_symbols(b, start, end, long_words)
+    symbols = Prefix(_SYMBOLS[1][b.flat]).spans(start, end, 11)[line]
+    second = np.flatnonzero(line[1:] == line[:-1]) + 1
+    symbols[second] = mix(symbols[second], 12)
+    return symbols, np.searchsorted(line, cuts)
 
 
 def _again(w: R.Windows) -> tuple[np.ndarray, np.ndarray]:
@@ -45,9 +68,9 @@ def _again(w: R.Windows) -> tuple[np.ndarray, np.ndarray]:
     return late, late + w.n
 
 
-def remove_repeated_lines(docs: DataFrame, block_bytes: int = B.BLOCK) -> DataFrame:
+def remove_repeated_lines(docs: DataFrame, block_bytes: int = B.BLOCK, long_words: int | None = None) -> DataFrame:
     """Removes each line covered by two consecutive lines that also start earlier: in a document of smaller
-    doc_id, or before in the same one.
+    doc_id, or before in the same one; with ``long_words`` also each line of so many words that stands earlier.
 
     Returns the columns of ``docs`` with the text that is left, and n_lines and n_removed. Lines end at
     line feeds; a removed line goes with its line feed; blank lines count nowhere and stay. Null text
@@ -56,16 +79,18 @@ def remove_repeated_lines(docs: DataFrame, block_bytes: int = B.BLOCK) -> DataFr
     """
     # a line of prose has some dozens of bytes; the widths only need the right order of size
     given = docs.withColumn("_absent_text", F.col("text").isNull())
-    found, plan = R.find(given, line_symbols, RUN, 1, 1 / 32, block_bytes=block_bytes, carry=True)
+    found, plan = R.find(given, partial(line_symbols, long_words=long_words), RUN, 1, 1 / 32, block_bytes=block_bytes, carry=True)
     names = [c for c in docs.columns if c not in ("doc_id", "text")]
     kept_names = [f"_{i}" for i in range(len(names))]
 
     def remove(number, b, notes):
         start, end, cuts = _lines(b)
+        line = _line_of_symbols(b, start, end, long_words)
         w = plan.windows(b)
         lo, hi, _ = R.claimed_spans(R.Claims(w, notes[0]), notes[1])
         again = _again(w)
-        gone = cover(len(start), np.concatenate([lo, again[0]]), np.concatenate([hi, again[1]]))
+        gone = np.zeros(len(start), bool)
+        gone[line[cover(len(line), np.concatenate([lo, again[0]]), np.concatenate([hi, again[1]]))]] = True
         drop = cover(len(b.flat), start[gone], np.minimum(end[gone] + 1, b.offsets[1:][np.searchsorted(cuts, np.flatnonzero(gone), side="right") - 1]))
         # the last line's own feed stands before it
         kept = np.concatenate([[0], np.cumsum(~drop)])[b.offsets]
@@ -105,3 +130,16 @@ n AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_remo
 SELECT d.doc_id, coalesce(n.n_lines, 0) AS n_lines, coalesce(n.n_removed, 0) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
 FROM documents d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN k ON d.doc_id = k.doc_id
 """
+
+SQL_LONG = f"""
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(1, 1 + len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents),
+s AS (SELECT doc_id, pos, line, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i, lead(line) OVER (PARTITION BY doc_id ORDER BY pos) AS next,
+        len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) >= {LONG} AS long FROM l WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
+w AS (SELECT *, next IS NOT NULL AND (min(doc_id) OVER (PARTITION BY line, next) < doc_id OR min(i) OVER (PARTITION BY line, next, doc_id) < i) AS late,
+        long AND (min(doc_id) OVER (PARTITION BY line) < doc_id OR min(i) OVER (PARTITION BY line, doc_id) < i) AS again FROM s),
+g AS (SELECT doc_id, pos, again OR coalesce(late, false) OR coalesce(lag(late) OVER (PARTITION BY doc_id ORDER BY pos), false) AS gone FROM w),
+k AS (SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.pos) AS kept FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.pos = g.pos WHERE NOT coalesce(g.gone, false) GROUP BY l.doc_id),
+n AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed FROM g GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n_lines, 0) AS n_lines, coalesce(n.n_removed, 0) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN k ON d.doc_id = k.doc_id
+"""

@@ -20,6 +20,11 @@ def op1_repeated_lines(spark, sf_dir):
     return lines.digest(lines.remove_repeated_lines(table(spark, sf_dir, "documents")))
 
 
+def op1_repeated_long_lines(spark, sf_dir):
+    """Runs of two lines, and single lines of 13 words or more."""
+    return lines.digest(lines.remove_repeated_lines(table(spark, sf_dir, "documents"), long_words=lines.LONG))
+
+
 def op2_personal_data(spark, sf_dir):
     return find_personal_data(table(spark, sf_dir, "documents"))
 
@@ -54,6 +59,7 @@ def op10_near_duplicates(spark, sf_dir):
 
 QUERIES = {
     "op1_repeated_lines": op1_repeated_lines,
+    "op1_repeated_long_lines": op1_repeated_long_lines,
     "op2_personal_data": op2_personal_data,
     "op3_grade_quality": op3_grade_quality,
     "op4_mix_sources": op4_mix_sources,
@@ -66,6 +72,7 @@ QUERIES = {
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_repeated_lines": lines.SQL,
+    "op1_repeated_long_lines": lines.SQL_LONG,
     "op6_exact_top": bitsliced.SQL,
     "op7_repeated_phrases": phrases.SQL,
 }
