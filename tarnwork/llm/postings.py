@@ -4,7 +4,8 @@ Centroids come from a bounded sample (``sample_rows``, by hash), refined with ov
 until they are balanced. Every row is indexed: in the list of its nearest centroid, and, if it lies
 near a boundary, in up to ``copies`` lists whose centroids are within ``edge`` times that distance. A
 query walks a neighbour graph over the centroids, held in memory, and reads the lists whose distance
-is within ``reach`` times the nearest one's, ``probes`` at most of those found.
+is within ``reach`` times the nearest one's, ``probes`` at most of those found; but the nearest eight at
+least, and so many that they are home to ``k`` other rows.
 """
 
 from __future__ import annotations
@@ -51,6 +52,23 @@ def distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((x**2).sum(axis=1)[:, None] - 2 * x @ c.T + (c**2).sum(axis=1), 0))
 
 
+#: Nearest lists that a query reads whatever their distances.
+_LEAST = 8
+
+
+def chosen(q: np.ndarray, c: np.ndarray, found: np.ndarray, d: np.ndarray, reach: float, homes: np.ndarray, need: int) -> np.ndarray:
+    """The lists that a query reads of those found, nearest first: within reach, ``_LEAST`` at least, and until
+    they are home to ``need`` rows; all lists by distance where those found aren't. ``homes``: rows whose nearest
+    centroid it is, by list, so that none counts twice."""
+    within = max(int((d <= max(d[0], 1e-12) * reach).sum()), min(_LEAST, len(found)))
+    if homes[found[:within]].sum() >= need:
+        return found[:within]
+    if homes[found].sum() < need:
+        rest = np.argsort(((c - q) ** 2).sum(axis=1), kind="stable")
+        found = np.concatenate([found, rest[~np.isin(rest, found)]])
+    return found[: max(within, int(np.searchsorted(np.cumsum(homes[found]), need)) + 1)]
+
+
 class Graph:
     """Neighbour graph over the centroids, searched best first."""
 
@@ -177,7 +195,7 @@ def nearest_vectors(
                 d = np.take_along_axis(d, near, axis=1)
                 at, col = np.nonzero(d <= d[:, :1] * edge)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(near[at, col].astype(np.int32)), batch.column("vec_id").take(pa.array(at + lo)), batch.column("v").take(pa.array(at + lo))], names=["list", "vec_id", "v"]
+                    [pa.array(near[at, col].astype(np.int32)), batch.column("vec_id").take(pa.array(at + lo)), batch.column("v").take(pa.array(at + lo)), pa.array(col == 0)], names=["list", "vec_id", "v", "home"]
                 )
 
     def ask(it):
@@ -185,9 +203,8 @@ def nearest_vectors(
         for batch in it:
             q = lift(matrix(batch.column("v")), None)
             at, lists_of = [], []
-            for i, one in enumerate(q):
-                found, d = graph.nearest(one, take)
-                found = found[d <= max(d[0], 1e-12) * reach]
+            for i, (one, own) in enumerate(zip(q, batch.column("own").to_pylist())):
+                found = chosen(one, c, *graph.nearest(one, take), reach, homes, k + own)
                 at.append(np.full(len(found), i)), lists_of.append(found)
             at = pa.array(np.concatenate(at) if at else np.zeros(0, np.int64))
             lists_of = pa.array(np.concatenate(lists_of).astype(np.int32) if len(lists_of) else np.zeros(0, np.int32))
@@ -197,15 +214,21 @@ def nearest_vectors(
 
     def in_parts(filed: DataFrame, seed: int) -> DataFrame:
         """Packs each list, in parts of about ``part_rows`` rows."""
-        filed = cut(filed)
         # a list's parts go by its count; there are at most ``most_lists`` lists or so
         parts = filed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / part_rows).cast("int").alias("parts"))
         filed = filed.join(F.broadcast(parts), "list")
         filed = filed.withColumn("part", F.pmod(F.xxhash64("vec_id", "v", F.lit(seed)), F.col("parts")).cast("int"))
         return packed(filed.select("list", "part", "vec_id", "v"), "list", "part")
 
-    index = in_parts(rows.select("vec_id", "v", "s").mapInArrow(file, kind), 1)
-    asked = in_parts(rows.filter(queries).select("vec_id", "v").mapInArrow(ask, kind), 2)
+    filed = cut(rows.select("vec_id", "v", "s").mapInArrow(file, kind + ", home boolean"))
+    homes = np.zeros(len(c), np.int64)
+    for r in filed.filter("home").groupBy("list").count().collect():
+        homes[r["list"]] = r["count"]
+    index = in_parts(filed.drop("home"), 1)
+    asking = rows.filter(queries).select("vec_id", "v")
+    # rows that share a query's vec_id are none of its neighbours
+    asking = asking.join(asking.groupBy("vec_id").agg(F.count(F.lit(1)).alias("own")), "vec_id")
+    asked = in_parts(cut(asking.mapInArrow(ask, kind)), 2)
     asked = asked.select("list", F.col("part").alias("qpart"), *[F.col(x).alias(f"q{x}") for x in ("n", "width", "ids", "data")])
 
     def search(it):
