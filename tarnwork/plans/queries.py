@@ -536,8 +536,9 @@ def verdict_report(spark, sf_dir):
 # ---- text, replies and nested data ---------------------------------------------------------------
 
 
-def _triaged(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").filter("n_chars < 400")
+def _triaged(spark, sf_dir, whole: bool = False):
+    d = table(spark, sf_dir, "documents")
+    d = d if whole else d.filter("n_chars < 400")
     return d.select(
         F.expr("try_cast(substring(source, 4) AS int)").alias("run_index"), F.col("doc_id").alias("result_index"), F.when(F.col("doc_id") % 3 != 0, F.col("lang")).alias("rule_id"), F.when(F.col("doc_id") % 4 != 0, F.col("source")).alias("uri"),
         (F.col("doc_id") % 5).cast("int").alias("start_line"), (F.lit(0.5) + F.col("doc_id") % 4 / F.lit(8.0)).alias("confidence"), F.concat(F.lit("because "), "lang").alias("justification"),
@@ -557,6 +558,18 @@ def comment_markdown(spark, sf_dir):
     return render.comment_sections(_triaged(spark, sf_dir))
 
 
+@query(
+    """WITH t AS (SELECT TRY_CAST(substr(source, 4) AS INT) AS run_index, doc_id, CASE WHEN doc_id % 2 = 0 THEN 'TRUE_POSITIVE' ELSE 'NEEDS_HUMAN_REVIEW' END AS verdict,
+      '- `' || CASE WHEN doc_id % 3 <> 0 THEN lang ELSE 'unknown-rule' END || '` at `' || CASE WHEN doc_id % 4 <> 0 THEN source ELSE '(unknown file)' END || ':' || CASE WHEN doc_id % 5 <> 0 THEN CAST(doc_id % 5 AS VARCHAR) ELSE '?' END
+      || '` (confidence ' || CASE doc_id % 4 WHEN 0 THEN '0.50' WHEN 1 THEN '0.63' WHEN 2 THEN '0.75' ELSE '0.88' END || ') - because ' || lang AS line FROM documents),
+    b AS (SELECT verdict, count(*) AS n, string_agg(line, chr(10) ORDER BY run_index, doc_id) AS lines FROM t GROUP BY verdict)
+    SELECT h.position, h.verdict, h.heading || ' (' || coalesce(b.n, 0) || ')' || chr(10) || chr(10) || coalesce(b.lines, '_None._') AS body
+    FROM (VALUES (0, 'TRUE_POSITIVE', '## Likely true positives'), (1, 'NEEDS_HUMAN_REVIEW', '## Needs human review'), (2, 'FALSE_POSITIVE', '## Dismissed with justification')) h(position, verdict, heading) LEFT JOIN b ON h.verdict = b.verdict"""
+)
+def comment_markdown_all(spark, sf_dir):
+    return render.comment_sections(_triaged(spark, sf_dir, whole=True))
+
+
 @query("SELECT event_id, key, CAST(json_extract_string(props, '$.' || key) AS VARCHAR) AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS key FROM events WHERE json_valid(props))")
 def variant_flatten(spark, sf_dir):
     table(spark, sf_dir, "events").select("event_id", "props").createOrReplaceTempView("_events")
