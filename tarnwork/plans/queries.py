@@ -533,6 +533,14 @@ def verdict_report(spark, sf_dir):
     return scoring.verdict_report(_pairs(spark, sf_dir).filter("provenance = 'JULIET'")).withColumn("cost_usd", F.round("cost_usd", 6))
 
 
+@query(
+    f"""WITH {_PAIRS} SELECT v.verdict, count(p.id) AS n, round(coalesce(sum(cost_usd), 0), 6) AS cost_usd, CAST(coalesce(sum(latency_ms), 0) AS BIGINT) AS latency_ms
+    FROM (VALUES ('TRUE_POSITIVE'), ('FALSE_POSITIVE'), ('NEEDS_HUMAN_REVIEW')) v(verdict) LEFT JOIN p ON p.verdict = v.verdict GROUP BY v.verdict"""
+)
+def verdict_report_all(spark, sf_dir):
+    return scoring.verdict_report(_pairs(spark, sf_dir)).withColumn("cost_usd", F.round("cost_usd", 6))
+
+
 # ---- text, replies and nested data ---------------------------------------------------------------
 
 
@@ -665,6 +673,12 @@ def run_report(spark, sf_dir):
     return r.select(F.get_json_object("report", "$.total").cast("long").alias("total"), F.get_json_object("report", "$.latency_ms").cast("long").alias("latency_ms"))
 
 
+@query(f"WITH {_PAIRS} SELECT count(*) AS total, CAST(sum(latency_ms) AS BIGINT) AS latency_ms FROM p")
+def run_report_all(spark, sf_dir):
+    r = reports.run_report(_pairs(spark, sf_dir), {"model": "none"})
+    return r.select(F.get_json_object("report", "$.total").cast("long").alias("total"), F.get_json_object("report", "$.latency_ms").cast("long").alias("latency_ms"))
+
+
 # ---- Python source: two functions for each part --------------------------------------------------
 
 
