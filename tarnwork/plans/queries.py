@@ -372,6 +372,19 @@ def secret_hits(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", *[c.cast("long").alias(k.lower()) for c, (k, _) in zip(counts, redact.PATTERNS) if k in ("AWS_ACCESS_KEY", "JWT")])
 
 
+_PEM = "PRIVATE KEY-----"
+_KEYS = "(?:RSA |EC |OPENSSH |DSA |ENCRYPTED )?"
+
+
+@query(
+    f"""SELECT doc_id, len(regexp_extract_all(text, '(?s)-----BEGIN {_KEYS}{_PEM}.*?-----END {_KEYS}{_PEM}')) AS private_key_pem, len(regexp_extract_all(text, 'AKIA[0-9A-Z]{{16}}')) AS aws_access_key,
+    len(regexp_extract_all(text, 'eyJ[A-Za-z0-9_-]{{10,}}[.]eyJ[A-Za-z0-9_-]{{10,}}[.][A-Za-z0-9_-]{{10,}}')) AS jwt,
+    len(regexp_extract_all(text, '[a-zA-Z][a-zA-Z0-9+.-]*://[^\\x09-\\x0D\\x20:@''"]+:[^\\x09-\\x0D\\x20@''"]+@[^\\x09-\\x0D\\x20''"]+')) AS connection_string FROM documents"""
+)
+def secret_hits_all(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", *[c.cast("long").alias(k.lower()) for c, (k, _) in zip(redact.secret_counts(F.col("text")), redact.PATTERNS)])
+
+
 @query(
     """WITH l AS (SELECT doc_id, unnest(regexp_extract_all(text, '"([^"\\n]{16,200})"', 1)) AS literal FROM documents WHERE NOT contains(text, '''')
       UNION ALL SELECT doc_id, unnest(regexp_extract_all(text, '"([^"\\n]{16,200})"|''([^''\\n]{16,200})''', 1)) FROM documents WHERE contains(text, '''')),
