@@ -84,8 +84,9 @@ def pack(docs: DataFrame, block_bytes: int = BLOCK, carry: bool = False) -> Data
     small_batches(docs.sparkSession)
     rows = documents(docs)
     if carry:
-        rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(F.lit(0).alias("_"), *rest).alias("_rest"))
+        # by place, so that no name can clash
+        rest = [F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(c for c in docs.columns if c not in ("doc_id", "text"))]
+        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(F.col("text").isNull().alias("_"), *rest).alias("_rest"))
 
     def batches(it):
         from pyspark import TaskContext
@@ -116,10 +117,9 @@ def _to_ipc(column: pa.StructArray) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def rest_columns(data: bytes) -> dict[str, pa.Array]:
-    """The columns that ``pack`` carried, by name."""
-    batch = pa.ipc.open_stream(data).read_next_batch()
-    return {n: batch.column(n) for n in batch.schema.names if n != "_"}
+def rest_columns(data: bytes) -> list[pa.Array]:
+    """Whether the text was null, and the columns that ``pack`` carried, in their order."""
+    return pa.ipc.open_stream(data).read_next_batch().columns
 
 
 def total_size(packed: DataFrame) -> int:
@@ -173,11 +173,11 @@ NOTES = "block long, note binary"
 
 
 def each_bucket(runs: DataFrame, f: Callable) -> DataFrame:
-    """Combines each bucket's runs by ``f(list of runs, decoded) -> list of notes or None``, a note for each run's block."""
+    """Combines each bucket's runs by ``f(bucket, list of runs) -> list of notes or None``, a note for each run's block."""
 
     def combine(table: pa.Table) -> pa.Table:
         blocks = table.column("block").to_pylist()
-        notes = f([get_ints(x.as_py()) for x in table.column("run")])
+        notes = f(table.column("bucket")[0].as_py(), table.column("run").to_pylist())
         some = [(b, n) for b, n in zip(blocks, notes) if n is not None]
         give_back()
         return pa.table({"block": pa.array([b for b, _ in some], pa.int64()), "note": pa.array([n for _, n in some], pa.binary())})

@@ -2,8 +2,10 @@
 
 Everything works on one flat byte array holding many documents back to back,
 with an offsets array of n + 1 entries, so that no step loops over documents.
-Hashes are polynomial prefix hashes modulo 2**64 over randomly mapped symbols,
-finished with a mixing step; they depend on content alone.
+Hashes depend on content alone. They choose where rows meet and what is looked
+at; nothing is taken as equal because its hashes are. Prefix hashes are
+polynomials modulo 2**64, for short sequences of well mixed symbols; texts of any
+length go through ``span_hash``.
 """
 
 from __future__ import annotations
@@ -109,6 +111,63 @@ def byte_prefix(flat: np.ndarray, seed: int = 1) -> Prefix:
     return Prefix(_SYMBOLS[seed][flat])
 
 
+def eights(flat: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as a number, zeros after the end."""
+    padded = np.concatenate([flat, np.zeros(8, np.uint8)])
+    return np.ndarray((len(flat) + 1,), "<u8", padded.tobytes(), strides=(1,))
+
+
+def span_hash(flat: np.ndarray, start: np.ndarray, end: np.ndarray, salt: int = 0) -> np.ndarray:
+    """Hash of each span, eight bytes at a time, each mixed with its place in the span."""
+    size = (end - start).astype(np.int64)
+    many = (size + 7) >> 3
+    out = mix(size.astype(U64), salt)
+    if not many.sum():
+        return out
+    which = np.repeat(np.arange(len(size)), many)
+    nth = np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many)
+    value = eights(flat)[start[which] + 8 * nth]
+    left = np.minimum(size[which] - 8 * nth, 8).astype(U64)
+    value &= U64(2**64 - 1) >> (U64(64) - U64(8) * left)
+    value = mix(value ^ mix(nth.astype(U64), salt + 1), salt + 2)
+    some = np.flatnonzero(many)
+    out[some] += np.add.reduceat(value, (np.cumsum(many) - many)[some])
+    return mix(out, salt + 3)
+
+
+def _turn(x: np.ndarray, by: int) -> np.ndarray:
+    return (x << U64(by)) | (x >> U64(64 - by))
+
+
+def byte_grams(flat: np.ndarray, k: int) -> np.ndarray:
+    """Hash of every ``k`` bytes in a row, ``k`` being eight or more."""
+    n = len(flat) - k + 1
+    if n <= 0:
+        return np.zeros(0, U64)
+    part = np.ascontiguousarray(eights(flat)[: len(flat) - 7])
+    part ^= part >> U64(29)
+    part *= U64(0xBF58476D1CE4E5B9)
+    part ^= part >> U64(32)
+    out = part[:n].copy()
+    for turn, at in enumerate([*range(8, k - 7, 8), *([k - 8] if k % 8 else [])], 1):
+        out += _turn(part[at : at + n], 23 * turn % 64)
+    out ^= out >> U64(31)
+    out *= U64(0x94D049BB133111EB)
+    out ^= out >> U64(32)
+    return out
+
+
+def tokens(flat: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of the spans by their content, equal for equal bytes only; and the hash of each number's content."""
+    size = end - start
+    cuts = np.concatenate([[0], np.cumsum(size)])
+    text = flat[np.arange(cuts[-1]) + np.repeat(start - cuts[:-1], size)]
+    spans = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(text)])
+    coded = spans.dictionary_encode()
+    data, at = arrow_bytes(coded.dictionary)
+    return coded.indices.to_numpy().astype(np.int64), span_hash(data, at[:-1], at[1:], 7)
+
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 

@@ -1,4 +1,4 @@
-"""Connected components by alternating large and small stars; few edges are united in one task."""
+"""Connected components: tasks unite the edges that they hold, and large and small stars unite the tasks' results."""
 
 from __future__ import annotations
 
@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from tarnwork.llm.common import cut
 
 
-#: Edges that a task should hold about, and edges that one task unites by itself.
-EDGES, FEW = 100_000, 20_000
+#: Edges that a task should hold about.
+EDGES = 100_000
 
 
 def _unite(it):
-    """All (node, root) of a stream of edges."""
+    """A star for each component of a task's own edges: (u, v) with v the least node."""
     batches = [(b.column("u").to_numpy(), b.column("v").to_numpy()) for b in it]
     ends = np.stack([np.concatenate(x) for x in zip(*batches)]) if batches else np.zeros((2, 0), np.int64)
     nodes, at = np.unique(ends, return_inverse=True)
@@ -31,7 +31,8 @@ def _unite(it):
         if (new == root).all():
             break
         root = new
-    yield pa.RecordBatch.from_arrays([pa.array(nodes.astype(np.int64)), pa.array(nodes[root].astype(np.int64))], names=["node", "root"])
+    low = nodes[root]
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[nodes != low].astype(np.int64)), pa.array(low[nodes != low].astype(np.int64))], names=["u", "v"])
 
 
 def _least(pairs: DataFrame, own: bool) -> DataFrame:
@@ -55,19 +56,17 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node that an edge (u, v) of longs names, root being the least node of its component.
 
     Loops and repeated edges do no harm. Each round is checkpointed; the rounds end when the edges
-    are stars and stay as they are.
+    are stars and stay as they are. The same steps serve every size; a task holds about ``EDGES`` edges.
     """
-    edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v").distinct()
+    edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v")
     edges, state = cut(edges), None
-    if edges.count() <= FEW:
-        return edges.coalesce(1).mapInArrow(_unite, "node long, root long")
     while True:
         # a round's end is told by the edges' count and checksum: a star forest stays as it is
         now = edges.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))")).first()
         if now == state or not now[0]:
             break
         state = now
-        # few edges need few tasks
-        edges = edges.coalesce(1 + now[0] // EDGES)
+        # few edges need few tasks; each brings its own edges down to stars first
+        edges = edges.coalesce(1 + now[0] // EDGES).mapInArrow(_unite, "u long, v long")
         edges = cut(_small_star(_large_star(edges)))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

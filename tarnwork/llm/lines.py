@@ -2,8 +2,9 @@
 
 Blank lines aside, every two consecutive lines make a window; the least line hash of a window is its
 fingerprint, so that a repeated run of two lines or more is sure to share one. Positions under the
-same fingerprint are joined and matched on to both sides (see ``repeats``), and of each repeated run
-the later ones go. A line of many words can make a window by itself: it counts as two symbols.
+same fingerprint are joined and the lines to both sides matched by their text (see ``repeats``), and of
+each repeated run the later ones go. A line of many words can make a window by itself: it counts as two
+symbols.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import types as T
 
 from tarnwork.llm import blocks as B
 from tarnwork.llm import repeats as R
-from tarnwork.llm.bytesops import Prefix, _SPACE, _SYMBOLS, cover, mix, runs
+from tarnwork.llm.bytesops import _SPACE, cover, runs
 
 RUN = 2
 #: Words of a line that counts as a run by itself, where single lines count.
@@ -48,47 +49,42 @@ def _line_of_symbols(b: B.Block, start: np.ndarray, end: np.ndarray, long_words:
     return np.repeat(np.arange(len(start)), times)
 
 
-def line_symbols(b: B.Block, long_words: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+def line_tokens(b: B.Block, long_words: int | None = None):
+    """Lines as tokens, the second symbols of long ones marked."""
     start, end, cuts = _lines(b)
     line = _line_of_symbols(b, start, end, long_words)
-    symbols = Prefix(_SYMBOLS[1][b.flat]).spans(start, end, 11)[line]
-    second = np.flatnonzero(line[1:] == line[:-1]) + 1
-    symbols[second] = mix(symbols[second], 12)
-    return symbols, np.searchsorted(line, cuts)
+    second = np.zeros(len(line), bool)
+    second[1:] = line[1:] == line[:-1]
+    return start[line], end[line], np.searchsorted(line, cuts), second
 
 
 def _again(w: R.Windows) -> tuple[np.ndarray, np.ndarray]:
     """Spans of the windows that the same document holds before."""
-    at, seg = w.spread(np.arange(len(w.first)))
-    key, doc = w.content(at, at + w.n), w.doc[seg]
-    order = np.lexsort((at, key, doc))
-    same = np.zeros(len(order), bool)
-    same[1:] = (key[order][1:] == key[order][:-1]) & (doc[order][1:] == doc[order][:-1])
-    late = at[order[same]]
-    return late, late + w.n
-
-
-def remove_repeated_lines(docs: DataFrame, block_bytes: int = B.BLOCK, long_words: int | None = None) -> DataFrame:
-    """Removes each line covered by two consecutive lines that also start earlier: in a document of smaller
-    doc_id, or before in the same one; with ``long_words`` also each line of so many words that stands earlier.
-
-    Returns the columns of ``docs`` with the text that is left, and n_lines and n_removed. Lines end at
-    line feeds; a removed line goes with its line feed; blank lines count nowhere and stay. Null text
-    stays null and has no lines. Rows that repeat a doc_id are documents of equal rank; a null doc_id
-    ranks last; an empty table gives an empty result.
-    """
+    if not len(w.number):
+        return w.number, w.number
+    at = np.arange(len(w.number) - 1)
+    doc = np.repeat(np.arange(len(w.ids)), np.diff(w.cuts))
+    at = at[doc[1:] == doc[:-1]]
+    order = np.lexsort((at, w.number[at + 1], w.number[at], doc[at]))
+    a = at[order]
+    same = np.zeros(len(a), bool)
+    same[1:] = (w.number[a[1:]] == w.number[a[:-1]]) & (w.number[a[1:] + 1] == w.number[a[:-1] + 1]) & (doc[a[1:]] == doc[a[:-1]])
+    return a[same], a[same] + w.n
+
+
+def _cut_lines(docs: DataFrame, block_bytes: int, long_words: int | None) -> tuple[DataFrame, dict[str, str]]:
+    """Rows (doc_id, text, lines, removed, bytes_removed, and the other columns as _0, _1, ...), and each column's name there."""
     # a line of prose has some dozens of bytes; the widths only need the right order of size
-    given = docs.withColumn("_absent_text", F.col("text").isNull())
-    found, plan = R.find(given, partial(line_symbols, long_words=long_words), RUN, 1, 1 / 32, block_bytes=block_bytes, carry=True)
-    names = [c for c in docs.columns if c not in ("doc_id", "text")]
-    kept_names = [f"_{i}" for i in range(len(names))]
+    kind = R.Sequences(partial(line_tokens, long_words=long_words), R.by_pairs, RUN, 1, 1 / 32)
+    found, plan = R.find(docs, kind, block_bytes, carry=True)
+    rest_of = {c: f"_{i}" for i, c in enumerate(c for c in docs.columns if c not in ("doc_id", "text"))}
 
     def remove(number, b, notes):
         start, end, cuts = _lines(b)
         line = _line_of_symbols(b, start, end, long_words)
-        w = plan.windows(b)
-        lo, hi, _ = R.claimed_spans(R.Claims(w, notes[0]), notes[1])
-        again = _again(w)
+        e = R.Entries(plan, b, notes[0])
+        lo, hi = e.late(notes[1])
+        again = _again(e.w)
         gone = np.zeros(len(start), bool)
         gone[line[cover(len(line), np.concatenate([lo, again[0]]), np.concatenate([hi, again[1]]))]] = True
         drop = cover(len(b.flat), start[gone], np.minimum(end[gone] + 1, b.offsets[1:][np.searchsorted(cuts, np.flatnonzero(gone), side="right") - 1]))
@@ -104,18 +100,47 @@ def remove_repeated_lines(docs: DataFrame, block_bytes: int = B.BLOCK, long_word
         kept = kept - np.concatenate([[0], np.cumsum(trail)])
         count = np.concatenate([[0], np.cumsum(gone)])[cuts]
         text = pa.StringArray.from_buffers(len(b.ids), pa.py_buffer(kept.astype(np.int32)), pa.py_buffer(flat[keep].tobytes()))
-        rest = list(B.rest_columns(b.rest).values())
-        missing = rest.pop()
+        missing, *rest = B.rest_columns(b.rest)
         text = pa.compute.if_else(missing, pa.nulls(len(text), pa.string()), text)
-        yield pa.RecordBatch.from_arrays([b.id_array(), text, pa.array(np.diff(cuts)), pa.array(np.diff(count)), *rest], names=["doc_id", "text", "n_lines", "n_removed", *kept_names])
+        less = np.diff(b.offsets) - np.diff(kept)
+        yield pa.RecordBatch.from_arrays([b.id_array(), text, pa.array(np.diff(cuts)), pa.array(np.diff(count)), pa.array(less), *rest], names=["doc_id", "text", "lines", "removed", "bytes_removed", *rest_of.values()])
+
+    fields = [T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())] + [T.StructField(c, T.LongType()) for c in ("lines", "removed", "bytes_removed")]
+    out = B.each_block(found, remove, 2, T.StructType(fields + [T.StructField(k, docs.schema[n].dataType) for n, k in rest_of.items()]))
+    return out, {c: rest_of.get(c, c) for c in docs.columns}
+
 
-    fields = [T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())]
-    out = B.each_block(found, remove, 2, T.StructType(fields + [T.StructField(k, docs.schema[n].dataType) for k, n in zip(kept_names, names)]))
-    of = dict(zip(names, kept_names))
-    return out.select(*[F.col(of.get(c, c)).alias(c) for c in docs.columns], *[F.col(c).alias(c) for c in ("n_lines", "n_removed") if c not in names])
+def remove_repeated_lines(docs: DataFrame, block_bytes: int = B.BLOCK, long_words: int | None = None) -> DataFrame:
+    """Removes each line covered by two consecutive lines that also start earlier: in a document of smaller
+    doc_id, or before in the same one; with ``long_words`` also each line of so many words that stands earlier.
+
+    Returns the columns of ``docs`` with the text that is left, and n_lines and n_removed, unless ``docs`` has
+    columns of that name. Lines end at line feeds; a removed line goes with its line feed; blank lines count
+    nowhere and stay. Null text stays null and has no lines. Rows that repeat a doc_id are documents of equal
+    rank; a null doc_id ranks last; an empty table gives an empty result.
+    """
+    out, name = _cut_lines(docs, block_bytes, long_words)
+    counts = [F.col(c).alias(f"n_{c}") for c in ("lines", "removed") if f"n_{c}" not in docs.columns]
+    return out.select(*[F.col(name[c]).alias(c) for c in docs.columns], *counts)
+
+
+def keep_fresh(docs: DataFrame, long_words: int | None = LONG, most: float = 0.75) -> DataFrame:
+    """The rows of ``docs`` without repeated lines, and without the documents that lose ``most`` of their bytes or more.
+
+    What is left of those is no document of its own: they are copies of earlier ones but for some lines. Rows
+    without lines (null, empty or blank text) stay as they are; n_chars, where there is such a column, follows the text.
+    """
+    out, name = _cut_lines(docs, B.BLOCK, long_words)
+    out = out.filter(F.col("bytes_removed") < F.lit(most) * (F.col("bytes_removed") + F.octet_length(F.coalesce("text", F.lit("")))) + F.when(F.col("removed") > 0, 0).otherwise(1))
+    chars = F.when(F.col("removed") > 0, F.length("text"))
+    kept = {c: F.col(name[c]) for c in docs.columns}
+    if "n_chars" in kept:
+        kept["n_chars"] = F.coalesce(chars, kept["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return out.select(*[v.alias(c) for c, v in kept.items()])
 
 
 def digest(removed: DataFrame) -> DataFrame:
+    """Counts and hash of the text that is left; a null text counts as empty."""
     return removed.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 

@@ -1,14 +1,15 @@
 """Mixing sources to target weights by Sainte-Lague apportionment, in DataFrame operations only.
 
 Words are dealt in blocks of equal length. Each source gets a whole number of blocks by highest
-quotients target / (2 k + 1), each shard of a source gets its whole number the same way, and
-within a shard the blocks are taken along the documents' seeded order. A quota beyond one pass
-over the shard begins a second one.
+quotients target / (2 k + 1), each shard of a source gets its whole number the same way. A shard's
+documents stand in a seeded order, cut in blocks; its quota selects a run of blocks that begins at a
+seeded one and goes on round the end, so that few documents are cut. A quota beyond all blocks of the
+shard takes each of them once, and selects from them again for the rest.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnwork.llm.common import cut
@@ -16,6 +17,13 @@ from tarnwork.llm.common import cut
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: Rows of a source are spread over this many parts wherever they meet the table of sources.
 SALTS = 64
+#: Most equal rows that are dealt as one.
+LOT = 1000
+
+
+def size_of(text: str = "text") -> Column:
+    """Number of words; null text has none."""
+    return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def apportion(parts: DataFrame, group: list[str], share: str, seats: str, key: str, spread: int = 256) -> DataFrame:
@@ -71,21 +79,24 @@ def targets(sources: DataFrame, weights=(5.0, 2.0, 1.0), share: float = 1.5, cap
 
 
 def mix_sources(
-    docs: DataFrame, weights=(5.0, 2.0, 1.0), share: float = 1.5, cap: float = 2.0, seed: int = 17, shard_words: int = 200_000, block_words: int = 64
+    docs: DataFrame, weights=(5.0, 2.0, 1.0), share: float = 1.5, cap: float = 2.0, seed: int = 17, shard_words: int = 200_000, block_words: int = 64, most_shards: int = 65_536
 ) -> DataFrame:
     """Takes words from each source near its target.
 
-    Returns doc_id, size, source_size, target, taken (words, repeats counted; at most ``cap`` times
-    size) and carries no text. Null text has size 0; null is a source of its own; sizes of 0 give
-    targets of 0; rows that are equal in all columns share their place and are taken one after the
-    other; an empty table gives an empty result. ``block_words`` shrinks for small corpora so that
-    there are at least a thousand blocks for each source.
+    Returns doc_id, size, source_size, target, taken (words, repeats counted; at most ``cap`` times size),
+    source, content (hash of the text), whole (times that the document is taken whole) and parts (its words
+    that are taken once more, as an array of struct start, end); it carries no text. Null text has size 0;
+    null is a source of its own; sizes of 0 give targets of 0; equal rows are interchangeable; an empty
+    table gives an empty result. ``block_words`` shrinks for small corpora so that there are at least a
+    thousand blocks for each source. Shards hold ``shard_words`` or more, where else there were over
+    ``most_shards`` of a source, so that one task can sort a source's shards.
     """
-    size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64("text").alias("content"), size_of().alias("size"))
+    # equal rows meet before anything is dealt: one that is there a million times makes no shard large
+    rows = rows.withColumns({"_absent": F.col("source").isNull(), "_name": F.coalesce("source", F.lit(""))}).groupBy("doc_id", "content", "size", "_absent", "_name").agg(F.count(F.lit(1)).alias("_many"))
     # the texts are read once, for their sizes
-    rows = cut(rows.withColumns({"_absent": F.col("source").isNull(), "_name": F.coalesce("source", F.lit(""))}))
-    totals = rows.groupBy("_absent", "_name").agg(F.sum("size").alias("source_size"))
+    rows = cut(rows)
+    totals = rows.groupBy("_absent", "_name").agg(F.sum(F.col("size") * F.col("_many")).alias("source_size"))
     totals = totals.withColumn("source", F.when(~F.col("_absent"), F.col("_name")))
     t = targets(totals.select("source", "source_size"), weights, share, cap)
     every = Window.partitionBy(F.lit(0))
@@ -93,44 +104,58 @@ def mix_sources(
     t = t.withColumn("block", F.greatest(F.lit(1), F.least(F.lit(block_words), F.floor(F.col("_all") / (1000 * F.col("_many"))))).cast("long"))
     t = t.withColumn("seats", F.round(F.col("_all") / F.col("block")).cast("long"))
     t = apportion(t.select("_zero", "source", "source_size", "target", "block", "seats"), ["_zero"], "target", "seats", "source").drop("_zero", "seats")
-    t = t.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / F.lit(shard_words))).cast("int"))
+    t = t.withColumn("shards", F.least(F.lit(most_shards), F.greatest(F.lit(1), F.ceil(F.col("source_size") / F.lit(shard_words)))).cast("int"))
     salted = t.withColumns({"_absent": F.col("source").isNull(), "_name": F.coalesce("source", F.lit(""))}).drop("source")
     salted = salted.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    place = F.xxhash64(F.lit(seed), F.coalesce("doc_id", F.lit(-1)))
-    rows = rows.withColumns({"_order": place, "_salt": F.pmod(F.xxhash64(place, F.lit(1)), F.lit(SALTS)).cast("int")})
-    dealt = rows.join(salted, ["_absent", "_name", "_salt"]).drop("_salt", "source")
+    # a lot of equal rows is dealt in parts
+    lots = F.transform(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_many") - 1) / LOT)), lambda k: F.struct(k.alias("k"), F.least(F.lit(LOT).cast("long"), F.col("_many") - k * LOT).alias("n")))
+    rows = rows.withColumn("_lot", F.explode(lots))
+    place = F.xxhash64(F.lit(seed), F.coalesce("doc_id", F.lit(-1)), "content", "_lot.k")
+    rows = rows.select("doc_id", "content", "size", "_absent", "_name", F.col("_lot.n").alias("_n"), place.alias("_order"), F.pmod(F.xxhash64(place, F.lit(1)), F.lit(SALTS)).cast("int").alias("_salt"))
+    dealt = rows.join(salted, ["_absent", "_name", "_salt"]).drop("_salt")
     dealt = dealt.withColumn("_shard", F.pmod(F.xxhash64("_order", F.lit(2)), F.col("shards")).cast("int"))
     # quota of each shard, in proportion to its words
-    words = dealt.groupBy("_absent", "_name", "_shard").agg(F.sum("size").alias("_words"), F.first("quota").alias("_seats"))
-    quotas = apportion(words, ["_absent", "_name"], "_words", "_seats", "_shard").select("_absent", "_name", "_shard", F.col("quota").alias("_quota"), "_words")
-    dealt = dealt.join(quotas, ["_absent", "_name", "_shard"])
-    along = Window.partitionBy("_absent", "_name", "_shard").orderBy("_order", "doc_id", "size")
-    dealt = dealt.withColumn("_before", F.sum("size").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size"))
-    due = F.least(F.col("_quota") * F.col("block"), (F.col("_words") * F.lit(float(cap))).cast("long"))
-    dealt = dealt.withColumn("_due", due)
-    dealt = dealt.withColumn("_passes", F.when(F.col("_words") > 0, F.floor(F.col("_due") / F.col("_words"))).otherwise(F.lit(0)).cast("long"))
-    left = F.col("_due") - F.col("_passes") * F.col("_words")
-    part = F.greatest(F.lit(0), F.least(F.col("size"), left - F.col("_before")))
-    taken = (F.col("_passes") * F.col("size") + part).cast("long")
-    return dealt.select("doc_id", "size", "source_size", "target", taken.alias("taken"), F.when(~F.col("_absent"), F.col("_name")).alias("source"))
+    shard = ["_absent", "_name", "_shard"]
+    words = dealt.groupBy(*shard).agg(F.sum(F.col("size") * F.col("_n")).alias("_words"), F.first("quota").alias("_seats"))
+    quotas = apportion(words, ["_absent", "_name"], "_words", "_seats", "_shard").select(*shard, F.col("quota").alias("_quota"), "_words")
+    dealt = dealt.join(quotas, shard).withColumn("_blocks", F.ceil(F.col("_words") / F.col("block")))
+    # every block is taken ``whole`` times, and those of a run from a seeded block on once more, round the end
+    due = F.least(F.col("_quota"), F.floor(F.col("_blocks") * F.lit(float(cap))))
+    some = F.col("_blocks") > 0
+    dealt = dealt.withColumns({"whole": F.when(some, F.floor(due / F.col("_blocks"))).otherwise(0).cast("long"), "_first": F.when(some, F.pmod(F.xxhash64(F.lit(seed), "_name", "_shard"), F.col("_blocks"))).otherwise(0)})
+    dealt = dealt.withColumn("_last", F.col("_first") + F.when(some, due - F.col("whole") * F.col("_blocks")).otherwise(0))
+    along = Window.partitionBy(*shard).orderBy("_order", "doc_id", "content", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    dealt = dealt.withColumn("_begin", F.sum(F.col("size") * F.col("_n")).over(along) - F.col("size") * F.col("_n"))
+    dealt = dealt.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1))).withColumn("_begin", F.col("_begin") + F.col("_i") * F.col("size"))
+
+    def within(first, last):
+        """Words of the document in the blocks ``first`` to ``last``."""
+        lo = F.greatest(F.lit(0), first * F.col("block") - F.col("_begin"))
+        return F.struct(lo.cast("long").alias("start"), F.least(F.col("size"), last * F.col("block") - F.col("_begin")).cast("long").alias("end"))
+
+    parts = F.filter(F.array(within(F.lit(0), F.col("_last") - F.col("_blocks")), within(F.col("_first"), F.least(F.col("_last"), F.col("_blocks")))), lambda p: p["end"] > p["start"])
+    dealt = dealt.withColumn("parts", parts)
+    taken = F.col("whole") * F.col("size") + F.aggregate("parts", F.lit(0).cast("long"), lambda n, p: n + p["end"] - p["start"])
+    return dealt.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), F.when(~F.col("_absent"), F.col("_name")).alias("source"), "content", "whole", "parts")
 
 
 def take(docs: DataFrame, **options) -> DataFrame:
     """The mixture itself: rows of ``docs``, with all their columns, as ``mix_sources`` takes them.
 
-    A document taken whole once or twice is there once or twice; of one taken in part, a row with
-    its first words, joined by one space. Rows without words are left out.
+    A document taken whole once or twice is there once or twice; of one taken in part, a row with the
+    words of its selected blocks, joined by one space. Rows without words are left out. Rows that share
+    doc_id and source are told apart by a hash of their text; of those that share it too, one stands for all.
     """
-    taken = mix_sources(docs, **options)
-    same = ["_doc", "_src", "_nth"]
-    order = Window.partitionBy("_doc", "_src").orderBy("_size")
-    key = lambda d: d.withColumn("_nth", F.row_number().over(order))
-    taken = key(taken.select(F.struct("doc_id").alias("_doc"), F.struct("source").alias("_src"), F.col("size").alias("_size"), F.col("taken").alias("_taken")))
-    size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = key(docs.select("*", F.struct(F.col("doc_id").cast("long").alias("doc_id")).alias("_doc"), F.struct(F.col("source").cast("string").alias("source")).alias("_src"), size.alias("_size")))
-    rows = rows.join(taken.filter("_taken > 0").drop("_size"), same)
-    rest = (F.col("_taken") % F.col("_size")).cast("int")
-    part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), rest), " ")
-    whole = F.array_repeat(F.lit(True), F.floor(F.col("_taken") / F.col("_size")).cast("int"))
-    rows = rows.withColumn("_whole", F.explode(F.concat(whole, F.when(rest > 0, F.array(F.lit(False))).otherwise(F.array().cast("array<boolean>")))))
-    return rows.select(*[F.when(F.col("_whole"), F.col(c)).otherwise(part).alias(c) if c == "text" else F.col(c) for c in docs.columns])
+    keys = ["doc_id", "source", "content"]
+    taken = mix_sources(docs, **options).filter("taken > 0").groupBy(*keys, "size", "whole", "parts").agg(F.count(F.lit(1)).alias("n"))
+    row = F.struct(*[F.col(f"`{c}`").alias(c) for c in docs.columns])
+    other = F.struct(F.lit(0), *[F.col(f"`{c}`") for c in docs.columns if c != "text"]).cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64("text").alias("content"), row.alias("row"), other.alias("other"))
+    # one row of each group of copies, chosen before and after the shuffle; how often it is taken is told by ``taken``
+    rows = rows.groupBy(*keys).agg(F.min_by("row", "other").alias("row"))
+    rows = rows.join(taken.alias("t"), [rows[k].eqNullSafe(F.col(f"t.{k}")) for k in keys]).select("row", "t.whole", "t.parts", "t.n")
+    words = F.regexp_extract_all("row.text", F.lit(WORD), F.lit(0))
+    part = F.array_join(F.flatten(F.transform("parts", lambda p: F.slice(words, (p["start"] + 1).cast("int"), (p["end"] - p["start"]).cast("int")))), " ")
+    times = F.concat(F.array_repeat(F.lit(True), (F.col("whole") * F.col("n")).cast("int")), F.array_repeat(F.lit(False), F.when(F.size("parts") > 0, F.col("n")).otherwise(0).cast("int")))
+    rows = rows.withColumn("all", F.explode(times))
+    return rows.select(*[F.when(F.col("all"), F.col("row")[c]).otherwise(part).alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])

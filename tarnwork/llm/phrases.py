@@ -1,9 +1,10 @@
 """Removal of word passages that also occur in an earlier document, by phrase automata.
 
-Recurring passages are confirmed by the search in ``repeats``. Each block compiles its shard of them,
-the passages that concern its documents, into an Aho-Corasick automaton over words; all documents
-stream through their shard's automaton, and every occurrence that it reports is removed from the
-documents that come after the passage's first owner.
+Every window of words belongs to one shard, that of its anchor (see ``repeats``). A shard confirms
+which windows of what it receives recur, compiles each, as its earliest owner has it, into an
+Aho-Corasick automaton over words, and streams the passages of all documents that have one of its
+anchors through it. The occurrences that the automaton reports, and these alone, are removed from the
+documents that come after a window's first owner.
 """
 
 from __future__ import annotations
@@ -16,14 +17,13 @@ from pyspark.sql import functions as F
 
 from tarnwork.llm import blocks as B
 from tarnwork.llm import repeats as R
-from tarnwork.llm.bytesops import Prefix, _SYMBOLS, cover, word_spans
+from tarnwork.llm.bytesops import U64, Prefix, cover, mix, word_spans
 
 WINDOW = 13
 
 
-def word_symbols(b: B.Block) -> tuple[np.ndarray, np.ndarray]:
-    start, end, cuts = word_spans(b.flat, b.offsets)
-    return Prefix(_SYMBOLS[1][b.flat]).spans(start, end, 7), cuts
+def words_of(b: B.Block):
+    return *word_spans(b.flat, b.offsets), None
 
 
 def join_words(flat: np.ndarray, start: np.ndarray, end: np.ndarray, cuts: np.ndarray) -> pa.Array:
@@ -40,37 +40,39 @@ def join_words(flat: np.ndarray, start: np.ndarray, end: np.ndarray, cuts: np.nd
     return pa.StringArray.from_buffers(len(cuts) - 1, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(out.tobytes()))
 
 
-def passages(start: np.ndarray, end: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Joins spans that overlap or touch within windows' reach and have the same first owner."""
-    order = np.lexsort((end, start))
-    start, end, least = start[order], end[order], least[order]
-    if not len(start):
-        return start, end, least
-    new = np.concatenate([[True], (start[1:] > end[:-1] - WINDOW + 1) | (least[1:] != least[:-1])])
+def automaton(names: list[int], start: list[int], size: int, owner: list[int]):
+    """Compiles the windows that begin at the given places, each with its owner."""
+    out = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+    for a, o in zip(start, owner):
+        out.add_word(tuple(names[a : a + size]), o)
+    out.make_automaton()
+    return out
+
+
+def locate(number: np.ndarray, count: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Occurrences (entry, place) of windows that an earlier owner holds too, among entries of ``count`` windows each."""
+    begin = np.cumsum(count + n - 1) - (count + n - 1)
+    entry = np.repeat(np.arange(len(count)), count)
+    place = np.arange(len(entry)) - np.repeat(np.cumsum(count) - count, count) + begin[entry]
+    # the automaton holds what several owners have, as the first of them has it
+    key, own = Prefix(mix(number.astype(U64), 4)).grams(n)[place], owner[entry]
+    order = np.lexsort((own, key))
+    key, own, place = key[order], own[order], place[order]
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
     first = np.flatnonzero(new)
-    return start[first], np.maximum.reduceat(end, first), least[first]
-
-
-def locate(words: np.ndarray, cuts: np.ndarray, ids: np.ndarray, start: np.ndarray, end: np.ndarray, least: np.ndarray) -> np.ndarray:
-    """Mask of the words covered by occurrences of the passages in documents after their first owners."""
-    if not len(start):
-        return np.zeros(len(words), bool)
-    _, names = np.unique(words, return_inverse=True)
-    names = names.tolist()
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-    for a, b, o in zip(start.tolist(), end.tolist(), least.tolist()):
-        key = tuple(names[a:b])
-        automaton.add_word(key, (b - a, min(o, automaton.get(key, (0, o))[1])))
-    automaton.make_automaton()
-    lo, hi = [], []
-    for a, b, i in zip(cuts[:-1].tolist(), cuts[1:].tolist(), ids.tolist()):
-        if b - a < WINDOW:
-            continue
-        for at, (size, owner) in automaton.iter(tuple(names[a:b])):
-            if owner < i:
-                lo.append(a + at - size + 1)
-                hi.append(a + at + 1)
-    return cover(len(words), np.array(lo, np.int64), np.array(hi, np.int64))
+    several = np.maximum.reduceat(own, first) != own[first] if len(first) else new
+    first = first[several]
+    entries, places = [], []
+    if len(first):
+        names = number.tolist()
+        found = automaton(names, place[first].tolist(), n, own[first].tolist())
+        for e, (a, size, mine) in enumerate(zip(begin.tolist(), (count + n - 1).tolist(), owner.tolist())):
+            for at, one in found.iter(tuple(names[a : a + size])):
+                if one < mine:
+                    entries.append(e)
+                    places.append(at - n + 1)
+    return np.array(entries, np.int64), np.array(places, np.int64)
 
 
 def remove_phrases(docs: DataFrame, block_bytes: int = B.BLOCK) -> DataFrame:
@@ -78,16 +80,15 @@ def remove_phrases(docs: DataFrame, block_bytes: int = B.BLOCK) -> DataFrame:
 
     Returns doc_id, n_words, n_removed and kept (the words left, joined by one space). Null text has
     no words; shorter texts are kept whole; rows that repeat a doc_id are documents of equal rank; a
-    null doc_id ranks last; an empty table gives an empty result.
+    null doc_id ranks last; an empty table gives an empty result; other columns, of any name, don't matter.
     """
     # bytes per word are at least 2, bar the last one
-    found, plan = R.find(docs, word_symbols, WINDOW, 6, 1 / 6, block_bytes=block_bytes)
+    found, plan = R.find(docs, R.Sequences(words_of, locate, WINDOW, 6, 1 / 6), block_bytes)
 
     def remove(number, b, notes):
-        start, end, cuts = word_spans(b.flat, b.offsets)
-        w = plan.windows(b)
-        lo, hi, least = R.claimed_spans(R.Claims(w, notes[0]), notes[1])
-        gone = locate(w.symbols, cuts, b.ids, *passages(lo, hi, least))
+        e = R.Entries(plan, b, notes[0])
+        start, end, cuts = e.w.start, e.w.end, e.w.cuts
+        gone = cover(len(start), *e.late(notes[1]))
         left = np.concatenate([[0], np.cumsum(~gone)])[cuts]
         yield pa.RecordBatch.from_arrays(
             [b.id_array(), pa.array(np.diff(cuts)), pa.array(np.diff(cuts) - np.diff(left)), join_words(b.flat, start[~gone], end[~gone], left)], names=["doc_id", "n_words", "n_removed", "kept"]
@@ -97,6 +98,7 @@ def remove_phrases(docs: DataFrame, block_bytes: int = B.BLOCK) -> DataFrame:
 
 
 def digest(removed: DataFrame) -> DataFrame:
+    """Counts and hash of what ``remove_phrases`` kept; one row a document, nulls and empty texts too."""
     return removed.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 

@@ -1,12 +1,12 @@
 """Removal of byte strings that also occur in an earlier document, by merged suffix order.
 
-A suffix stands for the windows of ``n`` bytes that begin in one segment (see ``repeats``). It is
-taken as a sequence of symbols, its anchor and the rest of its windows' bytes, each symbol naming its
-content by hash, so that suffixes with common prefixes are neighbours in symbol order. Every block
-sorts its suffixes and sends front-coded runs; a bucket merges the runs by a loser tree that never
-compares a known prefix again. The merged order with its common prefix lengths gives, as a suffix
-array does, the groups of equal suffixes, the earliest document of each, and the groups that only
-share the anchor, whose windows are then compared one by one.
+All suffixes of a corpus are beyond any disk budget, so one stands for the windows of a segment (see
+``repeats``): the suffix that begins at the segment's anchor, as far as its windows reach, and after it
+the bytes before the anchor, backwards. Each block sorts its suffixes by their bytes and sends
+front-coded runs; a bucket merges the runs by a loser tree that never compares a known prefix again.
+As in a suffix array, suffixes with a common prefix of some length are neighbours, and the common
+prefix lengths tell where their groups end. Two windows of ``n`` bytes, ``j`` of them before the anchor,
+are equal if their suffixes share ``n - j`` bytes and the bytes before share ``j``.
 """
 
 from __future__ import annotations
@@ -18,27 +18,110 @@ from pyspark.sql import functions as F
 
 from tarnwork.llm import blocks as B
 from tarnwork.llm import repeats as R
-from tarnwork.llm.bytesops import _SYMBOLS, cover, runs
+from tarnwork.llm.bytesops import U64, byte_grams, cover, runs
 from tarnwork.llm.losertree import merge
 
 
-def byte_symbols(b: B.Block) -> tuple[np.ndarray, np.ndarray]:
-    return _SYMBOLS[1][b.flat], b.offsets
+def common_bytes(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Equal leading bytes of numbers that hold eight bytes, the first one highest."""
+    differ = x ^ y
+    out = np.zeros(len(x), np.int64)
+    for k in range(8):
+        out += (differ >> U64(56 - 8 * k)) == 0
+    return out
 
 
-def merge_suffixes(parts: list[list[np.ndarray]]) -> list[bytes | None]:
-    """Runs of (anchor, segment, owner), merged by the loser tree."""
-    lists, shared = [], []
-    for anchor, segment, _ in parts:
-        same_a = np.concatenate([[False], anchor[1:] == anchor[:-1]])
-        same_s = same_a & np.concatenate([[False], segment[1:] == segment[:-1]])
-        lists.append([anchor.tolist(), segment.tolist()])
-        shared.append((same_a.astype(int) + same_s).tolist())
-    run, at, common = (np.array(x, np.int64) for x in merge(lists, shared))
-    base = np.concatenate([[0], np.cumsum([len(p[0]) for p in parts])])
-    segment, owner = np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts]).view(np.int64)
-    common[0] = 0
-    return R.answer_segments(len(parts), base[run] + at, common < 1, common < 2, segment, owner, R._by_run([len(p[0]) for p in parts]))
+class Suffixes:
+    """Suffixes as symbols of eight bytes: from the anchor on, then backwards before it, then both lengths."""
+
+    per_byte = 1.0
+
+    def __init__(self, n: int, k: int):
+        self.n, self.k = n, k
+        self.ahead, self.behind = -(-n // 8), -(-(n - k) // 8)
+
+    def windows(self, b: B.Block) -> R.Windows:
+        w = R.Windows(byte_grams(b.flat, self.k), b.offsets, b.ids, self.n, self.k)
+        w.flat = b.flat
+        return w
+
+    def rows(self, w: R.Windows, which: np.ndarray) -> np.ndarray:
+        place = w.place[which]
+        after, before = w.last[which] + self.n - place, place - w.first[which]
+        parts = []
+        for length, width, step in ((after, self.ahead, 1), (before, self.behind, -1)):
+            at = np.arange(8 * width)
+            spot = np.clip(place[:, None] + (at if step > 0 else -1 - at), 0, max(len(w.flat) - 1, 0))
+            chars = np.where(at < length[:, None], w.flat[spot], 0).astype(np.uint8)
+            parts.append(chars.reshape(len(which), width, 8).view(">u8")[:, :, 0].astype(U64))
+        return np.concatenate([*parts, (after * 65536 + before).astype(U64)[:, None]], axis=1)
+
+    def order(self, rows: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+        return np.lexsort((*rows.T[::-1], bucket))
+
+    def runs(self, w, which, rows, owner, start, stop) -> list[bytes]:
+        """Front-coded: the number of leading symbols that each suffix shares with the one before, and the rest."""
+        differ = np.ones(rows.shape, bool)
+        differ[1:] = rows[1:] != rows[:-1]
+        shared = np.where(differ.any(axis=1), np.argmax(differ, axis=1), rows.shape[1])
+        shared[start] = 0
+        out = []
+        for a, z in zip(start.tolist(), stop.tolist()):
+            tails = [(rows[a:z, d][shared[a:z] <= d], False) for d in range(rows.shape[1])]
+            out.append(B.put_ints((shared[a:z], False), (owner[a:z].view(U64), False), *tails))
+        return out
+
+    def combine(self, parts: list[bytes]):
+        lists, commons, symbols, owners = [], [], [], []
+        for part in parts:
+            shared, owner, *tails = B.get_ints(part)
+            shared = shared.astype(np.int64)
+            full = np.empty((len(tails), len(shared)), U64)
+            for d, tail in enumerate(tails):
+                own = shared <= d
+                full[d] = tail[np.cumsum(own) - 1]
+            symbols.append(full), owners.append(owner.view(np.int64))
+            lists.append([x.tolist() for x in full]), commons.append(shared.tolist())
+        sizes = [len(c) for c in commons]
+        run, at, common = (np.array(x, np.int64) for x in merge(lists, commons))
+        order = np.concatenate([[0], np.cumsum(sizes)])[run] + at
+        entry, t = self.resolve(np.concatenate(symbols, axis=1)[:, order], np.concatenate(owners)[order], common)
+        return sizes, order[entry], t
+
+    def resolve(self, symbols: np.ndarray, owner: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Late windows (suffix, place in its segment) of suffixes in merged order, given the symbols that each shares
+        with the one before it."""
+        at = np.arange(1, len(owner))
+        depth = np.minimum(common[1:], self.ahead - 1)
+        share = 8 * depth + common_bytes(symbols[depth, at], symbols[depth, at - 1])
+        # only suffixes that share their anchor with a neighbour can have equal windows
+        near = np.concatenate([[False], share >= self.k, [False]])
+        some = np.flatnonzero(near[1:] | near[:-1])
+        if not len(some):
+            return some, some
+        share = np.concatenate([[0], share])[some]
+        symbols, owner = symbols[:, some], owner[some]
+        most, least = (symbols[-1] & U64(65535)).astype(np.int64), self.n - (symbols[-1] >> U64(16)).astype(np.int64)
+        # the bytes before the anchors in their own order, with the lengths that neighbours share
+        back = symbols[self.ahead : -1]
+        by = np.lexsort(back[::-1])
+        same = np.zeros(len(by), np.int64)
+        going = np.ones(len(by) - 1, bool)
+        for x in back:
+            c = common_bytes(x[by[1:]], x[by[:-1]])
+            same[1:] += np.where(going, c, 0)
+            going &= c == 8
+        entries, places = [], []
+        for j in range(self.n - self.k + 1):
+            has = np.flatnonzero((least <= j) & (j <= most))
+            if len(has) < 2:
+                continue
+            ahead = np.cumsum(share < self.n - j)
+            behind = np.empty(len(by), np.int64)
+            behind[by] = np.cumsum(same < j)
+            late = has[R.late_of((ahead[has] << 32) | behind[has], owner[has])]
+            entries.append(some[late]), places.append(most[late] - j)
+        return np.concatenate(entries or [some[:0]]), np.concatenate(places or [some[:0]])
 
 
 def remove_repeats(docs: DataFrame, n: int = 50, k: int = 24, block_bytes: int = B.BLOCK) -> DataFrame:
@@ -47,13 +130,13 @@ def remove_repeats(docs: DataFrame, n: int = 50, k: int = 24, block_bytes: int =
     Returns doc_id, n_bytes, spans (array of struct start, end: the maximal removed runs) and kept
     (binary). Null text is empty; texts under ``n`` bytes are kept whole; rows that repeat a doc_id
     are documents of equal rank, so neither is earlier; a null doc_id ranks last; strings never cross
-    documents; an empty table gives an empty result.
+    documents; an empty table gives an empty result. ``k`` is eight or more; other columns, of any
+    name, don't matter.
     """
-    found, plan = R.find(docs, byte_symbols, n, k, 1.0, merge_suffixes, block_bytes)
+    found, plan = R.find(docs, Suffixes(n, k), block_bytes)
 
     def remove(number, b, notes):
-        start, end, _ = R.claimed_spans(R.Claims(plan.windows(b), notes[0]), notes[1])
-        gone = cover(len(b.flat), start, end)
+        gone = cover(len(b.flat), *R.Entries(plan, b, notes[0]).late(notes[1]))
         lo, hi, cuts = runs(gone, b.offsets)
         first = np.repeat(b.offsets[:-1], np.diff(cuts))
         spans = pa.StructArray.from_arrays([pa.array(lo - first), pa.array(hi - first)], names=["start", "end"])
@@ -67,7 +150,7 @@ def remove_repeats(docs: DataFrame, n: int = 50, k: int = 24, block_bytes: int =
 
 
 def digest(removed: DataFrame) -> DataFrame:
-    """Sizes and hash of what ``remove_repeats`` kept."""
+    """Sizes and hash of what ``remove_repeats`` kept; one row a document, nulls and empty texts too."""
     return removed.select(
         "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
     )

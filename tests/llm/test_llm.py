@@ -86,9 +86,9 @@ def test_a_large_group_of_near_copies(spark):
     assert ordered(neardup.near_duplicates(table(spark, rows)).collect()) == ordered(plain.near(rows))
 
 
-@pytest.mark.parametrize("few", [0, 1000])
-def test_components_of_a_chain(spark, monkeypatch, few):
-    monkeypatch.setattr("tarnwork.llm.components.FEW", few)
+@pytest.mark.parametrize("edges_of_a_task", [3, 1000])
+def test_components_of_a_chain(spark, monkeypatch, edges_of_a_task):
+    monkeypatch.setattr("tarnwork.llm.components.EDGES", edges_of_a_task)
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (5, 5)], "u long, v long")
     got = {r.node: r.root for r in components(edges).collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
