@@ -159,3 +159,20 @@ def take(docs: DataFrame, **options) -> DataFrame:
     times = F.concat(F.array_repeat(F.lit(True), (F.col("whole") * F.col("n")).cast("int")), F.array_repeat(F.lit(False), F.when(F.size("parts") > 0, F.col("n")).otherwise(0).cast("int")))
     rows = rows.withColumn("all", F.explode(times))
     return rows.select(*[F.when(F.col("all"), F.col("row")[c]).otherwise(part).alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
+
+
+def source_targets(mixed: DataFrame) -> DataFrame:
+    """What is fixed for each document, without what its blocks' selection takes."""
+    return mixed.select("doc_id", "size", "source_size", "target")
+
+
+SQL = """
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, [5e0, 2e0, 1e0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS w, 2e0 * source_size AS cap, 1.5e0 * sum(source_size) OVER () AS total FROM s),
+o AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+      sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest, row_number() OVER (ORDER BY cap / w, source NULLS LAST) AS n FROM w),
+l AS (SELECT *, (total - before) / rest AS level FROM o),
+f AS (SELECT arg_min(level, n) AS final FROM l WHERE level * w < cap)
+SELECT d.doc_id, d.size, l.source_size, CASE WHEN f.final IS NULL THEN l.cap ELSE least(l.cap, f.final * l.w) END AS target FROM d JOIN l ON d.source IS NOT DISTINCT FROM l.source, f
+"""

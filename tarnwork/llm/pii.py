@@ -1,14 +1,18 @@
-"""Personal data by fixed forms, and by lexical patterns learnt from them, in DataFrame operations only.
+"""Personal data by fixed forms, and by lexical patterns bootstrapped from them, in DataFrame operations only.
 
-Emails, IP addresses, card and phone numbers of the fixed forms are the seeds. The word before a seed
-is a pattern; the pattern's instances are the values that it precedes. Patterns and instances form a
-graph that is scored in turns: a pattern by the mean score of all the tokens that follow it in the
-corpus, an instance by its best pattern, seeds being 1. Values with digits that follow a pattern of
-high score, seen before enough different seeds, are identifiers that the forms have missed.
+Emails, IP addresses, card and phone numbers of the fixed forms are the first seeds. Words around a seed
+make patterns: the word before it, the two words before it, and each of these with the word after it. A
+pattern's score is the trust of what stands in its slot, summed over the whole corpus, by the number of
+all its slots. What stands in the slots of patterns of high score, at a fair share of all its occurrences
+(so no common word), is an identifier that the forms have missed; its trust is the mean score of those
+slots. All its occurrences are found, and it becomes a seed whose surroundings make new patterns and raise
+the scores of old ones. The rounds end when no pattern is added.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,8 +29,6 @@ FORMS = {
 }
 #: What a text must hold to have a valid match.
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){13}", "phone": r"\+[0-9]"}
-#: A value that a pattern may discover: a token with four digits in a row.
-VALUE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]*?[0-9]{4}[^\x20\x09-\x0D]*+"
 _SPAN = "array<struct<start:int,rank:int,end:int>>"
 
 
@@ -53,44 +55,71 @@ def _valid(kind: str, match: Column) -> Column:
     return F.length(digits).between(10, 15)
 
 
+#: Matches that are walked over in one piece.
+_PIECE = 256
+
+
+def _let(x: Column, f) -> Column:
+    """``f`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def _walk(text: Column, form: str, item) -> Column:
-    """Array of what ``item(start, end, gap, match)`` makes of the matches, nulls left out, in order.
+    """Array of what ``item(start, end, match, gap before, gap after)`` makes of the matches, nulls left out, in order.
 
-    The text between matches, and the matches, give the positions by adding up lengths.
+    The text between matches, and the matches, give the positions by adding up lengths: within pieces of
+    matches, after adding up the pieces, so that the time is in proportion to the matches.
     """
-    both = F.arrays_zip(F.split(text, form, -1).alias("gap"), F.regexp_extract_all(text, F.lit(form), F.lit(0)).alias("match"))
-    both = F.filter(both, lambda x: x["match"].isNotNull())
-    kind = item(F.lit(0), F.lit(0), F.lit(""), F.lit(""))
+    word = F.lit("")
+    kind = item(F.lit(0), F.lit(0), word, word, word)
+    none = F.filter(F.array(kind), lambda x: F.lit(False))
 
     def step(a, x):
         start = a["at"] + F.length(x["gap"])
         end = start + F.length(x["match"])
-        made = item(start, end, x["gap"], x["match"])
+        made = item(start, end, x["match"], x["gap"], x["after"])
         return F.struct(end.alias("at"), F.when(made.isNull(), a["out"]).otherwise(F.concat(a["out"], F.array(made))).alias("out"))
 
-    zero = F.struct(F.lit(0).alias("at"), F.filter(F.array(kind), lambda x: F.lit(False)).alias("out"))
-    return F.aggregate(both, zero, step, lambda a: a["out"])
+    def positions(pieces):
+        size = F.transform(pieces, lambda p: F.aggregate(p, F.lit(0), lambda n, x: n + F.length(x["gap"]) + F.length(x["match"])))
+        first = F.aggregate(size, F.array(F.lit(0)), lambda out, n: F.concat(out, F.array(F.element_at(out, -1) + n)))
+        return _let(first, lambda at: F.flatten(F.transform(pieces, lambda p, i: F.aggregate(p, F.struct(F.get(at, i).alias("at"), none.alias("out")), step, lambda a: a["out"]))))
+
+    def cut_up(both):
+        last = F.floor((F.greatest(F.size(both), F.lit(1)) - 1) / _PIECE).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(both, k * _PIECE + 1, F.lit(_PIECE)))
+
+    def together(gaps):
+        matches = F.regexp_extract_all(text, F.lit(form), F.lit(0))
+        return F.transform(matches, lambda m, i: F.struct(m.alias("match"), F.get(gaps, i).alias("gap"), F.get(gaps, i + 1).alias("after")))
+
+    return _let(_let(_let(F.split(text, form, -1), together), cut_up), positions)
+
+
+_BLANK = r"[\x20\x09-\x0D]"
+_INK = r"[^\x20\x09-\x0D]"
+_SIGNS = r"[^\p{L}\p{N}]+"
 
 
 def _base(text: Column, rank: int) -> Column:
     kind = KINDS[rank]
 
-    def item(start, end, gap, match):
-        return F.when(_valid(kind, match), F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), _before(gap).alias("pattern"), match.alias("value")))
+    def item(start, end, match, gap, after):
+        # the words around, where they are whole in the gaps
+        two, one = (F.regexp_extract(F.substring(gap, -128, 128), f, 1) for f in (rf"(?:^|{_BLANK})({_INK}{{1,48}}){_BLANK}+{_INK}{{1,48}}{_BLANK}+$", rf"(?:^|{_BLANK})({_INK}{{1,48}}){_BLANK}+$"))
+        right = F.regexp_extract(F.substring(after, 1, 64), rf"^[^\p{{L}}\p{{N}}\x20\x09-\x0D]*{_BLANK}+({_INK}{{1,48}})(?:{_BLANK}|$)", 1)
+        known = [_word(x).alias(n) for x, n in ((two, "l2"), (one, "l1"), (right, "r1"))]
+        return F.when(_valid(kind, match), F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), *known, _word(match).alias("value"), match.rlike(_BLANK).alias("wide")))
 
     hint = F.contains(text, F.lit("@")) if kind == "email" else text.rlike(HINTS[kind])
     return F.when(hint, _walk(text, FORMS[kind], item))
 
 
-def _word(token: Column) -> Column:
-    return F.regexp_replace(F.lower(token), r"[^\p{L}\p{N}]+", "")
+_BASE = "array<struct<start:int,rank:int,end:int,l2:string,l1:string,r1:string,value:string,wide:boolean>>"
 
 
-def _before(gap: Column) -> Column:
-    """The word before a match, in lower case without signs; null if a match or the text's begin is there."""
-    near = F.substring(gap, -64, 64)
-    word = _word(F.regexp_extract(near, r"([^\x20\x09-\x0D]{1,48})[\x20\x09-\x0D]+$", 1))
-    return F.when(word != "", word)
+def _word(token: Column) -> Column:
+    return F.regexp_replace(F.lower(token), _SIGNS, "")
 
 
 def _names(spans: Column) -> Column:
@@ -98,48 +127,164 @@ def _names(spans: Column) -> Column:
     return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", F.element_at(kinds, s["rank"] + 1), s["start"].cast("string"), s["end"].cast("string"))))
 
 
-def find_personal_data(docs: DataFrame, least_score: float = 0.5, least_seeds: int = 5, turns: int = 2) -> DataFrame:
+def _patterns() -> Column:
+    """The patterns (key, right) of a slot, given the words around it; right: the word after it counts."""
+    def full(*names):
+        return F.coalesce(reduce(Column.__and__, [F.col(n) != "" for n in names]), F.lit(False))
+
+    made = [F.when(full(*names), F.struct(F.xxhash64(F.lit(k), *names).alias("key"), F.lit("r1" in names).alias("right"))) for k, names in enumerate((["l1"], ["l2", "l1"], ["l1", "r1"], ["l2", "l1", "r1"]))]
+    return F.explode(F.array_compact(F.array(*made)))
+
+
+def _slots(rows: DataFrame) -> DataFrame:
+    """Every token of every text, by its number there, with the words around it."""
+    plain = F.regexp_replace(F.trim(F.regexp_replace(F.lower("text"), rf"{_BLANK}+", " ")), r"[^\p{L}\p{N} ]+", "")
+    t = rows.select("doc_id", "content", F.split(plain, " ").alias("v"))
+    n, none = F.size("v"), F.array(F.lit(None).cast("string"))
+    l1 = F.concat(none, F.slice("v", F.lit(1), n - 1))
+    l2 = F.concat(none, none, F.slice("v", F.lit(1), F.greatest(n - 2, F.lit(0))))
+    r1 = F.concat(F.slice("v", F.lit(2), n), none)
+    t = t.select("doc_id", "content", F.posexplode(F.arrays_zip("v", l1.alias("l1"), l2.alias("l2"), r1.alias("r1"))).alias("i", "s"))
+    # the longer shifted array of a one-word text has a place that no token has
+    return t.select("doc_id", "content", "i", "s.v", "s.l1", "s.l2", "s.r1").filter("v IS NOT NULL")
+
+
+#: Rows up to which a table is sent to all tasks; larger ones meet by a shuffle.
+SENT = 100_000
+
+
+def _sent(table: DataFrame) -> DataFrame:
+    return F.broadcast(table) if table.count() <= SENT else table
+
+
+def _in_patterns(rows: DataFrame, patterns: DataFrame) -> DataFrame:
+    """The slots of the patterns (key, l1), with the pattern's key."""
+    slots = _slots(rows).join(_sent(cut_small(patterns.select("l1").distinct())), "l1")
+    slots = slots.select("doc_id", "content", "i", "v", _patterns().alias("p")).select("doc_id", "content", "i", "v", "p.key")
+    return slots.join(_sent(patterns.select("key")), "key")
+
+
+def _same_doc(a: str, b: str) -> Column:
+    return F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.content") == F.col(f"{b}.content"))
+
+
+def _placed(rows: DataFrame, narrow: DataFrame, slots: DataFrame) -> DataFrame:
+    """(doc_id, content, i, v, start, end) of slots, without signs at both ends, where they touch no base span."""
+    wanted = slots.select("doc_id", "content", "i", "v").distinct().groupBy("doc_id", "content").agg(F.collect_list(F.struct("i", "v")).alias("wanted"))
+    bases = narrow.select("doc_id", "content", "base").dropDuplicates(["doc_id", "content"])
+    texts = rows.alias("a").join(wanted.alias("b"), _same_doc("a", "b")).select("a.*", "wanted").dropDuplicates(["doc_id", "content"])
+    texts = texts.alias("a").join(bases.alias("b"), _same_doc("a", "b")).select("a.*", "base")
+
+    def bare(start, end, match, gap, after):
+        lead, tail = (F.length(F.regexp_extract(match, f, 0)) for f in (rf"^{_SIGNS}", rf"{_SIGNS}$"))
+        return F.struct((start + lead).alias("start"), (end - tail).alias("end"))
+
+    texts = texts.select("doc_id", "content", "base", "wanted", _walk(F.col("text"), f"{_INK}+", bare).alias("at"))
+    found = texts.select("doc_id", "content", "base", F.explode(F.transform("wanted", lambda w: F.struct(w["i"].alias("i"), w["v"].alias("v"), F.get("at", w["i"]).alias("at")))).alias("w"))
+    found = found.select("doc_id", "content", "base", "w.i", "w.v", "w.at.start", "w.at.end").filter("start < end")
+    return found.filter(~F.exists("base", lambda b: (b["start"] < F.col("end")) & (F.col("start") < b["end"]))).drop("base")
+
+
+def _edges(seeds: DataFrame) -> DataFrame:
+    """(key, l1, right, value, rank, trust, n, wide): how often a seed stands in a pattern's slot, and how often as several tokens."""
+    e = seeds.select("l1", "value", "rank", "trust", "wide", _patterns().alias("p")).select("p.*", "l1", "value", "rank", "trust", "wide")
+    return e.groupBy("key", "l1", "right", "value", "rank", "trust").agg(F.count(F.lit(1)).alias("n"), F.count_if("wide").alias("wide"))
+
+
+def _score(edges: DataFrame, least_seeds: int) -> DataFrame:
+    """Patterns of enough seeds: key, l1, the trust in their slots, slots that no single token fills, the kind of most seeds."""
+    p = edges.groupBy("key", "l1", "right", "rank").agg(F.count_distinct("value").alias("seeds"), F.sum(F.col("trust") * F.col("n")).alias("hits"), F.sum("wide").alias("wide"))
+    p = p.groupBy("key", "l1", "right").agg(F.sum("seeds").alias("seeds"), F.sum("hits").alias("hits"), F.sum("wide").alias("wide"), F.max_by("rank", F.struct("seeds", -F.col("rank"))).alias("rank"))
+    return p.filter(F.col("seeds") >= least_seeds).select("key", "l1", "hits", F.when(F.col("right"), F.col("wide")).otherwise(0).alias("wide"), "rank")
+
+
+def discover(rows: DataFrame, narrow: DataFrame, least_score: float, least_seeds: int, least_share: float, rounds: int | None) -> DataFrame | None:
+    """(doc_id, content, start, end, rank) of what bootstrapped patterns find; None where no pattern is good enough."""
+    first = narrow.select(F.explode("base").alias("s")).select("s.l2", "s.l1", "s.r1", "s.value", "s.rank", F.lit(1.0).alias("trust"), "s.wide")
+    edges = cut_small(_edges(first))
+    totals = good = found = None
+    turn = 0
+    while rounds is None or turn < rounds:
+        turn += 1
+        patterns = cut_small(_score(edges, least_seeds))
+        new = patterns if totals is None else patterns.join(totals, "key", "left_anti")
+        new = cut_small(new)
+        if not new.isEmpty():
+            # counted in the tasks before anything is shuffled
+            counted = cut_small(_in_patterns(rows, new).groupBy("key").agg(F.count(F.lit(1)).alias("slots")).join(new.select("key"), "key", "right").fillna(0, ["slots"]))
+            totals = counted if totals is None else cut_small(totals.unionByName(counted))
+        if totals is None:
+            break
+        scored = patterns.join(totals, "key").withColumn("score", F.least(F.lit(1.0), F.col("hits") / (F.col("slots") + F.col("wide")))).filter(F.col("score") >= least_score)
+        fresh = cut_small(scored if good is None else scored.join(good, "key", "left_anti"))
+        if fresh.isEmpty():
+            break
+        good = fresh.select("key") if good is None else cut_small(good.unionByName(fresh.select("key")))
+        slots = _in_patterns(rows, fresh).join(fresh.select("key", "score", "rank"), "key")
+        slots = slots.filter("v <> ''").join(edges.select(F.col("value").alias("v")).distinct(), "v", "left_anti")
+        slots = cut(slots.groupBy("doc_id", "content", "i", "v").agg(F.max(F.struct("score", "rank")).alias("best")))
+        free = _placed(rows, narrow, slots)
+        slots = slots.alias("a").join(free.alias("b"), _same_doc("a", "b") & (F.col("a.i") == F.col("b.i"))).select("a.v", "a.best")
+        gains = cut_small(slots.groupBy("v").agg(F.avg("best.score").alias("trust"), F.count(F.lit(1)).alias("inside"), F.max_by("best.rank", "best").alias("rank")))
+        seen = _slots(rows).select("v").join(_sent(gains.select("v")), "v").groupBy("v").agg(F.count(F.lit(1)).alias("all"))
+        trusted = gains.join(seen, "v").filter(F.col("inside") >= least_share * F.col("all"))
+        trusted = cut_small(trusted.select("v", "trust", "rank"))
+        if trusted.isEmpty():
+            continue
+        there = cut(_slots(rows).join(_sent(trusted), "v"))
+        spots = _placed(rows, narrow, there).join(trusted, "v").select("doc_id", "content", "start", "end", "rank")
+        found = cut(spots if found is None else found.unionByName(spots))
+        edges = cut_small(edges.unionByName(_edges(there.select("l2", "l1", "r1", F.col("v").alias("value"), "rank", "trust", F.lit(False).alias("wide")))))
+    return found
+
+
+def find_personal_data(docs: DataFrame, least_score: float = 0.5, least_seeds: int = 5, least_share: float = 0.2, rounds: int | None = None) -> DataFrame:
     """Returns doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (base and added).
 
     Spans are kind:start:end in code points, by start, then kind. Null text is empty and has none;
-    equal rows are searched alike; a null doc_id is returned as it is. An added span never touches a
-    base one and bears the kind of most of its pattern's seeds.
+    equal rows are searched alike; a null doc_id is returned as it is; an empty table gives an empty
+    result; other columns, of any name, don't matter. An added span never touches a base one and bears
+    the kind of most of its pattern's seeds. Without ``rounds`` the search goes on until no pattern is added.
     """
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text", text)
-    none = F.array().cast("array<struct<start:int,rank:int,end:int,pattern:string,value:string>>")
-    rows = rows.withColumn("base", F.concat(*[F.coalesce(_base(F.col("text"), r), none) for r in range(len(KINDS))]))
-
-    def value(start, end, gap, match):
-        return F.struct(start.alias("start"), end.alias("end"), _before(gap).alias("pattern"), match.alias("value"))
-
-    open_ = F.when(F.col("text").rlike("[0-9]{4}"), _walk(F.col("text"), VALUE, value))
-    apart = lambda c: c["pattern"].isNotNull() & ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-    rows = rows.withColumn("open", F.filter(open_, apart))
-    narrow = rows.select("doc_id", F.xxhash64("text").alias("content"), "base", "open")
-    narrow = cut(narrow)
-    # pattern-instance graph: seeds, and values that may be discovered
-    seeds = narrow.select(F.explode("base").alias("s")).select("s.pattern", F.xxhash64("s.value").alias("value"), "s.rank").filter("pattern IS NOT NULL")
-    patterns = seeds.groupBy("pattern", "rank").agg(F.count(F.lit(1)).alias("hits"), F.count_distinct("value").alias("kinds"))
-    patterns = patterns.groupBy("pattern").agg(F.sum("hits").alias("hits"), F.sum("kinds").alias("seeds"), F.max_by("rank", F.struct("kinds", -F.col("rank"))).alias("rank"))
-    patterns = patterns.filter(F.col("seeds") >= least_seeds)
-    # all tokens that follow a word, over the whole corpus; the word alone is counted
-    words = rows.select(F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("w")).select(_word(F.col("w")).alias("pattern"))
-    follow = words.groupBy("pattern").agg(F.count(F.lit(1)).alias("followers"))
-    patterns = cut_small(patterns.join(follow, "pattern"))
-    values = narrow.select("doc_id", "content", F.explode("open").alias("v")).select("doc_id", "content", "v.start", "v.end", "v.pattern", F.xxhash64("v.value").alias("value"))
-    edges = cut_small(values.join(patterns.select("pattern"), "pattern"))
-    scored = patterns.withColumn("score", F.col("hits") / F.col("followers"))
-    for _ in range(turns):
-        # an instance has its best pattern's score, a pattern the mean over all that follows it
-        instances = edges.join(scored.select("pattern", "score"), "pattern").groupBy("value").agg(F.max("score").alias("trust"))
-        gained = edges.join(instances, "value").groupBy("pattern").agg(F.sum("trust").alias("gain"))
-        scored = patterns.join(gained, "pattern", "left").withColumn("score", F.least(F.lit(1.0), (F.col("hits") + F.coalesce("gain", F.lit(0.0))) / F.col("followers")))
-    good = scored.filter(F.col("score") >= least_score).select("pattern", "rank")
-    added = edges.join(good, "pattern").select("doc_id", "content", F.struct("start", "rank", "end").alias("s"))
-    added = added.groupBy("doc_id", "content").agg(F.collect_set("s").alias("added"))
-    out = narrow.join(added.withColumnsRenamed({"doc_id": "_d", "content": "_c"}), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("content") == F.col("_c")), "left")
+    rows = rows.withColumn("content", F.xxhash64("text"))
+    none = F.array().cast(_BASE)
+    base = F.concat(*[F.coalesce(_base(F.col("text"), r), none) for r in range(len(KINDS))])
+    narrow = cut(rows.select("doc_id", "content", base.alias("base")))
+    found = discover(rows, narrow, least_score, least_seeds, least_share, rounds)
     plain = F.array_sort(F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"))))
-    every = F.array_sort(F.concat(plain, F.coalesce("added", F.array().cast(_SPAN))))
+    if found is None:
+        out, every = narrow, plain
+    else:
+        added = found.groupBy("doc_id", "content").agg(F.collect_set(F.struct("start", "rank", "end")).alias("added"))
+        out = narrow.alias("a").join(added.alias("b"), _same_doc("a", "b"), "left").select("a.doc_id", "base", "added")
+        every = F.array_sort(F.concat(plain, F.coalesce("added", F.array().cast(_SPAN))))
     count = lambda r: F.size(F.filter("base", lambda s: s["rank"] == r)).cast("long")
     return out.select("doc_id", *[count(r).alias(f"n_{k}") for r, k in enumerate(KINDS)], F.sha2(_names(plain), 256).alias("base_sha256"), _names(every).alias("spans"))
+
+
+def base_forms(found: DataFrame) -> DataFrame:
+    """What the fixed forms tell, without what patterns add."""
+    return found.drop("spans")
+
+
+_SQL_FORMS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "card": r"[0-9](?:[\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+_SQL_VALID = {
+    "email": "true",
+    "ip": "len(list_filter(string_split(m, '.'), lambda x: len(ltrim(x, '0')) > 3 OR coalesce(TRY_CAST(ltrim(x, '0') AS INT), 0) > 255)) = 0",
+    "card": """len(d) BETWEEN 14 AND 19 AND list_sum(list_transform(range(0, len(d)), lambda i: CASE WHEN i % 2 = 0 THEN CAST(d[len(d) - i] AS INT)
+      WHEN CAST(d[len(d) - i] AS INT) > 4 THEN 2 * CAST(d[len(d) - i] AS INT) - 9 ELSE 2 * CAST(d[len(d) - i] AS INT) END)) % 10 = 0""",
+    "phone": "len(d) BETWEEN 10 AND 15",
+}
+_PARTS = " UNION ALL ".join(
+    f"""SELECT doc_id, {r} AS r, '{k}' AS kind, s, s + len(m) AS e FROM (SELECT doc_id, m, regexp_replace(m, '[^0-9]', '', 'g') AS d,
+      sum(len(g) + coalesce(len(m), 0)) OVER (PARTITION BY doc_id ORDER BY i) - len(m) AS s FROM (SELECT doc_id, unnest(range(1, len(g) + 1)) AS i, unnest(g) AS g, unnest(list_append(m, NULL)) AS m
+      FROM (SELECT doc_id, string_split_regex(t, '{f}') AS g, regexp_extract_all(t, '{f}') AS m FROM d))) WHERE m IS NOT NULL AND {_SQL_VALID[k]}"""
+    for r, (k, f) in enumerate(_SQL_FORMS.items())
+)
+SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), x AS ({_PARTS}),
+y AS (SELECT doc_id, {", ".join(f"count(*) FILTER (WHERE r = {r}) AS n_{k}" for r, k in enumerate(KINDS))}, string_agg(kind || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT), ',' ORDER BY s, r, e) AS names FROM x GROUP BY doc_id)
+SELECT d.doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in KINDS)}, sha256(coalesce(names, '')) AS base_sha256 FROM d LEFT JOIN y ON d.doc_id = y.doc_id
+"""

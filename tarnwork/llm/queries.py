@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-from tarnwork.llm import bitsliced, lines, phrases, suffixes
+from tarnwork.llm import bitsliced, lines, mixing, neardup, phrases, pii, postings, suffixes
 from tarnwork.llm.common import table
-from tarnwork.llm.mixing import mix_sources
-from tarnwork.llm.neardup import near_duplicates
 from tarnwork.llm.pieces import encode
-from tarnwork.llm.pii import find_personal_data
-from tarnwork.llm.postings import nearest_vectors
 from tarnwork.llm.quality import grade_documents
 
 
 def op4_mix_sources(spark, sf_dir):
-    return mix_sources(table(spark, sf_dir, "documents"))
+    return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
 def op1_repeated_lines(spark, sf_dir):
@@ -26,7 +22,17 @@ def op1_repeated_long_lines(spark, sf_dir):
 
 
 def op2_personal_data(spark, sf_dir):
-    return find_personal_data(table(spark, sf_dir, "documents"))
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
+def op2_base_forms(spark, sf_dir):
+    """The columns of op2_personal_data that SQL can state."""
+    return pii.base_forms(op2_personal_data(spark, sf_dir))
+
+
+def op4_source_targets(spark, sf_dir):
+    """The columns of op4_mix_sources that SQL can state."""
+    return mixing.source_targets(op4_mix_sources(spark, sf_dir))
 
 
 def op3_grade_quality(spark, sf_dir):
@@ -34,7 +40,7 @@ def op3_grade_quality(spark, sf_dir):
 
 
 def op5_nearest_vectors(spark, sf_dir):
-    return nearest_vectors(table(spark, sf_dir, "embeddings"))
+    return postings.nearest_vectors(table(spark, sf_dir, "embeddings"))
 
 
 def op6_exact_top(spark, sf_dir):
@@ -54,7 +60,7 @@ def op9_suffix_dedup(spark, sf_dir):
 
 
 def op10_near_duplicates(spark, sf_dir):
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
@@ -69,10 +75,17 @@ QUERIES = {
     "op8_sample_pieces": op8_sample_pieces,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_near_duplicates": op10_near_duplicates,
+    "op2_base_forms": op2_base_forms,
+    "op4_source_targets": op4_source_targets,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_repeated_lines": lines.SQL,
     "op1_repeated_long_lines": lines.SQL_LONG,
+    "op2_base_forms": pii.SQL,
+    "op4_source_targets": mixing.SQL,
+    "op5_nearest_vectors": postings.SQL,
     "op6_exact_top": bitsliced.SQL,
     "op7_repeated_phrases": phrases.SQL,
+    "op9_suffix_dedup": suffixes.SQL,
+    "op10_near_duplicates": neardup.SQL,
 }
