@@ -28,32 +28,41 @@ ENTRIES = 600_000
 LAST = np.int64(2**63 - 1)
 
 
-def put_ints(*columns: tuple[np.ndarray, bool]) -> bytes:
-    """Integer columns of one length, each marked as ascending or not, in few bytes."""
-    out = []
+_squeeze, _unsqueeze = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
+def squeeze(data: bytes) -> bytes:
+    return _squeeze.compress(data)
+
+
+def unsqueeze(data: bytes) -> bytes:
+    return _unsqueeze.decompress(data)
+
+
+def put_ints(*columns: tuple[np.ndarray, bool], tail: bytes = b"") -> bytes:
+    """Integer columns, each marked as ascending or not, and other bytes, in few bytes."""
+    heads, planes = [struct.pack("<B", len(columns))], []
     for values, ascending in columns:
         v = values.astype(U64)
         if ascending and len(v):
             v = np.diff(v, prepend=U64(0))
         width = max(1, (int(v.max()).bit_length() + 7) // 8) if len(v) else 1
-        planes = np.ascontiguousarray(v.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
-        body = zstandard.ZstdCompressor(level=1).compress(planes)
-        out.append(struct.pack("<IBBI", len(v), width, ascending, len(body)) + body)
-    return b"".join(out)
-
-
-def get_ints(data: bytes) -> list[np.ndarray]:
-    out, at = [], 0
-    while at < len(data):
-        n, width, ascending, size = struct.unpack_from("<IBBI", data, at)
-        at += 10
-        planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[at : at + size], max_output_size=n * width), np.uint8)
-        at += size
+        planes.append(np.ascontiguousarray(v.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes())
+        heads.append(struct.pack("<IBB", len(v), width, ascending))
+    return b"".join(heads) + squeeze(b"".join([*planes, tail]))
+
+
+def get_ints(data: bytes, tail: bool = False) -> list:
+    """The columns, and with ``tail`` the other bytes after them."""
+    kinds = [struct.unpack_from("<IBB", data, 1 + 6 * k) for k in range(data[0])]
+    body, at, out = unsqueeze(data[1 + 6 * len(kinds) :]), 0, []
+    for n, width, ascending in kinds:
         v = np.zeros((n, 8), np.uint8)
-        v[:, :width] = planes.reshape(width, n).T
+        v[:, :width] = np.frombuffer(body, np.uint8, n * width, at).reshape(width, n).T
+        at += n * width
         v = v.reshape(-1).view(U64)
         out.append(np.cumsum(v) if ascending else v)
-    return out
+    return [*out, body[at:]] if tail else out
 
 
 class Block:

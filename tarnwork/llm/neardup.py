@@ -26,7 +26,6 @@ from tarnwork.llm.bytesops import U64, Prefix, lower_ascii, mix, tokens, word_sp
 from tarnwork.llm.common import cut
 from tarnwork.llm.components import components
 from tarnwork.llm.phrases import join_words
-from tarnwork.llm.repeats import squeeze, unsqueeze
 
 SHINGLE, BANDS, ROWS, BITS = 5, 48, 4, 2
 LONGS = -(-BANDS * ROWS * BITS // 64)
@@ -190,7 +189,7 @@ def _words(flat, start, end, cuts) -> pa.Array:
     """The documents' words, each joined and packed."""
     text = join_words(flat, start, end, cuts)
     edge, data = np.frombuffer(text.buffers()[1], np.int32), memoryview(text.buffers()[2])
-    return pa.array([squeeze(data[a:z]) for a, z in zip(edge[:-1].tolist(), edge[1:].tolist())], pa.binary())
+    return pa.array([B.squeeze(data[a:z]) for a, z in zip(edge[:-1].tolist(), edge[1:].tolist())], pa.binary())
 
 
 def _fine(flat, start, end, cuts) -> pa.Array:
@@ -201,7 +200,7 @@ def _fine(flat, start, end, cuts) -> pa.Array:
 
 def _similar(left: list[bytes], right: list[bytes]) -> np.ndarray:
     """Whether the documents of each pair, given by their words, are similar enough."""
-    texts = [unsqueeze(x) for pair in zip(left, right) for x in pair]
+    texts = [B.unsqueeze(x) for pair in zip(left, right) for x in pair]
     flat = np.frombuffer(b"".join(texts), np.uint8)
     start, end, cuts = word_spans(flat, np.concatenate([[0], np.cumsum([len(t) for t in texts])]))
     doc, kind = exact_shingles(tokens(flat, start, end)[0], cuts)

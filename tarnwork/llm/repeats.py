@@ -17,15 +17,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 
 from tarnwork.llm import blocks as B
 from tarnwork.llm.bytesops import U64, Prefix, member, mix, sliding_min, tokens
 from tarnwork.llm.common import cut, partitions
 
-#: Segments that a bucket should hold about, and the share of all segments that are expected to recur.
-SEGMENTS, SHARE = 30_000, 0.3
+#: The share of all segments that are expected to recur.
+SHARE = 0.3
 
 
 class Windows:
@@ -56,18 +55,12 @@ class Windows:
         self.owner = ids[self.doc]
 
 
-def squeeze(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(data)
-
-
-def unsqueeze(data: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(data)
-
-
 class Sequences:
-    """Segments of words or lines. ``read(b)`` gives the block's tokens: start, end, documents' offsets, and which
+    """Segments of words or lines, about ``segments`` of them in a bucket. ``read(b)`` gives the block's tokens: start, end, documents' offsets, and which
     of them are a second symbol of the token before (null: none)."""
 
+    segments = 60_000
+
     def __init__(self, read, resolve, n: int, k: int, per_byte: float):
         self.read, self.resolve, self.n, self.k, self.per_byte = read, resolve, n, k, per_byte
 
@@ -108,18 +101,15 @@ class Sequences:
         out = []
         for a, z in zip(start.tolist(), stop.tolist()):
             s, t = upto[a], upto[z]
-            head = B.put_ints((count[a:z], False), (owner[a:z].view(U64), False), (second[s:t], False))
-            out.append(len(head).to_bytes(4, "little") + head + squeeze(text[ends[s] : ends[t]].tobytes()))
+            out.append(B.put_ints((count[a:z], False), (owner[a:z].view(U64), False), (second[s:t], False), tail=text[ends[s] : ends[t]].tobytes()))
         return out
 
     def combine(self, runs: list[bytes]):
         """(entries of each run, late windows' entries and places) of a bucket."""
         count, owner, second, texts = [], [], [], []
         for r in runs:
-            size = int.from_bytes(r[:4], "little")
-            c, o, s = B.get_ints(r[4 : 4 + size])
-            count.append(c.astype(np.int64)), owner.append(o.view(np.int64)), second.append(s > 0)
-            texts.append(unsqueeze(r[4 + size :]))
+            c, o, s, text = B.get_ints(r, tail=True)
+            count.append(c.astype(np.int64)), owner.append(o.view(np.int64)), second.append(s > 0), texts.append(text)
         sizes = [len(c) for c in count]
         count, owner, second = np.concatenate(count), np.concatenate(owner), np.concatenate(second)
         flat = np.frombuffer(b"".join(texts), np.uint8)
@@ -169,7 +159,7 @@ class Plan:
         anchors = size * kind.per_byte * 2 / (kind.n - kind.k + 2)
         least = int(np.ceil(np.log2(2 * parts)))
         self.bits = max(least, B.bucket_bits(anchors))
-        self.segment_bits = max(least, B.bucket_bits(anchors * SHARE, SEGMENTS))
+        self.segment_bits = max(least, B.bucket_bits(anchors * SHARE, kind.segments))
         self.drop = 64 - min(64, max(32, int(np.ceil(np.log2(max(2.0, anchors)))) + 14))
 
 

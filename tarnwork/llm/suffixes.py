@@ -34,7 +34,7 @@ def common_bytes(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 class Suffixes:
     """Suffixes as symbols of eight bytes: from the anchor on, then backwards before it, then both lengths."""
 
-    per_byte = 1.0
+    per_byte, segments = 1.0, 100_000
 
     def __init__(self, n: int, k: int):
         self.n, self.k = n, k
@@ -65,27 +65,27 @@ class Suffixes:
         differ[1:] = rows[1:] != rows[:-1]
         shared = np.where(differ.any(axis=1), np.argmax(differ, axis=1), rows.shape[1])
         shared[start] = 0
-        out = []
-        for a, z in zip(start.tolist(), stop.tolist()):
-            tails = [(rows[a:z, d][shared[a:z] <= d], False) for d in range(rows.shape[1])]
-            out.append(B.put_ints((shared[a:z], False), (owner[a:z].view(U64), False), *tails))
-        return out
+        own = shared[:, None] <= np.arange(rows.shape[1])
+        tails, upto = rows[own].astype(">u8"), np.concatenate([[0], np.cumsum(own.sum(axis=1))])
+        return [B.put_ints((shared[a:z], False), (owner[a:z].view(U64), False), tail=tails[upto[a] : upto[z]].tobytes()) for a, z in zip(start.tolist(), stop.tolist())]
 
     def combine(self, parts: list[bytes]):
-        lists, commons, symbols, owners = [], [], [], []
-        for part in parts:
-            shared, owner, *tails = B.get_ints(part)
-            shared = shared.astype(np.int64)
-            full = np.empty((len(tails), len(shared)), U64)
-            for d, tail in enumerate(tails):
-                own = shared <= d
-                full[d] = tail[np.cumsum(own) - 1]
-            symbols.append(full), owners.append(owner.view(np.int64))
-            lists.append([x.tolist() for x in full]), commons.append(shared.tolist())
-        sizes = [len(c) for c in commons]
-        run, at, common = (np.array(x, np.int64) for x in merge(lists, commons))
-        order = np.concatenate([[0], np.cumsum(sizes)])[run] + at
-        entry, t = self.resolve(np.concatenate(symbols, axis=1)[:, order], np.concatenate(owners)[order], common)
+        got = [B.get_ints(part, tail=True) for part in parts]
+        sizes = [len(g[0]) for g in got]
+        shared, owner = np.concatenate([g[0] for g in got]).astype(np.int64), np.concatenate([g[1] for g in got]).view(np.int64)
+        depth = self.ahead + self.behind + 1
+        symbols = np.empty((len(shared), depth), U64)
+        own = shared[:, None] <= np.arange(depth)
+        symbols[own] = np.frombuffer(b"".join(g[2] for g in got), ">u8")
+        # a run's first suffix shares nothing, so what is shared is in the same run
+        last = np.maximum.accumulate(np.where(own, np.arange(len(shared))[:, None], 0), axis=0)
+        symbols = np.ascontiguousarray(np.take_along_axis(symbols, last, axis=0).T)
+        base = np.concatenate([[0], np.cumsum(sizes)])
+        pairs = list(zip(base[:-1].tolist(), base[1:].tolist()))
+        columns, commons = [x.tolist() for x in symbols], shared.tolist()
+        run, at, common = (np.array(x, np.int64) for x in merge([[c[a:z] for c in columns] for a, z in pairs], [commons[a:z] for a, z in pairs]))
+        order = base[run] + at
+        entry, t = self.resolve(symbols[:, order], owner[order], common)
         return sizes, order[entry], t
 
     def resolve(self, symbols: np.ndarray, owner: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
