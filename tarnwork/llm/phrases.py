@@ -1,9 +1,9 @@
 """Removal of word passages that also occur in an earlier document, by phrase automata.
 
-Every window of words belongs to one shard, that of its anchor (see ``repeats``). A shard confirms
-which windows of what it receives recur, compiles each, as its earliest owner has it, into an
-Aho-Corasick automaton over words, and streams the passages of all documents that have one of its
-anchors through it. The occurrences that the automaton reports, and these alone, are removed from the
+Every window of words belongs to one shard, that of its anchor (see ``repeats``), and every document's
+passages go to the shards of their anchors. A shard confirms which windows of what it receives recur,
+compiles each, as its earliest owner has it, into an Aho-Corasick automaton over words, and streams the
+passages that hold any through it. The occurrences that the automaton reports, and these alone, are removed from the
 documents that come after a window's first owner.
 """
 
@@ -49,29 +49,44 @@ def automaton(names: list[int], start: list[int], size: int, owner: list[int]):
     return out
 
 
-def locate(number: np.ndarray, count: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Occurrences (entry, place) of windows that an earlier owner holds too, among entries of ``count`` windows each."""
-    begin = np.cumsum(count + n - 1) - (count + n - 1)
+#: Passages that an automaton should be compiled from about: a small one stays in the processor's cache.
+SHARD = 2000
+
+
+def locate(number: np.ndarray, count: np.ndarray, owner: np.ndarray, n: int, shard: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Occurrences (entry, place) of windows that an earlier owner holds too, among entries of ``count`` windows each.
+
+    Entries that can have a window in common have equal ``shard`` numbers.
+    """
+    size = count + n - 1
+    begin = np.cumsum(size) - size
     entry = np.repeat(np.arange(len(count)), count)
     place = np.arange(len(entry)) - np.repeat(np.cumsum(count) - count, count) + begin[entry]
     # the automaton holds what several owners have, as the first of them has it
     key, own = Prefix(mix(number.astype(U64), 4)).grams(n)[place], owner[entry]
     order = np.lexsort((own, key))
-    key, own, place = key[order], own[order], place[order]
+    key, own, place, entry = key[order], own[order], place[order], entry[order]
     new = np.ones(len(key), bool)
     new[1:] = key[1:] != key[:-1]
     first = np.flatnonzero(new)
     several = np.maximum.reduceat(own, first) != own[first] if len(first) else new
+    # passages with such a window are streamed, shard by shard
+    streamed = np.unique(entry[np.repeat(several, np.diff(np.append(first, len(key))))])
     first = first[several]
+    part = mix(shard, 3) % U64(len(count) // SHARD + 1)
+    compiled, streamed = first[np.argsort(part[entry[first]], kind="stable")], streamed[np.argsort(part[streamed], kind="stable")]
+    parts = np.unique(part[streamed])
+    edges = [np.searchsorted(part[x], parts, side=side) for x in (entry[compiled], streamed) for side in ("left", "right")]
+    names = number.tolist()
     entries, places = [], []
-    if len(first):
-        names = number.tolist()
-        found = automaton(names, place[first].tolist(), n, own[first].tolist())
-        for e, (a, size, mine) in enumerate(zip(begin.tolist(), (count + n - 1).tolist(), owner.tolist())):
-            for at, one in found.iter(tuple(names[a : a + size])):
+    for a, z, lo, hi in zip(*(e.tolist() for e in edges)):
+        found = automaton(names, place[compiled[a:z]].tolist(), n, own[compiled[a:z]].tolist())
+        who = streamed[lo:hi]
+        for e, at, many, mine in zip(who.tolist(), begin[who].tolist(), size[who].tolist(), owner[who].tolist()):
+            for end, one in found.iter(tuple(names[at : at + many])):
                 if one < mine:
                     entries.append(e)
-                    places.append(at - n + 1)
+                    places.append(end - n + 1)
     return np.array(entries, np.int64), np.array(places, np.int64)
 
 

@@ -68,13 +68,15 @@ class Sequences:
         start, end, cuts, second = self.read(b)
         number, hashes = tokens(b.flat, start, end)
         hashes = hashes[number]
+        w = Windows(self.grams(hashes, second), cuts, b.ids, self.n, self.k)
+        w.flat, w.start, w.end, w.second = b.flat, start, end, second
+        w.number = number if second is None else number * 2 + second
+        return w
+
+    def grams(self, hashes: np.ndarray, second: np.ndarray | None) -> np.ndarray:
         if second is not None:
-            number = number * 2 + second
             hashes = np.where(second, mix(hashes, 12), hashes)
-        grams = mix(hashes, 1) if self.k == 1 else Prefix(hashes).grams(self.k)
-        w = Windows(grams, cuts, b.ids, self.n, self.k)
-        w.flat, w.start, w.end, w.number, w.second = b.flat, start, end, number, second
-        return w
+        return mix(hashes, 1) if self.k == 1 else Prefix(hashes).grams(self.k)
 
     def rows(self, w: Windows, which: np.ndarray) -> np.ndarray:
         """The segments' content in a row each, by the block's own numbers."""
@@ -114,11 +116,15 @@ class Sequences:
         count, owner, second = np.concatenate(count), np.concatenate(owner), np.concatenate(second)
         flat = np.frombuffer(b"".join(texts), np.uint8)
         end = np.flatnonzero(flat == 0x0A)
-        number, _ = tokens(flat, np.concatenate([[0], end[:-1] + 1]) if len(end) else end, end)
-        return sizes, *self.resolve(number * 2 + second, count, owner, self.n)
+        number, hashes = tokens(flat, np.concatenate([[0], end[:-1] + 1]) if len(end) else end, end)
+        # an entry's windows have one anchor, which is the least gram of the first
+        begin = np.cumsum(count + self.n - 1) - (count + self.n - 1)
+        grams = self.grams(hashes[number], second) >> U64(32)
+        shard = np.min(grams[begin[:, None] + np.arange(self.n - self.k + 1)], axis=1) if len(begin) else begin.astype(U64)
+        return sizes, *self.resolve(number * 2 + second, count, owner, self.n, shard)
 
 
-def by_pairs(number: np.ndarray, count: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+def by_pairs(number: np.ndarray, count: np.ndarray, owner: np.ndarray, n: int, _) -> tuple[np.ndarray, np.ndarray]:
     """Windows of two symbols that an earlier owner holds too."""
     size = count + 1
     entry = np.repeat(np.arange(len(count)), count)

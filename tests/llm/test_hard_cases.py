@@ -95,10 +95,10 @@ def test_no_automaton_no_removal(spark, monkeypatch):
 
     number = np.array([*range(20), *range(20)])
     count, owner = np.array([8, 8]), np.array([1, 2])
-    entry, place = phrases.locate(number, count, owner, 13)
+    entry, place = phrases.locate(number, count, owner, 13, np.zeros(2, np.uint64))
     assert entry.tolist() == [1] * 8 and place.tolist() == list(range(8))
     monkeypatch.setattr(phrases, "automaton", lambda *a: Nothing())
-    assert not len(phrases.locate(number, count, owner, 13)[0])
+    assert not len(phrases.locate(number, count, owner, 13, np.zeros(2, np.uint64))[0])
 
 
 def test_columns_of_any_name(spark):
