@@ -7,9 +7,9 @@ only discard what is far off (under ``least - margin``, over six standard errors
 confirmed on the words themselves.
 
 Groups of copies don't make pairs: documents of equal words are one node (by SHA-256 of their words),
-and in a band's bucket all members are first compared with one leader (``rounds`` times, with another
-each time), and only members that are then still in different components are compared with each other.
-For these few documents a finer signature, 512 minima of four bits, discards what is far off.
+and in a band's bucket all members are first compared with one leader, the member that meets most others
+in all bands (``rounds`` times, with another each time), and only members that are then still in
+different components are compared with each other. For these few documents a finer signature, 512 minima of four bits, discards what is far off.
 """
 
 from __future__ import annotations
@@ -247,9 +247,13 @@ def near_duplicates(docs: DataFrame, block_bytes: int = B.BLOCK, rounds: int = 1
     nodes = cut(live.groupBy("content").agg(first).select("content", "first.*"))
     copies = live.select("doc_id", "content").join(nodes.select("content", F.col("doc_id").alias("v")), "content").select(F.col("doc_id").alias("u"), "v")
     banded = nodes.select(F.posexplode("bands").alias("band", "key"), F.col("doc_id").alias("u"))
-    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("many")).filter("many > 1").select("key")
+    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("many")).filter("many > 1")
     banded = cut(banded.join(shared, "key"))
+    # who meets most others in all bands is most likely what the others were made from
+    central = banded.groupBy("u").agg(F.sum("many").alias("u_met"))
+    banded = banded.drop("many")
     facts = nodes.select(F.col("doc_id").alias("u"), F.col("block").alias("u_block"), F.col("n_shingles").alias("u_n"), F.col("bits").alias("u_bits"))
+    facts = cut(facts.join(central, "u"))
     near = _near("u_bits", "v_bits", "u_n", "v_n")
     as_v = [F.col(f"u{x}").alias(f"v{x}") for x in ("", "_block", "_n", "_bits")]
     links, roots = cut(copies.filter("u != v")), None
@@ -263,7 +267,7 @@ def near_duplicates(docs: DataFrame, block_bytes: int = B.BLOCK, rounds: int = 1
             members = members.withColumn("root", F.col("u"))
         members = cut(members).join(facts, "u")
         if turn < rounds:
-            order = F.xxhash64("u", F.lit(turn)) if turn else F.col("u")
+            order = F.xxhash64("u", F.lit(turn)) if turn else F.struct(-F.col("u_met"), F.col("u"))
             lead = members.groupBy("key").agg(F.min_by(F.struct(*as_v, F.col("root").alias("v_root")), order).alias("lead")).select("key", "lead.*")
             pairs = members.join(lead, "key").filter((F.col("root") != F.col("v_root")) & near)
         else:

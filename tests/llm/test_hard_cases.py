@@ -120,3 +120,18 @@ def test_one_very_long_text(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert ordered(phrases.digest(phrases.remove_phrases(df)).collect()) == ordered(plain.phrases(rows))
     assert ordered(suffixes.digest(suffixes.remove_repeats(df)).collect()) == ordered(plain.suffixes(rows))
+
+
+def test_copies_that_are_only_near_their_original(spark):
+    """The original comes last and the copies are far from each other: all are linked, through it."""
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    rows = []
+    for i in range(150):
+        w = list(base)
+        for at in range(i % 11, 120, 40):
+            w[at] = f"v{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    rows.append((1000, " ".join(base)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert ordered(neardup.near_duplicates(df).collect()) == ordered(plain.near(rows))
