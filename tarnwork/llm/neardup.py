@@ -9,7 +9,8 @@ confirmed on the words themselves.
 Groups of copies don't make pairs: documents of equal words are one node (by SHA-256 of their words),
 and in a band's bucket all members are first compared with one leader, the member that meets most others
 in all bands (``rounds`` times, with another each time), and only members that are then still in
-different components are compared with each other. For these few documents a finer signature, 512 minima of four bits, discards what is far off.
+different components are compared with each other. For these few documents a parity sketch discards pairs for certain: each shingle turns one bit of 2048,
+so that two sketches differ in no more bits than the sets in shingles, and a link allows few of those.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ LONGS = -(-BANDS * ROWS * BITS // 64)
 #: Similarity is least[0] / least[1] or more.
 LEAST = (75, 100)
 MARGIN = 0.25
-FINE, FINE_BITS, FINE_MARGIN = 512, 4, 0.13
+SKETCH = 2048
 
 
 def words_of(b: B.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -104,14 +105,13 @@ def signatures(h: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return keys, packed
 
 
-def fine_signatures(h: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-    """Packed low bits of the many minima that tell apart what the first signature can't."""
-    lanes = 64 // FINE_BITS
-    out = np.zeros((len(cuts) - 1, FINE // lanes), U64)
-    for k, a in enumerate(_odd(FINE, 37)):
-        low = mix(np.minimum.reduceat(h * a, cuts[:-1]), 2) & U64((1 << FINE_BITS) - 1)
-        out[:, k // lanes] |= low << U64(FINE_BITS * (k % lanes))
-    return out
+def sketches(h: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Packed parities of the numbers of shingles that fall on each bit."""
+    n = len(cuts) - 1
+    doc = np.repeat(np.arange(n), np.diff(cuts))
+    bit = (mix(h, 71) % U64(SKETCH)).astype(np.int64)
+    odd = np.bincount(doc * SKETCH + bit, minlength=n * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(n, SKETCH), axis=1, bitorder="little").view(U64)
 
 
 _SIGNED = "block long, doc_id long, n_shingles long, content binary, bands array<long>, bits array<long>"
@@ -153,15 +153,12 @@ def _near(a_bits: str, b_bits: str, a_n: str, b_n: str):
     return sizes & (_estimate(a_bits, b_bits) >= p / q - MARGIN)
 
 
-def _fine_near(a: str, b: str):
-    def apart(x, y):
-        z = x.bitwiseXOR(y)
-        z = z.bitwiseOR(F.shiftrightunsigned(z, 1))
-        return F.bit_count(z.bitwiseOR(F.shiftrightunsigned(z, 2)).bitwiseAND(F.lit(0x1111111111111111)))
-
-    differ = F.aggregate(F.zip_with(a, b, apart), F.lit(0), lambda t, x: t + x)
-    chance = 1.0 / (1 << FINE_BITS)
-    return (1 - differ / F.lit(float(FINE)) - chance) / (1 - chance) >= LEAST[0] / LEAST[1] - FINE_MARGIN
+def _may_link(a: str, b: str, a_n: str, b_n: str):
+    """False only for pairs whose sets differ in more shingles than a link allows."""
+    p, q = LEAST
+    differ = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    # of sets that are similar to p / q, a share (q - p) / (q + p) of both sizes at most differs
+    return differ * (p + q) <= (F.col(a_n) + F.col(b_n)) * (q - p)
 
 
 def describe(packed: DataFrame, wanted: DataFrame, of, schema: str) -> DataFrame:
@@ -192,8 +189,8 @@ def _words(flat, start, end, cuts) -> pa.Array:
     return pa.array([B.squeeze(data[a:z]) for a, z in zip(edge[:-1].tolist(), edge[1:].tolist())], pa.binary())
 
 
-def _fine(flat, start, end, cuts) -> pa.Array:
-    bits = fine_signatures(*shingles(flat, start, end, cuts))
+def _sketch(flat, start, end, cuts) -> pa.Array:
+    bits = sketches(*shingles(flat, start, end, cuts))
     at = np.arange(len(bits) + 1, dtype=np.int32) * bits.shape[1]
     return pa.ListArray.from_arrays(pa.array(at), pa.array(bits.reshape(-1).view(np.int64)))
 
@@ -271,12 +268,12 @@ def near_duplicates(docs: DataFrame, block_bytes: int = B.BLOCK, rounds: int = 1
             lead = members.groupBy("key").agg(F.min_by(F.struct(*as_v, F.col("root").alias("v_root")), order).alias("lead")).select("key", "lead.*")
             pairs = members.join(lead, "key").filter((F.col("root") != F.col("v_root")) & near)
         else:
-            fine = describe(packed, members.select(F.col("u_block").alias("block"), F.col("u").alias("id")), _fine, "array<long>")
-            fine = fine.join(nodes.select(F.col("doc_id").alias("id"), "bands"), "id").select(F.col("id").alias("u"), F.col("told").alias("u_fine"), F.col("bands").alias("u_bands"))
-            members = members.join(fine, "u")
-            other = members.select(F.col("key").alias("v_key"), *as_v, F.col("root").alias("v_root"), F.col("u_fine").alias("v_fine"), F.col("u_bands").alias("v_bands"))
+            finer = describe(packed, members.select(F.col("u_block").alias("block"), F.col("u").alias("id")), _sketch, "array<long>")
+            finer = finer.join(nodes.select(F.col("doc_id").alias("id"), "bands"), "id").select(F.col("id").alias("u"), F.col("told").alias("u_sketch"), F.col("bands").alias("u_bands"))
+            members = members.join(finer, "u")
+            other = members.select(F.col("key").alias("v_key"), *as_v, F.col("root").alias("v_root"), F.col("u_sketch").alias("v_sketch"), F.col("u_bands").alias("v_bands"))
             first_band = F.array_position(F.zip_with("u_bands", "v_bands", lambda x, y: x == y), F.lit(True)) == F.col("band") + 1
-            pairs = members.join(other, (F.col("key") == F.col("v_key")) & (F.col("root") < F.col("v_root")) & near & first_band & _fine_near("u_fine", "v_fine"))
+            pairs = members.join(other, (F.col("key") == F.col("v_key")) & (F.col("root") < F.col("v_root")) & near & first_band & _may_link("u_sketch", "v_sketch", "u_n", "v_n"))
         pairs = cut(pairs.select("u", "u_block", "v", "v_block").distinct())
         roots = components(links.unionByName(confirm(packed, pairs)))
         # the stars stand for all links so far

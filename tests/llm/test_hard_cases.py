@@ -135,3 +135,13 @@ def test_copies_that_are_only_near_their_original(spark):
     rows.append((1000, " ".join(base)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert ordered(neardup.near_duplicates(df).collect()) == ordered(plain.near(rows))
+
+
+def test_sketches_differ_in_no_more_bits_than_sets_in_shingles():
+    rng = np.random.default_rng(5)
+    pool = rng.integers(0, 2**63, 400, dtype=np.uint64)
+    sets = [np.unique(rng.choice(pool, rng.integers(1, 300), replace=False)) for _ in range(40)]
+    bits = neardup.sketches(np.concatenate(sets), np.concatenate([[0], np.cumsum([len(x) for x in sets])]))
+    for i in range(40):
+        for j in range(i):
+            assert np.bitwise_count(bits[i] ^ bits[j]).sum() <= len(np.setxor1d(sets[i], sets[j]))
