@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -21,6 +22,7 @@ PATTERNS = (
 )
 LITERAL = r"\"([^\"\n]{16,200})\"|'([^'\n]{16,200})'"
 LOW_BELOW, MEDIUM_BELOW = 3.0, 4.0
+_COMPILED, _QUOTED = [(k, re.compile(p)) for k, p in PATTERNS], re.compile(LITERAL)
 _SECRET = T.StructType([T.StructField("kind", T.StringType()), T.StructField("length", T.IntegerType()), T.StructField("entropy_class", T.StringType()), T.StructField("line", T.IntegerType())])
 SECRETS = T.StructType([T.StructField("redacted", T.StringType()), T.StructField("secrets", T.ArrayType(_SECRET))])
 
@@ -66,32 +68,45 @@ def class_of(text: str) -> str:
     return "LOW" if b < LOW_BELOW else "MEDIUM" if b < MEDIUM_BELOW else "HIGH"
 
 
+def _shaped(text: str) -> Iterator[tuple[int, int, str]]:
+    """All secret-shaped spans, those of higher precedence first; they may touch each other."""
+    for kind, pattern in _COMPILED:
+        yield from ((*m.span(), kind) for m in pattern.finditer(text))
+    for m in _QUOTED.finditer(text):
+        if class_of(m[m.lastindex]) == "HIGH":
+            yield *m.span(m.lastindex), "GENERIC_HIGH_ENTROPY"
+
+
 def find_secrets(text: str) -> list[tuple[int, int, str]]:
-    """Spans (start, end, kind) by start. An earlier pattern's span keeps later ones that touch it out."""
-    found: list[tuple[int, int, str]] = []
-    clear = lambda a, b: all(b <= s or e <= a for s, e, _ in found)
-    for kind, pattern in PATTERNS:
-        for m in re.finditer(pattern, text):
-            if clear(*m.span()):
-                found.append((*m.span(), kind))
-    for m in re.finditer(LITERAL, text):
-        group = 1 if m.group(1) is not None else 2
-        if class_of(m.group(group)) == "HIGH" and clear(*m.span(group)):
-            found.append((*m.span(group), "GENERIC_HIGH_ENTROPY"))
-    return sorted(found)
+    """Spans (start, end, kind) by start. What touches a span of higher precedence is left out."""
+    line: list[tuple[int, int, str]] = []
+    for span in _shaped(text):
+        # kept spans lie apart on the line, so that only both neighbours can be touched
+        at = bisect_left(line, span)
+        after, before = line[at : at + 1], line[at - 1 : at] if at else []
+        if all(span[1] <= s[0] for s in after) and all(s[1] <= span[0] for s in before):
+            line.insert(at, span)
+    return line
+
+
+def _redacted(text: str, first: int) -> dict:
+    spans = find_secrets(text)
+    breaks = [m.start() for m in re.finditer("\n", text)] if spans else []
+    secrets = [{"kind": kind, "length": z - a, "entropy_class": class_of(text[a:z]), "line": first + bisect_left(breaks, a)} for a, z, kind in spans]
+    marks = [f"<<REDACTED:kind={s['kind'].lower()},len={s['length']},entropy={s['entropy_class'].lower()}>>" for s in secrets]
+    edges = [0, *(x for a, z, _ in spans for x in (a, z)), len(text)]
+    clear = [text[a:z] for a, z in zip(edges[::2], edges[1::2])]
+    return {"redacted": "".join(x for pair in zip(clear, [*marks, ""]) for x in pair), "secrets": secrets}
 
 
 @F.pandas_udf(SECRETS)
 def redact(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     """Text with secrets replaced by placeholders, and what they were; arguments: text, first line number."""
     for texts, first in parts:
-        out = []
-        for text, line in zip(texts, first):
-            secrets, pieces, at = [], [], 0
-            for a, b, kind in find_secrets(text or ""):
-                value = text[a:b]
-                secrets.append({"kind": kind, "length": b - a, "entropy_class": class_of(value), "line": int(line) + text.count("\n", 0, a)})
-                pieces += [text[at:a], f"<<REDACTED:kind={kind.lower()},len={b - a},entropy={class_of(value).lower()}>>"]
-                at = b
-            out.append({"redacted": None if text is None else "".join(pieces) + text[at:], "secrets": secrets})
+        out = [{"redacted": None, "secrets": []} if text is None else _redacted(text, int(line)) for text, line in zip(texts, first)]
         yield pd.DataFrame(out, columns=["redacted", "secrets"])
+
+
+def located(secrets: Column, path: Column) -> Column:
+    """Secrets with the path of the file that they were found in."""
+    return F.transform(secrets, lambda s: s.withField("path", path))

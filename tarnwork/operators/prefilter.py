@@ -66,9 +66,9 @@ def classify(path: Column, head: Column | None = None) -> Column:
 def decide(refs: DataFrame, resolve_classes: tuple = (), path: Column | None = None, head: Column | None = None) -> DataFrame:
     """Adds disposition, file_class, resolved_by, justification, duplicate_of, used_content; drops no row.
 
-    The first finding of an identity, by run and result, is kept; later ones name it.
+    The first finding of an identity, by log (where there is a path), run and result, is kept; later ones name it.
     """
-    w = Window.partitionBy("correlation_id").orderBy("run_index", "result_index")
+    w = Window.partitionBy("correlation_id").orderBy(*[c for c in ("path", "run_index", "result_index") if c in refs.columns])
     rows = refs.withColumn("_path", F.col("uri") if path is None else path)
     path = F.col("_path")
     rows = rows.withColumns({"_n": F.row_number().over(w), "_kept": F.first(F.struct("run_index", "result_index")).over(w)})
@@ -87,6 +87,11 @@ def decide(refs: DataFrame, resolve_classes: tuple = (), path: Column | None = N
     return rows.drop("_n", "_kept", "_class", "_path")
 
 
+def by_class(decisions: DataFrame) -> DataFrame:
+    """Findings of each class of file, whatever became of them."""
+    return decisions.groupBy("file_class").agg(F.count(F.lit(1)).alias("n"))
+
+
 def disposition_counts(decisions: DataFrame) -> DataFrame:
     return decisions.groupBy("disposition").agg(F.count(F.lit(1)).alias("n"))
 
@@ -97,7 +102,7 @@ def resolvable_by_class(decisions: DataFrame) -> DataFrame:
 
 def cross_run_overlap(refs: DataFrame) -> DataFrame:
     """One row: the number of identities found in two runs or more."""
-    pairs = refs.select("correlation_id", "run_index").distinct().groupBy("correlation_id").agg(F.count(F.lit(1)).alias("runs"))
+    pairs = refs.select("correlation_id", F.struct(*[c for c in ("path", "run_index") if c in refs.columns]).alias("run")).distinct().groupBy("correlation_id").agg(F.count(F.lit(1)).alias("runs"))
     return pairs.agg(F.count_if(F.col("runs") > 1).alias("overlap"))
 
 

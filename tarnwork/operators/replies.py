@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -40,16 +41,30 @@ def _need(ok: bool, what: str):
         raise Refused(what)
 
 
+#: Largest number of a line: what the column holds.
+LAST_LINE = 2**31 - 1
+
+
 def _number(x, what: str) -> float:
-    _need(not isinstance(x, bool), what)
+    _need(isinstance(x, (int, float, str)) and not isinstance(x, bool), what)
     try:
-        return float(x)
-    except (TypeError, ValueError):
+        number = float(x)
+    except (ValueError, OverflowError):
         raise Refused(what) from None
+    _need(math.isfinite(number), what)
+    return number
+
+
+def _line(x, what: str) -> int:
+    number = _number(x, what)
+    _need(number == int(number) and 1 <= number <= LAST_LINE, what)
+    return int(number)
 
 
 def _text(x, most: int, what: str) -> str:
     _need(isinstance(x, str) and len(x) <= most, what)
+    # half of a surrogate pair is no character and can't be written
+    _need(not any("\ud800" <= c <= "\udfff" for c in x), what)
     return x
 
 
@@ -58,11 +73,11 @@ def _refs(items) -> list[dict]:
     out = []
     for r in items:
         _need(isinstance(r, dict) and set(r) <= {"path", "line", "end_line", "snippet"} and {"path", "line"} <= set(r), "evidence_lines")
-        line = _number(r["line"], "line")
-        end = line if r.get("end_line") is None else _number(r["end_line"], "end_line")
-        _need(line >= 1 and line == int(line) and end == int(end) and end >= line, "line")
+        line = _line(r["line"], "line")
+        end = line if r.get("end_line") is None else _line(r["end_line"], "end_line")
+        _need(end >= line, "end_line")
         snippet = r.get("snippet")
-        out.append({"path": _text(r["path"], 10**9, "path"), "line": int(line), "end_line": int(end), "snippet": None if snippet is None else _text(snippet, SNIPPET, "snippet")})
+        out.append({"path": _text(r["path"], 10**9, "path"), "line": line, "end_line": end, "snippet": None if snippet is None else _text(snippet, SNIPPET, "snippet")})
     return out
 
 
@@ -75,7 +90,7 @@ def _objections(items, answered: bool) -> list[dict]:
         _refs(o.get("evidence", []))
         done, reply = o.get("rebutted", False), o.get("rebuttal")
         _need(isinstance(done, bool) and (not done or (isinstance(reply, str) and bool(reply.strip()))), "rebuttal")
-        out.append({"claim": _text(o["claim"], CLAIM, "claim"), "rebutted": done, "rebuttal": reply})
+        out.append({"claim": _text(o["claim"], CLAIM, "claim"), "rebutted": done, "rebuttal": None if reply is None else _text(reply, 10**9, "rebuttal")})
     return out
 
 
@@ -85,7 +100,7 @@ def read_reply(raw: str | None, role: str) -> dict:
     try:
         try:
             x = json.loads(raw if raw is not None else "")
-        except ValueError:
+        except (ValueError, RecursionError):
             raise Refused("not JSON") from None
         _need(isinstance(x, dict), "not an object")
         _need(role in FIELDS, "unknown role")
@@ -93,11 +108,11 @@ def read_reply(raw: str | None, role: str) -> dict:
         _need(set(x) <= set(fields), "unknown field")
         said, why = fields[0], fields[2]
         _need({said, "confidence", why} <= set(x), "missing field")
-        _need(x[said] in POSITIONS and not (role == "adversary" and x[said] == "FALSE_POSITIVE"), said)
+        _need(isinstance(x[said], str) and x[said] in POSITIONS and not (role == "adversary" and x[said] == "FALSE_POSITIVE"), said)
         confidence = _number(x["confidence"], "confidence")
         _need(0 <= confidence <= 1, "confidence")
         questions = x.get("unresolved_questions", [])
-        _need(isinstance(questions, list) and all(isinstance(q, str) for q in questions), "unresolved_questions")
+        _need(isinstance(questions, list) and all(_text(q, 10**9, "unresolved_questions") is q for q in questions), "unresolved_questions")
         objections = _objections(x.get(fields[5], []), role == "adjudicator") if len(fields) > 5 else []
         reasoning = _text(x[why], CLAIM if role == "adjudicator" else REASONING, why)
         return blank | {"valid": True, "position": x[said], "confidence": confidence, "reasoning": reasoning, "evidence": _refs(x.get("evidence_lines", [])), "objections": objections, "questions": questions}

@@ -21,7 +21,91 @@ RESULTS = (
 )
 #: Key of the annotation in a result's property bag.
 BAG = "findings/v1"
-_ARRAYS = ("locations", "codeFlows", "suppressions")
+
+
+class Refused(ValueError):
+    pass
+
+
+def _one(kind, null: bool = True):
+    def check(x, where: str):
+        if not (isinstance(x, kind) and not isinstance(x, bool) or (null and x is None)):
+            raise Refused(f"{where} is of another type")
+
+    return check
+
+
+def _whole_number(x, where: str):
+    try:
+        ok = x is None or (not isinstance(x, bool) and float(x) == int(float(x)))
+    except (TypeError, ValueError, OverflowError):
+        ok = False
+    if not ok:
+        raise Refused(f"{where} is no whole number")
+
+
+def _many(item):
+    def check(x, where: str):
+        if not isinstance(x, list):
+            raise Refused(f"{where} is no array")
+        for i, each in enumerate(x):
+            item(each, f"{where}[{i}]")
+
+    return check
+
+
+def _bag(item):
+    def check(x, where: str):
+        if not isinstance(x, dict):
+            raise Refused(f"{where} is no object")
+        for k, each in x.items():
+            item(each, f"{where}.{k}")
+
+    return check
+
+
+def _shape(null: bool = False, needs: tuple = (), **fields):
+    """An object: the named fields, where they are there, are of their shapes; others are kept as they are."""
+
+    def check(x, where: str):
+        if x is None and null:
+            return
+        if not isinstance(x, dict):
+            raise Refused(f"{where} is no object")
+        for k in needs:
+            if x.get(k) is None:
+                raise Refused(f"{where} has no {k}")
+        for k, of in fields.items():
+            if k in x:
+                of(x[k], f"{where}.{k}")
+
+    return check
+
+
+def _named(*names):
+    def check(x, where: str):
+        if x not in names:
+            raise Refused(f"{where} is none of {', '.join(names)}")
+
+    return check
+
+
+_TEXT, _ANY = _one(str), lambda x, where: None
+_MESSAGE = dict(text=_TEXT, markdown=_TEXT)
+_REGION_SHAPE = _shape(True, snippet=_one(dict), **dict.fromkeys(("startLine", "startColumn", "endLine", "endColumn"), _whole_number))
+_PLACE = _shape(True, artifactLocation=_shape(True, uri=_TEXT, uriBaseId=_TEXT, index=_whole_number), region=_REGION_SHAPE)
+_LOCATION = dict(physicalLocation=_PLACE, message=_shape(True, **_MESSAGE))
+_STEP = _shape(location=_shape(True, **_LOCATION), nestingLevel=_whole_number)
+_FLOW = _shape(message=_shape(True, **_MESSAGE), threadFlows=_many(_shape(locations=_many(_STEP))))
+_NOTE = _shape(justification=_TEXT, guid=_TEXT, kind=_named("inSource", "external"), status=_named("accepted", "underReview", "rejected"))
+_RULE = _shape(needs=("id",), id=_TEXT, name=_TEXT, shortDescription=_shape(True, **_MESSAGE), fullDescription=_shape(True, **_MESSAGE))
+_COMPONENT = _shape(needs=("name",), name=_TEXT, version=_TEXT, rules=_many(_RULE))
+_STRINGS = _bag(_one(str, False))
+_RESULT = _shape(
+    ruleId=_TEXT, ruleIndex=_whole_number, level=_TEXT, message=_shape(**_MESSAGE), locations=_many(_shape(**_LOCATION)), codeFlows=_many(_FLOW), suppressions=_many(_NOTE), fingerprints=_STRINGS, partialFingerprints=_STRINGS,
+    properties=_bag(_ANY),
+)
+_RUN = _shape(needs=("tool",), tool=_shape(needs=("driver",), driver=_COMPONENT, extensions=_many(_COMPONENT)), results=_many(_RESULT), properties=_bag(_ANY), automationDetails=_shape(True, id=_TEXT))
 
 
 def check_log(data: bytes) -> tuple[str | None, str | None]:
@@ -29,7 +113,10 @@ def check_log(data: bytes) -> tuple[str | None, str | None]:
     try:
         text = data.decode("utf-8-sig")
         log = json.loads(text)
-    except (UnicodeDecodeError, ValueError) as e:
+        if "\\ud" in text.lower():
+            # half of a surrogate pair is no character and can't be written
+            json.dumps(log, ensure_ascii=False).encode()
+    except (UnicodeError, ValueError, RecursionError) as e:
         return None, f"unreadable: {type(e).__name__}"
     if not isinstance(log, dict):
         return None, "not an object"
@@ -37,12 +124,10 @@ def check_log(data: bytes) -> tuple[str | None, str | None]:
         return None, "version is not 2.1.0"
     if not isinstance(log.get("runs"), list):
         return None, "runs is missing or no array"
-    for run in log["runs"]:
-        if not isinstance(run, dict) or not isinstance(((run.get("tool") or {}).get("driver") or {}).get("name"), str):
-            return None, "run without a tool's name"
-        results = run.get("results", [])
-        if not isinstance(results, list) or any(not isinstance(r, dict) or any(k in r and not isinstance(r[k], list) for k in _ARRAYS) for r in results):
-            return None, "result of another shape"
+    try:
+        _many(_RUN)(log["runs"], "runs")
+    except Refused as e:
+        return None, str(e)
     return text, None
 
 
@@ -71,7 +156,8 @@ def _strings(bag) -> list[tuple[str, str]]:
 
 
 def _whole(x):
-    return int(x) if isinstance(x, (int, float)) and not isinstance(x, bool) and x == int(x) else None
+    """A checked whole number; null where a column of ints can't hold it."""
+    return None if x is None or not -(2**31) <= (n := int(float(x))) < 2**31 else n
 
 
 def rows_of(path: str, raw: str) -> list[dict]:

@@ -18,11 +18,8 @@ def start(spark: SparkSession, folder: str, table_path: str, checkpoint: str, on
     """Appends each batch's identified findings to a Parquet table. Identities depend on a run alone, so batches need no state."""
 
     def write(logs: DataFrame, number: int):
-        found = flatten(logs).withColumn("_log", F.col("path"))
-        # fingerprints are judged within one run of one log
-        found = found.withColumn("run_index", F.xxhash64("_log", "run_index"))
-        out = tell_apart(correlate(found)).withColumn("batch", F.lit(number))
-        out.drop("_log").write.mode("overwrite").parquet(f"{table_path}/batch={number}")
+        out = tell_apart(correlate(flatten(logs))).withColumn("batch", F.lit(number))
+        out.write.mode("overwrite").parquet(f"{table_path}/batch={number}")
 
     stream = log_stream(spark, folder).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (stream.trigger(availableNow=True) if once else stream).start()
