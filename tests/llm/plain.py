@@ -115,3 +115,36 @@ def personal(rows):
         text = ",".join(f"{list(FORMS)[r]}:{a}:{b}" for a, r, b in sorted(spans))
         out.append((i, *counts, sha(text), text))
     return out
+
+
+def long_lines(rows, long=13):
+    """(doc_id, lines, removed) where single lines of many words count as a run, and ``left``: the texts that stay."""
+    return [(i, n, k) for i, n, k, _ in _long(rows, long)]
+
+
+def left(rows, long=13):
+    return [(i, t) for i, _, _, t in _long(rows, long)]
+
+
+def _long(rows, long):
+    split = [[(p, x) for p, x in enumerate((t or "").split("\n")) if x.strip(BLANK)] for _, t in rows]
+
+    def windows(s):
+        for k, (p, x) in enumerate(s):
+            if len(re.findall(WORD, x)) >= long:
+                yield (x,), [p]
+            if k + 1 < len(s):
+                yield (x, s[k + 1][1]), [p, s[k + 1][0]]
+
+    first, out = {}, []
+    for (i, _), s in zip(rows, split):
+        for w, _ in windows(s):
+            first[w] = min(first.get(w, 10**31), rank(i))
+    for (i, t), s in zip(rows, split):
+        drop, mine = set(), set()
+        for w, places in windows(s):
+            if w in mine or first[w] < rank(i):
+                drop.update(places)
+            mine.add(w)
+        out.append((i, len(s), len(drop), "\n".join(x for p, x in enumerate((t or "").split("\n")) if p not in drop)))
+    return out
