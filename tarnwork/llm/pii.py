@@ -192,49 +192,64 @@ def _edges(seeds: DataFrame) -> DataFrame:
 
 
 def _score(edges: DataFrame, least_seeds: int) -> DataFrame:
-    """Patterns of enough seeds: key, l1, the trust in their slots, slots that no single token fills, the kind of most seeds."""
-    p = edges.groupBy("key", "l1", "right", "rank").agg(F.count_distinct("value").alias("seeds"), F.sum(F.col("trust") * F.col("n")).alias("hits"), F.sum("wide").alias("wide"))
-    p = p.groupBy("key", "l1", "right").agg(F.sum("seeds").alias("seeds"), F.sum("hits").alias("hits"), F.sum("wide").alias("wide"), F.max_by("rank", F.struct("seeds", -F.col("rank"))).alias("rank"))
-    return p.filter(F.col("seeds") >= least_seeds).select("key", "l1", "hits", F.when(F.col("right"), F.col("wide")).otherwise(0).alias("wide"), "rank")
+    """Patterns of enough seeds: key, l1, the trust in their slots, seeds there, slots that no single token fills, the kind of most seeds."""
+    p = edges.groupBy("key", "l1", "right", "rank").agg(F.count_distinct("value").alias("seeds"), F.sum(F.col("trust") * F.col("n")).alias("hits"), F.sum("n").alias("n"), F.sum("wide").alias("wide"))
+    p = p.groupBy("key", "l1", "right").agg(F.sum("seeds").alias("seeds"), *[F.sum(c).alias(c) for c in ("hits", "n", "wide")], F.max_by("rank", F.struct("seeds", -F.col("rank"))).alias("rank"))
+    return p.filter(F.col("seeds") >= least_seeds).select("key", "l1", "hits", "n", F.when(F.col("right"), F.col("wide")).otherwise(0).alias("wide"), "rank")
+
+
+def _good(patterns: DataFrame, slots: DataFrame, least_score: float) -> DataFrame:
+    """The patterns whose score is high, given the number of (some of) their slots."""
+    p = patterns.join(slots, "key", "left")
+    # what stands there as several tokens is no slot of its own
+    every = F.greatest(F.col("n"), F.coalesce("slots", F.lit(0)) + F.col("wide"))
+    return p.withColumn("score", F.least(F.lit(1.0), F.col("hits") / every)).filter(F.col("score") >= least_score).drop("slots")
 
 
 def discover(rows: DataFrame, narrow: DataFrame, least_score: float, least_seeds: int, least_share: float, rounds: int | None) -> DataFrame | None:
-    """(doc_id, content, start, end, rank) of what bootstrapped patterns find; None where no pattern is good enough."""
+    """(doc_id, content, start, end, rank) of what bootstrapped patterns find; None where no pattern is good enough.
+
+    Texts that may hold a base form are a small part of all, and hold all first seeds. What common words do in
+    these texts already rules out most patterns and candidates; the whole corpus is read for the others alone.
+    """
     first = narrow.select(F.explode("base").alias("s")).select("s.l2", "s.l1", "s.r1", "s.value", "s.rank", F.lit(1.0).alias("trust"), "s.wide")
     edges = cut_small(_edges(first))
-    totals = good = found = None
+    some = rows.filter(F.contains("text", F.lit("@")) | F.col("text").rlike("|".join(HINTS[k] for k in KINDS[1:])))
+    number = lambda slots: slots.groupBy("key").agg(F.count(F.lit(1)).alias("slots"))
+    done = slots = found = None
     turn = 0
     while rounds is None or turn < rounds:
         turn += 1
         patterns = cut_small(_score(edges, least_seeds))
-        new = patterns if totals is None else patterns.join(totals, "key", "left_anti")
-        new = cut_small(new)
+        new = patterns if done is None else patterns.join(done, "key", "left_anti")
+        new = cut_small(_good(new, number(_in_patterns(some, new)), least_score))
         if not new.isEmpty():
-            # counted in the tasks before anything is shuffled
-            counted = cut_small(_in_patterns(rows, new).groupBy("key").agg(F.count(F.lit(1)).alias("slots")).join(new.select("key"), "key", "right").fillna(0, ["slots"]))
-            totals = counted if totals is None else cut_small(totals.unionByName(counted))
-        if totals is None:
+            more = cut(_in_patterns(rows, new))
+            slots = more if slots is None else slots.unionByName(more)
+            done = new.select("key") if done is None else cut_small(done.unionByName(new.select("key")))
+        elif turn == 1:
+            break
+        good = cut_small(_good(patterns.join(done, "key", "left_semi"), number(slots), least_score))
+        open_ = slots.join(good.select("key", "score", "rank"), "key").filter("v <> ''").join(edges.select(F.col("value").alias("v")).distinct(), "v", "left_anti")
+        open_ = open_.groupBy("doc_id", "content", "i", "v").agg(F.max(F.struct("score", "rank")).alias("best"))
+        gains = open_.groupBy("v").agg(F.avg("best.score").alias("trust"), F.count(F.lit(1)).alias("inside"), F.max_by("best.rank", "best").alias("rank"))
+        gains = cut_small(gains)
+        fair = lambda g, there: g.join(there.groupBy("v").agg(F.count(F.lit(1)).alias("all")), "v", "left").filter(F.col("inside") >= least_share * F.coalesce("all", F.lit(0))).drop("all")
+        if gains.isEmpty():
+            break
+        gains = cut_small(fair(gains, _slots(some).select("v").join(_sent(gains.select("v")), "v")))
+        if gains.isEmpty():
             break
-        scored = patterns.join(totals, "key").withColumn("score", F.least(F.lit(1.0), F.col("hits") / (F.col("slots") + F.col("wide")))).filter(F.col("score") >= least_score)
-        fresh = cut_small(scored if good is None else scored.join(good, "key", "left_anti"))
-        if fresh.isEmpty():
+        there = cut(_slots(rows).join(_sent(gains.select("v")), "v"))
+        trusted = cut_small(fair(gains, there).drop("inside"))
+        # one that stands in base spans is part of a seed
+        spots = _placed(rows, narrow, there.join(trusted, "v", "left_semi")).join(trusted, "v")
+        spots = cut(spots.select("doc_id", "content", "i", "v", "start", "end", "rank", "trust"))
+        if spots.isEmpty():
             break
-        good = fresh.select("key") if good is None else cut_small(good.unionByName(fresh.select("key")))
-        slots = _in_patterns(rows, fresh).join(fresh.select("key", "score", "rank"), "key")
-        slots = slots.filter("v <> ''").join(edges.select(F.col("value").alias("v")).distinct(), "v", "left_anti")
-        slots = cut(slots.groupBy("doc_id", "content", "i", "v").agg(F.max(F.struct("score", "rank")).alias("best")))
-        free = _placed(rows, narrow, slots)
-        slots = slots.alias("a").join(free.alias("b"), _same_doc("a", "b") & (F.col("a.i") == F.col("b.i"))).select("a.v", "a.best")
-        gains = cut_small(slots.groupBy("v").agg(F.avg("best.score").alias("trust"), F.count(F.lit(1)).alias("inside"), F.max_by("best.rank", "best").alias("rank")))
-        seen = _slots(rows).select("v").join(_sent(gains.select("v")), "v").groupBy("v").agg(F.count(F.lit(1)).alias("all"))
-        trusted = gains.join(seen, "v").filter(F.col("inside") >= least_share * F.col("all"))
-        trusted = cut_small(trusted.select("v", "trust", "rank"))
-        if trusted.isEmpty():
-            continue
-        there = cut(_slots(rows).join(_sent(trusted), "v"))
-        spots = _placed(rows, narrow, there).join(trusted, "v").select("doc_id", "content", "start", "end", "rank")
-        found = cut(spots if found is None else found.unionByName(spots))
-        edges = cut_small(edges.unionByName(_edges(there.select("l2", "l1", "r1", F.col("v").alias("value"), "rank", "trust", F.lit(False).alias("wide")))))
+        found = spots if found is None else found.unionByName(spots)
+        seeds = there.alias("a").join(spots.alias("b"), _same_doc("a", "b") & (F.col("a.i") == F.col("b.i"))).select("a.l2", "a.l1", "a.r1", F.col("a.v").alias("value"), "b.rank", "b.trust", F.lit(False).alias("wide"))
+        edges = cut_small(edges.unionByName(_edges(seeds)))
     return found
 
 
