@@ -136,30 +136,38 @@ def _patterns() -> Column:
     return F.explode(F.array_compact(F.array(*made)))
 
 
-def _slots(rows: DataFrame) -> DataFrame:
-    """Every token of every text, by its number there, with the words around it."""
+#: Rows up to which a table is sent to all tasks, and words up to which tokens are picked by a list of them; what is
+#: larger meets by a shuffle.
+SENT, LISTED = 100_000, 5_000
+
+
+def _sent(table: DataFrame) -> DataFrame:
+    return F.broadcast(table) if table.count() <= SENT else table
+
+
+def _slots(rows: DataFrame, column: str, words: DataFrame) -> DataFrame:
+    """Tokens of all texts whose ``column`` (v: the token, l1: the one before) is among the ``words``, by their number
+    there (i), with the words around them."""
     plain = F.regexp_replace(F.trim(F.regexp_replace(F.lower("text"), rf"{_BLANK}+", " ")), r"[^\p{L}\p{N} ]+", "")
     t = rows.select("doc_id", "content", F.split(plain, " ").alias("v"))
     n, none = F.size("v"), F.array(F.lit(None).cast("string"))
     l1 = F.concat(none, F.slice("v", F.lit(1), n - 1))
     l2 = F.concat(none, none, F.slice("v", F.lit(1), F.greatest(n - 2, F.lit(0))))
     r1 = F.concat(F.slice("v", F.lit(2), n), none)
-    t = t.select("doc_id", "content", F.posexplode(F.arrays_zip("v", l1.alias("l1"), l2.alias("l2"), r1.alias("r1"))).alias("i", "s"))
-    # the longer shifted array of a one-word text has a place that no token has
-    return t.select("doc_id", "content", "i", "s.v", "s.l1", "s.l2", "s.r1").filter("v IS NOT NULL")
-
-
-#: Rows up to which a table is sent to all tasks; larger ones meet by a shuffle.
-SENT = 100_000
-
-
-def _sent(table: DataFrame) -> DataFrame:
-    return F.broadcast(table) if table.count() <= SENT else table
+    every = F.arrays_zip(F.sequence(F.lit(0), n - 1).alias("i"), "v", l1.alias("l1"), l2.alias("l2"), r1.alias("r1"))
+    words = words.select(F.col(words.columns[0]).alias(column)).distinct()
+    listed = [r[0] for r in words.limit(LISTED + 1).collect()]
+    few = len(listed) <= LISTED
+    if few:
+        # picked within the text's array, so that no row is made for the others
+        every = F.filter(every, lambda s: s[column].isin(listed)) if listed else F.filter(every, lambda s: F.lit(False))
+    t = t.select("doc_id", "content", F.explode(every).alias("s")).select("doc_id", "content", "s.i", "s.v", "s.l1", "s.l2", "s.r1").filter("i IS NOT NULL AND v IS NOT NULL")
+    return t if few else t.join(_sent(words), column)
 
 
 def _in_patterns(rows: DataFrame, patterns: DataFrame) -> DataFrame:
     """The slots of the patterns (key, l1), with the pattern's key."""
-    slots = _slots(rows).join(_sent(cut_small(patterns.select("l1").distinct())), "l1")
+    slots = _slots(rows, "l1", patterns.select("l1"))
     slots = slots.select("doc_id", "content", "i", "v", _patterns().alias("p")).select("doc_id", "content", "i", "v", "p.key")
     return slots.join(_sent(patterns.select("key")), "key")
 
@@ -237,10 +245,10 @@ def discover(rows: DataFrame, narrow: DataFrame, least_score: float, least_seeds
         fair = lambda g, there: g.join(there.groupBy("v").agg(F.count(F.lit(1)).alias("all")), "v", "left").filter(F.col("inside") >= least_share * F.coalesce("all", F.lit(0))).drop("all")
         if gains.isEmpty():
             break
-        gains = cut_small(fair(gains, _slots(some).select("v").join(_sent(gains.select("v")), "v")))
+        gains = cut_small(fair(gains, _slots(some, "v", gains.select("v")).select("v")))
         if gains.isEmpty():
             break
-        there = cut(_slots(rows).join(_sent(gains.select("v")), "v"))
+        there = cut(_slots(rows, "v", gains.select("v")))
         trusted = cut_small(fair(gains, there).drop("inside"))
         # one that stands in base spans is part of a seed
         spots = _placed(rows, narrow, there.join(trusted, "v", "left_semi")).join(trusted, "v")
