@@ -4,23 +4,30 @@ Rows are held in blocks; of each block, every component is sliced into bitmaps o
 each binary digit. A query's scores are added up by bitmap arithmetic alone (carry-save adders over
 the slices, for many queries side by side), giving the scores' own slices. The top rows are then
 selected from the most significant slice downward, and the rows that tie at the boundary are resolved
-exactly, by vec_id.
+exactly, by vec_id. The index is built once and holds the slices, an eighth of the vectors' size or so.
+
+Slices and sums are held in longs. Vectors with a component so large that a sum might not fit (see NARROW)
+are compared one by one in integers of any length, with all queries, and as queries with all rows.
 """
 
 from __future__ import annotations
 
+from fractions import Fraction
+from math import floor
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnwork.llm import blocks as B
 from tarnwork.llm.bytesops import U64
 from tarnwork.llm.common import cut
-from tarnwork.llm.vectors import QUERY, best, mark, packed, same_width, unpacked, usable
+from tarnwork.llm.vectors import QUERY, best, mark, matrix, packed, same_width, unpacked, usable
 
 ALL = U64(2**64 - 1)
-#: Quantised components beyond this have no exact score in a long.
-LARGEST = 2**24
+#: Quantised components up to this give sums that a long holds, whatever the vectors' length.
+NARROW = 2**24
 _SIDE = 128
 
 
@@ -36,6 +43,28 @@ class Slices:
         self.maps = [[_bitmap(y[:, d] >> U64(b) & U64(1), self.words) for b in range(self.digits[d])] for d in range(width)]
 
 
+    def dump(self) -> bytes:
+        flat = b"".join(m.tobytes() for maps in self.maps for m in maps)
+        return B.put_ints((np.array([self.n]), False), (self.least.view(U64), False), (np.array(self.digits), False), tail=flat)
+
+    @classmethod
+    def load(cls, data: bytes) -> Slices:
+        (n,), least, digits, flat = B.get_ints(data, tail=True)
+        s = cls.__new__(cls)
+        s.n, s.words, s.least, s.digits = int(n), -(-int(n) // 64), least.view(np.int64), digits.astype(int).tolist()
+        rows = iter(np.frombuffer(flat, U64).reshape(-1, s.words) if s.words else [])
+        s.maps = [[next(rows) for _ in range(d)] for d in s.digits]
+        return s
+
+    def values(self) -> np.ndarray:
+        """The components again, rows by width."""
+        out = np.repeat(self.least[None, :], self.n, axis=0)
+        for d, maps in enumerate(self.maps):
+            for b, m in enumerate(maps):
+                out[:, d] += np.unpackbits(m.view(np.uint8), bitorder="little")[: self.n].astype(np.int64) << b
+        return out
+
+
 def _bitmap(bits: np.ndarray, words: int) -> np.ndarray:
     out = np.zeros(words * 64, np.uint8)
     out[: len(bits)] = bits
@@ -122,37 +151,110 @@ def search_block(ids: np.ndarray, x: np.ndarray, s: Slices, qids: np.ndarray, q:
     return query, row, np.einsum("ij,ij->i", q[query], x[row])
 
 
+def _sliced(rows: DataFrame, key: str) -> DataFrame:
+    """A row (key, ids, slices) for each group of rows."""
+
+    def build(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("vec_id", "ascending")])
+        x = np.floor(matrix(table.column("v"))).astype(np.int64)
+        return pa.table({key: table.column(key)[:1], "ids": pa.array([table.column("vec_id").to_numpy().tobytes()], pa.binary()), "slices": pa.array([Slices(x).dump()], pa.binary())})
+
+    return rows.groupBy(key).applyInArrow(build, f"{key} int, ids binary, slices binary")
+
+
+def _integers(x: np.ndarray, scale: float) -> np.ndarray:
+    """floor(scale * x) in integers of any length."""
+    whole = lambda v: floor(v * scale) if abs(v * scale) < 2**60 else floor(Fraction(v) * Fraction(scale))
+    return np.array([[whole(v) for v in row] for row in x.tolist()], object).reshape(x.shape)
+
+
+def _one_by_one(rows: DataFrame, asked: DataFrame, k: int, scale: float, row_groups: int, query_groups: int) -> DataFrame:
+    """(query_id, mark, vec_id, score as text) of the best rows of each query in each group of rows, by long integers."""
+    place = lambda parts, seed: F.pmod(F.xxhash64("vec_id", "v", F.lit(seed)), F.lit(parts)).cast("int")
+    index = packed(rows.withColumn("r", place(row_groups, 1)), "r").withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(query_groups - 1))))
+    queries = packed(asked.withColumn("g", place(query_groups, 2)), "g").withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(row_groups - 1))))
+    queries = queries.select("g", "r", *[F.col(c).alias(f"q{c}") for c in ("n", "width", "ids", "data")])
+
+    def search(it):
+        for batch in it:
+            for i in range(batch.num_rows):
+                ids, x = unpacked(batch, i, "")
+                qids, q = unpacked(batch, i, "q")
+                x, q = same_width(x, q)
+                long_x, marks, out = _integers(x, scale), mark(q), []
+                for n, (qid, one) in enumerate(zip(qids.tolist(), _integers(q, scale))):
+                    scores = (long_x @ one).tolist() if len(one) else [0] * len(ids)
+                    best_rows = sorted((-s, v) for s, v in zip(scores, ids.tolist()) if v != qid)[:k]
+                    out += [(qid, int(marks[n]), v, str(-s)) for s, v in best_rows]
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], t) for c, t in enumerate(kinds)], names=["query_id", "mark", "vec_id", "score"])
+
+    return index.join(queries, ["g", "r"]).mapInArrow(search, "query_id long, mark long, vec_id long, score string")
+
+
 def exact_top(vectors: DataFrame, k: int = 20, scale: float = 64.0, queries: str = QUERY, rows: int = 4096, query_rows: int = 512) -> DataFrame:
     """The ``k`` highest integer inner products of each query vector over all other rows.
 
     Components count as floor(scale * x). Returns query_id, rank, vec_id, score. Left out are rows
-    without vec_id and vectors that are null or hold null, non-finite or huge (see LARGEST)
-    components; shorter vectors are filled with zeros. Equal rows count once; rows that share a
-    query's vec_id are its own; several different vectors of one vec_id are searched and found each.
+    without vec_id and vectors that are null or hold null or non-finite components; shorter vectors are
+    filled with zeros. Equal rows count once; rows that share a query's vec_id are its own; several
+    different vectors of one vec_id are searched and found each. Components of any size are ranked by
+    their exact products; a score beyond a long is returned as the long next to it. An empty table gives
+    an empty result; other columns, of any name, don't matter.
     """
-    whole = usable(vectors).withColumn("v", F.transform("v", lambda x: F.floor(x * F.lit(scale)).cast("double")))
-    whole = cut(whole.filter(F.forall("v", lambda x: F.abs(x) <= LARGEST)).distinct())
-    n, m = whole.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.expr(queries).cast("long")), F.lit(0))).first()
+    fits = F.forall("v", lambda x: F.abs(x * F.lit(scale)) <= NARROW)
+    whole = cut(usable(vectors).withColumn("fits", fits))
+    quantised = F.transform("v", lambda x: F.floor(x * F.lit(scale)).cast("double"))
+    narrow = cut(whole.filter("fits").select("vec_id", quantised.alias("v")).distinct())
+    n, m = narrow.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.expr(queries).cast("long")), F.lit(0))).first()
     many, sides = max(1, -(-n // rows)), max(1, -(-m // query_rows))
     place = lambda parts, seed: F.pmod(F.xxhash64("vec_id", "v", F.lit(seed)), F.lit(parts)).cast("int")
-    index = packed(whole.withColumn("r", place(many, 1)), "r").withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(sides - 1))))
-    asked = packed(whole.filter(queries).withColumn("g", place(sides, 2)), "g").withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(many - 1))))
+    index = cut(_sliced(narrow.withColumn("r", place(many, 1)), "r")).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(sides - 1))))
+    asked = packed(narrow.filter(queries).withColumn("g", place(sides, 2)), "g").withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(many - 1))))
     asked = asked.select("g", "r", *[F.col(c).alias(f"q{c}") for c in ("n", "width", "ids", "data")])
 
     def search(it):
         for batch in it:
             for i in range(batch.num_rows):
-                ids, x = unpacked(batch, i, "")
+                ids = np.frombuffer(batch.column("ids")[i].as_py(), np.int64)
+                s = Slices.load(batch.column("slices")[i].as_py())
                 qids, q = unpacked(batch, i, "q")
-                x, q = (v.astype(np.int64) for v in same_width(x, q))
-                s, marks = Slices(x), mark(q.astype(np.float64))
+                marks, q = mark(q), q.astype(np.int64)
+                x = s.values()
+                wide = max(x.shape[1], q.shape[1])
+                s.least, s.digits, s.maps = np.pad(s.least, (0, wide - x.shape[1])), s.digits + [0] * (wide - x.shape[1]), s.maps + [[]] * (wide - x.shape[1])
+                x, q = same_width(x, q)
                 for lo in range(0, len(qids), _SIDE):
                     hi = lo + _SIDE
                     query, row, score = search_block(ids, x, s, qids[lo:hi], q[lo:hi], k)
                     yield pa.RecordBatch.from_arrays([pa.array(qids[lo:hi][query]), pa.array(marks[lo:hi][query]), pa.array(ids[row]), pa.array(score)], names=["query_id", "mark", "vec_id", "score"])
 
     partial = index.join(asked, ["g", "r"]).mapInArrow(search, "query_id long, mark long, vec_id long, score long")
-    return best(partial, k)
+    large = whole.filter("NOT fits").select("vec_id", "v")
+    if large.isEmpty():
+        return best(partial, k)
+    # narrow queries meet large rows, large queries meet all; narrow vectors are quantised already, so each side is given as it was
+    plain = whole.select("vec_id", "v")
+    count = lambda d: max(1, -(-d.count() // 1024))
+    all_asked, large_asked = plain.filter(queries), large.filter(queries)
+    small_asked = whole.filter("fits").select("vec_id", "v").filter(queries)
+    one = _one_by_one(large, small_asked, k, scale, count(large), count(small_asked))
+    two = _one_by_one(plain, large_asked, k, scale, count(plain), count(large_asked))
+    # a narrow query is told by its quantised vector on one side and by its own on the other: both have one mark
+    names = small_asked.select("vec_id", F.col("v").alias("v"), quantised.alias("quantised")).mapInArrow(_marks, "query_id long, own long, mark long")
+    one = one.withColumnRenamed("mark", "own").join(names, ["query_id", "own"]).select("query_id", "mark", "vec_id", "score").distinct()
+    every = best(partial, k, keep=("mark",)).select("query_id", "mark", "vec_id", F.col("score").cast("string").alias("score")).unionByName(one).unionByName(two.distinct())
+    below, digits = F.col("score").startswith("-"), F.length("score")
+    order = [below.asc(), F.when(below, -digits).otherwise(digits).desc(), F.when(~below, F.col("score")).desc(), F.when(below, F.col("score")).asc(), F.col("vec_id")]
+    ranked = every.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "mark").orderBy(*order))).filter(F.col("rank") <= k)
+    edge = F.when(below, F.lit(-(2**63))).otherwise(F.lit(2**63 - 1))
+    return ranked.select("query_id", "rank", "vec_id", F.coalesce(F.col("score").try_cast("bigint"), edge).alias("score"))
+
+
+def _marks(it):
+    for batch in it:
+        own, quantised = (mark(matrix(batch.column(c))) for c in ("v", "quantised"))
+        yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(own), pa.array(quantised)], names=["query_id", "own", "mark"])
 
 
 SQL = """

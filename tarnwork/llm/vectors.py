@@ -67,8 +67,8 @@ def mark(v: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def best(partial: DataFrame, k: int) -> DataFrame:
+def best(partial: DataFrame, k: int, keep: tuple = ()) -> DataFrame:
     """Of (query_id, mark, vec_id, score) the ``k`` highest scores of each query, ties to smaller vec_id."""
     w = Window.partitionBy("query_id", "mark").orderBy(F.col("score").desc(), F.col("vec_id"))
     ranked = partial.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    return ranked.select("query_id", "rank", "vec_id", "score", *keep)
