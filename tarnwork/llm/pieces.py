@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwork.llm.bytesops import U64, Prefix, _SYMBOLS, arrow_bytes, give_back, mix, pieces
+from tarnwork.llm.bytesops import U64, Prefix, _SYMBOLS, arrow_bytes, give_back, mix, pieces, span_hash
 from tarnwork.llm.common import small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -84,7 +84,8 @@ class Lattice:
         return out
 
     def edges(self, flat: np.ndarray, start: np.ndarray, length: int):
-        """Of units of one length: the edges by (unit, end node), with the share of what reaches the node."""
+        """Of units of one length: the edges by (unit, end node), with the share of what reaches the node; and the units
+        that need logarithms, of which there are no edges here."""
         n, j = len(start), np.arange(length)
         grid = flat[start[:, None] + j]
         sums = Prefix(_SYMBOLS[1][grid.ravel()])
@@ -129,34 +130,49 @@ class Lattice:
         piece, p = np.concatenate([x[3] for x in parts]), np.concatenate([x[4] for x in parts])
         order = np.argsort(rows * (length + 1) + end, kind="stable")
         rows, end, back, piece, p = (x[order] for x in (rows, end, back, piece, p))
-        use = p > 0
-        return rows[use], end[use], back[use], piece[use], p[use] / alpha[rows[use], end[use]]
+        # no weight is over 1, so what reaches the last node is no more than what reaches any node on its way
+        low = alpha[:, length] < 1e-250
+        use = (p > 0) & ~low[rows]
+        return (rows[use], end[use], back[use], piece[use], p[use] / alpha[rows[use], end[use]]), np.flatnonzero(low)
 
-    def long_edges(self, unit: bytes):
+    def long_edges(self, unit: np.ndarray):
         """The same of one long unit, in logarithms."""
         n = len(unit)
-        alpha = [0.0] + [-math.inf] * n
-        ends, backs, ids, shares = [], [], [], []
-        for end in range(1, n + 1):
-            here = []
-            for size in self.lengths:
-                if size > end:
-                    break
-                piece = self.words.get(unit[end - size : end])
-                if piece is not None and alpha[end - size] > -math.inf:
-                    here.append((end - size, piece, alpha[end - size] + math.log(self.weight[piece])))
-            s = end - 1
-            while s and unit[s] & 0xC0 == 0x80:
-                s -= 1
-            wide = 1 if unit[s] < 0x80 else 2 if unit[s] < 0xE0 else 3 if unit[s] < 0xF0 else 4
-            if unit[s : s + wide] not in self.words and alpha[end - 1] > -math.inf:
-                here.append((end - 1, int(self.byte_id[unit[end - 1]]), alpha[end - 1] + math.log(self.byte_weight)))
-            if here:
-                top = max(x[2] for x in here)
-                alpha[end] = top + math.log(sum(math.exp(x[2] - top) for x in here))
-                for back, piece, lp in here:
-                    ends.append(end), backs.append(back), ids.append(piece), shares.append(math.exp(lp - alpha[end]))
-        return np.zeros(len(ends), np.int64), np.array(ends), np.array(backs), np.array(ids), np.array(shares)
+        sums = Prefix(_SYMBOLS[1][unit])
+        found = []
+        for size in self.lengths:
+            if size > n:
+                break
+            at = np.arange(n - size + 1)
+            ids = self.find(sums.spans(at, at + size, size))
+            at = at[ids >= 0]
+            found.append((at + size, at, ids[at], np.log(self.weight[ids[at]])))
+        # bytes of characters that are no piece
+        lead = (unit & 0xC0) != 0x80
+        first = np.maximum.accumulate(np.where(lead, np.arange(n), 0))
+        wide = np.where(unit < 0x80, 1, np.where(unit < 0xE0, 2, np.where(unit < 0xF0, 3, 4)))
+        known = np.zeros(n, bool)
+        for end, at, _, _ in found:
+            known[at[lead[at] & (end - at == wide[at])]] = True
+        at = np.flatnonzero(~known[first])
+        found.append((at + 1, at, self.byte_id[unit[at]].astype(np.int64), np.full(len(at), math.log(self.byte_weight))))
+        end, back, ids, cost = (np.concatenate([f[k] for f in found]) for k in range(4))
+        order = np.lexsort((back, end))
+        end, back, ids, cost = end[order], back[order], ids[order], cost[order]
+        stop = np.searchsorted(end, np.arange(n + 2)).tolist()
+        backs, costs = back.tolist(), cost.tolist()
+        alpha, share = [0.0] + [-math.inf] * n, []
+        for e in range(1, n + 1):
+            here = [alpha[backs[k]] + costs[k] for k in range(stop[e], stop[e + 1])]
+            top = max(here, default=-math.inf)
+            if top > -math.inf:
+                alpha[e] = top + math.log(sum(math.exp(x - top) for x in here))
+                share += [math.exp(x - alpha[e]) for x in here]
+            else:
+                share += [0.0] * len(here)
+        share = np.array(share)
+        use = share > 0
+        return np.zeros(int(use.sum()), np.int64), end[use], back[use], ids[use], share[use]
 
 
 def lattice(model: str, sharpness: float) -> Lattice:
@@ -189,8 +205,7 @@ def sample(model: Lattice, flat: np.ndarray, offsets: np.ndarray, keys: np.ndarr
     end = np.append(start[1:], len(full))
     row = np.searchsorted(out, start, side="right") - 1
     ordinal = np.arange(len(start)) - np.searchsorted(start, out[:-1])[row]
-    sums = Prefix(_SYMBOLS[2][full])
-    kinds, first, of = np.unique(sums.spans(start, end), return_index=True, return_inverse=True)
+    kinds, first, of = np.unique(span_hash(full, start, end), return_index=True, return_inverse=True)
     size = (end - start)[first]
     order = np.argsort(size, kind="stable")
     base = np.empty(len(kinds), np.int64)
@@ -199,10 +214,11 @@ def sample(model: Lattice, flat: np.ndarray, offsets: np.ndarray, keys: np.ndarr
     lengths, at = np.unique(size[order], return_index=True)
     for length, lo, hi in zip(lengths, at, np.append(at[1:], len(order))):
         who = order[lo:hi]
+        groups, alone = [], who
         if length <= SHORT:
-            groups = [(who, model.edges(full, start[first[who]], int(length)))]
-        else:
-            groups = [(who[k : k + 1], model.long_edges(full[start[first[w]] : end[first[w]]].tobytes())) for k, w in enumerate(who)]
+            edges, low = model.edges(full, start[first[who]], int(length))
+            groups, alone = [(who, edges)], who[low]
+        groups += [(alone[k : k + 1], model.long_edges(full[start[first[w]] : end[first[w]]])) for k, w in enumerate(alone)]
         for who, (rows, ends, backs, ids, share) in groups:
             parts.append((base[who[rows]] + ends, base[who[rows]] + backs, ids.astype(np.int32), share))
     node, back, ids, share = (np.concatenate([p[k] for p in parts]) for k in range(4))

@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarnwork.llm import blocks as B
 from tarnwork.llm.bytesops import U64, Prefix, _SYMBOLS, arrow_bytes, give_back, lower_ascii, mix, pieces, runs, word_spans
 from tarnwork.llm.common import documents, small_batches
 
@@ -132,8 +133,9 @@ def _ranges(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.arange(cuts[-1]) - np.repeat(cuts[:-1] - first, count), cuts
 
 
-def fit(tokens: np.ndarray, offsets: np.ndarray, of: np.ndarray, grade: np.ndarray, bits: int = BITS, l1: float = 3e-4, epochs: int = 20, pace: float = 0.1, seed: int = 3) -> Ordinal:
-    """Adaptive gradient descent in seeded batches on the cumulative-link loss, with an L1 penalty.
+def fit(tokens: np.ndarray, offsets: np.ndarray, of: np.ndarray, grade: np.ndarray, turn: np.ndarray, bits: int = BITS, l1: float = 3e-4, epochs: int = 20, pace: float = 0.1, seed: int = 3) -> Ordinal:
+    """Adaptive gradient descent in seeded batches, drawn from the texts in the order of ``turn``, on the cumulative-link
+    loss, with an L1 penalty.
 
     Returns the mean of the second half's weights and thresholds.
     """
@@ -146,7 +148,7 @@ def fit(tokens: np.ndarray, offsets: np.ndarray, of: np.ndarray, grade: np.ndarr
     for epoch in range(epochs):
         order = draw.permutation(n)
         for lo in range(0, n, size):
-            who = np.sort(order[lo : lo + size])
+            who = turn[np.sort(order[lo : lo + size])]
             part, parted = _ranges(of[who], of[who + 1])
             at, cut = _ranges(offsets[part], offsets[part + 1])
             token, y = tokens[at], grade[who]
@@ -186,24 +188,27 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 40_000, seed: int
                 part, off = flat[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
                 begin, of = passages(part, off)
                 tokens, cuts = features(part, begin, bits)
-                lists = pa.ListArray.from_arrays(pa.array(cuts[of], pa.int32()), pa.array(tokens, pa.int32()))
-                sizes = pa.ListArray.from_arrays(pa.array(of, pa.int32()), pa.array(np.diff(cuts), pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), batch.column("grade").slice(lo, hi - lo), lists, sizes], names=["doc_id", "grade", "tokens", "sizes"])
+                ids, grades = (batch.column(c).slice(lo, hi - lo).to_numpy() for c in ("doc_id", "grade"))
+                # passages of each text, tokens of each passage, tokens: packed, for the driver holds them all
+                sample = B.put_ints((ids.view(U64), False), (grades, False), (np.diff(of), False), (np.diff(cuts), False), (tokens, False))
+                yield pa.RecordBatch.from_arrays([pa.array([sample], pa.binary())], names=["sample"])
+            give_back()
 
     # the sample is bounded by max_rows, so it can be sent to every task
-    joined = documents(docs).join(F.broadcast(rated), "doc_id").mapInArrow(extract, "doc_id long, grade int, tokens array<int>, sizes array<int>")
-    got = joined.toArrow().sort_by([("doc_id", "ascending"), ("grade", "ascending")])
-    y = got["grade"].to_numpy()
+    joined = documents(docs).join(F.broadcast(rated), "doc_id").mapInArrow(extract, "sample binary")
+    parts = []
+    for (sample,) in joined.toLocalIterator():
+        ids, grades, passages_of, sizes, tokens = B.get_ints(bytes(sample))
+        parts.append((ids.view(np.int64), grades.astype(np.int64), passages_of.astype(np.int64), sizes.astype(np.int32), tokens.astype(np.int32)))
+    if not parts:
+        return None
+    ids, y, passages_of, sizes, tokens = (np.concatenate([p[k] for p in parts]) for k in range(5))
+    del parts
     if len(np.unique(y)) < 2:
         return None
-    tokens, _ = _lists(got["tokens"])
-    sizes, of = _lists(got["sizes"])
-    return fit(tokens, np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]), of, y.astype(np.int64), bits)
-
-
-def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    lists = pa.concat_arrays(column.chunks)
-    return lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(), dtype=np.int64)])
+    of = np.concatenate([[0], np.cumsum(passages_of)])
+    # the fit goes by doc_id, not by the order in which the tasks end
+    return fit(tokens, np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]), of, y, np.lexsort((y, ids)), bits)
 
 
 def _grades(model: Ordinal | None, column: pa.Array, least: float, bits: int):
