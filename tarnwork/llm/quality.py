@@ -197,8 +197,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 40_000, seed: int
     # the sample is bounded by max_rows, so it can be sent to every task
     joined = documents(docs).join(F.broadcast(rated), "doc_id").mapInArrow(extract, "sample binary")
     parts = []
-    for (sample,) in joined.toLocalIterator():
-        ids, grades, passages_of, sizes, tokens = B.get_ints(bytes(sample))
+    for sample in joined.toArrow()["sample"]:
+        ids, grades, passages_of, sizes, tokens = B.get_ints(sample.as_py())
         parts.append((ids.view(np.int64), grades.astype(np.int64), passages_of.astype(np.int64), sizes.astype(np.int32), tokens.astype(np.int32)))
     if not parts:
         return None
