@@ -37,9 +37,12 @@ def four_calls(bundles: DataFrame) -> DataFrame:
     return rows.select("id", "model", F.col("c.role").alias("role"), (F.col("shared_tokens") + F.col("own_tokens")).alias("input_tokens"), F.col("c.out").alias("output_tokens"), cost.alias("cost_usd"))
 
 
-def budget_cut(rows: DataFrame, group: list[str], order: list[str], limit: float = RUN_LIMIT) -> DataFrame:
-    """Adds ``allowed``: false from the first row of a group on whose estimate would pass the limit; reaching it is allowed."""
+def budget_cut(rows: DataFrame, group: list[str], order: list[str], limit: float = RUN_LIMIT, spent: str = "cost") -> DataFrame:
+    """Adds ``allowed``: false from the first row of a group on whose estimate would pass the limit; reaching it is allowed.
+
+    ``spent`` names what earlier calls did cost, where that is known: it adds up in place of their estimates.
+    """
     w = Window.partitionBy(*group).orderBy(*order)
-    before = F.coalesce(F.sum("cost").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    before = F.coalesce(F.sum(spent).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     rows = rows.withColumn("_ok", (before + F.col("cost")) <= limit)
     return rows.withColumn("allowed", F.min("_ok").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_ok")

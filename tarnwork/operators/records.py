@@ -97,4 +97,22 @@ def first_match(names: DataFrame, table: list[tuple[str, str]], column: str) ->
 
 
 def share_text(ratio: Column) -> Column:
-    return F.coalesce(F.format_string("%.1f%%", ratio * 100), F.lit("n/a"))
+    return F.when(ratio.isNull(), "n/a").otherwise(F.format_string("%.1f%%", ratio * 100))
+
+
+def money_text(usd: Column) -> Column:
+    return F.when(usd.isNull(), "n/a").otherwise(F.format_string("$%.4f", usd))
+
+
+def time_text(ms: Column) -> Column:
+    return F.when(ms.isNull(), "n/a").otherwise(F.format_string("%.0f ms", ms.cast("double")))
+
+
+# How a finding is marked that no budget was left for.
+EXHAUSTED, EXHAUSTED_WHY = "triage:budget-exhausted", "budget exceeded before this finding could be adjudicated; escalate to a human"
+
+
+def mark_exhausted(decisions: DataFrame, judged: str = "verdict") -> DataFrame:
+    """Findings that were to be judged and have no verdict say that the budget ran out."""
+    left = (F.col("disposition") == "ADJUDICATE") & F.col(judged).isNull()
+    return decisions.withColumns({"resolved_by": F.when(left, EXHAUSTED).otherwise(F.col("resolved_by")), "justification": F.when(left, EXHAUSTED_WHY).otherwise(F.col("justification"))})
