@@ -49,3 +49,26 @@ def substitute(template: str, fields: dict[str, Column]) -> Column:
         if name is not None:
             parts.append(F.coalesce(fields[name].cast("string"), F.lit("None")))
     return F.concat(*parts) if parts else F.lit("")
+
+
+# What stands where a bundle has nothing.
+NO_SANITIZER, NO_SPAN, NO_FLOW, NOTHING = "none-confirmed", "(no spans retrieved)", "(none provided)", "none"
+
+
+def bundle_fields(columns: list[str]) -> dict[str, Column]:
+    """The texts that a prompt's template takes from a bundle, for ``substitute``.
+
+    Columns that the bundles lack count as null. Booleans read True, False or None; spans are quoted blocks already;
+    data_flow is an array of (order, path, line, source_line).
+    """
+    at = lambda name, kind="string": F.col(name).cast(kind) if name in columns else F.lit(None).cast(kind)
+    listed = lambda name, sep, empty: F.coalesce(F.nullif(F.array_join(at(name, "array<string>"), sep), F.lit("")), F.lit(empty))
+    said = lambda name: F.coalesce(F.initcap(at(name, "boolean").cast("string")), F.lit("None"))
+    steps = F.transform(at("data_flow", "array<struct<order:int,path:string,line:int,source_line:string>>"), lambda s: F.concat(s["order"], F.lit(": "), s["path"], F.lit(":"), s["line"], F.lit(" "), s["source_line"]))
+    return {
+        "rule_id": at("rule_id"), "message": F.coalesce(F.nullif(at("message"), F.lit("")), at("rule_id")), "file_class": at("file_class"), "completeness": at("completeness"),
+        "completeness_reasons": listed("reasons", ",", NOTHING), "externally_reachable": said("externally_reachable"), "entrypoint_kind": at("entrypoint_kind"),
+        "caller_search_refused": said("refused"), "caller_search_truncated": said("truncated"), "direct_caller_count": F.coalesce(at("direct_callers", "long"), F.lit(0)).cast("string"),
+        "sanitizers": listed("trusted_callees", ",", NO_SANITIZER), "imports": listed("imports", ",", NOTHING), "context_block": listed("spans", "\n\n", NO_SPAN),
+        "data_flow": F.coalesce(F.nullif(F.array_join(steps, "\n"), F.lit("")), F.lit(NO_FLOW)),
+    }

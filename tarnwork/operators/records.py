@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import subprocess
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -116,3 +117,12 @@ def mark_exhausted(decisions: DataFrame, judged: str = "verdict") -> DataFrame:
     """Findings that were to be judged and have no verdict say that the budget ran out."""
     left = (F.col("disposition") == "ADJUDICATE") & F.col(judged).isNull()
     return decisions.withColumns({"resolved_by": F.when(left, EXHAUSTED).otherwise(F.col("resolved_by")), "justification": F.when(left, EXHAUSTED_WHY).otherwise(F.col("justification"))})
+
+
+def source_stamp(folder: str) -> str | None:
+    """The commit of a working copy, null where there is none."""
+    try:
+        done = subprocess.run(["git", "-C", folder, "rev-parse", "HEAD"], capture_output=True, text=True, timeout=10)
+    except (OSError, subprocess.TimeoutExpired):
+        return None
+    return done.stdout.strip() or None if done.returncode == 0 else None

@@ -281,39 +281,12 @@ def first_definition(spark, sf_dir):
     return callers.first_definition(p.select("p_partkey", word), d).select("p_partkey", "name", "def_path", "def_start")
 
 
-_GRAPH = """
-fn AS (SELECT p_partkey AS id, p_brand AS path, p_partkey AS start, 'n' || (p_partkey % 97) AS name FROM part),
-ed AS (SELECT DISTINCT l_partkey AS caller_id, 'n' || (l_suppkey % 97) AS callee FROM lineitem WHERE l_quantity > 49),
-cl AS (SELECT ed.caller_id, ed.callee, fn.path, fn.start, fn.name FROM ed JOIN fn ON ed.caller_id = fn.id WHERE fn.name <> ed.callee),
-tg AS (SELECT id AS target, name FROM fn WHERE id % 10 = 0),
-h1 AS (SELECT tg.target, cl.caller_id, cl.path, cl.start, cl.name, count(*) OVER (PARTITION BY tg.target) AS n, row_number() OVER (PARTITION BY tg.target ORDER BY cl.path, cl.start) AS rk
-       FROM tg JOIN cl ON tg.name = cl.callee WHERE cl.caller_id <> tg.target)
-"""
-
-
-def _graph(spark, sf_dir, whole: bool = False):
-    """Targets, functions and calls; ``whole``: every part is a target and every lineitem a call."""
+def _graph(spark, sf_dir):
+    """Targets, functions and calls: every part is a function and a target, every lineitem a call."""
     p, key, items = table(spark, sf_dir, "part"), F.col("p_partkey"), table(spark, sf_dir, "lineitem")
     f = p.select(key.alias("id"), F.col("p_brand").alias("path"), key.alias("start"), F.concat(F.lit("n"), (key % 97).cast("string")).alias("name"))
-    e = (items if whole else items.filter("l_quantity > 49")).select(F.col("l_partkey").alias("caller_id"), F.concat(F.lit("n"), (F.col("l_suppkey") % 97).cast("string")).alias("callee")).distinct()
-    return (f if whole else f.filter("id % 10 = 0")).select(F.col("id").alias("target"), "name"), f, e
-
-
-@query(
-    f"""WITH {_GRAPH},
-    h2 AS (SELECT h1.target, cl.caller_id, cl.path, cl.start, h1.rk AS prank FROM h1 JOIN cl ON h1.name = cl.callee WHERE h1.n <= 50 AND h1.rk <= 19 AND cl.caller_id <> h1.target),
-    al AS (SELECT target, caller_id, 1 AS hop, 0 AS prank, path, start FROM h1 WHERE n <= 50 UNION ALL SELECT target, caller_id, 2, prank, path, start FROM h2),
-    fi AS (SELECT *, row_number() OVER (PARTITION BY target, caller_id ORDER BY hop, prank, path, start) AS k FROM al),
-    ra AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY hop, prank, path, start) AS rank, count(*) OVER (PARTITION BY target) AS total FROM fi WHERE k = 1)
-    SELECT target, caller_id AS id, hop, CAST(rank AS INT) AS rank, total > 20 AS truncated FROM ra WHERE rank <= 20"""
-)
-def two_hop_callers(spark, sf_dir):
-    return callers.caller_walk(*_graph(spark, sf_dir))
-
-
-@query(f"WITH {_GRAPH} SELECT tg.target, count(h1.caller_id) AS direct_callers, count(h1.caller_id) > 50 AS refused FROM tg LEFT JOIN h1 ON tg.target = h1.target GROUP BY tg.target")
-def caller_refusal(spark, sf_dir):
-    return callers.refused(*_graph(spark, sf_dir))
+    e = items.select(F.col("l_partkey").alias("caller_id"), F.concat(F.lit("n"), (F.col("l_suppkey") % 97).cast("string")).alias("callee")).distinct()
+    return f.select(F.col("id").alias("target"), "name"), f, e
 
 
 # every part a target, every lineitem a call; callers are counted by name before any pair is made
@@ -338,12 +311,12 @@ tg AS (SELECT fn.id AS target, fn.name, coalesce(cn.n, 0) - coalesce(me.n, 0) AS
     SELECT target, caller_id AS id, hop, CAST(rank AS INT) AS rank, total > 20 AS truncated FROM ra WHERE rank <= 20"""
 )
 def two_hop_callers_all(spark, sf_dir):
-    return callers.caller_walk(*_graph(spark, sf_dir, whole=True))
+    return callers.caller_walk(*_graph(spark, sf_dir))
 
 
 @query(f"WITH {_WHOLE_GRAPH} SELECT target, n AS direct_callers, n > 50 AS refused FROM tg")
 def caller_refusal_all(spark, sf_dir):
-    return callers.refused(*_graph(spark, sf_dir, whole=True))
+    return callers.refused(*_graph(spark, sf_dir))
 
 
 _DECOS = "CASE event_id % 5 WHEN 0 THEN ['@x', '@app.route(1)'] WHEN 1 THEN ['@click.command', '@b.get('] WHEN 2 THEN [] WHEN 3 THEN ['@celery.task('] ELSE ['@plain'] END"
@@ -518,6 +491,20 @@ def strict_join(spark, sf_dir):
     return scoring.join_report(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")), outcomes)
 
 
+@query("SELECT lang AS value, count(*) AS n, min(doc_id) AS first, CAST(row_number() OVER (ORDER BY count(*) DESC, min(doc_id)) AS INT) AS place FROM documents GROUP BY lang")
+def most_common_values(spark, sf_dir):
+    return reports.most_common(table(spark, sf_dir, "documents"), "lang", "doc_id")
+
+
+@query(
+    """WITH d AS (SELECT *, row_number() OVER (ORDER BY TRY_CAST(substr(source, 4) AS INT) NULLS FIRST, doc_id) AS n FROM documents)
+    SELECT TRY_CAST(substr(source, 4) AS INT) AS run_index, doc_id AS result_index, '{"doc_id":' || doc_id || ',"lang":"' || lang || '"}' AS entry FROM d WHERE n <= 20"""
+)
+def context_dump(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").withColumns({"run_index": F.expr("try_cast(substring(source, 4) AS int)"), "result_index": F.col("doc_id")})
+    return reports.dump(d, ["doc_id", "lang"]).select("run_index", "result_index", "entry")
+
+
 @query("SELECT lang AS reason, count(*) AS n FROM documents GROUP BY lang")
 def rejected_by_reason(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy(F.col("lang").alias("reason")).agg(F.count(F.lit(1)).alias("n"))
@@ -538,14 +525,6 @@ def class_balance(spark, sf_dir):
     return scoring.class_balance(e)
 
 
-@query(
-    f"""WITH {_PAIRS} SELECT v.verdict, count(p.id) AS n, round(coalesce(sum(cost_usd), 0), 6) AS cost_usd, CAST(coalesce(sum(latency_ms), 0) AS BIGINT) AS latency_ms
-    FROM (VALUES ('TRUE_POSITIVE'), ('FALSE_POSITIVE'), ('NEEDS_HUMAN_REVIEW')) v(verdict) LEFT JOIN p ON p.verdict = v.verdict AND p.provenance = 'JULIET' GROUP BY v.verdict"""
-)
-def verdict_report(spark, sf_dir):
-    return scoring.verdict_report(_pairs(spark, sf_dir).filter("provenance = 'JULIET'")).withColumn("cost_usd", F.round("cost_usd", 6))
-
-
 @query(
     f"""WITH {_PAIRS} SELECT v.verdict, count(p.id) AS n, round(coalesce(sum(cost_usd), 0), 6) AS cost_usd, CAST(coalesce(sum(latency_ms), 0) AS BIGINT) AS latency_ms
     FROM (VALUES ('TRUE_POSITIVE'), ('FALSE_POSITIVE'), ('NEEDS_HUMAN_REVIEW')) v(verdict) LEFT JOIN p ON p.verdict = v.verdict GROUP BY v.verdict"""
@@ -557,28 +536,14 @@ def verdict_report_all(spark, sf_dir):
 # ---- text, replies and nested data ---------------------------------------------------------------
 
 
-def _triaged(spark, sf_dir, whole: bool = False):
-    d = table(spark, sf_dir, "documents")
-    d = d if whole else d.filter("n_chars < 400")
-    return d.select(
+def _triaged(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select(
         F.expr("try_cast(substring(source, 4) AS int)").alias("run_index"), F.col("doc_id").alias("result_index"), F.when(F.col("doc_id") % 3 != 0, F.col("lang")).alias("rule_id"), F.when(F.col("doc_id") % 4 != 0, F.col("source")).alias("uri"),
         (F.col("doc_id") % 5).cast("int").alias("start_line"), (F.lit(0.5) + F.col("doc_id") % 4 / F.lit(8.0)).alias("confidence"), F.concat(F.lit("because "), "lang").alias("justification"),
         F.when(F.col("doc_id") % 2 == 0, "TRUE_POSITIVE").otherwise("NEEDS_HUMAN_REVIEW").alias("verdict"),
     )
 
 
-@query(
-    """WITH t AS (SELECT TRY_CAST(substr(source, 4) AS INT) AS run_index, doc_id, CASE WHEN doc_id % 2 = 0 THEN 'TRUE_POSITIVE' ELSE 'NEEDS_HUMAN_REVIEW' END AS verdict,
-      '- `' || CASE WHEN doc_id % 3 <> 0 THEN lang ELSE 'unknown-rule' END || '` at `' || CASE WHEN doc_id % 4 <> 0 THEN source ELSE '(unknown file)' END || ':' || CASE WHEN doc_id % 5 <> 0 THEN CAST(doc_id % 5 AS VARCHAR) ELSE '?' END
-      || '` (confidence ' || CASE doc_id % 4 WHEN 0 THEN '0.50' WHEN 1 THEN '0.63' WHEN 2 THEN '0.75' ELSE '0.88' END || ') - because ' || lang AS line FROM documents WHERE n_chars < 400),
-    b AS (SELECT verdict, count(*) AS n, string_agg(line, chr(10) ORDER BY run_index, doc_id) AS lines FROM t GROUP BY verdict)
-    SELECT h.position, h.verdict, h.heading || ' (' || coalesce(b.n, 0) || ')' || chr(10) || chr(10) || coalesce(b.lines, '_None._') AS body
-    FROM (VALUES (0, 'TRUE_POSITIVE', '## Likely true positives'), (1, 'NEEDS_HUMAN_REVIEW', '## Needs human review'), (2, 'FALSE_POSITIVE', '## Dismissed with justification')) h(position, verdict, heading) LEFT JOIN b ON h.verdict = b.verdict"""
-)
-def comment_markdown(spark, sf_dir):
-    return render.comment_sections(_triaged(spark, sf_dir))
-
-
 @query(
     """WITH t AS (SELECT TRY_CAST(substr(source, 4) AS INT) AS run_index, doc_id, CASE WHEN doc_id % 2 = 0 THEN 'TRUE_POSITIVE' ELSE 'NEEDS_HUMAN_REVIEW' END AS verdict,
       '- `' || CASE WHEN doc_id % 3 <> 0 THEN lang ELSE 'unknown-rule' END || '` at `' || CASE WHEN doc_id % 4 <> 0 THEN source ELSE '(unknown file)' END || ':' || CASE WHEN doc_id % 5 <> 0 THEN CAST(doc_id % 5 AS VARCHAR) ELSE '?' END
@@ -588,13 +553,13 @@ def comment_markdown(spark, sf_dir):
     FROM (VALUES (0, 'TRUE_POSITIVE', '## Likely true positives'), (1, 'NEEDS_HUMAN_REVIEW', '## Needs human review'), (2, 'FALSE_POSITIVE', '## Dismissed with justification')) h(position, verdict, heading) LEFT JOIN b ON h.verdict = b.verdict"""
 )
 def comment_markdown_all(spark, sf_dir):
-    return render.comment_sections(_triaged(spark, sf_dir, whole=True))
+    return render.comment_sections(_triaged(spark, sf_dir))
 
 
 @query("SELECT event_id, key, CAST(json_extract_string(props, '$.' || key) AS VARCHAR) AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS key FROM events WHERE json_valid(props))")
 def variant_flatten(spark, sf_dir):
-    table(spark, sf_dir, "events").select("event_id", "props").createOrReplaceTempView("_events")
-    return spark.sql("SELECT event_id, key, CAST(value AS STRING) AS value FROM _events, LATERAL variant_explode(try_parse_json(props))")
+    e = table(spark, sf_dir, "events").select("event_id", "props")
+    return spark.sql("SELECT event_id, key, CAST(value AS STRING) AS value FROM {e}, LATERAL variant_explode(try_parse_json(props))", e=e)
 
 
 _WRAP = """CASE conv_id % 5 WHEN 0 THEN '{"position": "TRUE_POSITIVE", "confidence": 0.5, "reasoning": "r"}' WHEN 1 THEN '{"position": "FALSE_POSITIVE", "confidence": "0.9", "reasoning": "r"} tail'
@@ -680,12 +645,6 @@ def document_differences(spark, sf_dir):
     return canonical.difference(before, after).groupBy("change").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {_PAIRS} SELECT count(*) AS total, CAST(sum(latency_ms) AS BIGINT) AS latency_ms FROM p WHERE provenance = 'JULIET'")
-def run_report(spark, sf_dir):
-    r = reports.run_report(_pairs(spark, sf_dir).filter("provenance = 'JULIET'"), {"model": "none"})
-    return r.select(F.get_json_object("report", "$.total").cast("long").alias("total"), F.get_json_object("report", "$.latency_ms").cast("long").alias("latency_ms"))
-
-
 @query(f"WITH {_PAIRS} SELECT count(*) AS total, CAST(sum(latency_ms) AS BIGINT) AS latency_ms FROM p")
 def run_report_all(spark, sf_dir):
     r = reports.run_report(_pairs(spark, sf_dir), {"model": "none"})

@@ -247,3 +247,39 @@ def code_flows(logs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
 
     return logs.filter("ok").select("path", "raw").mapInArrow(steps, schema)
+
+
+# What differs between two runs of a scanner over one source, and the base that stands for any root.
+_BASE = "file:///src/"
+_VOLATILE = (
+    ("runs/*/originalUriBaseIds/*/uri", "base"), ("runs/*/artifacts/*/location/uri", "root"),
+    ("runs/*/invocations/*/startTimeUtc", "time"), ("runs/*/invocations/*/endTimeUtc", "time"),
+)
+
+
+def _owners(node, path: list[str]) -> list[dict]:
+    """The objects that hold a path's last key; * is any element or value."""
+    for key in path:
+        near = node if isinstance(node, list) else [node]
+        node = []
+        for x in near:
+            if key == "*":
+                node += x.values() if isinstance(x, dict) else x if isinstance(x, list) else []
+            elif isinstance(x, dict) and key in x:
+                node.append(x[key])
+    return [x for x in node if isinstance(x, dict)]
+
+
+def scrubbed(text: str, root: str) -> str:
+    """A log without what changes from run to run: base addresses, the root before artifacts, times of invocations."""
+    log = json.loads(text)
+    for path, what in _VOLATILE:
+        *way, last = path.split("/")
+        for owner in _owners([log], way):
+            if what == "time":
+                owner.pop(last, None)
+            elif what == "base" and last in owner:
+                owner[last] = _BASE
+            elif what == "root" and isinstance(owner.get(last), str):
+                owner[last] = owner[last].replace(root, "").lstrip("/")
+    return json.dumps(log, indent=2, ensure_ascii=False) + "\n"
