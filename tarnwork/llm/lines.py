@@ -125,13 +125,16 @@ def remove_repeated_lines(docs: DataFrame, block_bytes: int = B.BLOCK, long_word
 
 
 def keep_fresh(docs: DataFrame, long_words: int | None = LONG, most: float = 0.75) -> DataFrame:
-    """The rows of ``docs`` without repeated lines, and without the documents that lose ``most`` of their bytes or more.
+    """The rows of ``docs`` without repeated lines, and without the documents that lose ``most`` of their bytes and of
+    their lines or more.
 
-    What is left of those is no document of its own: they are copies of earlier ones but for some lines. Rows
+    What is left of those is no document of its own: they are copies of earlier ones but for some lines. A document
+    whose own lines are many stays, however long the repeated ones are. Rows
     without lines (null, empty or blank text) stay as they are; n_chars, where there is such a column, follows the text.
     """
     out, name = _cut_lines(docs, B.BLOCK, long_words)
-    out = out.filter(F.col("bytes_removed") < F.lit(most) * (F.col("bytes_removed") + F.octet_length(F.coalesce("text", F.lit("")))) + F.when(F.col("removed") > 0, 0).otherwise(1))
+    whole = F.col("bytes_removed") + F.octet_length(F.coalesce("text", F.lit("")))
+    out = out.filter((F.col("removed") == 0) | (F.col("bytes_removed") < F.lit(most) * whole) | (F.col("removed") < F.lit(most) * F.col("lines")))
     chars = F.when(F.col("removed") > 0, F.length("text"))
     kept = {c: F.col(name[c]) for c in docs.columns}
     if "n_chars" in kept:
