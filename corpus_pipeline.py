@@ -23,7 +23,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes later repeated runs of lines, single ones of 13 words or more too, and documents that lose three
-    quarters of their bytes or more that way.
+    quarters or more of their bytes and of their lines that way.
 
     Null, empty and blank texts stay as they are; equal rows are documents of equal rank, so none is the later one.
     """
