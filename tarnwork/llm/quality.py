@@ -2,8 +2,8 @@
 
 Ratings are graded 0 (poor), 1 (sound but toxic), 2 (sound). One set of weights over hashed tokens
 is shared by all grades; ordered thresholds cut the score: P(grade <= k) = sigmoid(t_k - score).
-The fit is on a bounded sample of labelled rows (``max_rows``, by hash of doc_id, so it doesn't
-depend on partitioning); everything else runs over all rows.
+The fit is on a bounded sample of labelled rows (``max_rows`` and ``max_tokens``, by hash of doc_id, so
+it doesn't depend on partitioning); everything else runs over all rows.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tarnwork.llm import blocks as B
 from tarnwork.llm.bytesops import U64, Prefix, _SYMBOLS, arrow_bytes, give_back, lower_ascii, mix, pieces, runs, word_spans
-from tarnwork.llm.common import documents, small_batches
+from tarnwork.llm.common import cut, documents, small_batches
 
 BITS = 17
 #: Lengths in bytes of the word beginnings that count as tokens.
@@ -174,12 +174,19 @@ def fit(tokens: np.ndarray, offsets: np.ndarray, of: np.ndarray, grade: np.ndarr
     return Ordinal(mean_w / parts, mean_cuts / parts)
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 40_000, seed: int = 5, bits: int = BITS) -> Ordinal | None:
-    """Fits on at most ``max_rows`` labelled documents; None if they show one grade only."""
+#: Order of the labelled rows, that of their hashes: the first ones are the sample.
+_TURN = ("turn", "doc_id", "grade", "content")
+
+
+def draw_sample(docs: DataFrame, labels: DataFrame, max_rows: int, max_tokens: int, seed: int, bits: int) -> DataFrame:
+    """(turn, doc_id, grade, content, passages, tokens, sample) of the first labelled rows by hash of doc_id: ``max_rows`` at
+    most, and so many that they have ``max_tokens`` tokens at most. Equal rows count once, whatever share of all they are;
+    a text of over a hundredth of ``max_tokens`` isn't drawn, so that none takes the place of all others.
+    """
     small_batches(docs.sparkSession)
     grade = F.greatest(F.lit(0), 2 * F.col("quality") - F.coalesce("toxic", F.lit(0))).cast("int")
     rated = labels.select(F.col("doc_id").cast("long").alias("doc_id"), grade.alias("grade")).dropna()
-    rated = rated.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id", "grade").limit(max_rows)
+    rated = rated.select(F.xxhash64(F.lit(seed), "doc_id").alias("turn"), "doc_id", "grade").orderBy("turn", "doc_id", "grade").limit(max_rows)
 
     def extract(it):
         for batch in it:
@@ -188,27 +195,45 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 40_000, seed: int
                 part, off = flat[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
                 begin, of = passages(part, off)
                 tokens, cuts = features(part, begin, bits)
-                ids, grades = (batch.column(c).slice(lo, hi - lo).to_numpy() for c in ("doc_id", "grade"))
-                # passages of each text, tokens of each passage, tokens: packed, for the driver holds them all
-                sample = B.put_ints((ids.view(U64), False), (grades, False), (np.diff(of), False), (np.diff(cuts), False), (tokens, False))
-                yield pa.RecordBatch.from_arrays([pa.array([sample], pa.binary())], names=["sample"])
+                at, sizes = cuts[of], np.diff(cuts)
+                # tokens of each passage, tokens: packed, for the driver holds them all
+                sample = [B.put_ints((sizes[of[i] : of[i + 1]], False), (tokens[at[i] : at[i + 1]], False)) for i in range(hi - lo)]
+                known = [batch.column(c).slice(lo, hi - lo) for c in _TURN]
+                yield pa.RecordBatch.from_arrays([*known, pa.array(np.diff(of)), pa.array(np.diff(at)), pa.array(sample, pa.binary())], names=[*_TURN, "passages", "tokens", "sample"])
             give_back()
 
-    # the sample is bounded by max_rows, so it can be sent to every task
-    joined = documents(docs).join(F.broadcast(rated), "doc_id").mapInArrow(extract, "sample binary")
-    parts = []
-    for sample in joined.toArrow()["sample"]:
-        ids, grades, passages_of, sizes, tokens = B.get_ints(sample.as_py())
-        parts.append((ids.view(np.int64), grades.astype(np.int64), passages_of.astype(np.int64), sizes.astype(np.int32), tokens.astype(np.int32)))
-    if not parts:
-        return None
-    ids, y, passages_of, sizes, tokens = (np.concatenate([p[k] for p in parts]) for k in range(5))
-    del parts
+    # the labels are bounded by max_rows, so they can be sent to every task
+    joined = documents(docs).withColumn("content", F.xxhash64("text")).join(F.broadcast(rated), "doc_id").select(*_TURN, "text")
+    kind = "turn long, doc_id long, grade int, content long, passages long, tokens long, sample binary"
+    once = [F.first(c).alias(c) for c in ("passages", "tokens", "sample")]
+    drawn = cut(joined.mapInArrow(extract, kind).filter(F.col("tokens") <= max_tokens // 100).groupBy(*_TURN).agg(*once))
+    # a doc_id may have many texts; these are long integers of max_rows rows
+    first = drawn.select(*_TURN, "tokens").orderBy(*_TURN).limit(max_rows).toArrow()
+    fit_in = int(np.searchsorted(np.cumsum(first["tokens"].to_numpy()), max_tokens, side="right"))
+    if fit_in == 0:
+        return drawn
+    last = F.struct(*[F.lit(first[c][fit_in - 1].as_py()).cast(drawn.schema[c].dataType).alias(c) for c in _TURN])
+    return drawn.filter(F.struct(*_TURN) <= last)
+
+
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 40_000, seed: int = 5, bits: int = BITS, max_tokens: int = 60_000_000) -> Ordinal | None:
+    """Fits on at most ``max_rows`` labelled documents of at most ``max_tokens`` tokens; None if they show one grade only."""
+    found = draw_sample(docs, labels, max_rows, max_tokens, seed, bits).select("doc_id", "grade", "content", "passages", "tokens", "sample").toArrow()
+    ids, y, content, count, size = (found[c].to_numpy() for c in ("doc_id", "grade", "content", "passages", "tokens"))
     if len(np.unique(y)) < 2:
         return None
-    of = np.concatenate([[0], np.cumsum(passages_of)])
     # the fit goes by doc_id, not by the order in which the tasks end
-    return fit(tokens, np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]), of, y, np.lexsort((y, ids)), bits)
+    turn = np.lexsort((content, y, ids))
+    of, at = (np.concatenate([[0], np.cumsum(n)]) for n in (count, size))
+    tokens, sizes = np.empty(at[-1], np.int32), np.empty(of[-1], np.int64)
+    i = 0
+    for chunk in found["sample"].chunks:
+        for packed in chunk:
+            sizes[of[i] : of[i + 1]], tokens[at[i] : at[i + 1]] = B.get_ints(packed.as_py())
+            i += 1
+    del found
+    give_back()
+    return fit(tokens, np.concatenate([[0], np.cumsum(sizes)]), of, y.astype(np.int64), turn, bits)
 
 
 def _grades(model: Ordinal | None, column: pa.Array, least: float, bits: int):
