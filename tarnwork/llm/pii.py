@@ -262,7 +262,7 @@ def discover(rows: DataFrame, narrow: DataFrame, least_score: float, least_seeds
 
 
 def find_personal_data(docs: DataFrame, least_score: float = 0.5, least_seeds: int = 5, least_share: float = 0.2, rounds: int | None = None) -> DataFrame:
-    """Returns doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (base and added).
+    """Returns doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (base and added), n_spans (their number).
 
     Spans are kind:start:end in code points, by start, then kind. Null text is empty and has none;
     equal rows are searched alike; a null doc_id is returned as it is; an empty table gives an empty
@@ -284,12 +284,12 @@ def find_personal_data(docs: DataFrame, least_score: float = 0.5, least_seeds: i
         out = narrow.alias("a").join(added.alias("b"), _same_doc("a", "b"), "left").select("a.doc_id", "base", "added")
         every = F.array_sort(F.concat(plain, F.coalesce("added", F.array().cast(_SPAN))))
     count = lambda r: F.size(F.filter("base", lambda s: s["rank"] == r)).cast("long")
-    return out.select("doc_id", *[count(r).alias(f"n_{k}") for r, k in enumerate(KINDS)], F.sha2(_names(plain), 256).alias("base_sha256"), _names(every).alias("spans"))
+    return out.select("doc_id", *[count(r).alias(f"n_{k}") for r, k in enumerate(KINDS)], F.sha2(_names(plain), 256).alias("base_sha256"), _names(every).alias("spans"), F.size(every).cast("long").alias("n_spans"))
 
 
 def base_forms(found: DataFrame) -> DataFrame:
     """What the fixed forms tell, without what patterns add."""
-    return found.drop("spans")
+    return found.drop("spans", "n_spans")
 
 
 _SQL_FORMS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "card": r"[0-9](?:[\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}

@@ -113,7 +113,7 @@ def personal(rows):
             counts.append(len(found))
             spans += found
         text = ",".join(f"{list(FORMS)[r]}:{a}:{b}" for a, r, b in sorted(spans))
-        out.append((i, *counts, sha(text), text))
+        out.append((i, *counts, sha(text), text, sum(counts)))
     return out
 
 

@@ -116,7 +116,7 @@ def test_personal_data_forms(spark):
 def test_personal_data_patterns(spark):
     rows = [(i, f"foo bar end Account: user{i}@mail.com the") for i in range(30)] + [(100 + i, f"zip Account: AB{10000 + i * 13} and the {20000 + i}") for i in range(3)] + [(200, "the 1234567")]
     out = {r.doc_id: r for r in pii.find_personal_data(table(spark, rows)).collect()}
-    assert out[101].spans == "email:13:20" and out[101].n_email == 0 and out[101].base_sha256 == plain.sha("")
+    assert out[101].spans == "email:13:20" and out[101].n_spans == 1 and out[101].n_email == 0 and out[101].base_sha256 == plain.sha("")
     assert out[200].spans == "" and out[3].spans.startswith("email:21:")
 
 
