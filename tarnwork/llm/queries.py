@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tarnwork.llm import bitsliced, lines, mixing, neardup, phrases, pii, postings, suffixes
+from tarnwork.llm import bitsliced, lines, mixing, neardup, phrases, pii, postings, suffixes, wumanber
 from tarnwork.llm.common import table
 from tarnwork.llm.pieces import encode
 from tarnwork.llm.quality import grade_documents
@@ -63,6 +63,10 @@ def op10_near_duplicates(spark, sf_dir):
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_benchmark_passages(spark, sf_dir):
+    return wumanber.digest(wumanber.passages_in(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 QUERIES = {
     "op1_repeated_lines": op1_repeated_lines,
     "op1_repeated_long_lines": op1_repeated_long_lines,
@@ -75,6 +79,7 @@ QUERIES = {
     "op8_sample_pieces": op8_sample_pieces,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_near_duplicates": op10_near_duplicates,
+    "op11_benchmark_passages": op11_benchmark_passages,
     "op2_base_forms": op2_base_forms,
     "op4_source_targets": op4_source_targets,
 }
@@ -88,4 +93,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_repeated_phrases": phrases.SQL,
     "op9_suffix_dedup": suffixes.SQL,
     "op10_near_duplicates": neardup.SQL,
+    "op11_benchmark_passages": wumanber.SQL,
 }
