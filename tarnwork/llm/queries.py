@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tarnwork.llm import bitsliced, lines, mixing, neardup, phrases, pii, postings, suffixes, wumanber
+from tarnwork.llm import bitsliced, lines, mixing, neardup, phrases, pii, postings, resample, suffixes, wumanber
 from tarnwork.llm.common import table
 from tarnwork.llm.pieces import encode
 from tarnwork.llm.quality import grade_documents
@@ -67,6 +67,10 @@ def op11_benchmark_passages(spark, sf_dir):
     return wumanber.digest(wumanber.passages_in(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op12_importance_draw(spark, sf_dir):
+    return resample.importance_draw(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_repeated_lines": op1_repeated_lines,
     "op1_repeated_long_lines": op1_repeated_long_lines,
@@ -80,6 +84,7 @@ QUERIES = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_near_duplicates": op10_near_duplicates,
     "op11_benchmark_passages": op11_benchmark_passages,
+    "op12_importance_draw": op12_importance_draw,
     "op2_base_forms": op2_base_forms,
     "op4_source_targets": op4_source_targets,
 }
@@ -94,4 +99,5 @@ ORACLE_SQL: dict[str, str] = {
     "op9_suffix_dedup": suffixes.SQL,
     "op10_near_duplicates": neardup.SQL,
     "op11_benchmark_passages": wumanber.SQL,
+    "op12_importance_draw": resample.SQL,
 }
