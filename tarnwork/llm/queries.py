@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tarnwork.llm import bitsliced, lines, mixing, neardup, phrases, pii, postings, resample, suffixes, wumanber
+from tarnwork.llm import bitsliced, lines, mixing, neardup, phrases, pii, postings, resample, suffixes, whitening, wumanber
 from tarnwork.llm.common import table
 from tarnwork.llm.pieces import encode
 from tarnwork.llm.quality import grade_documents
@@ -71,6 +71,15 @@ def op12_importance_draw(spark, sf_dir):
     return resample.importance_draw(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_whitened_vectors(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_deviations(spark, sf_dir):
+    """The columns of op13_whitened_vectors that SQL can state."""
+    return whitening.deviations_only(op13_whitened_vectors(spark, sf_dir))
+
+
 QUERIES = {
     "op1_repeated_lines": op1_repeated_lines,
     "op1_repeated_long_lines": op1_repeated_long_lines,
@@ -85,6 +94,8 @@ QUERIES = {
     "op10_near_duplicates": op10_near_duplicates,
     "op11_benchmark_passages": op11_benchmark_passages,
     "op12_importance_draw": op12_importance_draw,
+    "op13_whitened_vectors": op13_whitened_vectors,
+    "op13_deviations": op13_deviations,
     "op2_base_forms": op2_base_forms,
     "op4_source_targets": op4_source_targets,
 }
@@ -100,4 +111,5 @@ ORACLE_SQL: dict[str, str] = {
     "op10_near_duplicates": neardup.SQL,
     "op11_benchmark_passages": wumanber.SQL,
     "op12_importance_draw": resample.SQL,
+    "op13_deviations": whitening.SQL,
 }
