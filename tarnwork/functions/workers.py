@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def importable(spark: SparkSession) -> None:
@@ -13,3 +13,14 @@ def importable(spark: SparkSession) -> None:
     env, home = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
     if home not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (home, env.get("PYTHONPATH", "")) if x)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """A table that is read several times: written to the folder of spark.checkpoint.dir, or cached where none is set."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None:
+            return df.persist()
+        spark.sparkContext.setCheckpointDir(shared)
+    return df.checkpoint(eager=True)

@@ -5,64 +5,151 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnwork.operators import callers, verdicts
+from tarnwork.functions import paths, redact
+from tarnwork.operators import callers, prefilter, verdicts
+from tarnwork.sources import pysource
 
 UNRESOLVED, DYNAMIC, TRUNCATED, REFUSED, NO_ENTRY = "enclosing-function-unresolved", "dynamic-dispatch", "caller-search-truncated", "caller-search-refused", "no-entrypoint-found"
-
-
-def edges_of(calls: DataFrame, functions: DataFrame) -> DataFrame:
-    """Distinct (caller_id, callee): each call under its innermost function."""
-    points = calls.select("path", F.col("start_line").alias("line"), F.col("name").alias("callee"))
-    named = functions.select("path", "start_line", "end_line", "start_byte", function_id("path", "start_byte").alias("caller_id"))
-    inner = callers.enclosing(points, named)
-    return inner.filter("caller_id IS NOT NULL").select("caller_id", "callee").distinct()
+OUTSIDE, UNREADABLE = "path-traversal-refused", "file-unreadable"
+#: Fixed value: what a bundle notes of a refused search.
+NOTE = "reached the direct-caller refuse threshold; entrypoint search did not run further"
+HOPS = 2
+#: Sections of a bundle, in the order in which their redactions are listed.
+_OWN, _DEFINED, _CALLED, _CALLER = range(4)
 
 
 def function_id(path: str, start_byte: str) -> Column:
     return F.concat(F.col(path), F.lit("#"), F.col(start_byte).cast("string"))
 
 
-def build(findings: DataFrame, functions: DataFrame, calls: DataFrame) -> DataFrame:
-    """Bundles of findings(id, path, line): enclosing function, entrypoint kind, callers with hops, project-defined
-    callees, completeness and its reasons in alphabetical order. No finding is dropped.
+def edges_of(inside: DataFrame) -> DataFrame:
+    """(caller_id, callee, call_line), one for each pair: calls under their innermost function by line, the first call's line."""
+    inner = inside.groupBy("path", "start_byte", "end_byte", "name", "start_line").agg(callers.innermost().alias("f"))
+    return inner.groupBy(F.col("f.function_id").alias("caller_id"), F.col("name").alias("callee")).agg(F.min_by("start_line", F.struct("start_byte", -F.col("end_byte"))).alias("call_line"))
+
+
+def body_calls(inside: DataFrame) -> DataFrame:
+    """(target, callee, line, at): every call in a function's body, those of functions defined there too, by bytes."""
+    held = inside.filter((F.col("start_byte") >= F.col("f.body_start_byte")) & (F.col("end_byte") <= F.col("f.end_byte")))
+    # of calls that start together the outer one comes first
+    return held.select(F.col("f.function_id").alias("target"), F.col("name").alias("callee"), F.col("start_line").alias("line"), F.struct("start_byte", (-F.col("end_byte")).alias("before")).alias("at"))
+
+
+def spans_of(functions: DataFrame) -> DataFrame:
+    """(function_id, span, secrets, kind): each function's source, secrets replaced, and its kind of entrypoint."""
+    rows = functions.withColumn("r", redact.redact("text", F.col("start_line")))
+    span = F.struct("path", "start_line", "end_line", F.col("r.redacted").alias("source"), F.col("name").alias("symbol"), F.lit("python").alias("language"))
+    return rows.select("function_id", span.alias("span"), redact.located(F.col("r.secrets"), F.col("path")).alias("secrets"), callers.entrypoint_kind(F.col("decorators")).alias("kind"))
+
+
+def contexts(targets: DataFrame, functions: DataFrame, calls: DataFrame, searched: DataFrame) -> DataFrame:
+    """A row for each target function(target, name): its spans by section, its callees' names and its search for callers.
+
+    ``functions`` with function_id, ``calls`` and ``searched``(path), the files where callers and definitions are looked for.
+    """
+    inside = callers.containing(calls, functions, "start_line")
+    project = functions.join(searched, "path", "left_semi")
+    edges = edges_of(inside.join(searched, "path", "left_semi"))
+    graph = project.select(F.col("function_id").alias("id"), "path", F.col("start_byte").alias("start"), "name")
+    visits, state = callers.search(targets, graph, edges)
+    called = body_calls(inside).join(targets.select("target"), "target", "left_semi")
+    first = project.groupBy(F.col("name").alias("callee")).agg(F.min_by("function_id", F.struct("path", "start_byte")).alias("function_id"))
+    resolved = called.join(first, "callee", "left")
+    no_int, no_text = F.lit(None).cast("int"), F.lit(None).cast("string")
+
+    def section(rows: DataFrame, k: int, order: Column, **columns: Column) -> DataFrame:
+        filled = {"function_id": F.col("function_id"), "name": no_text, "line": no_int, "hop": no_int, "parent": no_text} | columns
+        return rows.select("target", F.lit(k).alias("section"), order.alias("order"), *[c.alias(n) for n, c in filled.items()])
+
+    zero, never = F.lit(0), F.struct(F.lit(0).alias("a"), F.lit(0).alias("b"))
+    at = F.struct(F.col("at.start_byte").alias("a"), F.col("at.before").alias("b"))
+    once = resolved.filter("function_id IS NOT NULL").groupBy("target", "callee", "function_id").agg(F.min("at").alias("at"))
+    safe = F.col("callee").isin(*callers.TRUSTED_NAMES)
+    checked = resolved.filter(safe | F.col("function_id").isNotNull())
+    rows = section(targets, _OWN, never, function_id=F.col("target"))
+    rows = rows.unionByName(section(once, _DEFINED, at))
+    rows = rows.unionByName(section(checked, _CALLED, at, function_id=F.when(~safe, F.col("function_id")), name=F.col("callee"), line=F.col("line")))
+    rows = rows.unionByName(section(visits, _CALLER, F.struct(F.col("rank").alias("a"), zero.alias("b")), function_id=F.col("id"), line=F.col("call_line"), hop=F.col("hop"), parent=F.col("parent")))
+    rows = rows.join(spans_of(functions), "function_id", "left")
+    part = F.struct("section", "order", "function_id", "name", "line", "hop", "parent", "kind", "span", "secrets")
+    parts = rows.groupBy("target").agg(F.array_sort(F.collect_list(part), _by_place).alias("parts"))
+    callees = called.groupBy("target").agg(F.array_sort(F.collect_set("callee")).alias("callees"))
+    return targets.join(parts, "target").join(callees, "target", "left").join(state, "target", "left")
+
+
+def _by_place(x: Column, y: Column) -> Column:
+    key = lambda p: F.struct(p["section"], p["order"])
+    return F.when(key(x) < key(y), -1).when(key(x) > key(y), 1).otherwise(0)
+
 
-    ``resolved_callees`` are names that a definition in the project was found for; trusted names are listed apart.
+def build(findings: DataFrame, files: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Bundles of findings(id, uri, line); no finding is dropped.
+
+    ``files``(path, text) are those that were read, with null text where that failed; ``project`` (boolean, true where absent)
+    tells which are searched for callers and definitions, ``refusal`` (string, null where absent) why one wasn't opened.
+    ``symbols`` are their symbols (see ``pysource.symbols``), read several times: pass a written or kept table.
+
+    A finding without uri, with a refused path, with a file that wasn't read or without a function around its line (a missing
+    line is the first one) gets what is known up to there. Otherwise its bundle holds the function's source, callers,
+    definitions of what it calls, calls that may sanitise (every call counts), where it can be reached from, redactions of all
+    sources in the order of these (a source that is shown twice is redacted twice), completeness and its reasons.
+    ``path_from_entrypoint`` lists all callers, last visited first; ``route`` is a true path of function ids.
     """
-    f = functions.withColumn("function_id", function_id("path", "start_byte"))
-    points = findings.select("path", "line").distinct()
-    here = callers.enclosing(points, f.select("path", "name", "start_line", "end_line", "start_byte", "decorators", "function_id"))
-    rows = findings.join(here.withColumnRenamed("name", "enclosing"), ["path", "line"], "left")
-    edges = edges_of(calls, functions)
-    targets = rows.filter("function_id IS NOT NULL").select(F.col("function_id").alias("target"), F.col("enclosing").alias("name")).distinct()
-    graph = f.select(F.col("function_id").alias("id"), "path", F.col("start_byte").alias("start"), "name")
-    refused = callers.refused(targets, graph, edges)
-    kept = callers.caller_walk(targets, graph, edges)
-    with_decorators = kept.join(f.select(F.col("function_id").alias("id"), "decorators"), "id")
-    found = with_decorators.groupBy("target").agg(
-        F.array_sort(F.collect_list(F.struct("rank", "id", "hop", callers.entrypoint_kind(F.col("decorators")).alias("kind")))).alias("callers"), F.bool_or("truncated").alias("truncated")
-    )
-    called = edges.groupBy("caller_id").agg(F.array_sort(F.collect_set("callee")).alias("callees")).withColumnRenamed("caller_id", "target")
-    defined = edges.join(f.select(F.col("name").alias("callee")).distinct(), "callee").groupBy("caller_id").agg(F.array_sort(F.collect_set("callee")).alias("resolved_callees")).withColumnRenamed("caller_id", "target")
-    rows = rows.withColumnRenamed("function_id", "target")
-    for part in (refused, found, called, defined):
-        rows = rows.join(part, "target", "left")
-    own = callers.entrypoint_kind(F.col("decorators"))
-    reached = F.get(F.filter("callers", lambda c: c["kind"] != "UNKNOWN"), F.lit(0))["kind"]
-    kind = F.coalesce(reached, F.when(own != "UNKNOWN", own), F.lit("UNKNOWN"))
-    rows = rows.withColumn("entrypoint_kind", kind)
+    for name, default in (("project", F.lit(True)), ("refusal", F.lit(None).cast("string"))):
+        files = files if name in files.columns else files.withColumn(name, default)
+    f = pysource.functions(symbols).withColumn("function_id", function_id("path", "start_byte"))
+    rows = findings.select("id", "uri", F.coalesce(F.when(F.col("line") > 0, F.col("line")), F.lit(1)).alias("line"))
+    rows = rows.withColumn("path", F.when(F.col("uri") != "", paths.normal_uri(F.col("uri"))))
+    read = files.select("path", "project", "refusal", F.col("text").isNotNull().alias("_read"), prefilter.head_of(F.col("text")).alias("_head"))
+    rows = rows.join(read, "path", "left")
+    outside = F.coalesce("refusal", paths.refusal(F.col("path")))
+    rows = rows.withColumn("_exit", F.when(F.coalesce("uri", F.lit("")) == "", "no-uri").when(outside.isNotNull(), OUTSIDE).when(~F.coalesce("_read", F.lit(False)), UNREADABLE))
+    points = rows.filter("_exit IS NULL").select("path", "line").distinct()
+    here = callers.containing(points, f.select("path", "name", "start_line", "end_line", "start_byte", "function_id"))
+    here = here.groupBy("path", "line").agg(callers.innermost().alias("f")).select("path", "line", F.col("f.function_id").alias("target"), F.col("f.name").alias("name"))
+    rows = rows.join(here.select("path", "line", "target"), ["path", "line"], "left")
+    known = contexts(here.select("target", "name").distinct(), f, pysource.calls(symbols), files.filter("project").select("path"))
+    listed = pysource.imports(symbols).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("start_line", "start_byte", "text"))).alias("_imports"))
+    rows = rows.join(known, "target", "left").join(listed, "path", "left")
+
+    of = lambda k: F.filter("parts", lambda p: p["section"] == k)
+    none = lambda values: F.coalesce(values, F.array())
+    visited = of(_CALLER)
+    site = lambda p: F.struct(p["span"].alias("caller"), p["line"].alias("call_line"), p["hop"].alias("hops_from_finding"))
+    own = F.get(of(_OWN), F.lit(0))
+    entry = F.get(F.filter(visited, lambda p: p["kind"] != "UNKNOWN"), F.lit(0))
+    kind = F.coalesce(entry["kind"], own["kind"], F.lit("UNKNOWN"))
+    from_caller = entry["kind"].isNotNull()
+    sites = none(F.transform(visited, site))
+    route = F.when(from_caller, F.array_compact(F.array(entry["function_id"], F.when(entry["hop"] == 2, entry["parent"]), F.col("target")))).when(kind != "UNKNOWN", F.array("target"))
     reachable = F.when(kind != "UNKNOWN", F.lit(True))
     no = F.lit(None).cast("string")
+    found, refused, truncated = F.col("target").isNotNull(), F.coalesce("refused", F.lit(False)), F.coalesce("truncated", F.lit(False))
     reasons = F.array(
-        F.when(F.col("target").isNull(), UNRESOLVED).otherwise(no),
-        F.when(callers.dynamic_dispatch(F.col("callees")), DYNAMIC).otherwise(no),
-        F.when(F.coalesce("refused", F.lit(False)), REFUSED).otherwise(no),
-        F.when(F.coalesce("truncated", F.lit(False)), TRUNCATED).otherwise(no),
-    )
-    rows = rows.withColumns({"externally_reachable": reachable, "reasons": F.array_sort(F.array_compact(reasons))})
-    trusted = F.filter("callees", lambda c: c.isin(*callers.TRUSTED_NAMES))
+        F.when(~found, UNRESOLVED).otherwise(no), F.when(F.col("_exit").isin(OUTSIDE, UNREADABLE), F.col("_exit")).otherwise(no),
+        F.when(callers.dynamic_dispatch(F.col("callees")), DYNAMIC).otherwise(no), F.when(refused, REFUSED).otherwise(no), F.when(truncated, TRUNCATED).otherwise(no),
+    )
+    stop = F.struct(F.col("name").alias("symbol"), F.col("stop_path").alias("path"), (F.col("left") + 1).cast("int").alias("callers_found"), F.lit(0).alias("callers_kept"))
+    search = F.struct(
+        F.lit(HOPS).alias("hop_limit"), F.lit(callers.SPANS).alias("span_budget"), F.coalesce("spans_used", F.lit(0)).alias("spans_used"), refused.alias("refused"),
+        F.when(refused, F.col("direct_callers")).alias("direct_caller_count"), truncated.alias("truncated"), F.when(truncated, F.array(stop)).otherwise(F.array()).alias("truncated_at"),
+    )
+    sanitizer = lambda p: F.struct(p["name"].alias("name"), F.struct(F.col("path").alias("path"), p["line"].alias("line")).alias("location"), p["span"].alias("definition"), F.lit(True).alias("confirmed"))
+    # a file is classified by its head too, where it was read
+    class_ = F.when(F.col("_exit").isNull(), prefilter.classify(F.col("path"), F.col("_head"))["file_class"]).when(F.col("_exit") == UNREADABLE, prefilter.classify(F.col("path"))["file_class"]).otherwise("UNKNOWN")
     return rows.select(
-        "id", "path", "line", "enclosing", "entrypoint_kind", "externally_reachable", "callers", "direct_callers", "resolved_callees", trusted.alias("trusted_callees"), "reasons",
-        verdicts.completeness(F.col("reasons"), F.col("externally_reachable")).alias("completeness"),
+        "id", "uri", "path", "line", class_.alias("file_class"),
+        none(F.when(F.col("_exit").isNull(), F.transform("_imports", lambda i: i["text"]))).alias("imports"),
+        own["span"].alias("enclosing_function"), sites.alias("callers"), search.alias("caller_search"),
+        none(F.transform(of(_DEFINED), lambda p: p["span"])).alias("called_definitions"), none(F.transform(of(_CALLED), sanitizer)).alias("sanitizers"),
+        F.struct(
+            kind.alias("entrypoint_kind"), F.when(from_caller, entry["span"]).when(kind != "UNKNOWN", own["span"]).alias("entrypoint"),
+            F.when(kind != "UNKNOWN", F.reverse(sites)).otherwise(F.array()).alias("path_from_entrypoint"), reachable.alias("externally_reachable"), F.when(refused, F.array(F.lit(NOTE))).otherwise(F.array()).alias("notes"),
+        ).alias("reachability"),
+        none(route).alias("route"),
+        none(F.flatten(F.transform(F.filter("parts", lambda p: p["secrets"].isNotNull()), lambda p: p["secrets"]))).alias("redactions"),
+        F.array_sort(F.array_compact(reasons)).alias("reasons"),
+        verdicts.completeness(F.array_compact(reasons), reachable).alias("completeness"),
     )
 
 

@@ -30,6 +30,28 @@ def enclosing(points: DataFrame, functions: DataFrame, key: str = "path") -> Dat
     return out.select(*[c for c in points.columns if c != "_id"], *[F.col(f"_f.{n}").alias(n) for n in names])
 
 
+#: Lines of a bin of ``containing``.
+BIN = 64
+
+
+def containing(points: DataFrame, functions: DataFrame, line: str = "line", bin_lines: int = BIN) -> DataFrame:
+    """Each point(path, line, ...) with every function(path, start_line, end_line, ...) around its line.
+
+    The functions' columns come as a struct ``f``. A function is dealt to the bins of lines that it touches, so that a point
+    meets the functions near it, not all of its file; points outside of all functions have no row.
+    """
+    spans = functions.select("path", F.struct(*functions.columns).alias("f"))
+    bins = F.sequence(F.floor(F.col("f.start_line") / bin_lines), F.floor(F.col("f.end_line") / bin_lines))
+    spans = spans.select("path", "f", F.explode(bins).alias("_bin"))
+    near = points.withColumn("_bin", F.floor(F.col(line) / bin_lines)).join(spans, ["path", "_bin"]).drop("_bin")
+    return near.filter(F.col(line).between(F.col("f.start_line"), F.col("f.end_line")))
+
+
+def innermost() -> Column:
+    """Of the functions ``f`` around a point the one of fewest lines, ties by start_byte."""
+    return F.min_by("f", F.struct(F.col("f.end_line") - F.col("f.start_line"), F.col("f.start_byte")))
+
+
 def first_definition(calls: DataFrame, functions: DataFrame) -> DataFrame:
     """Each call's name with its first definition, by file, then start_byte."""
     first = functions.groupBy("name").agg(F.min(F.struct("path", "start_byte")).alias("_d"))
@@ -67,6 +89,61 @@ def caller_walk(targets: DataFrame, functions: DataFrame, edges: DataFrame) -> D
     return kept
 
 
+def search(targets: DataFrame, functions: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The search for callers within two hops of each target function, as lists of what it visits and what it leaves.
+
+    ``targets(target, name)``, target being the function's own id; ``functions(id, path, start, name)``;
+    ``edges(caller_id, callee, call_line)``, one for each pair. A function isn't its own caller, nor is one of the
+    callee's name. Over 50 direct callers refuse the search: they are counted, none is visited. Callers are visited by
+    path and place, direct ones first, each of the first 19 of them followed by its own callers; the twenty-first new one
+    ends the search.
+
+    Returns visits(target, rank, id, hop, call_line, parent) and, for every target, (target, refused, direct_callers,
+    spans_used, truncated, stop_path, left): ``parent`` is the id that was called, ``stop_path`` the file where the search
+    stopped, ``left`` how many entries were then waiting, repeats counted.
+    """
+    f = functions.select(F.col("id").alias("caller_id"), F.col("path").alias("_p"), F.col("start").alias("_s"), F.col("name").alias("_n"))
+    callers = edges.join(f, "caller_id").filter("_n <> callee")
+    state = _with_direct(targets, callers).withColumn("refused", F.col("direct_callers") > REFUSE_ABOVE)
+    open_ = state.filter(~F.col("refused") & (F.col("direct_callers") > 0)).select("target", "name")
+    one = open_.join(callers, F.col("name") == F.col("callee")).filter("caller_id <> target").select("target", "caller_id", "call_line", "_p", "_s", "_n")
+    one = one.withColumn("_rank", F.row_number().over(Window.partitionBy("target").orderBy("_p", "_s")))
+    parents = one.filter(F.col("_rank") < SPANS).select("target", F.col("caller_id").alias("parent"), F.col("_n").alias("callee"), F.col("_rank").alias("_prank"))
+    # of a name's callers no more can be visited than the budget, the target and what is visited before them leave out
+    most = 2 * SPANS + 1
+    first = callers.withColumn("_k", F.row_number().over(Window.partitionBy("callee").orderBy("_p", "_s"))).filter(F.col("_k") <= most)
+    own = one.select("target", F.col("caller_id"), F.col("_rank").alias("_own"))
+    # what waits from each parent: its name's callers but those that are visited by then, the target among them
+    every = callers.groupBy("callee").agg(F.count(F.lit(1)).alias("_every"))
+    early = own.filter(F.col("_own") < SPANS).select("target", F.col("caller_id").alias("_early"), "_own")
+    early = early.unionByName(open_.select("target", F.col("target").alias("_early"), F.lit(0).alias("_own")))
+    known = parents.join(early, "target").filter(F.col("_own") <= F.col("_prank"))
+    known = known.join(callers.select("callee", F.col("caller_id").alias("_early")), ["callee", "_early"]).groupBy("target", "_prank").agg(F.count(F.lit(1)).alias("_known"))
+    waits = parents.join(every, "callee").join(known, ["target", "_prank"], "left").withColumn("_n", F.col("_every") - F.coalesce("_known", F.lit(0))).select("target", "_prank", "_n")
+    waits = waits.groupBy("target").agg(F.sort_array(F.collect_list(F.struct("_prank", "_n"))).alias("waits"))
+    two = parents.join(first, "callee").filter("caller_id <> target").join(own, ["target", "caller_id"], "left")
+    two = two.filter(F.col("_own").isNull() | (F.col("_own") > F.col("_prank")))
+    # an entry's place among those of its parent, repeats counted; what comes after the first of a name's callers isn't placed
+    two = two.withColumn("_nth", F.row_number().over(Window.partitionBy("target", "_prank").orderBy("_p", "_s")))
+    both = one.select("target", "caller_id", F.lit(1).alias("hop"), F.lit(0).alias("_prank"), F.col("_rank").alias("_nth"), "_p", "call_line", F.col("target").alias("parent"))
+    both = both.unionByName(two.filter("_own IS NULL").select("target", "caller_id", F.lit(2).alias("hop"), "_prank", "_nth", "_p", "call_line", "parent"))
+    entry = F.struct("hop", "_prank", "_nth", "_p", "call_line", "parent")
+    new = both.groupBy("target", "caller_id").agg(F.min(entry).alias("_o"))
+    new = new.withColumn("rank", F.row_number().over(Window.partitionBy("target").orderBy("_o"))).filter(F.col("rank") <= SPANS + 1)
+    visits = new.filter(F.col("rank") <= SPANS).select("target", "rank", F.col("caller_id").alias("id"), F.col("_o.hop").alias("hop"), F.col("_o.call_line").alias("call_line"), F.col("_o.parent").alias("parent"))
+    ends = new.groupBy("target").agg(
+        F.sum(F.when(F.col("rank") <= SPANS, 1).otherwise(0)).cast("int").alias("spans_used"), F.max(F.when(F.col("rank") > SPANS, F.col("_o"))).alias("_stop")
+    )
+    out = state.join(ends, "target", "left").join(waits, "target", "left")
+    # those that wait from the stop on: of its own parent's from its place, and all of the later parents'
+    after = F.aggregate("waits", F.lit(0).cast("long"), lambda a, w: a + F.when(w["_prank"] > F.col("_stop._prank"), w["_n"]).when(w["_prank"] == F.col("_stop._prank"), w["_n"] - F.col("_stop._nth") + 1).otherwise(0))
+    direct_left = F.when(F.col("_stop.hop") == 1, F.col("direct_callers") - F.col("_stop._nth") + 1).otherwise(0)
+    return visits, out.select(
+        "target", "refused", "direct_callers", F.coalesce("spans_used", F.lit(0)).alias("spans_used"), F.col("_stop").isNotNull().alias("truncated"), F.col("_stop._p").alias("stop_path"),
+        F.when(F.col("_stop").isNotNull(), direct_left + F.coalesce(after, F.lit(0).cast("long"))).alias("left"),
+    )
+
+
 def refused(targets: DataFrame, functions: DataFrame, edges: DataFrame) -> DataFrame:
     """(target, direct_callers, refused) of every target."""
     f = functions.select(F.col("id").alias("caller_id"), F.col("name").alias("_n"))

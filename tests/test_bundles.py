@@ -28,17 +28,31 @@ HUB = "def hub():\n    pass\n" + "".join(f"\ndef c{i:03}():\n    hub()\n" for i
 WIDE = "def wide():\n    pass\n" + "".join(f"\ndef d{i:03}():\n    wide()\n" for i in range(25))
 
 
+def built(spark, findings, files):
+    files = spark.createDataFrame(files, "path string, text string, project boolean")
+    return {r.id: r for r in bundles.build(spark.createDataFrame(findings, "id int, uri string, line int"), files, pysource.symbols(files).cache()).collect()}
+
+
 def test_bundles(spark):
-    s = pysource.symbols(spark.createDataFrame([("app.py", APP), ("hub.py", HUB), ("wide.py", WIDE)], "path string, text string")).cache()
-    f = spark.createDataFrame([(1, "app.py", 10), (2, "app.py", 16), (3, "hub.py", 2), (4, "wide.py", 2), (5, "app.py", 1), (6, None, None)], "id int, path string, line int")
-    out = {r.id: r for r in bundles.build(f, pysource.functions(s), pysource.calls(s)).collect()}
-    assert len(out) == 6
-    assert (out[1].enclosing, out[1].entrypoint_kind, out[1].completeness) == ("run", "HTTP_HANDLER", "COMPLETE")
-    assert [(c.id.split("#")[0], c.hop) for c in out[1].callers] == [("app.py", 1), ("app.py", 2)] and out[1].resolved_callees == ["helper"] and out[1].trusted_callees == ["quote"]
+    files = [("app.py", APP, True), ("hub.py", HUB, True), ("wide.py", WIDE, True), ("big.py", None, True)]
+    out = built(spark, [(1, "app.py", 10), (2, "./app.py", 16), (3, "hub.py", 2), (4, "wide.py", 2), (5, "app.py", None), (6, None, None), (7, "../x.py", 1), (8, "gone.py", 1), (9, "tests/big.py", 4), (10, "big.py", 1)], files)
+    assert len(out) == 10
+    one = out[1]
+    assert (one.enclosing_function.symbol, one.reachability.entrypoint_kind, one.completeness) == ("run", "HTTP_HANDLER", "COMPLETE")
+    assert [(c.caller.symbol, c.call_line, c.hops_from_finding) for c in one.callers] == [("middle", 7, 1), ("handler", 4, 2)]
+    assert [c.caller.symbol for c in one.reachability.path_from_entrypoint] == ["handler", "middle"] and one.reachability.entrypoint.symbol == "handler"
+    assert [r.split("#")[1] for r in one.route] == [str(APP.index("@app")), str(APP.index("def middle")), str(APP.index("def run"))]
+    assert [d.symbol for d in one.called_definitions] == ["helper"] and [(s.name, s.location.line, s.definition is not None, s.confirmed) for s in one.sanitizers] == [("quote", 10, False, True), ("helper", 10, True, True)]
+    assert one.called_definitions[0].source == "def helper(q):\n    return q"
     assert (out[2].reasons, out[2].completeness) == (["dynamic-dispatch"], "INSUFFICIENT")
-    assert (out[3].direct_callers, out[3].callers, out[3].completeness) == (60, None, "INSUFFICIENT")
-    assert (len(out[4].callers), out[4].reasons, out[4].completeness) == (20, ["caller-search-truncated"], "PARTIAL")
-    assert out[5].completeness == out[6].completeness == "INSUFFICIENT"
+    hub = out[3].caller_search
+    assert (hub.refused, hub.direct_caller_count, hub.spans_used, out[3].callers, out[3].completeness, out[3].reachability.notes) == (True, 60, 0, [], "INSUFFICIENT", [bundles.NOTE])
+    wide = out[4].caller_search
+    assert (len(out[4].callers), out[4].reasons, out[4].completeness, wide.truncated_at[0].callers_found, wide.truncated_at[0].path) == (20, ["caller-search-truncated"], "PARTIAL", 6, "wide.py")
+    assert {k: out[k].reasons for k in range(5, 11)} == {
+        5: [bundles.UNRESOLVED], 6: [bundles.UNRESOLVED], 7: [bundles.UNRESOLVED, bundles.OUTSIDE], 8: [bundles.UNRESOLVED, bundles.UNREADABLE], 9: [bundles.UNRESOLVED, bundles.UNREADABLE], 10: [bundles.UNRESOLVED, bundles.UNREADABLE],
+    }
+    assert out[9].file_class == "TEST" and {r.completeness for k, r in out.items() if k > 4} == {"INSUFFICIENT"}
 
 
 def test_difference(spark):
