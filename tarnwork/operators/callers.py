@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnwork.functions.workers import kept
+
 # Limits of the walk, decorators of entry points, callees that hide their target, trusted names.
 REFUSE_ABOVE, SPANS = 50, 20
 ENTRYPOINTS = (
@@ -103,11 +105,11 @@ def search(targets: DataFrame, functions: DataFrame, edges: DataFrame) -> tuple[
     stopped, ``left`` how many entries were then waiting, repeats counted.
     """
     f = functions.select(F.col("id").alias("caller_id"), F.col("path").alias("_p"), F.col("start").alias("_s"), F.col("name").alias("_n"))
-    callers = edges.join(f, "caller_id").filter("_n <> callee")
+    callers = kept(edges.join(f, "caller_id").filter("_n <> callee"))
     state = _with_direct(targets, callers).withColumn("refused", F.col("direct_callers") > REFUSE_ABOVE)
     open_ = state.filter(~F.col("refused") & (F.col("direct_callers") > 0)).select("target", "name")
     one = open_.join(callers, F.col("name") == F.col("callee")).filter("caller_id <> target").select("target", "caller_id", "call_line", "_p", "_s", "_n")
-    one = one.withColumn("_rank", F.row_number().over(Window.partitionBy("target").orderBy("_p", "_s")))
+    one = kept(one.withColumn("_rank", F.row_number().over(Window.partitionBy("target").orderBy("_p", "_s"))))
     parents = one.filter(F.col("_rank") < SPANS).select("target", F.col("caller_id").alias("parent"), F.col("_n").alias("callee"), F.col("_rank").alias("_prank"))
     # of a name's callers no more can be visited than the budget, the target and what is visited before them leave out
     most = 2 * SPANS + 1

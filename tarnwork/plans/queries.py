@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from tarnwork.functions import canonical, identity, paths, redact, render
 from tarnwork.functions.workers import importable, kept
 from tarnwork.operators import bundles, callers, costs, prefilter, records, replies, scoring, verdicts
+from tarnwork.plans import projects
+from tarnwork.plans.projects import dealt
 from tarnwork.sources import pysource, reports
 
 QUERIES: dict = {}
@@ -657,7 +659,7 @@ def run_report_all(spark, sf_dir):
 def _sources(spark, sf_dir):
     key, group = F.col("p_partkey").cast("string"), (F.col("p_partkey") % 5).cast("string")
     text = F.concat(F.lit("@app.route('/x')\ndef f"), key, F.lit("(q):\n    return g"), group, F.lit("(q)\n\ndef g"), group, F.lit("(q):\n    return eval(q)\n"))
-    return table(spark, sf_dir, "part").select(key.alias("path"), text.alias("text"))
+    return dealt(table(spark, sf_dir, "part").select(key.alias("path"), text.alias("text")))
 
 
 @query(
@@ -686,3 +688,6 @@ def finding_bundles(spark, sf_dir):
     found = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_partkey").cast("string").alias("uri"), line.alias("line"))
     b = bundles.build(found, _sources(spark, sf_dir), s)
     return b.select("id", "path", F.col("enclosing_function.symbol").alias("enclosing"), "completeness", F.array_join("reasons", ",").alias("reasons"))
+
+
+query(projects.SQL)(projects.context_bundles)
