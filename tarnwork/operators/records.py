@@ -53,10 +53,13 @@ def runtime_cost(model: Column, tokens_in: Column, tokens_out: Column) -> Column
 
 
 def as_argument(role: str, parsed: Column) -> Column:
-    """A parsed reply as a stored argument; an adversary's objections are open, an analyst has none."""
-    opened = F.transform(parsed["objections"], lambda o: F.struct(o["claim"].alias("claim"), F.lit(False).alias("rebutted"), F.lit(None).cast("string").alias("rebuttal")))
+    """A parsed reply as a stored argument, with all that it cites; an adversary's objections are open, an analyst has none."""
+    opened = F.transform(
+        parsed["objections"], lambda o: F.struct(o["claim"].alias("claim"), o["evidence"].alias("evidence"), F.lit(False).alias("rebutted"), F.lit(None).cast("string").alias("rebuttal"))
+    )
     none = F.filter(opened, lambda o: F.lit(False))
-    return F.struct(F.lit(role).alias("role"), parsed["position"].alias("position"), parsed["confidence"].alias("confidence"), parsed["reasoning"].alias("reasoning"), (opened if role == "adversary" else none).alias("objections"))
+    said = [parsed[c].alias(c) for c in ("position", "confidence", "reasoning")]
+    return F.struct(F.lit(role).alias("role"), *said, parsed["evidence"].alias("evidence_lines"), (opened if role == "adversary" else none).alias("objections"), parsed["questions"].alias("unresolved_questions"))
 
 
 def own_fields(adjudications: DataFrame, arguments: DataFrame, bundles: DataFrame) -> DataFrame:

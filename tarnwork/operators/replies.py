@@ -12,15 +12,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-
 def _struct(**fields: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(k, v) for k, v in fields.items()])
 
 
 _TEXT, _INT = T.StringType(), T.IntegerType()
+_REFS = T.ArrayType(_struct(path=_TEXT, line=_INT, end_line=_INT, snippet=_TEXT))
 REPLY = _struct(
-    valid=T.BooleanType(), error=_TEXT, position=_TEXT, confidence=T.DoubleType(), reasoning=_TEXT,
-    evidence=T.ArrayType(_struct(path=_TEXT, line=_INT, end_line=_INT, snippet=_TEXT)), objections=T.ArrayType(_struct(claim=_TEXT, rebutted=T.BooleanType(), rebuttal=_TEXT)), questions=T.ArrayType(_TEXT),
+    valid=T.BooleanType(), error=_TEXT, position=_TEXT, confidence=T.DoubleType(), reasoning=_TEXT, evidence=_REFS,
+    objections=T.ArrayType(_struct(claim=_TEXT, evidence=_REFS, rebutted=T.BooleanType(), rebuttal=_TEXT)), questions=T.ArrayType(_TEXT),
 )
 # What each role may say, and the limits of its texts.
 POSITIONS = ("TRUE_POSITIVE", "FALSE_POSITIVE", "NEEDS_HUMAN_REVIEW")
@@ -87,10 +87,10 @@ def _objections(items, answered: bool) -> list[dict]:
     for o in items:
         allowed = {"claim", "evidence"} | ({"rebutted", "rebuttal"} if answered else set())
         _need(isinstance(o, dict) and set(o) <= allowed and "claim" in o, "objections")
-        _refs(o.get("evidence", []))
+        cited = _refs(o.get("evidence", []))
         done, reply = o.get("rebutted", False), o.get("rebuttal")
         _need(isinstance(done, bool) and (not done or (isinstance(reply, str) and bool(reply.strip()))), "rebuttal")
-        out.append({"claim": _text(o["claim"], CLAIM, "claim"), "rebutted": done, "rebuttal": None if reply is None else _text(reply, 10**9, "rebuttal")})
+        out.append({"claim": _text(o["claim"], CLAIM, "claim"), "evidence": cited, "rebutted": done, "rebuttal": None if reply is None else _text(reply, 10**9, "rebuttal")})
     return out
 
 

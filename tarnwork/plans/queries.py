@@ -577,6 +577,25 @@ def reply_validation(spark, sf_dir):
     return replies.escalate(c).select("conv_id", "turn", F.col("schema_valid").alias("valid"), "verdict", "confidence")
 
 
+_CITING = """'{"verdict": "' || CASE WHEN conv_id % 2 = 0 THEN 'FALSE_POSITIVE' ELSE 'TRUE_POSITIVE' END || '", "confidence": 0.9, "justification": "j", "evidence_lines": [{"path": "' || CASE WHEN conv_id % 17 = 0 THEN '../' ELSE '' END || (conv_id % 1100) || '", "line": ' || (1 + turn) || '}], '
+ || '"open_objections": [{"claim": "' || role || '", "evidence": [{"path": "./' || (conv_id * 7 % 1050) || '", "line": 1, "end_line": ' || (1 + length(text) % 9) || '}], "rebutted": true, "rebuttal": "r"}, {"claim": "none"}]}'"""
+
+
+@query(
+    """WITH n AS (SELECT doc_id, len(string_split(text, chr(10))) AS n_lines FROM documents),
+    r AS (SELECT conv_id * 1000 + turn AS id, CASE WHEN conv_id % 2 = 0 THEN 'FALSE_POSITIVE' ELSE 'TRUE_POSITIVE' END AS said, CASE WHEN conv_id % 17 <> 0 THEN conv_id % 1100 END AS own, 1 + turn AS line, conv_id * 7 % 1050 AS other, 1 + length(text) % 9 AS last FROM conversations),
+    j AS (SELECT r.*, coalesce(a.n_lines >= line, false) AS own_ok, coalesce(b.n_lines >= last, false) AS other_ok FROM r LEFT JOIN n a ON own = a.doc_id LEFT JOIN n b ON other = b.doc_id)
+    SELECT id, CASE WHEN own_ok AND other_ok THEN said ELSE 'NEEDS_HUMAN_REVIEW' END AS verdict, CASE WHEN NOT (own_ok AND other_ok) THEN said END AS downgraded_from, CASE WHEN NOT (own_ok AND other_ok) THEN 'cited evidence does not exist' END AS downgrade_reason,
+      concat_ws(',', CASE WHEN NOT other_ok THEN 'objection 0' END, CASE WHEN NOT own_ok THEN 'reply' END) AS origins FROM j"""
+)
+def evidence_of_objections(spark, sf_dir):
+    files = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.size(F.split("text", "\n")).alias("n_lines"))
+    c = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), replies.parse_reply(F.expr(_CITING), F.lit("adjudicator")).alias("parsed"))
+    rows = replies.escalate(c).withColumns({"downgraded_from": F.lit(None).cast("string"), "downgrade_reason": F.lit(None).cast("string")})
+    origins = F.array_join(F.transform("invented", lambda i: i["origin"]), ",").alias("origins")
+    return verdicts.check_evidence(rows, files).select("id", "verdict", "downgraded_from", "downgrade_reason", origins)
+
+
 @query("""SELECT doc_id, sha256('["' || doc_id || '","' || lang || '","' || source || '"]') AS key FROM documents""")
 def cache_key(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", render.cache_key(F.col("doc_id"), F.col("lang"), F.col("source")).alias("key"))
