@@ -140,16 +140,17 @@ def symbols(files: DataFrame, language: str = "python") -> DataFrame:
     return files.filter("text IS NOT NULL").select("path", "text").mapInPandas(parse, SYMBOLS)
 
 
-def project(spark: SparkSession, root: str, most: int = FILES) -> DataFrame:
-    """(path, text) of a project's Python files by path: vendored and generated ones left out, ``most`` at most.
+def listing(spark: SparkSession, root: str, most: int = FILES, glob: str = "*.py") -> DataFrame:
+    """(path, length) of a project's files, relative to its root, the first ``most`` by path; no content is read.
 
-    Files over LARGEST bytes or of bad UTF-8 have null text, never part of it.
+    Vendored and generated ones are left out by their paths. Links are listed too: ``checkout`` reads what doesn't lead out.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.py").load(root)
-    kind = classify(F.regexp_replace("path", "^file:/*", "")).getField("file_class")
-    files = files.filter(~kind.isin("VENDORED", "GENERATED")).orderBy("path").limit(most)
-    text = F.try_validate_utf8(F.when(F.col("length") <= LARGEST, F.col("content")).cast("string"))
-    return files.select("path", F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n")).alias("text"))
+    top = spark._jvm.org.apache.hadoop.fs.Path(root)
+    top = top.getFileSystem(spark._jsc.hadoopConfiguration()).resolvePath(top).toUri().getPath().rstrip("/") + "/"
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
+    at = F.regexp_replace("path", r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?/*", "/")
+    files = files.select(at.alias("at"), "length").filter(F.col("at").startswith(top)).select(F.substring("at", F.lit(len(top) + 1), F.length("at")).alias("path"), "length")
+    return files.filter(~classify(F.col("path")).getField("file_class").isin("VENDORED", "GENERATED")).orderBy("path").limit(most)
 
 
 def functions(symbols_: DataFrame) -> DataFrame:
