@@ -70,14 +70,33 @@ def chosen(q: np.ndarray, c: np.ndarray, found: np.ndarray, d: np.ndarray, reach
 
 
 class Graph:
-    """Neighbour graph over the centroids, searched best first."""
+    """Neighbour graph over the centroids, searched best first. Links go both ways and every part of it has an entry, so
+    that a walk can reach all centroids: those far out are nearest to none, and clusters lie apart."""
 
     def __init__(self, c: np.ndarray, degree: int = 24):
         self.c = c
         degree = min(degree, max(len(c) - 1, 0))
-        self.links = np.argsort(distances(c, c), axis=1, kind="stable")[:, 1 : degree + 1]
-        # the starting points lie spread over the sample's order
-        self.entry = np.unique(np.linspace(0, len(c) - 1, min(len(c), 16)).astype(int))
+        near = np.argsort(distances(c, c), axis=1, kind="stable")[:, 1 : degree + 1]
+        ends = np.unique(np.concatenate([np.stack([np.repeat(np.arange(len(c)), degree), near.ravel()], axis=1), np.stack([near.ravel(), np.repeat(np.arange(len(c)), degree)], axis=1)]), axis=0)
+        self.links = np.split(ends[:, 1], np.searchsorted(ends[:, 0], np.arange(1, len(c))))
+        # the starting points lie spread over the sample's order, with one at least in each part; the centroids of the longest
+        # rows, which many queries want and few others are near, are among them
+        long = np.argsort(-(c[:, :-1] ** 2).sum(axis=1), kind="stable")[:32]
+        self.entry = np.unique(np.concatenate([np.linspace(0, len(c) - 1, min(len(c), 16)).astype(int), long, self._parts()]))
+
+    def _parts(self) -> np.ndarray:
+        """The first centroid of each connected part."""
+        seen, out = np.zeros(len(self.c), bool), []
+        for i in range(len(self.c)):
+            if not seen[i]:
+                out.append(i)
+                seen[i], todo = True, [i]
+                while todo:
+                    new = self.links[todo.pop()]
+                    new = new[~seen[new]]
+                    seen[new] = True
+                    todo.extend(new.tolist())
+        return np.array(out, np.int64)
 
     def nearest(self, q: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         """The ``width`` nearest centroids that the walk finds, with distances."""
@@ -165,9 +184,10 @@ def nearest_vectors(
     Returns query_id, rank, vec_id, score (double precision, on the original vectors). Left out are
     rows without vec_id and vectors that are null, zero or hold null or non-finite components; shorter
     vectors are filled with zeros. Equal rows count once; rows that share a query's vec_id are its own.
-    Vectors of unequal lengths are told apart by one more component, which makes the largest inner
-    product the least distance. Lists number rows / ``list_rows``, ``most_lists`` at most; ``probes``
-    is three fifths of them unless given. A list of many rows is searched in parts.
+    Vectors of unequal lengths are told apart by one more component, and queries are brought to the largest length, which
+    makes the largest inner product the least distance. Lists number rows / ``list_rows``, ``most_lists`` at most;
+    beyond that they grow, and no row is left out. ``probes`` is three fifths of them unless given; with an infinite
+    ``reach`` and as many probes as lists the search is exact. A list of many rows is searched in parts.
     """
     rows = usable(vectors).filter(F.exists("v", lambda x: x != 0))
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
@@ -178,8 +198,13 @@ def nearest_vectors(
     lists = max(1, min(most_lists, n // list_rows))
 
     def lift(v: np.ndarray, s: np.ndarray | None) -> np.ndarray:
-        """One more component: what is missing to the largest length; 0 for queries."""
+        """One more component: what is missing to the largest length. Queries, which have none, are brought to that length,
+        so that rows and queries lie on one sphere and distances tell inner products whatever a query's own length."""
         v = np.pad(v, ((0, 0), (0, width - v.shape[1])))
+        if s is None:
+            # by the largest component first, so that no square overflows or vanishes
+            v = v / np.abs(v).max(axis=1, keepdims=True)
+            v = v * (np.sqrt(top) / np.sqrt((v**2).sum(axis=1)))[:, None]
         return np.column_stack([v, np.zeros(len(v)) if s is None else np.sqrt(np.maximum(top - s, 0))])
 
     sample = rows.orderBy(F.xxhash64("vec_id", F.lit(3)), "vec_id").limit(sample_rows).select("vec_id", "v", "s").toArrow().sort_by([("vec_id", "ascending")])
