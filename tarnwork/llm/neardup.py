@@ -47,8 +47,9 @@ def made_of(count: np.ndarray) -> np.ndarray:
     return np.where(count >= SHINGLE, count - SHINGLE + 1, (count > 0).astype(np.int64))
 
 
-def shingles(flat: np.ndarray, start: np.ndarray, end: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of each document's distinct shingles, ascending, and the offsets into them.
+def shingles(flat: np.ndarray, start: np.ndarray, end: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of each document's distinct shingles, ascending, the offsets into them, and the exact number of its distinct
+    shingles, by words.
 
     A document of fewer than five words has its whole sequence as one.
     """
@@ -61,11 +62,25 @@ def shingles(flat: np.ndarray, start: np.ndarray, end: np.ndarray, cuts: np.ndar
     h = sums.spans(first, np.minimum(first + SHINGLE, cuts[1:][doc]), 8)
     order = np.argsort(h, kind="stable")
     order = order[np.argsort(doc[order], kind="stable")]
-    h, doc = h[order], doc[order]
+    h, doc, first = h[order], doc[order], first[order]
+    other = np.zeros(0, np.int64)
     if len(h):
         new = np.concatenate([[True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])])
+        again = np.flatnonzero(~new)
+        size = np.minimum(SHINGLE, count[doc[again]])
+        same = np.ones(len(again), bool)
+        for k in range(SHINGLE):
+            at = np.where(k < size, k, 0)
+            same &= number[first[again] + at] == number[first[again - 1] + at]
+        other = np.unique(doc[again[~same]])
         h, doc = h[new], doc[new]
-    return h, np.searchsorted(doc, np.arange(len(count) + 1))
+    at = np.searchsorted(doc, np.arange(len(count) + 1))
+    n = np.diff(at)
+    # different shingles of one hash in one document: count these by words
+    for d in other.tolist():
+        w = number[cuts[d] : cuts[d + 1]].tolist()
+        n[d] = len({tuple(w[i : i + SHINGLE]) for i in range(max(len(w) - SHINGLE + 1, 1))})
+    return h, at, n
 
 
 def exact_shingles(number: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -119,8 +134,7 @@ _SIGNED = "block long, doc_id long, n_shingles long, content binary, bands array
 
 def _sign(number, b, _):
     flat, start, end, at = words_of(b)
-    h, cuts = shingles(flat, start, end, at)
-    n = np.diff(cuts)
+    h, cuts, n = shingles(flat, start, end, at)
     some = np.flatnonzero(n)
     has = n > 0
     keys, bits = signatures(h, np.append(cuts[some], len(h))) if len(some) else (np.zeros((0, BANDS), U64), np.zeros((0, LONGS), U64))
@@ -190,7 +204,7 @@ def _words(flat, start, end, cuts) -> pa.Array:
 
 
 def _sketch(flat, start, end, cuts) -> pa.Array:
-    bits = sketches(*shingles(flat, start, end, cuts))
+    bits = sketches(*shingles(flat, start, end, cuts)[:2])
     at = np.arange(len(bits) + 1, dtype=np.int32) * bits.shape[1]
     return pa.ListArray.from_arrays(pa.array(at), pa.array(bits.reshape(-1).view(np.int64)))
 

@@ -53,6 +53,29 @@ def automaton(names: list[int], start: list[int], size: int, owner: list[int]):
 SHARD = 2000
 
 
+def _by_content(number: np.ndarray, place: np.ndarray, own: np.ndarray, first: np.ndarray, some: np.ndarray, key: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """One window for each content that several owners have, the first owner's, and the windows in question.
+
+    ``first`` and ``some`` are those of the groups of one hash with several owners. A group of several contents is told
+    apart by the words themselves; windows of one content have one owner at least in ``first``.
+    """
+    group = np.searchsorted(key[first], key[some])
+    alike = np.ones(len(some), bool)
+    for k in range(n):
+        alike &= number[place[some] + k] == number[place[first][group] + k]
+    mixed = np.unique(group[~alike])
+    if not len(mixed):
+        return first, some
+    inside = np.isin(group, mixed)
+    kinds: dict[tuple, list[int]] = {}
+    # windows come by owner, so that the first of a content is its first owner's
+    for at in some[inside].tolist():
+        kinds.setdefault(tuple(number[place[at] : place[at] + n].tolist()), []).append(at)
+    more = [x for x in kinds.values() if own[x[0]] != own[x[-1]]]
+    first = np.sort(np.concatenate([np.delete(first, mixed), np.array([x[0] for x in more], np.int64)]))
+    return first, np.sort(np.concatenate([some[~inside], np.array([at for x in more for at in x], np.int64)]))
+
+
 def locate(number: np.ndarray, count: np.ndarray, owner: np.ndarray, n: int, shard: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Occurrences (entry, place) of windows that an earlier owner holds too, among entries of ``count`` windows each.
 
@@ -70,9 +93,9 @@ def locate(number: np.ndarray, count: np.ndarray, owner: np.ndarray, n: int, sha
     new[1:] = key[1:] != key[:-1]
     first = np.flatnonzero(new)
     several = np.maximum.reduceat(own, first) != own[first] if len(first) else new
+    first, some = _by_content(number, place, own, first[several], np.flatnonzero(np.repeat(several, np.diff(np.append(first, len(key))))), key, n)
     # passages with such a window are streamed, shard by shard
-    streamed = np.unique(entry[np.repeat(several, np.diff(np.append(first, len(key))))])
-    first = first[several]
+    streamed = np.unique(entry[some])
     part = mix(shard, 3) % U64(len(count) // SHARD + 1)
     compiled, streamed = first[np.argsort(part[entry[first]], kind="stable")], streamed[np.argsort(part[streamed], kind="stable")]
     parts = np.unique(part[streamed])
