@@ -270,7 +270,7 @@ def test_thresholds_are_ordered_and_monotone():
 
 @pytest.mark.parametrize("name", list(queries.QUERIES))
 def test_empty_tables(spark, name, tmp_path):
-    for t in ("documents", "embeddings", "labels"):
+    for t in ("documents", "embeddings", "labels", "benchmark"):
         spark.read.parquet(f"{SF}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     assert queries.QUERIES[name](spark, str(tmp_path)).count() == 0
 
