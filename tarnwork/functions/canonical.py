@@ -39,7 +39,7 @@ def leaves(x, at: str = ""):
 
 
 def flatten_documents(docs: DataFrame) -> DataFrame:
-    """Leaves of documents (id, raw); a document that isn't JSON has one leaf of kind invalid."""
+    """Leaves of documents (id, raw); a document that isn't JSON, or nests too deep to be read, has one leaf of kind invalid."""
 
     def flat(it: Iterator[pa.RecordBatch]):
         for batch in it:
@@ -47,7 +47,7 @@ def flatten_documents(docs: DataFrame) -> DataFrame:
             for i, raw in zip(batch.column("id").to_pylist(), batch.column("raw").to_pylist()):
                 try:
                     rows += [(i, *leaf) for leaf in leaves(canonical(json.loads(raw if raw is not None else "")))]
-                except ValueError:
+                except (ValueError, RecursionError):
                     rows.append((i, "", "invalid", raw))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(4)], names=["id", "pointer", "kind", "value"])
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnwork.functions.workers import kept
+
 # Prices in USD for a million tokens (in, out), multipliers of cached input, reply sizes.
 PRICES = {"small": (1.0, 5.0), "large": (5.0, 25.0)}
 CACHE_WRITE, CACHE_READ = 1.25, 0.10
@@ -46,3 +48,25 @@ def budget_cut(rows: DataFrame, group: list[str], order: list[str], limit: float
     before = F.coalesce(F.sum(spent).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     rows = rows.withColumn("_ok", (before + F.col("cost")) <= limit)
     return rows.withColumn("allowed", F.min("_ok").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_ok")
+
+
+def budget_run(rows: DataFrame, order: list[str], limit: float = RUN_LIMIT, spent: str = "cost", group: tuple = (), partitions: int | None = None) -> DataFrame:
+    """``budget_cut`` of runs of any length: adds ``allowed`` and ``spent_before``; no task holds a whole run.
+
+    ``order`` tells a run's rows apart. Rows are dealt to ranges of (group, order); what a range spends is added up first, and
+    carried to the later ranges of its run; where a range stops, the later ones are stopped too. Money adds up in whole billionths, so
+    that a sum doesn't depend on how it was added; a null cost is nothing.
+    """
+    n = partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys, money = ["_range", *group], lambda c: F.coalesce(F.col(c).cast("decimal(28,9)"), F.lit(0).cast("decimal(28,9)"))
+    placed = kept(rows.repartitionByRange(n, *group, *order).withColumn("_range", F.spark_partition_id()))
+    ranges = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    # a row for each range of a run
+    carried = placed.groupBy(*keys).agg(F.sum(money(spent)).alias("_spent")).select(*keys, F.coalesce(F.sum("_spent").over(ranges), F.lit(0)).alias("_carried"))
+    w = Window.partitionBy(*keys).orderBy(*order)
+    before = F.col("_carried") + F.coalesce(F.sum(money(spent)).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    run = placed.join(carried, keys).withColumn("spent_before", before)
+    run = run.withColumn("_ok", F.col("spent_before") + money("cost") <= F.lit(limit).cast("decimal(28,9)"))
+    stopped = run.groupBy(*keys).agg(F.bool_and("_ok").alias("_ok")).select(*keys, F.coalesce(F.bool_and("_ok").over(ranges), F.lit(True)).alias("_open"))
+    run = run.withColumn("_ok", F.bool_and("_ok").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).join(stopped, keys)
+    return run.withColumns({"allowed": F.col("_ok") & F.col("_open"), "spent_before": F.col("spent_before").cast("double")}).drop("_range", "_carried", "_ok", "_open")
