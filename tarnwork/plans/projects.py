@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnwork.functions.workers import importable, kept
-from tarnwork.operators import bundles
+from tarnwork.operators import bundles, callers
 from tarnwork.sources import pysource
 
 _PATH = "'src/m' || CAST(floor(c_custkey / 40) AS BIGINT) || '.py'"
@@ -105,6 +105,24 @@ SELECT id, CASE WHEN k IN (0, 1, 2) THEN '' ELSE 'import os|from lib.m' || least
   CASE WHEN NOT whole OR dynamic OR direct > 50 AND reach IS NULL THEN 'INSUFFICIENT' WHEN direct > 50 OR stop_path IS NOT NULL THEN 'PARTIAL' ELSE 'COMPLETE' END AS completeness
 FROM x"""
 
+#: Visits of every function's search, with the caller that led to each.
+SQL_WALKS = f"""WITH {_PROJECT}
+SELECT vi.target, CAST(rank AS INT) AS rank, vi.name AS caller, CAST(hop AS INT) AS hop, CAST(vi.line AS INT) AS call_line, 'f' || parent AS called FROM vi"""
+
+
+def caller_routes(spark, sf_dir: str) -> DataFrame:
+    """(target, rank, caller, hop, call_line, called) of all functions of the project, not of those that findings lie in alone."""
+    files, _ = sources(spark, sf_dir)
+    symbols = kept(pysource.symbols(dealt(files)))
+    f = pysource.functions(symbols).withColumn("function_id", bundles.function_id("path", "start_byte"))
+    graph = f.select(F.col("function_id").alias("id"), "path", F.col("start_byte").alias("start"), "name")
+    edges = bundles.edges_of(callers.containing(pysource.calls(symbols), f, "start_line"))
+    visits, _ = callers.search(graph.select(F.col("id").alias("target"), "name"), graph, edges)
+    name = lambda k, new: graph.select(F.col("id").alias(k), F.col("name").alias(new))
+    out = visits.join(name("id", "caller"), "id").join(name("parent", "called"), "parent").join(name("target", "_target"), "target")
+    return out.select(F.substring("_target", 2, 20).cast("long").alias("target"), "rank", "caller", "hop", "call_line", "called")
+
+
 def context_bundles(spark, sf_dir: str) -> DataFrame:
     b = bundles_of(spark, sf_dir)
     joined = lambda values, by=",": F.array_join(values, by)

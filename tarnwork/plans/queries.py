@@ -283,18 +283,24 @@ def first_definition(spark, sf_dir):
     return callers.first_definition(p.select("p_partkey", word), d).select("p_partkey", "name", "def_path", "def_start")
 
 
+#: The part that a lineitem calls: small keys more often, so that parts have from no callers to more than a search allows.
+_CALLED = "'n' || CAST(1 + (l_orderkey % most) % (1 + (l_orderkey * 7919 + l_linenumber * 104729) % most) AS BIGINT)"
+
+
 def _graph(spark, sf_dir):
     """Targets, functions and calls: every part is a function and a target, every lineitem a call."""
     p, key, items = table(spark, sf_dir, "part"), F.col("p_partkey"), table(spark, sf_dir, "lineitem")
-    f = p.select(key.alias("id"), F.col("p_brand").alias("path"), key.alias("start"), F.concat(F.lit("n"), (key % 97).cast("string")).alias("name"))
-    e = items.select(F.col("l_partkey").alias("caller_id"), F.concat(F.lit("n"), (F.col("l_suppkey") % 97).cast("string")).alias("callee")).distinct()
+    f = p.select(key.alias("id"), F.col("p_brand").alias("path"), key.alias("start"), F.concat(F.lit("n"), key.cast("string")).alias("name"))
+    most = p.agg(F.max("p_partkey").alias("most"))
+    e = items.join(F.broadcast(most)).select(F.col("l_partkey").alias("caller_id"), F.expr(_CALLED).alias("callee")).distinct()
     return f.select(F.col("id").alias("target"), "name"), f, e
 
 
 # every part a target, every lineitem a call; callers are counted by name before any pair is made
-_WHOLE_GRAPH = """
-fn AS (SELECT p_partkey AS id, p_brand AS path, p_partkey AS start, 'n' || (p_partkey % 97) AS name FROM part),
-ed AS (SELECT DISTINCT l_partkey AS caller_id, 'n' || (l_suppkey % 97) AS callee FROM lineitem),
+_WHOLE_GRAPH = f"""
+mo AS (SELECT max(p_partkey) AS most FROM part),
+fn AS (SELECT p_partkey AS id, p_brand AS path, p_partkey AS start, 'n' || p_partkey AS name FROM part),
+ed AS (SELECT DISTINCT l_partkey AS caller_id, {_CALLED} AS callee FROM lineitem, mo),
 cl AS (SELECT ed.caller_id, ed.callee, fn.path, fn.start, fn.name FROM ed JOIN fn ON ed.caller_id = fn.id WHERE fn.name <> ed.callee),
 cn AS (SELECT callee, count(*) AS n FROM cl GROUP BY callee),
 me AS (SELECT caller_id, callee, count(*) AS n FROM cl GROUP BY caller_id, callee),
@@ -379,6 +385,32 @@ def redacted_text(spark, sf_dir):
     return d.select("doc_id", F.md5("r.redacted").alias("redacted_md5"), F.size("r.secrets").alias("n_secrets"))
 
 
+_SPECIFIC = f"(?s)-----BEGIN {_KEYS}{_PEM}.*?-----END {_KEYS}{_PEM}|AKIA[0-9A-Z]{{16}}|eyJ[A-Za-z0-9_-]{{10,}}[.]eyJ[A-Za-z0-9_-]{{10,}}[.][A-Za-z0-9_-]{{10,}}|[a-zA-Z][a-zA-Z0-9+.-]*://[^\\x09-\\x0D\\x20:@''\"]+:[^\\x09-\\x0D\\x20@''\"]+@[^\\x09-\\x0D\\x20''\"]+"
+
+
+#: Documents with secrets of every kind at their ends.
+_WITH_SECRETS = """text || CASE WHEN doc_id % 3 = 0 THEN chr(10) || 'k = "AKIA' || upper(substr(md5(text), 1, 16)) || '"' ELSE '' END || CASE WHEN doc_id % 4 = 0 THEN chr(10) || 'u = "db://me:pw' || doc_id || '@host/x" ' ELSE '' END
+ || CASE WHEN doc_id % 5 <> 0 THEN chr(10) || 'g = "' || substr(md5(text), 1, 20) || upper(md5(text)) || '"' ELSE '' END || CASE WHEN doc_id % 6 = 0 THEN chr(10) || '-----BEGIN RSA PRIVATE KEY-----' || chr(10) || md5(text) || chr(10) || '-----END RSA PRIVATE KEY-----' ELSE '' END
+ || CASE WHEN doc_id % 7 = 0 THEN chr(10) || 'eyJ' || md5(text) || '.eyJ' || md5(text) || '.' || md5(text) ELSE '' END"""
+
+
+@query(
+    f"""WITH t AS (SELECT doc_id, {_WITH_SECRETS} AS text FROM documents),
+    s AS (SELECT doc_id, unnest(regexp_extract_all(text, '{_SPECIFIC}')) AS m FROM t),
+    k AS (SELECT doc_id, CASE WHEN m LIKE '-----BEGIN%' THEN 'PRIVATE_KEY_PEM' WHEN m LIKE 'AKIA%' AND len(m) = 20 THEN 'AWS_ACCESS_KEY' WHEN m LIKE 'eyJ%' AND NOT contains(m, '://') THEN 'JWT' ELSE 'CONNECTION_STRING' END AS kind, m AS value FROM s),
+    q AS (SELECT doc_id, unnest(regexp_extract_all(text, '"[^"\\n]{{16,200}}"|''[^''\\n]{{16,200}}''')) AS lit FROM t),
+    l AS (SELECT doc_id, substr(lit, 2, len(lit) - 2) AS value, row_number() OVER () AS i FROM q WHERE NOT regexp_matches(lit, '{_SPECIFIC}')),
+    c AS (SELECT i, ch, count(*) AS n FROM (SELECT i, unnest(string_split(value, '')) AS ch FROM l) WHERE ch <> '' GROUP BY i, ch),
+    h AS (SELECT i FROM l JOIN c USING (i) GROUP BY i HAVING round(-sum(n / len(value) * log2(n / len(value))), 12) >= 4),
+    a AS (SELECT doc_id, kind, value FROM k UNION ALL SELECT doc_id, 'GENERIC_HIGH_ENTROPY', value FROM l JOIN h USING (i))
+    SELECT doc_id, kind, count(*) AS n, CAST(sum(len(value)) AS BIGINT) AS length FROM a GROUP BY doc_id, kind"""
+)
+def redacted_kinds(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.expr(_WITH_SECRETS).alias("text"))
+    d = d.select("doc_id", F.explode(redact.redact("text", F.lit(1))["secrets"]).alias("s"))
+    return d.groupBy("doc_id", F.col("s.kind").alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.sum("s.length").cast("long").alias("length"))
+
+
 @query(
     """SELECT doc_id, md5('<<<UNTRUSTED SOURCE path=' || lang || ' lines=1-' || len(string_split(text, chr(10))) || '>>>' || chr(10) || replace(replace(text || '<<<END>>>', '<<<', '< <<'), '>>>', '> >>') || chr(10) || '<<<END UNTRUSTED SOURCE>>>') AS block_md5 FROM documents"""
 )
@@ -439,6 +471,20 @@ def budget_cut(spark, sf_dir):
     return costs.budget_cut(c, ["conv_id"], ["turn"], 600.0).select("conv_id", "turn", "allowed")
 
 
+@query(
+    """WITH c AS (SELECT conv_id, turn, length(text) / 1000e0 AS cost, length(text) // 3 / 1000e0 AS paid FROM conversations),
+    l AS (SELECT round(0.4e0 * sum(length(text) // 3) / 1000, 3) AS most FROM conversations),
+    b AS (SELECT conv_id, turn, coalesce(sum(CAST(paid AS DECIMAL(28, 9))) OVER w, 0) AS before, cost, most FROM c, l WINDOW w AS (ORDER BY conv_id, turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    o AS (SELECT *, before + CAST(cost AS DECIMAL(28, 9)) <= CAST(most AS DECIMAL(28, 9)) AS ok FROM b)
+    SELECT conv_id, turn, CAST(before AS DOUBLE) AS spent_before, min(ok) OVER (ORDER BY conv_id, turn ROWS UNBOUNDED PRECEDING) AS allowed FROM o"""
+)
+def budget_of_a_run(spark, sf_dir):
+    """All turns as one run, stopped where two fifths of what they cost are spent."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", (F.length("text") / F.lit(1000.0)).alias("cost"), (F.floor(F.length("text") / 3) / F.lit(1000.0)).alias("paid"))
+    most = round(0.4 * (c.agg(F.sum(F.round(F.col("paid") * 1000).cast("long"))).first()[0] or 0) / 1000, 3)
+    return costs.budget_run(c, ["conv_id", "turn"], most, "paid").select("conv_id", "turn", "spent_before", "allowed")
+
+
 # ---- scores --------------------------------------------------------------------------------------
 
 _PROV = "CASE doc_id % 4 WHEN 0 THEN 'CVE_FIX' WHEN 1 THEN 'HAND_LABELED' WHEN 2 THEN 'JULIET' ELSE 'REAL_WORLD' END"
@@ -658,12 +704,17 @@ def path_refusals(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", paths.refusal(p).alias("refusal"))
 
 
-@query()
+@query(
+    """WITH e AS (SELECT event_id AS id, props <> regexp_replace(props, '[0-9]', '7', 'g') AS other FROM events)
+    SELECT CAST(id AS VARCHAR) AS id, '/props/k' AS pointer, 'changed' AS change FROM e WHERE id % 2 = 0 AND other UNION ALL SELECT CAST(id AS VARCHAR), unnest(['/tags/#', '/tags/0', '/tags/1']), 'lost' FROM e WHERE id % 5 = 0
+    UNION ALL SELECT CAST(id AS VARCHAR), '/tags/#', 'changed' FROM e WHERE id % 5 <> 0 AND id % 3 = 0 UNION ALL SELECT CAST(id AS VARCHAR), '/tags/2', 'added' FROM e WHERE id % 5 <> 0 AND id % 3 = 0 UNION ALL SELECT CAST(id AS VARCHAR), '/new', 'added' FROM e WHERE id % 7 = 0"""
+)
 def document_differences(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    before = e.select(F.col("event_id").alias("id"), F.col("props").alias("raw"))
-    after = before.withColumn("raw", F.when(F.col("id") % 2 == 0, F.regexp_replace("raw", "[0-9]", "7")).otherwise(F.col("raw")))
-    return canonical.difference(before, after).groupBy("change").agg(F.count(F.lit(1)).alias("n"))
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "props")
+    before = e.select("id", F.expr("""'{"props": ' || props || ', "tags": ["a", ' || id % 4 || ']}'""").alias("raw"))
+    after = F.expr("""'{' || CASE WHEN id % 5 = 0 THEN '' WHEN id % 3 = 0 THEN '"tags": ["a", ' || id % 4 || '.0, null], ' ELSE '"tags": ["a", ' || id % 4 || '], ' END || CASE WHEN id % 7 = 0 THEN '"new": {}, ' ELSE '' END
+      || '"props": ' || CASE WHEN id % 2 = 0 THEN regexp_replace(props, '[0-9]', '7') ELSE props END || '}'""")
+    return canonical.difference(before, e.select("id", after.alias("raw")))
 
 
 @query(f"WITH {_PAIRS} SELECT count(*) AS total, CAST(sum(latency_ms) AS BIGINT) AS latency_ms FROM p")
@@ -710,3 +761,4 @@ def finding_bundles(spark, sf_dir):
 
 
 query(projects.SQL)(projects.context_bundles)
+query(projects.SQL_WALKS)(projects.caller_routes)

@@ -51,8 +51,12 @@ def test_walk_and_refusal(spark, calls):
 
 
 def test_every_part_is_a_target_and_every_lineitem_a_call(spark):
-    parts = [(r.p_partkey, r.p_brand, r.p_partkey, f"n{r.p_partkey % 97}") for r in spark.read.parquet(f"{SF}/part.parquet").collect()]
-    edges = {(r.l_partkey, f"n{r.l_suppkey % 97}") for r in spark.read.parquet(f"{SF}/lineitem.parquet").select("l_partkey", "l_suppkey").collect()}
+    parts = [(r.p_partkey, r.p_brand, r.p_partkey, f"n{r.p_partkey}") for r in spark.read.parquet(f"{SF}/part.parquet").collect()]
+    most = max(p[0] for p in parts)
+    called = lambda r: f"n{1 + (r.l_orderkey % most) % (1 + (r.l_orderkey * 7919 + r.l_linenumber * 104729) % most)}"
+    edges = {(r.l_partkey, called(r)) for r in spark.read.parquet(f"{SF}/lineitem.parquet").select("l_partkey", "l_orderkey", "l_linenumber").collect()}
     got = sorted(tuple(r) for r in QUERIES["caller_refusal_all"](spark, SF).collect())
     assert got == [(i, len(x), len(x) > 50) for i, x in sorted(direct(parts, edges)[0].items())] and len(got) == len(parts)
-    assert sorted(tuple(r) for r in QUERIES["two_hop_callers_all"](spark, SF).collect()) == walk(parts, edges)
+    walks = walk(parts, edges)
+    assert {w[2] for w in walks} == {1, 2} and {w[4] for w in walks} == {False, True}
+    assert sorted(tuple(r) for r in QUERIES["two_hop_callers_all"](spark, SF).collect()) == walks
