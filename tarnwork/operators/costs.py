@@ -30,6 +30,17 @@ def call_cost(model: Column, tokens_in: Column, tokens_out: Column, read: Column
     return (into * price(model, 0) + tokens_out * price(model, 1)) / F.lit(1e6)
 
 
+#: Tokens of a finding's one call where nothing is known of its prompt.
+FLAT_IN, FLAT_OUT = 3000, 400
+
+
+def flat_estimate(entries: DataFrame, model: str) -> DataFrame:
+    """(calls, input_tokens, output_tokens, cost_usd) of one call for each entry, before any prompt is there."""
+    one = call_cost(F.lit(model), F.lit(FLAT_IN), F.lit(FLAT_OUT), F.lit(0), F.lit(0))
+    n = entries.agg(F.count(F.lit(1)).alias("calls"))
+    return n.select("calls", (F.col("calls") * FLAT_IN).alias("input_tokens"), (F.col("calls") * FLAT_OUT).alias("output_tokens"), (F.col("calls") * one).alias("cost_usd"))
+
+
 def four_calls(bundles: DataFrame) -> DataFrame:
     """Four calls for each bundle (id, model, shared_tokens, own_tokens): the shared part is written to the cache once and read thrice."""
     calls = F.array(*[F.struct(F.lit(r).alias("role"), F.lit(n).alias("out"), F.lit(w).alias("writes")) for r, n, w in CALLS])

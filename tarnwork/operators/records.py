@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import subprocess
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -100,16 +101,27 @@ def first_match(names: DataFrame, table: list[tuple[str, str]], column: str) ->
     return F.get(hits, F.lit(0))["v"]
 
 
+def _text(form: str, value: Column) -> Column:
+    """A number by a format, n/a where there is none. Rounded by its exact value, halves to even: Spark's own format rounds
+    the shortest decimal that stands for a number, halves up."""
+
+    @F.pandas_udf("string")
+    def written(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: "n/a" if pd.isna(v) else form % v)
+
+    return written(value.cast("double"))
+
+
 def share_text(ratio: Column) -> Column:
-    return F.when(ratio.isNull(), "n/a").otherwise(F.format_string("%.1f%%", ratio * 100))
+    return _text("%.1f%%", ratio * 100)
 
 
 def money_text(usd: Column) -> Column:
-    return F.when(usd.isNull(), "n/a").otherwise(F.format_string("$%.4f", usd))
+    return _text("$%.4f", usd)
 
 
 def time_text(ms: Column) -> Column:
-    return F.when(ms.isNull(), "n/a").otherwise(F.format_string("%.0f ms", ms.cast("double")))
+    return _text("%.0f ms", ms)
 
 
 # How a finding is marked that no budget was left for.

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tarnwork.functions import canonical, identity, paths, redact, render
 from tarnwork.functions.workers import importable, kept
 from tarnwork.operators import bundles, callers, costs, prefilter, records, replies, scoring, verdicts
-from tarnwork.plans import projects
+from tarnwork.plans import projects, steps
 from tarnwork.plans.projects import dealt
 from tarnwork.sources import pysource, reports
 
@@ -762,3 +762,5 @@ def finding_bundles(spark, sf_dir):
 
 query(projects.SQL)(projects.context_bundles)
 query(projects.SQL_WALKS)(projects.caller_routes)
+QUERIES |= steps.QUERIES
+ORACLE_SQL |= steps.ORACLE_SQL

@@ -31,8 +31,48 @@ def rejected(spark: SparkSession, path: str) -> DataFrame:
     return _read(spark, path, REJECTED, "line >= 1 AND length(reason) > 0")
 
 
+# The domains of a run row.
+VERDICTS, LEVELS = ("TRUE_POSITIVE", "FALSE_POSITIVE", "NEEDS_HUMAN_REVIEW"), ("COMPLETE", "PARTIAL", "INSUFFICIENT")
+
+
+def checked_runs(lines: DataFrame, *carry: str) -> DataFrame:
+    """Run rows of JSON lines (value), and in ``problem`` what is wrong with one; blank lines are none. ``carry``: other columns to keep.
+
+    An absent schema_valid is true, an absent cost or latency 0; one that is there must be of its type, null is of none.
+    Truth values are no numbers, and a latency is a whole number.
+    """
+    rows = lines.filter(F.trim("value") != "").select(*carry, F.try_parse_json("value").alias("v"))
+    get = lambda k, kind: F.try_variant_get("v", f"$.{k}", kind)
+    kind = lambda k: F.coalesce(F.schema_of_variant(F.try_variant_get("v", f"$.{k}", "variant")), F.lit("ABSENT"))
+    text = lambda k: F.when(kind(k) == "STRING", get(k, "string"))
+    number = kind("cost_usd").rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
+    problem = (
+        F.when(F.col("v").isNull() | ~F.schema_of_variant("v").startswith("OBJECT"), "no object")
+        .when(F.coalesce(text("id"), F.lit("")) == "", "id")
+        .when(~F.coalesce(text("verdict").isin(*VERDICTS), F.lit(False)), "verdict")
+        .when(~(kind("completeness").isin("ABSENT", "VOID") | F.coalesce(text("completeness").isin(*LEVELS), F.lit(False))), "completeness")
+        .when(~kind("schema_valid").isin("ABSENT", "BOOLEAN"), "schema_valid")
+        .when((kind("cost_usd") != "ABSENT") & ~number, "cost_usd")
+        .when(~kind("latency_ms").isin("ABSENT", "BIGINT"), "latency_ms")
+    )
+    return rows.select(
+        *carry, get("id", "string").alias("id"), *[get(k, "string").alias(k) for k in ("provenance", "ground_truth", "model", "verdict")], get("confidence", "double").alias("confidence"),
+        F.coalesce(get("schema_valid", "boolean"), F.lit(True)).alias("schema_valid"), get("completeness", "string").alias("completeness"), F.coalesce(get("cost_usd", "double"), F.lit(0.0)).alias("cost_usd"),
+        F.coalesce(get("latency_ms", "bigint"), F.lit(0)).cast("long").alias("latency_ms"), problem.alias("problem"),
+    )
+
+
 def run_rows(spark: SparkSession, path: str) -> DataFrame:
-    return _read(spark, path, RUN_ROWS, "id IS NOT NULL AND schema_valid IS NOT NULL AND cost_usd >= 0 AND latency_ms >= 0 AND verdict IN ('TRUE_POSITIVE', 'FALSE_POSITIVE', 'NEEDS_HUMAN_REVIEW')")
+    """``checked_runs`` of files; the first bad row fails the query, a missing file is empty."""
+    try:
+        lines = spark.read.text(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], RUN_ROWS)
+    rows = checked_runs(lines)
+    bad = F.raise_error(F.concat(F.lit("run row of "), F.coalesce("id", F.lit("no id")), F.lit(" has no usable "), F.col("problem"))).cast("boolean")
+    return rows.filter(F.when(F.col("problem").isNull(), F.lit(True)).otherwise(bad)).drop("problem")
 
 
 def prompt_hashes(spark: SparkSession, folder: str) -> DataFrame:
