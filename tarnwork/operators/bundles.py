@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnwork.functions import paths, redact
+from tarnwork.functions import paths, redact, render
 from tarnwork.operators import callers, prefilter, verdicts
 from tarnwork.sources import pysource
 
@@ -83,7 +83,7 @@ def _by_place(x: Column, y: Column) -> Column:
 
 
 def build(findings: DataFrame, files: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Bundles of findings(id, uri, line); no finding is dropped.
+    """Bundles of findings(id, uri, line, and rule_id and message where they are there); no finding is dropped.
 
     ``files``(path, text) are those that were read, with null text where that failed; ``project`` (boolean, true where absent)
     tells which are searched for callers and definitions, ``refusal`` (string, null where absent) why one wasn't opened.
@@ -98,7 +98,8 @@ def build(findings: DataFrame, files: DataFrame, symbols: DataFrame) -> DataFram
     for name, default in (("project", F.lit(True)), ("refusal", F.lit(None).cast("string"))):
         files = files if name in files.columns else files.withColumn(name, default)
     f = pysource.functions(symbols).withColumn("function_id", function_id("path", "start_byte"))
-    rows = findings.select("id", "uri", F.coalesce(F.when(F.col("line") > 0, F.col("line")), F.lit(1)).alias("line"))
+    carried = [c for c in ("rule_id", "message") if c in findings.columns]
+    rows = findings.select("id", *carried, "uri", F.coalesce(F.when(F.col("line") > 0, F.col("line")), F.lit(1)).alias("line"))
     rows = rows.withColumn("path", F.when(F.col("uri") != "", paths.normal_uri(F.col("uri"))))
     read = files.select("path", "project", "refusal", F.col("text").isNotNull().alias("_read"), prefilter.head_of(F.col("text")).alias("_head"))
     rows = rows.join(read, "path", "left")
@@ -138,7 +139,7 @@ def build(findings: DataFrame, files: DataFrame, symbols: DataFrame) -> DataFram
     # a file is classified by its head too, where it was read
     class_ = F.when(F.col("_exit").isNull(), prefilter.classify(F.col("path"), F.col("_head"))["file_class"]).when(F.col("_exit") == UNREADABLE, prefilter.classify(F.col("path"))["file_class"]).otherwise("UNKNOWN")
     return rows.select(
-        "id", "uri", "path", "line", class_.alias("file_class"),
+        "id", *carried, "uri", "path", "line", class_.alias("file_class"),
         none(F.when(F.col("_exit").isNull(), F.transform("_imports", lambda i: i["text"]))).alias("imports"),
         own["span"].alias("enclosing_function"), sites.alias("callers"), search.alias("caller_search"),
         none(F.transform(of(_DEFINED), lambda p: p["span"])).alias("called_definitions"), none(F.transform(of(_CALLED), sanitizer)).alias("sanitizers"),
@@ -153,6 +154,34 @@ def build(findings: DataFrame, files: DataFrame, symbols: DataFrame) -> DataFram
     )
 
 
+def all_spans() -> Column:
+    """Every source of a bundle, as often as it is shown: definitions, callers, the function, its entrypoint, the path from
+    there, sanitizers' definitions."""
+    caller = lambda c: c["caller"]
+    one = lambda span: F.array_compact(F.array(span))
+    reach = F.col("reachability")
+    return F.concat(
+        "called_definitions", F.transform("callers", caller), one(F.col("enclosing_function")), one(reach["entrypoint"]), F.transform(reach["path_from_entrypoint"], caller),
+        F.array_compact(F.transform("sanitizers", lambda s: s["definition"])),
+    )
+
+
+def prompts(bundles: DataFrame, templates: dict[str, str]) -> DataFrame:
+    """(id, role, prompt): each role's template filled in from each bundle, its sources as quoted blocks only.
+
+    Templates name the fields of ``render.bundle_fields``; what the bundles don't have reads as there is said.
+    """
+    spans = F.transform(all_spans(), lambda s: redact.untrusted_block(s["path"], s["start_line"], s["end_line"], s["source"]))
+    search, reach = F.col("caller_search"), F.col("reachability")
+    flat = bundles.withColumns({
+        "spans": spans, "externally_reachable": reach["externally_reachable"], "entrypoint_kind": reach["entrypoint_kind"], "refused": search["refused"], "truncated": search["truncated"],
+        "direct_callers": search["direct_caller_count"], "trusted_callees": F.transform("sanitizers", lambda s: s["name"]),
+    })
+    fields = render.bundle_fields(flat.columns) | {"direct_caller_count": F.coalesce(F.col("direct_callers").cast("string"), F.lit("None"))}
+    texts = F.array(*[F.struct(F.lit(role).alias("role"), render.substitute(template, fields).alias("prompt")) for role, template in templates.items()])
+    return flat.select("id", F.explode(texts).alias("t")).select("id", "t.*")
+
+
 def stratum(file_class: Column, path: Column, checkout: Column, reasons: Column) -> Column:
     """Why a finding can't be judged, first reason first; triable if none."""
     has = lambda r: F.array_contains(reasons, r)

@@ -84,3 +84,8 @@ def strata(rows: DataFrame) -> DataFrame:
 
 def class_balance(entries: DataFrame) -> DataFrame:
     return entries.groupBy("ground_truth").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.struct("rule_id", "path", "line")).alias("sources"))
+
+
+def rejected_by_reason(rejected: DataFrame) -> DataFrame:
+    """(reason, n) of rejected candidates."""
+    return rejected.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))

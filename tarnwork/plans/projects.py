@@ -64,7 +64,8 @@ f AS (SELECT c.id, 'f' || c.id AS name, path, decorator, CASE WHEN bits IS NOT N
 g AS (SELECT *, 4 + coalesce(sum(head + kept + n + 2) OVER (PARTITION BY path ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
       concat_ws(chr(10), decorator, 'def ' || name || '(q):', '    key = "<<REDACTED:kind=aws_access_key,len=20,entropy=' || lower(entropy) || '>>"', calls, '    return q') AS source FROM f),
 fn AS (SELECT *, start + head + kept + n AS stop, CASE WHEN entropy IS NOT NULL THEN 'AWS_ACCESS_KEY:20:' || entropy || ':' || path || ':' || (start + head) END AS gone,
-       CASE WHEN decorator LIKE '@app%' THEN 'HTTP_HANDLER' WHEN decorator LIKE '@celery%' THEN 'QUEUE_CONSUMER' END AS kind FROM g),
+       CASE WHEN decorator LIKE '@app%' THEN 'HTTP_HANDLER' WHEN decorator LIKE '@celery%' THEN 'QUEUE_CONSUMER' END AS kind,
+       '<<<UNTRUSTED SOURCE path=' || path || ' lines=' || start || '-' || (start + head + kept + n) || '>>>' || chr(10) || source || chr(10) || '<<<END UNTRUSTED SOURCE>>>' AS block FROM g),
 call AS (SELECT o.id, callee, n_ AS n, fn.start + head + kept + n_ - 1 AS line FROM (SELECT id, callee, n AS n_ FROM o) o JOIN fn ON o.id = fn.id),
 cl AS (SELECT a.id AS caller, d.id AS callee, min(a.line) AS line, any_value(s.path) AS path FROM call a JOIN fn d ON a.callee = d.name JOIN fn s ON a.id = s.id WHERE a.id <> d.id GROUP BY a.id, d.id),
 dir AS (SELECT fn.id AS target, count(cl.caller) AS direct FROM fn LEFT JOIN cl ON fn.id = cl.callee GROUP BY fn.id),
@@ -74,23 +75,29 @@ h2 AS (SELECT h1.target, h1.rk AS prank, h1.caller AS parent, cl.caller, cl.line
 fr AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY hop, prank, path, caller) AS pos, count(*) OVER (PARTITION BY target) AS total
        FROM (SELECT target, 1 AS hop, 0 AS prank, target AS parent, caller, line, path FROM h1 UNION ALL SELECT target, 2, prank, parent, caller, line, path FROM h2)),
 nw AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY pos) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY target, caller ORDER BY pos) AS again FROM fr) WHERE again = 1),
-vi AS (SELECT nw.*, fn.source, fn.kind, fn.gone, fn.name FROM nw JOIN fn ON nw.caller = fn.id WHERE rank <= 20),
+vi AS (SELECT nw.*, fn.source, fn.kind, fn.gone, fn.name, fn.block FROM nw JOIN fn ON nw.caller = fn.id WHERE rank <= 20),
 sto AS (SELECT target, path AS stop_path, total - pos + 2 AS callers_found FROM nw WHERE rank = 21)
 """
 _BUNDLES = (
     _PROJECT
     + """,
 vl AS (SELECT target, string_agg(name || ':' || hop || ':' || line, ',' ORDER BY rank) AS callers, string_agg(source, chr(0) ORDER BY rank) AS sources, count(*) AS spans_used, string_agg(gone, ',' ORDER BY rank) AS gone,
-       arg_min(kind, rank) FILTER (WHERE kind IS NOT NULL) AS kind, arg_min(name, rank) FILTER (WHERE kind IS NOT NULL) AS entry, arg_min(hop, rank) FILTER (WHERE kind IS NOT NULL) AS hop, arg_min(parent, rank) FILTER (WHERE kind IS NOT NULL) AS parent FROM vi GROUP BY target),
-df AS (SELECT id, string_agg(source, chr(0) ORDER BY n) AS sources, string_agg(gone, ',' ORDER BY n) AS gone FROM (SELECT a.id, d.source, d.gone, min(a.n) AS n FROM call a JOIN fn d ON a.callee = d.name GROUP BY a.id, d.id, d.source, d.gone) GROUP BY id),
+       arg_min(kind, rank) FILTER (WHERE kind IS NOT NULL) AS kind, arg_min(name, rank) FILTER (WHERE kind IS NOT NULL) AS entry, arg_min(hop, rank) FILTER (WHERE kind IS NOT NULL) AS hop, arg_min(parent, rank) FILTER (WHERE kind IS NOT NULL) AS parent,
+       string_agg(block, chr(10) || chr(10) ORDER BY rank) AS blocks, string_agg(block, chr(10) || chr(10) ORDER BY rank DESC) AS back, arg_min(block, rank) FILTER (WHERE kind IS NOT NULL) AS entry_block FROM vi GROUP BY target),
+df AS (SELECT id, string_agg(source, chr(0) ORDER BY n) AS sources, string_agg(gone, ',' ORDER BY n) AS gone, string_agg(block, chr(10) || chr(10) ORDER BY n) AS blocks FROM (SELECT a.id, d.source, d.gone, d.block, min(a.n) AS n FROM call a JOIN fn d ON a.callee = d.name GROUP BY a.id, d.id, d.source, d.gone, d.block) GROUP BY id),
 sn AS (SELECT a.id, string_agg(callee || '@' || line || CASE WHEN d.id IS NULL THEN '' ELSE '+' END, ',' ORDER BY a.n) FILTER (WHERE d.id IS NOT NULL OR callee = 'quote') AS sanitizers,
-       string_agg(d.gone, ',' ORDER BY a.n) AS gone, bool_or(callee = 'getattr') AS dynamic FROM call a LEFT JOIN fn d ON a.callee = d.name GROUP BY a.id),
+       string_agg(d.gone, ',' ORDER BY a.n) AS gone, bool_or(callee = 'getattr') AS dynamic,
+       string_agg(callee, ',' ORDER BY a.n) FILTER (WHERE d.id IS NOT NULL OR callee = 'quote') AS names, string_agg(d.block, chr(10) || chr(10) ORDER BY a.n) AS blocks FROM call a LEFT JOIN fn d ON a.callee = d.name GROUP BY a.id),
 hd AS (SELECT path, min(id) AS least FROM c GROUP BY path),
 x AS (SELECT fn.id, fn.id % 11 AS k, fn.id % 11 NOT IN (0, 1, 2, 3) AS whole, fn.name, fn.source, fn.kind AS own_kind, fn.gone AS own_gone, vl.callers, vl.sources, vl.spans_used, vl.gone AS vl_gone, vl.kind AS vl_kind, vl.entry, vl.hop, dir.direct, sto.stop_path, sto.callers_found, df.sources AS defined, df.gone AS defined_gone, sn.sanitizers, sn.gone AS called_gone, coalesce(sn.dynamic, false) AS dynamic, hd.least,
-      coalesce(vl.kind, fn.kind) AS reach FROM fn JOIN dir ON fn.id = dir.target LEFT JOIN vl ON fn.id = vl.target LEFT JOIN sto ON fn.id = sto.target LEFT JOIN df ON fn.id = df.id LEFT JOIN sn ON fn.id = sn.id JOIN hd ON fn.path = hd.path)
+      coalesce(vl.kind, fn.kind) AS reach, sn.names, concat_ws(chr(10) || chr(10), df.blocks, vl.blocks, fn.block, CASE WHEN vl.kind IS NOT NULL THEN entry_block WHEN fn.kind IS NOT NULL THEN fn.block END, CASE WHEN coalesce(vl.kind, fn.kind) IS NOT NULL THEN vl.back END, sn.blocks) AS block FROM fn JOIN dir ON fn.id = dir.target LEFT JOIN vl ON fn.id = vl.target LEFT JOIN sto ON fn.id = sto.target LEFT JOIN df ON fn.id = df.id LEFT JOIN sn ON fn.id = sn.id JOIN hd ON fn.path = hd.path)
 """
 )
 
+_REASONS = """CASE k WHEN 0 THEN 'enclosing-function-unresolved' WHEN 1 THEN 'enclosing-function-unresolved,path-traversal-refused' WHEN 2 THEN 'enclosing-function-unresolved,file-unreadable' WHEN 3 THEN 'enclosing-function-unresolved'
+    ELSE concat_ws(',', CASE WHEN direct > 50 THEN 'caller-search-refused' END, CASE WHEN stop_path IS NOT NULL THEN 'caller-search-truncated' END, CASE WHEN dynamic THEN 'dynamic-dispatch' END) END"""
+_LEVEL = """CASE WHEN NOT whole OR dynamic OR direct > 50 AND reach IS NULL THEN 'INSUFFICIENT' WHEN direct > 50 OR stop_path IS NOT NULL THEN 'PARTIAL' ELSE 'COMPLETE' END"""
+
 SQL = f"""WITH {_BUNDLES}
 SELECT id, CASE WHEN k IN (0, 1, 2) THEN '' ELSE 'import os|from lib.m' || least || ' import x as y' END AS imports, CASE WHEN whole THEN md5(source) END AS enclosing_md5,
   CASE WHEN whole THEN coalesce(callers, '') ELSE '' END AS callers, md5(CASE WHEN whole THEN coalesce(sources, '') ELSE '' END) AS callers_md5, whole AND direct > 50 AS refused, CASE WHEN whole AND direct > 50 THEN direct END AS direct_caller_count,
@@ -100,11 +107,26 @@ SELECT id, CASE WHEN k IN (0, 1, 2) THEN '' ELSE 'import os|from lib.m' || least
   CASE WHEN whole AND reach IS NOT NULL THEN coalesce(spans_used, 0) ELSE 0 END AS n_path,
   CASE WHEN whole THEN CASE WHEN vl_kind IS NOT NULL THEN CASE WHEN hop = 2 THEN 3 ELSE 2 END WHEN own_kind IS NOT NULL THEN 1 ELSE 0 END ELSE 0 END AS n_route,
   CASE WHEN whole THEN concat_ws(',', own_gone, defined_gone, called_gone, vl_gone) ELSE '' END AS redactions,
-  CASE k WHEN 0 THEN 'enclosing-function-unresolved' WHEN 1 THEN 'enclosing-function-unresolved,path-traversal-refused' WHEN 2 THEN 'enclosing-function-unresolved,file-unreadable' WHEN 3 THEN 'enclosing-function-unresolved'
-    ELSE concat_ws(',', CASE WHEN direct > 50 THEN 'caller-search-refused' END, CASE WHEN stop_path IS NOT NULL THEN 'caller-search-truncated' END, CASE WHEN dynamic THEN 'dynamic-dispatch' END) END AS reasons,
-  CASE WHEN NOT whole OR dynamic OR direct > 50 AND reach IS NULL THEN 'INSUFFICIENT' WHEN direct > 50 OR stop_path IS NOT NULL THEN 'PARTIAL' ELSE 'COMPLETE' END AS completeness
+  {_REASONS} AS reasons,
+  {_LEVEL} AS completeness
 FROM x"""
 
+_TEMPLATE = "{rule_id}|{message}|{file_class}|{completeness}|{completeness_reasons}|{externally_reachable}|{entrypoint_kind}|{caller_search_refused}|{caller_search_truncated}|{direct_caller_count}|{sanitizers}|{imports}|{context_block}|{data_flow}|{{}}"
+SQL_PROMPTS = f"""WITH {_BUNDLES},
+t AS (SELECT id, 'r' || (id % 3) || '|r' || (id % 3) || CASE WHEN k IN (0, 1, 2) THEN '|UNKNOWN|' ELSE '|SOURCE|' END || {_LEVEL} || '|' || coalesce(nullif({_REASONS}, ''), 'none') || '|' || CASE WHEN whole AND reach IS NOT NULL THEN 'True' ELSE 'None' END || '|' || CASE WHEN whole THEN coalesce(reach, 'UNKNOWN') ELSE 'UNKNOWN' END
+      || '|' || CASE WHEN whole AND direct > 50 THEN 'True' ELSE 'False' END || '|' || CASE WHEN whole AND stop_path IS NOT NULL THEN 'True' ELSE 'False' END || '|' || CASE WHEN whole AND direct > 50 THEN CAST(direct AS VARCHAR) ELSE 'None' END
+      || '|' || CASE WHEN whole THEN coalesce(names, 'none-confirmed') ELSE 'none-confirmed' END || '|' || CASE WHEN k IN (0, 1, 2) THEN 'none' ELSE 'import os,from lib.m' || least || ' import x as y' END
+      || '|' || CASE WHEN whole THEN block ELSE '(no spans retrieved)' END || '|(none provided)|{{}}' AS prompt FROM x)
+SELECT id, role, md5(role || ':' || prompt) AS prompt_md5 FROM t, (VALUES ('analyst'), ('adversary')) r(role)"""
+
+
+def prompts_of_bundles(spark, sf_dir: str) -> DataFrame:
+    files, findings = sources(spark, sf_dir)
+    files = kept(dealt(files))
+    b = bundles.build(findings.withColumn("rule_id", F.concat(F.lit("r"), F.col("id") % 3)), files, kept(pysource.symbols(files)))
+    return bundles.prompts(b, {role: f"{role}:{_TEMPLATE}" for role in ("analyst", "adversary")}).select("id", "role", F.md5("prompt").alias("prompt_md5"))
+
+
 #: Visits of every function's search, with the caller that led to each.
 SQL_WALKS = f"""WITH {_PROJECT}
 SELECT vi.target, CAST(rank AS INT) AS rank, vi.name AS caller, CAST(hop AS INT) AS hop, CAST(vi.line AS INT) AS call_line, 'f' || parent AS called FROM vi"""

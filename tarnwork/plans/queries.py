@@ -555,7 +555,7 @@ def context_dump(spark, sf_dir):
 
 @query("SELECT lang AS reason, count(*) AS n FROM documents GROUP BY lang")
 def rejected_by_reason(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy(F.col("lang").alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    return scoring.rejected_by_reason(table(spark, sf_dir, "documents").select(F.col("lang").alias("reason")))
 
 
 _BUCKET = "CASE WHEN n_chars < 300 THEN 'short' WHEN lang <> 'en' THEN 'other' ELSE 'triable' END"
@@ -762,5 +762,6 @@ def finding_bundles(spark, sf_dir):
 
 query(projects.SQL)(projects.context_bundles)
 query(projects.SQL_WALKS)(projects.caller_routes)
+query(projects.SQL_PROMPTS)(projects.prompts_of_bundles)
 QUERIES |= steps.QUERIES
 ORACLE_SQL |= steps.ORACLE_SQL
