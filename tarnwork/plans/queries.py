@@ -723,6 +723,37 @@ def run_report_all(spark, sf_dir):
     return r.select(F.get_json_object("report", "$.total").cast("long").alias("total"), F.get_json_object("report", "$.latency_ms").cast("long").alias("latency_ms"))
 
 
+@query(
+    f"""WITH {_REFS} SELECT run_index, result_index, CASE WHEN disposition = 'ADJUDICATE' AND result_index % 3 = 0 THEN 'triage:budget-exhausted' WHEN again THEN 'prefilter:dedupe' ELSE 'prefilter:pass' END AS resolved_by,
+    disposition = 'ADJUDICATE' AND result_index % 3 = 0 AS exhausted FROM x"""
+)
+def budget_exhausted(spark, sf_dir):
+    """Every third finding that was to be judged has no verdict."""
+    d = records.mark_exhausted(_decisions(spark, sf_dir).withColumn("verdict", F.when(F.col("result_index") % 3 != 0, "TRUE_POSITIVE")))
+    return d.select("run_index", "result_index", "resolved_by", (F.col("justification") == records.EXHAUSTED_WHY).alias("exhausted"))
+
+
+@query(
+    f"""WITH {_PAIRS}, k AS (SELECT lower(v) AS key, CAST(count(p.id) AS DOUBLE) AS value FROM (VALUES ('TRUE_POSITIVE'), ('FALSE_POSITIVE'), ('NEEDS_HUMAN_REVIEW')) t(v) LEFT JOIN p ON p.verdict = v GROUP BY v
+      UNION ALL SELECT 'total', count(*) FROM p UNION ALL SELECT 'latency_ms', sum(latency_ms) FROM p UNION ALL SELECT 'cost_usd', round(sum(cost_usd), 6) FROM p) SELECT * FROM k"""
+)
+def report_outputs(spark, sf_dir):
+    out = reports.outputs(reports.run_report(_pairs(spark, sf_dir), {"model": "none"}))
+    return out.select("key", F.round(F.col("value").cast("double"), 6).alias("value"))
+
+
+_MARKED = f"CASE WHEN conv_id % 7 = 3 THEN '{reports.MARKER} ' || text ELSE text END"
+
+
+@query(
+    f"""WITH c AS (SELECT role AS key, conv_id * 100 + turn AS id, {_MARKED} AS text FROM conversations), f AS (SELECT min(id) AS id FROM c WHERE key = 'user' AND starts_with(text, '{reports.MARKER}'))
+    SELECT key, c.id, md5(CASE WHEN key = 'user' AND c.id = f.id THEN '{reports.MARKER} new' ELSE text END) AS text_md5 FROM c, f UNION ALL SELECT 'user', (SELECT max(id) + 1 FROM c), md5('{reports.MARKER} new') FROM f WHERE id IS NULL"""
+)
+def comments_upserted(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").select(F.col("role").alias("key"), (F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.expr(_MARKED).alias("text"))
+    return reports.upsert(c, "user", f"{reports.MARKER} new").select("key", "id", F.md5("text").alias("text_md5"))
+
+
 # ---- Python source: two functions for each part --------------------------------------------------
 
 
