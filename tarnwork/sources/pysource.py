@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnwork.functions.workers import importable
 from tarnwork.operators.prefilter import classify
 
 SYMBOLS = "path string, kind string, name string, start_line int, end_line int, start_byte int, end_byte int, body_start_byte int, decorators array<string>, module string, names array<string>, text string, parsed boolean"
@@ -116,6 +117,7 @@ EXTRACTORS: dict[str, Callable[[str, str], list[dict]]] = {}
 
 def register(spark: SparkSession, language: str, extract: Callable[[str, str], list[dict]]) -> None:
     """Makes an extractor known, here and as the SQL table function ``<language>_symbols(path, text)``."""
+    importable(spark)
     EXTRACTORS[language] = extract
 
     class Symbols:
@@ -131,11 +133,13 @@ EXTRACTORS["python"] = symbols_of
 
 def symbols(files: DataFrame, language: str = "python") -> DataFrame:
     """All symbols of files(path, text), by the language's extractor; files without text have none."""
+    importable(files.sparkSession)
     extract = EXTRACTORS[language]
 
     def parse(it: Iterator[pd.DataFrame]):
         for pdf in it:
-            yield pd.DataFrame([r for p, t in zip(pdf["path"], pdf["text"]) for r in extract(p, t)], columns=_COLUMNS)
+            rows = [[r.get(c) for c in _COLUMNS] for p, t in zip(pdf["path"], pdf["text"]) for r in extract(p, t)]
+            yield pd.DataFrame(rows, columns=_COLUMNS, dtype=object)
 
     return files.filter("text IS NOT NULL").select("path", "text").mapInPandas(parse, SYMBOLS)
 
