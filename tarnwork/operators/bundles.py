@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnwork.functions import paths, redact, render
+from tarnwork.functions.workers import kept
 from tarnwork.operators import callers, prefilter, verdicts
 from tarnwork.sources import pysource
 
@@ -51,8 +52,9 @@ def contexts(targets: DataFrame, functions: DataFrame, calls: DataFrame, searche
     project = functions.join(searched, "path", "left_semi")
     edges = edges_of(inside.join(searched, "path", "left_semi"))
     graph = project.select(F.col("function_id").alias("id"), "path", F.col("start_byte").alias("start"), "name")
-    visits, state = callers.search(targets, graph, edges)
-    called = body_calls(inside).join(targets.select("target"), "target", "left_semi")
+    # each of these is far smaller than the plan that makes it
+    visits, state = (kept(x) for x in callers.search(targets, graph, edges))
+    called = kept(body_calls(inside).join(targets.select("target"), "target", "left_semi"))
     first = project.groupBy(F.col("name").alias("callee")).agg(F.min_by("function_id", F.struct("path", "start_byte")).alias("function_id"))
     resolved = called.join(first, "callee", "left")
     no_int, no_text = F.lit(None).cast("int"), F.lit(None).cast("string")
@@ -73,6 +75,7 @@ def contexts(targets: DataFrame, functions: DataFrame, calls: DataFrame, searche
     rows = rows.join(spans_of(functions), "function_id", "left")
     part = F.struct("section", "order", "function_id", "name", "line", "hop", "parent", "kind", "span", "secrets")
     parts = rows.groupBy("target").agg(F.array_sort(F.collect_list(part), _by_place).alias("parts"))
+    parts = kept(parts)
     callees = called.groupBy("target").agg(F.array_sort(F.collect_set("callee")).alias("callees"))
     return targets.join(parts, "target").join(callees, "target", "left").join(state, "target", "left")
 
