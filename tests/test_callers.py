@@ -60,3 +60,15 @@ def test_every_part_is_a_target_and_every_lineitem_a_call(spark):
     walks = walk(parts, edges)
     assert {w[2] for w in walks} == {1, 2} and {w[4] for w in walks} == {False, True}
     assert sorted(tuple(r) for r in QUERIES["two_hop_callers_all"](spark, SF).collect()) == walks
+
+
+def test_a_walk_makes_no_more_rows_than_it_can_use(spark, monkeypatch):
+    leaves, parents, targets = 300, 5, 60
+    functions = [(i, f"p{i % 7}", i, f"f{i}") for i in range(leaves + parents + targets)]
+    edges = [(k, f"f{leaves + j}") for k in range(leaves) for j in range(parents)] + [(leaves + j, f"f{leaves + parents + t}") for j in range(parents) for t in range(targets)]
+    f = spark.createDataFrame(functions, "id long, path string, start long, name string")
+    dealt, repartition = [], type(f).repartition
+    monkeypatch.setattr(type(f), "repartition", lambda self, *a: dealt.append(self) or repartition(self, *a))
+    got = callers.caller_walk(f.selectExpr("id AS target", "name"), f, spark.createDataFrame(edges, "caller_id long, callee string"))
+    assert sorted(tuple(r) for r in got.collect()) == walk(functions, edges)
+    assert len(dealt) == 1 and dealt[0].count() <= targets * (parents + callers.SPANS + 2)
