@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwork.functions.workers import importable, kept
+from tarnwork.functions.workers import importable, written
 from tarnwork.operators import bundles, callers
 from tarnwork.sources import pysource
 
@@ -40,17 +40,18 @@ def sources(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     head = F.array(F.lit("import os"), F.expr("'from lib.m' || min(c_custkey) || ' import x as y'"), F.lit(""))
     rows = F.array_sort(F.collect_list(F.struct("c_custkey", "lines")))
     files = f.groupBy("path").agg(F.concat(head, F.flatten(F.transform(rows, lambda x: x["lines"]))).alias("_all"), F.transform(rows, lambda x: F.struct(x["c_custkey"].alias("id"), F.size(x["lines"]).alias("n"))).alias("_n"))
+    # both tables come from one that is written: the orders are gathered once
+    files = written(files.select("path", F.array_join("_all", "\n").alias("text"), "_n"))
     placed = files.select("path", F.posexplode("_n").alias("at", "x"), "_n")
     start = F.lit(4) + F.aggregate(F.slice("_n", F.lit(1), F.col("at")), F.lit(0), lambda a, x: a + x["n"])
     uri = F.expr("CASE x.id % 11 WHEN 1 THEN '../' || path WHEN 2 THEN 'src/gone.py' WHEN 4 THEN './' || path WHEN 0 THEN NULL ELSE path END")
     line = F.when(F.col("x.id") % 11 == 3, F.lit(1)).otherwise(start + F.col("x.id") % (F.col("x.n") - 1))
-    return files.select("path", F.array_join("_all", "\n").alias("text")), placed.select(F.col("x.id").alias("id"), uri.alias("uri"), line.cast("int").alias("line"))
+    return files.select("path", "text"), placed.select(F.col("x.id").alias("id"), uri.alias("uri"), line.cast("int").alias("line"))
 
 
 def bundles_of(spark, sf_dir: str) -> DataFrame:
     files, findings = sources(spark, sf_dir)
-    files = kept(dealt(files))
-    return bundles.build(findings, files, kept(pysource.symbols(files)))
+    return bundles.build(findings, files, written(pysource.symbols(dealt(files))))
 
 
 _PROJECT = f"""
@@ -122,8 +123,7 @@ SELECT id, role, md5(role || ':' || prompt) AS prompt_md5 FROM t, (VALUES ('anal
 
 def prompts_of_bundles(spark, sf_dir: str) -> DataFrame:
     files, findings = sources(spark, sf_dir)
-    files = kept(dealt(files))
-    b = bundles.build(findings.withColumn("rule_id", F.concat(F.lit("r"), F.col("id") % 3)), files, kept(pysource.symbols(files)))
+    b = bundles.build(findings.withColumn("rule_id", F.concat(F.lit("r"), F.col("id") % 3)), files, written(pysource.symbols(dealt(files))))
     return bundles.prompts(b, {role: f"{role}:{_TEMPLATE}" for role in ("analyst", "adversary")}).select("id", "role", F.md5("prompt").alias("prompt_md5"))
 
 
@@ -135,8 +135,8 @@ SELECT vi.target, CAST(rank AS INT) AS rank, vi.name AS caller, CAST(hop AS INT)
 def caller_routes(spark, sf_dir: str) -> DataFrame:
     """(target, rank, caller, hop, call_line, called) of all functions of the project, not of those that findings lie in alone."""
     files, _ = sources(spark, sf_dir)
-    symbols = kept(pysource.symbols(dealt(files)))
-    f = pysource.functions(symbols).withColumn("function_id", bundles.function_id("path", "start_byte"))
+    symbols = written(pysource.symbols(dealt(files)))
+    f = bundles.places(pysource.functions(symbols).withColumn("function_id", bundles.function_id("path", "start_byte")))
     graph = f.select(F.col("function_id").alias("id"), "path", F.col("start_byte").alias("start"), "name")
     edges = bundles.edges_of(callers.containing(pysource.calls(symbols), f, "start_line"))
     visits, _ = callers.search(graph.select(F.col("id").alias("target"), "name"), graph, edges)

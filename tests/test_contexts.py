@@ -141,3 +141,15 @@ def test_routes_are_paths(spark):
     routes = [r.route for r in bundles.build(findings, df, s).collect() if r.route]
     assert {len(r) for r in routes} == {1, 2, 3}
     assert all((a, names[b]) in edges for r in routes for a, b in zip(r, r[1:]))
+
+
+def test_a_source_goes_to_each_target_once(spark, monkeypatch):
+    text = "def g(x):\n    return x\n\ndef f(x):\n" + "    g(x)\n" * 30 + "    return x\n"
+    files = spark.createDataFrame([(f"src/m{k}.py", text) for k in range(3)], "path string, text string")
+    findings = spark.createDataFrame([(k, f"src/m{k}.py", 6) for k in range(3)], "id long, uri string, line int")
+    dealt, repartition = [], type(files).repartition
+    monkeypatch.setattr(type(files), "repartition", lambda self, *a: (dealt.append(self) if "span" in self.columns else None) or repartition(self, *a))
+    rows = bundles.build(findings, files, pysource.symbols(files)).collect()
+    assert [len(r.sanitizers) for r in rows] == [30] * 3 and all(s.definition.symbol == "g" for r in rows for s in r.sanitizers)
+    # each target's own source and that of the first g, which it shows 31 times
+    assert len(dealt) == 1 and dealt[0].count() == 6
