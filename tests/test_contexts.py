@@ -3,6 +3,7 @@
 import random
 from collections import deque
 
+import pandas as pd
 import pytest
 
 from tarnwork.functions import redact
@@ -153,3 +154,13 @@ def test_a_source_goes_to_each_target_once(spark, monkeypatch):
     assert [len(r.sanitizers) for r in rows] == [30] * 3 and all(s.definition.symbol == "g" for r in rows for s in r.sanitizers)
     # each target's own source and that of the first g, which it shows 31 times
     assert len(dealt) == 1 and dealt[0].count() == 6
+
+
+def test_symbols_are_handed_on_in_bounded_frames(spark, monkeypatch):
+    files = spark.createDataFrame([("a.py", "f()\n")], "path string, text string")
+    parsers = []
+    monkeypatch.setattr(type(files), "mapInPandas", lambda self, parse, schema: parsers.append(parse))
+    pysource.symbols(files)
+    batch = pd.DataFrame({"path": [f"m{k}.py" for k in range(300)], "text": ["f(1)\n" * 99] * 300})
+    frames = [len(f) for f in parsers[0](iter([batch, batch]))]
+    assert sum(frames) == 600 * 100 and max(frames) <= 10_000
