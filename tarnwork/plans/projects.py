@@ -49,11 +49,6 @@ def sources(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return files.select("path", "text"), placed.select(F.col("x.id").alias("id"), uri.alias("uri"), line.cast("int").alias("line"))
 
 
-def bundles_of(spark, sf_dir: str) -> DataFrame:
-    files, findings = sources(spark, sf_dir)
-    return bundles.build(findings, files, written(pysource.symbols(dealt(files))))
-
-
 _PROJECT = f"""
 m AS (SELECT max(c_custkey) AS most FROM customer),
 c AS (SELECT c_custkey AS id, {_PATH} AS path, {_DECORATOR} AS decorator, {_KEY} AS secret FROM customer),
@@ -146,7 +141,12 @@ def caller_routes(spark, sf_dir: str) -> DataFrame:
 
 
 def context_bundles(spark, sf_dir: str) -> DataFrame:
-    b = bundles_of(spark, sf_dir)
+    files, findings = sources(spark, sf_dir)
+    return bundles.built(findings, files, written(pysource.symbols(dealt(files))), digests)
+
+
+def digests(b: DataFrame) -> DataFrame:
+    """Every field of a bundle, its sources as digests."""
     joined = lambda values, by=",": F.array_join(values, by)
     found = lambda r: F.concat_ws(":", r["kind"], r["length"].cast("string"), r["entropy_class"], r["path"], r["line"].cast("string"))
     search, reach = F.col("caller_search"), F.col("reachability")

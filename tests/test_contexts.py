@@ -164,3 +164,18 @@ def test_symbols_are_handed_on_in_bounded_frames(spark, monkeypatch):
     batch = pd.DataFrame({"path": [f"m{k}.py" for k in range(300)], "text": ["f(1)\n" * 99] * 300})
     frames = [len(f) for f in parsers[0](iter([batch, batch]))]
     assert sum(frames) == 600 * 100 and max(frames) <= 10_000
+
+
+def test_bundles_are_made_part_after_part(spark, monkeypatch):
+    files = project(2, n_files=4, n_names=30)
+    findings = [(k, files[k % 4][0] if k % 9 else [None, "gone.py"][k % 2], k) for k in range(1, 90)]
+    df, found = spark.createDataFrame(files, "path string, text string, project boolean"), spark.createDataFrame(findings, "id int, uri string, line int")
+    symbols = pysource.symbols(df).cache()
+    whole = bundles.build(found, df, symbols).collect()
+    moved, repartition = [], type(df).repartition
+    monkeypatch.setattr(type(df), "repartition", lambda self, *a: (moved.append(self) if "span" in self.columns else None) or repartition(self, *a))
+    rows = bundles.built(found, df, symbols, lambda b: b.select("id", "callers", "redactions", "called_definitions", "reasons", "route"), most=60).collect()
+    sizes = [m.count() for m in moved]
+    assert len(sizes) > 2 and max(sizes) < sum(sizes) / 2
+    assert {r.id: tuple(r) for r in rows} == {r.id: (r.id, r.callers, r.redactions, r.called_definitions, r.reasons, r.route) for r in whole}
+    assert len(rows) == len(findings)
