@@ -35,12 +35,14 @@ def written(df: DataFrame) -> DataFrame:
     """A large table that is read several times, as compressed columns in the folder of checkpoints, or cached where there is none.
 
     A tenth of what a checkpoint takes; the files go when the driver ends. Shuffles of the plan that made it are of no more
-    use: a collection lets Spark's cleaner delete them now instead of at the driver's next one.
+    use: a collection lets Spark's cleaner delete them now instead of at the driver's next one. Just after a plan's end
+    listeners may still hold it, so that there is one before the next plan too.
     """
     spark, folder = df.sparkSession, _shared(df.sparkSession)
     if folder is None:
         return df.persist()
     at = f"{folder}/written-{uuid.uuid4().hex}"
+    spark._jvm.System.gc()
     df.write.parquet(at)
     files = spark._jvm.org.apache.hadoop.fs.Path(at)
     files.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(files)

@@ -35,8 +35,8 @@ def places(functions: DataFrame) -> DataFrame:
 
 def edges_of(inside: DataFrame) -> DataFrame:
     """(caller_id, callee, call_line), one for each pair: calls under their innermost function by line, the first call's line."""
-    inner = inside.groupBy("path", "start_byte", "end_byte", "name", "start_line").agg(callers.innermost().alias("f"))
-    return inner.groupBy(F.col("f.function_id").alias("caller_id"), F.col("name").alias("callee")).agg(F.min_by("start_line", F.struct("start_byte", -F.col("end_byte"))).alias("call_line"))
+    inner = inside.groupBy("path", "start_byte", "end_byte", "name", "start_line").agg(callers.innermost("f.function_id").alias("caller_id"))
+    return inner.groupBy("caller_id", F.col("name").alias("callee")).agg(F.min_by("start_line", F.struct("start_byte", -F.col("end_byte"))).alias("call_line"))
 
 
 def body_calls(inside: DataFrame) -> DataFrame:
