@@ -760,7 +760,7 @@ def comments_upserted(spark, sf_dir):
 def _sources(spark, sf_dir):
     key, group = F.col("p_partkey").cast("string"), (F.col("p_partkey") % 5).cast("string")
     text = F.concat(F.lit("@app.route('/x')\ndef f"), key, F.lit("(q):\n    return g"), group, F.lit("(q)\n\ndef g"), group, F.lit("(q):\n    return eval(q)\n"))
-    return dealt(table(spark, sf_dir, "part").select(key.alias("path"), text.alias("text")))
+    return table(spark, sf_dir, "part").select(key.alias("path"), text.alias("text"))
 
 
 @query(
@@ -768,12 +768,12 @@ def _sources(spark, sf_dir):
     UNION ALL SELECT CAST(p_partkey AS VARCHAR), 'g' || (p_partkey % 5), 5, 6, [] FROM part"""
 )
 def python_functions(spark, sf_dir):
-    return pysource.functions(pysource.symbols(_sources(spark, sf_dir))).select("path", "name", "start_line", "end_line", "decorators")
+    return pysource.functions(pysource.symbols(dealt(_sources(spark, sf_dir)))).select("path", "name", "start_line", "end_line", "decorators")
 
 
 @query("SELECT CAST(p_partkey AS VARCHAR) AS path, 'g' || (p_partkey % 5) AS name, CAST(3 AS INT) AS start_line FROM part UNION ALL SELECT CAST(p_partkey AS VARCHAR), 'eval', 6 FROM part UNION ALL SELECT CAST(p_partkey AS VARCHAR), 'route', 1 FROM part")
 def python_calls(spark, sf_dir):
-    return pysource.calls(pysource.symbols(_sources(spark, sf_dir))).select("path", "name", "start_line")
+    return pysource.calls(pysource.symbols(dealt(_sources(spark, sf_dir)))).select("path", "name", "start_line")
 
 
 @query(
@@ -784,11 +784,11 @@ def python_calls(spark, sf_dir):
     FROM part a"""
 )
 def finding_bundles(spark, sf_dir):
-    s = written(pysource.symbols(_sources(spark, sf_dir)))
+    s = written(pysource.symbols(dealt(_sources(spark, sf_dir))))
     line = F.when(F.col("p_partkey") % 2 == 0, 3).when(F.col("p_partkey") % 3 == 0, 4).otherwise(6)
     found = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_partkey").cast("string").alias("uri"), line.alias("line"))
-    b = bundles.build(found, _sources(spark, sf_dir), s)
-    return b.select("id", "path", F.col("enclosing_function.symbol").alias("enclosing"), "completeness", F.array_join("reasons", ",").alias("reasons"))
+    told = lambda b: b.select("id", "path", F.col("enclosing_function.symbol").alias("enclosing"), "completeness", F.array_join("reasons", ",").alias("reasons"))
+    return bundles.built(found, _sources(spark, sf_dir), s, told)
 
 
 query(projects.SQL)(projects.context_bundles)

@@ -1,5 +1,6 @@
 """Bundles over made-up projects against a plain version that goes through them finding by finding."""
 
+import os
 import random
 from collections import deque
 
@@ -8,6 +9,7 @@ import pytest
 
 from tarnwork.functions import redact
 from tarnwork.operators import bundles, callers
+from tarnwork.plans import queries
 from tarnwork.sources import pysource
 
 KEY = "AKIA" + "ABCD1234EFGH5678"
@@ -179,3 +181,13 @@ def test_bundles_are_made_part_after_part(spark, monkeypatch):
     assert len(sizes) > 2 and max(sizes) < sum(sizes) / 2
     assert {r.id: tuple(r) for r in rows} == {r.id: (r.id, r.callers, r.redactions, r.called_definitions, r.reasons, r.route) for r in whole}
     assert len(rows) == len(findings)
+
+
+def test_files_of_finding_bundles_are_dealt_to_the_parser_alone(spark, monkeypatch):
+    sf = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+    dealt, deal = [], queries.dealt
+    monkeypatch.setattr(queries, "dealt", lambda files: dealt.append(files) or deal(files))
+    rows = queries.QUERIES["finding_bundles"](spark, sf)
+    assert len(dealt) == 1 and rows.count() == spark.read.parquet(f"{sf}/part.parquet").count()
+    # what comes back is read from written tables: no plan holds the search and the bundles at once
+    assert all("/written-" in f for f in rows.inputFiles())
